@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.llm import simhash
+from topolark.llm import mixing, simhash
 from topolark.llm.common import table
 
 
@@ -17,8 +17,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources to weights 5, 2, 1, ... takes of each document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), narrow=True)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "times")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash}
+    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
