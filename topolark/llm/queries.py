@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.llm import mixing, pii, simhash, toxicity
-from topolark.llm.common import table
+from topolark.llm import mixing, pii, quality, simhash, toxicity
+from topolark.llm.common import held_out, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +33,17 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")), 3)
+    tail = F.col("tail")
+    rated = quality.rate(docs, model, 3, ["doc_id"])
+    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.expected_grade(tail).alias("expected_grade"), tail[0].alias("p_at_least_1"), tail[1].alias("p_at_least_2"), (tail[0] >= 0.5).alias("keep"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op8_pii": op8_pii}
+    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op8_pii": op8_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
