@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from topolark.llm.common import bounded_batches, bounded_sample, held_out
 
@@ -113,7 +114,7 @@ def rate(docs: DataFrame, model: tuple[np.ndarray, np.ndarray] | None, levels: i
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    schema = docs.select(*[c for c in keep or docs.columns if c != "tail"]).schema.add("tail", "array<double>")
+    schema = docs.select(*[c for c in keep or docs.columns if c != "tail"]).schema.add("tail", ArrayType(DoubleType()))
     names, place = schema.names, docs.columns.index("text")
     own = [docs.columns.index(c) for c in names[:-1]]
 
