@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.llm import decontaminate, mixing, pii, quality, simhash, toxicity
+from topolark.llm import chat, decontaminate, mixing, pii, quality, simhash, toxicity
 from topolark.llm.common import held_out, table
 
 
@@ -33,6 +33,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, read back from ids and masks."""
+    return chat.read_back(chat.format_turns(chat.with_probe(spark, table(spark, sf_dir, "conversations"))))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data found in every document."""
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
@@ -48,7 +53,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op8_pii": op8_pii, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op8_pii": op8_pii, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
