@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.llm import chat, decontaminate, mixing, pii, quality, simhash, toxicity
+from topolark.llm import chat, decontaminate, mixing, pii, quality, simhash, toxicity, urlfilter
 from topolark.llm.common import held_out, table
 
 
@@ -43,6 +43,35 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+OP9_SQL = """
+with rest as (
+  select page_id, case when url is null or strpos(url, '://') = 0 then '' else substr(url, strpos(url, '://') + 3) end as rest from pages),
+parts as (
+  select page_id, rest, regexp_extract(rest, '^[^/?#]*') as raw from rest),
+cut as (
+  select page_id, lower(raw) as host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') as path from parts),
+rules(rule_host, rule_path, rule_verdict) as (
+  values ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+best as (
+  select page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) as rule, arg_max(rule_verdict, length(rule_host || rule_path)) as rule_verdict
+  from cut join rules on (host = rule_host or suffix(host, '.' || rule_host)) and prefix(path, rule_path) group by page_id),
+domains as (
+  select n || '.example.' || t as domain
+  from (values ('adult-x'), ('ads-track'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) a(n), (values ('com'), ('net'), ('org')) b(t)),
+listed as (
+  select distinct page_id from cut join domains on host = domain or suffix(host, '.' || domain))
+select cut.page_id, host, path, best.rule, listed.page_id is not null as listed,
+  coalesce(rule_verdict, case when listed.page_id is not null then 'block' else 'allow' end) as verdict
+from cut left join best on cut.page_id = best.page_id left join listed on cut.page_id = listed.page_id
+"""
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probabilities of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -53,8 +82,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op8_pii": op8_pii, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op8_pii": op8_pii, "op9_urlfilter": op9_urlfilter, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_urlfilter": OP9_SQL}
