@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.llm import chat, decontaminate, mixing, pii, quality, simhash, toxicity, urlfilter
+from topolark.llm import ann, chat, decontaminate, mixing, pii, quality, simhash, toxicity, urlfilter
 from topolark.llm.common import held_out, table
 
 
@@ -38,6 +38,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(chat.with_probe(spark, table(spark, sf_dir, "conversations"))))
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data found in every document."""
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
@@ -82,7 +87,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op8_pii": op8_pii, "op9_urlfilter": op9_urlfilter, "op10_quality": op10_quality}
+    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_pii": op8_pii, "op9_urlfilter": op9_urlfilter, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
