@@ -7,10 +7,66 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.llm import ann, chat, decontaminate, mixing, pii, quality, simhash, toxicity, urlfilter
+from topolark.llm import ann, chat, decontaminate, licenses, mixing, pii, quality, simhash, toxicity, urlfilter
 from topolark.llm.common import held_out, table
 
 
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as a tree of files: 64 ids share a directory, 64 of those a parent under source and language.
+
+    Every eighth id is the license file of a directory: of the parent for every 512th, else of its own.
+    """
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
+    top = F.concat_ws("/", F.lit(""), part(F.col("source")), part(F.col("lang")), part(F.expr("doc_id div 4096")))
+    own = F.concat_ws("/", top, part(F.expr("doc_id div 64")))
+    name = part(F.col("doc_id"))
+    path = F.when(F.col("doc_id") % 512 == 0, F.concat_ws("/", top, F.concat(F.lit("LICENSE."), name))).when(F.col("doc_id") % 8 == 0, F.concat_ws("/", own, F.concat(F.lit("LICENSE."), name)))
+    return docs.withColumn("path", F.coalesce(path, F.concat_ws("/", own, F.concat(name, F.lit(".txt")))))
+
+
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document, its own or inherited."""
+    files = as_files(table(spark, sf_dir, "documents")).select("doc_id", "path", "text")
+    return licenses.scan(files).select("doc_id", "path", "license", "score", "license_source", "license_dir")
+
+
+def op1_sql() -> str:
+    idf, unknown = licenses.weights(licenses.TEMPLATES)
+    templates = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    return f"""
+with files as (
+  select row_number() over () as rid, doc_id, text, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(cast(doc_id // 4096 as varchar), 'unknown')
+    || case when doc_id % 512 = 0 then '' else '/' || coalesce(cast(doc_id // 64 as varchar), 'unknown') end as dir,
+    case when doc_id % 8 = 0 then '/LICENSE.' || doc_id else '/' || coalesce(cast(doc_id as varchar), 'unknown') || '.txt' end as name from documents),
+templates(tid, license, text) as (values {templates}),
+template_terms as (
+  select tid, license, term, count(*) as n from (select tid, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][a-z0-9]+)*')) as term from templates) group by all),
+idf as (
+  select term, ln((1 + {len(licenses.TEMPLATES)}.0) / (1 + count(distinct tid))) + 1 as idf from template_terms group by term),
+template_norms as (
+  select tid, sqrt(sum(pow(n * idf, 2))) as norm from template_terms join idf using (term) group by tid),
+lines as (
+  select rid, row_number() over () as lid, line from (select rid, unnest(string_split(text, chr(10))) as line from files) where contains(lower(line), 'licen')),
+line_terms as (
+  select rid, lid, term, count(*) as n from (select rid, lid, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.][a-z0-9]+)*')) as term from lines) group by all),
+line_norms as (
+  select lid, sqrt(sum(pow(n * coalesce(idf, {unknown!r}), 2))) as norm from line_terms left join idf using (term) group by lid),
+scores as (
+  select l.rid, t.license, round(sum(l.n * t.n * idf * idf) / any_value(ln.norm) / any_value(tn.norm), 6) as score
+  from line_terms l join template_terms t using (term) join idf using (term) join line_norms ln using (lid) join template_norms tn using (tid) group by l.rid, l.lid, t.tid, t.license),
+own as (
+  select rid, license, score from (select *, row_number() over (partition by rid order by score desc, license) as k from scores where score >= {licenses.LEAST}) where k = 1),
+holders as (
+  select dir, license, score from (select f.dir, o.license, o.score, row_number() over (partition by f.dir order by o.score desc, o.license) as k from files f join own o using (rid) where f.name like '/LICENSE.%') where k = 1),
+nearest as (
+  select d.dir, arg_max(h.dir, length(h.dir)) as holder from (select distinct dir from files) d join holders h on d.dir = h.dir or starts_with(d.dir, h.dir || '/') group by d.dir)
+select f.doc_id, f.dir || f.name as path, coalesce(o.license, h.license) as license, coalesce(o.score, h.score) as score,
+  case when o.license is not null then 'own' when h.license is not null then 'inherited' else 'none' end as license_source,
+  case when o.license is null then h.dir end as license_dir
+from files f left join own o using (rid) left join nearest n on n.dir = f.dir left join holders h on h.dir = n.holder
+"""
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     classes = simhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
@@ -87,8 +143,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_pii": op8_pii, "op9_urlfilter": op9_urlfilter, "op10_quality": op10_quality}
+    return {"op1_licenses": op1_licenses, "op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_pii": op8_pii, "op9_urlfilter": op9_urlfilter, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_urlfilter": OP9_SQL}
+    return {"op1_licenses": op1_sql(), "op9_urlfilter": OP9_SQL}
