@@ -7,13 +7,13 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topolark.plans import q_validate
+from topolark.plans import q_route, q_validate
 
 
 @lru_cache(maxsize=1)
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     found: dict = {}
-    for module in (q_validate,):
+    for module in (q_validate, q_route):
         found.update(module.build())
     return found
 

@@ -131,7 +131,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     )
     out["aud4_nodes"] = (
         lambda s, d: aud4_nodes(audited(s, d)),
-        duckdb_sql(repairs + """ select n.id, n.floor_id, n.kind, (select r.connector_name from repairs r where r.replacement_node_id = n.id order by r.connector_id, r.pos limit 1) as label from nodes n
+        duckdb_sql(repairs + """ select n.id, n.floor_id, n.kind, (select r.connector_name from repairs r where r.replacement_node_id = n.id order by r.connector_id, r.pos limit 1) as label from anodes n
           where not exists (select 1 from repairs r where r.stop_node_id = n.id) or exists (select 1 from segments s where s.from_node_id = n.id or s.to_node_id = n.id)"""),
     )
     return out
