@@ -4,7 +4,8 @@ Trees are fitted on a bounded sample: each node splits its points at the median
 them. Vectors get one more coordinate that makes all lengths equal, so that the largest inner product is the
 smallest distance. Every vector is routed to one leaf of each tree. A query searches all trees through one
 priority queue ordered by the least margin on the way, until the leaves it has taken hold a share of all
-vectors; that share is calibrated on the sample against brute force. Queries then meet the vectors of
+vectors; that share is calibrated on the sample against brute force. The best of the sample itself are candidates
+too, and what scores below the last of them is left out early, as it cannot be among the nearest. Queries then meet the vectors of
 their leaves in blocks of bounded size, the products are taken exactly in double precision, and the best of all
 leaves are merged.
 
@@ -194,6 +195,23 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = T
     for r in placed.groupBy("tree", "leaf").count().collect():  # a row for each leaf of the forest
         counts[r.tree][r.leaf] = r["count"]
     sizes = spark.sparkContext.broadcast((counts, share * total))
+    known = spark.sparkContext.broadcast((np.asarray(drawn.column("rep").combine_chunks()), sample))  # at most SAMPLE vectors
+
+    def bounds(q: np.ndarray) -> np.ndarray:
+        """Score of each query's last place among the sample, which nothing below can take part beyond."""
+        x = known.value[1]
+        if len(x) <= k:
+            return np.full(len(q), -np.inf)
+        return np.concatenate([np.partition(q[a : a + 256] @ x.T, -(k + 1), axis=1)[:, -(k + 1)] for a in range(0, len(q), 256)]) - 1e-9
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, x = known.value
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                some = batch.slice(a, 256)
+                q = matrix(some.column(1))
+                i, j = np.nonzero(best(q @ x.T, k + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(some.column(0))[i]), pa.array(reps[j]), pa.array((q[i] * x[j]).sum(1))], ["q", "rep", "score"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, enough = sizes.value
@@ -204,12 +222,13 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = T
             taken = [shared.value.search(m, held, enough) for m in margins]
             owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in taken])
             tree, leaf = (np.array([y[i] for x in taken for y in x], np.int32) for i in range(2))
+            least = bounds(matrix(batch.column(1)))[owner]
             for a in range(0, len(owner), 4096):
                 some = batch.take(pa.array(owner[a : a + 4096]))
-                yield pa.RecordBatch.from_arrays([pa.array(tree[a : a + 4096]), pa.array(leaf[a : a + 4096]), *some.columns], ["tree", "leaf", "rep", "embedding"])
+                yield pa.RecordBatch.from_arrays([pa.array(tree[a : a + 4096]), pa.array(leaf[a : a + 4096]), *some.columns, pa.array(least[a : a + 4096])], ["tree", "leaf", "rep", "embedding", "least"])
 
     asking = index.join(asked.select("rep").distinct(), "rep", "left_semi")
-    probes = scratch.write(asking.mapInArrow(searched, f"tree int, leaf int, rep long, embedding {kind}"))
+    probes = scratch.write(asking.mapInArrow(searched, f"tree int, leaf int, rep long, embedding {kind}, least double"))
     parts = [(t, leaf, -(-int(n) // BLOCK)) for t, c in enumerate(counts) for leaf, n in enumerate(c) if n]
     cuts = [(r.tree, r.leaf, -(-r["count"] // BLOCK)) for r in probes.groupBy("tree", "leaf").count().collect()]  # likewise
     blocks = spark.createDataFrame(parts, "tree int, leaf int, parts int").join(spark.createDataFrame(cuts, "tree int, leaf int, cuts int"), ["tree", "leaf"])
@@ -223,14 +242,16 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = T
         if not len(a) or not len(b):
             return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         q, x = matrix(left.column("embedding")), matrix(right.column("embedding"))
-        out = []
+        least, out = np.asarray(left.column("least").combine_chunks()), []
         for at in range(0, len(a), 512):
-            i, j = np.nonzero(best(q[at : at + 512] @ x.T, k + 1))
+            scores = q[at : at + 512] @ x.T
+            i, j = np.nonzero(best(scores, k + 1) & (scores >= least[at : at + 512, None]))
             out.append((a[at + i], b[j], (q[at + i] * x[j]).sum(1)))  # each product summed the same way
         return pa.table(dict(zip(("q", "rep", "score"), map(np.concatenate, zip(*out)))))
 
-    found = here.select(*block, "rep", "embedding").groupBy(*block).cogroup(there.select(*block, "rep", "embedding").groupBy(*block)).applyInArrow(ranked, "q long, rep long, score double")
+    found = here.select(*block, "rep", "embedding", "least").groupBy(*block).cogroup(there.select(*block, "rep", "embedding").groupBy(*block)).applyInArrow(ranked, "q long, rep long, score double")
     top = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    found = found.unionByName(asking.mapInArrow(sampled, "q long, rep long, score double"))
     pairs = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
     pairs = pairs.withColumn("n", top("q", F.desc("score"), "rep")).where(f"n <= {k + 1}").drop("n")
     named = pairs.join(members.select("rep", "vec_id"), "rep").withColumn("n", top("q", F.desc("score"), "vec_id")).where(f"n <= {k + 1}")
