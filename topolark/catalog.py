@@ -7,13 +7,13 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topolark.plans import q_grid, q_mutate, q_route, q_select, q_validate
+from topolark.plans import q_grid, q_mutate, q_network, q_route, q_select, q_validate
 
 
 @lru_cache(maxsize=1)
 def _all() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     found: dict = {}
-    for module in (q_validate, q_mutate, q_route, q_select, q_grid):
+    for module in (q_validate, q_mutate, q_route, q_select, q_grid, q_network):
         found.update(module.build())
     return found
 

@@ -17,12 +17,11 @@ WALL_LAYER, LEADER_LAYER = "ARCH|A-WALL", "A-SPAC-IDEN-LEDR"
 LEADER_REACH, OVERLAY_REACH = 20.0, 20.0
 FILL_REACH = (2.0, 8.0, 20.0)
 
-DRAWING = Window.partitionBy("drawing_id")
 
 
 def has_layers() -> Column:
     """Whether a drawing names any layer. One that does but has no walls has none, and doesn't fall back."""
-    return F.coalesce(F.max(F.length("layer") > 0).over(DRAWING), F.lit(False))
+    return F.coalesce(F.max(F.length("layer") > 0).over(Window.partitionBy("drawing_id")), F.lit(False))
 
 
 def barrier_lines(segments: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def leader_ticks(segments: DataFrame) -> DataFrame:
     dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
     length = F.sqrt(dx * dx + dy * dy)
     on_leader = F.coalesce(F.col("layer") == LEADER_LAYER, F.lit(False))
-    rows = segments.withColumn("has_leader", F.max(on_leader).over(DRAWING))
+    rows = segments.withColumn("has_leader", F.max(on_leader).over(Window.partitionBy("drawing_id")))
     return rows.where("type = 'line'").where(~F.col("has_leader") | on_leader).where((dx > 3) & (dy > 3) & (length >= 10) & (length <= 30))
 
 
