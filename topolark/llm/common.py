@@ -63,6 +63,16 @@ class Scratch:
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def packed(rows: DataFrame, *names: str) -> DataFrame:
+    """The whole row as one struct, row_, beside the columns that an operator reads: no other name can clash."""
+    return rows.select(F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("row_"), *names)
+
+
+def unpacked(columns: list[str], without: tuple[str, ...] = ()) -> list[Column]:
+    """The packed row's columns, but for those that the operator replaces."""
+    return [F.col("row_")[c].alias(c) for c in columns if c not in without]
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs of non-white-space); null counts as empty. Needs no array of the words."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x20\\x09-\\x0D]++", "x")

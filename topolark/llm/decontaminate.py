@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from topolark.llm.common import bounded_batches
+from topolark.llm.common import bounded_batches, packed, unpacked
 
 ERROR_RATE = 0.08
 #: Bytes of item text in a block; its automaton takes some hundred times as much in a worker.
@@ -174,4 +174,4 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, error_rate: float = ER
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
     """The documents in which no item occurs; all columns kept."""
-    return with_hits(docs, benchmark, error_rate).where(F.size("hits") == 0).select(*docs.columns)
+    return with_hits(packed(docs, "text"), benchmark, error_rate, ["row_"]).where(F.size("hits") == 0).select(*unpacked(docs.columns))

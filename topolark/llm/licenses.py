@@ -24,6 +24,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from topolark.llm.common import packed, unpacked
+
 #: Short public notices by SPDX id.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -100,9 +102,8 @@ def directory(path: Column) -> Column:
 
 def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """files (path, text, ...) with license, score, license_source (own, inherited or none) and license_dir."""
-    rows = files.drop("license", "score", "license_source", "license_dir").withColumn("own_", own_license("text", templates)).withColumn("dir_", directory(F.col("path")))
-    own = F.when(F.col("own_.score") >= least, F.col("own_"))
-    rows = rows.withColumn("own_", own)
+    rows = packed(files, "path", own_license("text", templates).alias("own_"), directory(F.col("path")).alias("dir_"))
+    rows = rows.withColumn("own_", F.when(F.col("own_.score") >= least, F.col("own_")))
     holders = rows.where(F.col("own_").isNotNull() & F.element_at(F.split("path", "/"), -1).rlike(FILES))
     order = F.struct((-F.col("own_.score")).alias("s"), F.col("own_.license").alias("license"))
     holders = holders.groupBy(F.col("dir_").alias("holder")).agg(F.min(order).alias("held"))
@@ -112,7 +113,7 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, l
     out = rows.join(nearest, "dir_", "left")
     has, near = F.col("own_").isNotNull(), F.col("near_").isNotNull()
     return out.select(
-        *[c for c in files.columns if c not in ("license", "score", "license_source", "license_dir")],
+        *unpacked(files.columns, ("license", "score", "license_source", "license_dir")),
         F.when(has, F.col("own_.license")).when(near, F.col("near_.held.license")).alias("license"),
         F.when(has, F.col("own_.score")).when(near, -F.col("near_.held.s")).alias("score"),
         F.when(has, "own").when(near, "inherited").otherwise("none").alias("license_source"),

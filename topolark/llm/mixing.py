@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from topolark.llm.common import Scratch, word_count
+from topolark.llm.common import Scratch, packed, unpacked, word_count
 
 #: Hash buckets of a source, of which one is sorted.
 BUCKETS = 1 << 12
@@ -66,7 +66,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
     """
     scratch = Scratch(docs.sparkSession)
     bucket = F.pmod(F.col("draw_"), F.lit(BUCKETS))
-    rows = sized(docs, seed)
+    rows = sized(packed(docs, "doc_id", "source", "text"), seed)
     short = scratch.write(rows.select("doc_id", "source", "key_", "size", "place_", bucket.alias("bucket_")))
     by_bucket = scratch.write(short.groupBy("source", "key_", "bucket_").agg(F.sum("size").alias("words")))
     targets = source_targets(by_bucket.groupBy("source", "key_").agg(F.sum("words").alias("source_size")), list(weights), max_epochs, scratch)
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epoch
 
     rows = short if narrow else rows.withColumn("bucket_", bucket)
     added = ["source_size", "target", "times", "taken"]
-    rows = rows.drop(*added).join(plan, "key_").withColumn("times", F.col("whole") + drawn.cast("long"))
+    rows = rows.join(plan, "key_").withColumn("times", F.col("whole") + drawn.cast("long"))
     rows = rows.withColumn("taken", F.col("times") * F.col("size"))
-    own = ["doc_id", "source"] if narrow else [c for c in docs.columns if c not in ("size", *added)]
+    own = ["doc_id", "source"] if narrow else unpacked(docs.columns, ("size", *added))
     return rows.select(*own, "size", *added)

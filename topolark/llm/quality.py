@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from topolark.llm.common import bounded_batches, bounded_sample, held_out
+from topolark.llm.common import bounded_batches, bounded_sample, held_out, packed, unpacked
 
 BITS = 14
 #: Rated documents learnt from, at most.
@@ -143,5 +143,6 @@ def expected_grade(tail):
 
 def select_quality(docs: DataFrame, ratings: DataFrame, levels: int = 3, at_least: int = 1, most_rows: int = MOST_ROWS) -> DataFrame:
     """The documents whose grade is at_least that with a probability of a half or more; all columns kept."""
-    kept = rate(docs, train(docs, ratings, levels, most_rows), levels).where(F.col("tail")[at_least - 1] >= 0.5)
-    return kept.select(*docs.columns)
+    model = train(docs, ratings, levels, most_rows)
+    kept = rate(packed(docs, "text"), model, levels, ["row_"]).where(F.col("tail")[at_least - 1] >= 0.5)
+    return kept.select(*unpacked(docs.columns))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topolark.llm.common import Scratch, bounded_batches
+from topolark.llm.common import Scratch, bounded_batches, packed, unpacked
 
 #: Bytes of A-Z lower-cased; bytes of other characters stay.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -156,6 +156,6 @@ def drop_near_duplicates(docs: DataFrame, max_bits: int = 4) -> DataFrame:
     classes = near_duplicate_classes(docs, max_bits)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     kept = classes.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    keyed = docs.withColumn("kept_hash_", F.xxhash64("text"))
-    on = keyed.doc_id.eqNullSafe(F.col("kept_id")) & (keyed.kept_hash_ == F.col("kept_hash"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "kept_hash_"]).select(*docs.columns)
+    keyed = packed(docs, "doc_id", F.xxhash64("text").alias("own_hash"))
+    on = keyed.doc_id.eqNullSafe(F.col("kept_id")) & (keyed.own_hash == F.col("kept_hash"))
+    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "own_hash"]).select(*unpacked(docs.columns))

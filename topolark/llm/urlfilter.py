@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topolark.llm.common import Scratch, bounded_batches
+from topolark.llm.common import Scratch, bounded_batches, packed, unpacked
 
 
 @dataclass(frozen=True)
@@ -190,5 +190,6 @@ def testing(shared, columns: list[str], shard: int, shards: int):
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, domains: DataFrame | tuple[str, ...] = DOMAINS) -> DataFrame:
     """pages with host, path, rule (of the fitting rule, else null), listed and verdict (allow or block)."""
     rule, verdict = ruled(rules)
-    out = blocked(with_parts(pages), domains)
+    out = blocked(with_parts(packed(pages, "url")), domains)
+    out = out.select(*unpacked(pages.columns, ("host", "path", "listed")), "host", "path", "listed")
     return out.withColumn("rule", rule).withColumn("verdict", F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")))
