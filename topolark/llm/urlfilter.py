@@ -79,19 +79,24 @@ def hashes(key: Column) -> Column:
     return F.struct(F.xxhash64(key).alias("a"), F.xxhash64(F.lit("second"), key).alias("b"))
 
 
-def places(a: np.ndarray, b: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+def places(a: np.ndarray, b: np.ndarray, bits: int, number: int) -> Iterator[np.ndarray]:
+    """Bit places of keys in level ``number``; every level hashes anew, else keys would collide in all of them."""
+    mixed = []
+    for h in (a, b):
+        x = (h.view(np.uint64) ^ np.uint64((number + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed.append((x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB))
     for i in range(HASHES):
-        yield (a.view(np.uint64) + np.uint64(i) * (b.view(np.uint64) | np.uint64(1))) % np.uint64(bits)
+        yield ((mixed[0] + np.uint64(i) * (mixed[1] | np.uint64(1))) >> np.uint64(8)) % np.uint64(bits)
 
 
-def level(keys: DataFrame, count: int) -> np.ndarray:
+def level(keys: DataFrame, count: int, number: int) -> np.ndarray:
     """Words of a Bloom filter of ``keys`` (a, b), or-ed by the executors."""
     bits = max(64, -(-count * BITS_PER_KEY // 64) * 64)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-            at = np.unique(np.concatenate(list(places(a, b, bits)))) if len(a) else np.zeros(0, np.uint64)
+            at = np.unique(np.concatenate(list(places(a, b, bits, number)))) if len(a) else np.zeros(0, np.uint64)
             one = np.left_shift(np.uint64(1), at % np.uint64(64))
             yield pa.RecordBatch.from_arrays([pa.array((at // np.uint64(64)).astype(np.int64)), pa.array(one.view(np.int64))], ["word", "bit"])
 
@@ -101,9 +106,9 @@ def level(keys: DataFrame, count: int) -> np.ndarray:
     return words
 
 
-def passes(words: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def passes(words: np.ndarray, a: np.ndarray, b: np.ndarray, number: int) -> np.ndarray:
     found = np.ones(len(a), bool)
-    for at in places(a, b, len(words) * 64):
+    for at in places(a, b, len(words) * 64, number):
         found &= (words[at // np.uint64(64)] >> (at % np.uint64(64))) & np.uint64(1) == 1
     return found
 
@@ -113,18 +118,18 @@ def member(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
     out = np.full(len(a), len(levels) % 2 == 1)
     active = np.arange(len(a))
     for k, words in enumerate(levels):
-        passed = passes(words, a[active], b[active])
+        passed = passes(words, a[active], b[active], k)
         out[active[~passed]] = k % 2 == 1
         active = active[passed]
     return out
 
 
-def passing(keys: DataFrame, words: np.ndarray) -> DataFrame:
+def passing(keys: DataFrame, words: np.ndarray, number: int) -> DataFrame:
     shared = keys.sparkSession.sparkContext.broadcast(words)  # at most MOST_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passes(shared.value, *(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)))))
+            yield batch.filter(pa.array(passes(shared.value, *(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)), number)))
 
     return keys.mapInArrow(run, "a long, b long")
 
@@ -132,12 +137,12 @@ def passing(keys: DataFrame, words: np.ndarray) -> DataFrame:
 def cascade(listed: DataFrame, others: DataFrame, scratch: Scratch, most_levels: int = 40) -> list[np.ndarray]:
     """Levels for the keys (a, b) that are listed against all others of the corpus."""
     levels, inside, outside = [], listed, others
-    for _ in range(most_levels):
+    for number in range(most_levels):
         count = inside.count()
         if not count:
             return levels
-        levels.append(level(inside, count))
-        inside, outside = scratch.write(passing(outside, levels[-1])), inside
+        levels.append(level(inside, count, number))
+        inside, outside = scratch.write(passing(outside, levels[-1], number)), inside
     raise RuntimeError(f"cascade: keys still pass wrongly after {most_levels} levels")
 
 
