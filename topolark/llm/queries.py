@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -104,6 +105,45 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op8_sql() -> str:
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = f"list_sum([case when i % 2 = 0 then ([0, 2, 4, 6, 8, 1, 3, 5, 7, 9])[cast(substr({digits}, -i, 1) as int) + 1] else cast(substr({digits}, -i, 1) as int) end for i in range(1, length({digits}) + 1)]) % 10 = 0"
+    compact = "(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4))"
+    mod97 = f"list_reduce([0] || [case when substr({compact}, i, 1) <= '9' then cast(substr({compact}, i, 1) as int) else 1000 + ascii(substr({compact}, i, 1)) - 55 end for i in range(1, length({compact}) + 1)], lambda r, c: case when c >= 1000 then (r * 100 + c - 1000) % 97 else (r * 10 + c) % 97 end) = 1"
+    kinds = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max([case when length(ltrim(p, '0')) > 3 then 999 else cast('0' || ltrim(p, '0') as int) end for p in string_split(m, '.')]) <= 255"),
+        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) between 12 and 19 and {luhn}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) between 9 and 15"),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", mod97),
+    )
+    parts = []
+    for rank, (kind, pattern, valid) in enumerate(kinds):
+        parts.append(f"""select rid, {rank} as rank, '{kind}' as kind, start_at, start_at + length(m) as end_at from (
+  select rid, m, cast(sum(length(g) + length(before)) over (partition by rid order by k) as bigint) as start_at from (
+    select rid, k, ms[k] as m, gs[k] as g, case when k > 1 then ms[k - 1] else '' end as before from (
+      select rid, ms, gs, unnest(range(1, length(ms) + 1)) as k from (
+        select rid, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as gs from docs)))) where {valid}""")
+    text = "coalesce(string_agg(kind || ':' || start_at || ':' || end_at, ',' order by start_at, rank) filter (where rank < {}), '')"
+    count = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in pii.BASE)
+    return f"""with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
+found as ({' union all '.join(parts)})
+select d.doc_id, {count}, sha256({text.format(4)}) as base_sha256,
+  {text.format(5)} as spans, count(kind) as n_spans from docs d left join found f on f.rid = d.rid group by d.rid, d.doc_id"""
+
+
+def op6_sql() -> str:
+    marked = "|".join(re.escape(c[0]) + r"\\*" + re.escape(c[1:]) for c in chat.CONTROL)
+    longer = lambda c: f"length({c}) + length(regexp_extract_all({c}, '{marked}'))"
+    ends = len(chat.START) + len(chat.MIDDLE) + len(chat.END)
+    return f"""with every as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+joined as (select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text) as turns,
+  coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (where role = 'assistant'), '') as loss, cast(sum({ends} + {longer('role')} + {longer('text')}) as bigint) as formatted_chars
+  from every group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, length(loss) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from joined"""
+
+
 def op9_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on the url of every page."""
     judged = urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
@@ -147,4 +187,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": op1_sql(), "op9_urlfilter": OP9_SQL}
+    return {"op1_licenses": op1_sql(), "op6_chat": op6_sql(), "op8_pii": op8_sql(), "op9_urlfilter": OP9_SQL}
