@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from topolark.operators import audit
 from topolark.plans.topology import Topology
@@ -24,7 +23,7 @@ TOPOLOGY = f"""struct<schemaVersion: int, id: string, name: string,
  terminalAccessLinks: array<struct<id: string, accessPointId: string, nodeId: string, cost: double, toPlaceInstruction: string, fromPlaceInstruction: string, directionToPlace: string>>,
  verticalConnectors: array<struct<id: string, kind: string, name: string, stopNodeIds: array<string>, segmentIds: array<string>, placeId: string>>>"""
 PLANS = f"array<struct<id: string, floorId: string, sourceFileName: string, sourceMediaType: string, sourcePage: int, renderedImageDataUrl: string, width: double, height: double, suggestions: struct<rooms: array<struct<id: string, roomNumber: string, position: {POINT}>>, hallways: array<struct<id: string, points: array<{POINT}>>>, warnings: array<string>>>>"
-PROJECT = StructType.fromDDL(f"documentVersion int, updatedAt string, topology {TOPOLOGY}, floorPlans {PLANS}".replace("\n", ""))
+PROJECT = f"documentVersion int, updatedAt string, topology {TOPOLOGY}, floorPlans {PLANS}".replace("\n", "")
 
 
 def read_project(spark: SparkSession, path: str) -> DataFrame:
