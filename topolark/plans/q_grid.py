@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topolark.functions.staging import Staging
 from topolark.operators import grid, suggest
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.q_mutate import heading
+from topolark.plans.q_mutate import heading, sizes
 from topolark.plans.q_select import LABELS, WALLS, drawn, quads
+from topolark.plans.q_validate import AUDIT_SQL, audited
 from topolark.plans.topology import Topology, derive
 from topolark.sources import project
 
@@ -112,6 +114,20 @@ def src1(s: SparkSession, d: str) -> DataFrame:
     return t.edges.select("id", "segment_id", "cost", "enabled", "wheelchair_accessible", "idx")
 
 
+def reloaded(s: SparkSession, d: str) -> Topology:
+    """The derived topology saved to the shared folder and loaded again."""
+    folder = f"{Staging(s).root}/saved"
+    project.save(derive(s, d), folder)
+    return project.load(s, folder)
+
+
+def repaired_file(s: SparkSession, d: str) -> DataFrame:
+    """Log of repairing the audited topology as a document."""
+    root = Staging(s).root
+    project.write_project(project.join(audited(s, d), "m", "Map", "2024-01-01T00:00:00Z"), f"{root}/in")
+    return project.repair_file(s, f"{root}/in", f"{root}/out")
+
+
 def file_names(s: SparkSession, d: str) -> DataFrame:
     kinds = F.array(*[F.lit(x) for x in ("Wean-Floor-%d.pdf", "level_%da plan.PNG", "site-a-esim-map.pdf", "north 12 west %d.pdf", "x.tif", "HALL fl%d.pdf")])
     return derive(s, d).nodes.select("idx", F.replace(F.element_at(kinds, (F.col("idx") % 6 + 1).cast("int")), F.lit("%d"), F.col("idx").cast("string")).alias("name"))
@@ -140,6 +156,10 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         ),
         "src1": q(src1, "select id, segment_id, cost, enabled, wheelchair_accessible, cast(row_number() over (order by idx) - 1 as bigint) as idx from edges"),
         "src1_stops": q(lambda s, d: saved(s, d).connector_stops.select("connector_id", "pos", "node_id"), "select connector_id, cast(row_number() over (partition by connector_id order by pos) - 1 as bigint) as pos, node_id from connector_stops"),
+        "src2": q(lambda s, d: sizes(project.empty_project(s, "m", "Map", "Main")).select("relation", "row_count"), "select unnest(['buildings','floors','places','access_points','nodes','segments','edges','links','connectors','connector_stops','connector_segments','plans']) as relation, unnest([1,0,0,0,0,0,0,0,0,0,0,0]::bigint[]) as row_count"),
+        "src3": q(lambda s, d: reloaded(s, d).links.select("id", "access_point_id", "node_id", "cost"), "select id, access_point_id, node_id, cost from links"),
+        "snk2": q(lambda s, d: sizes(reloaded(s, d)).where("relation in ('nodes', 'edges', 'plans')").select("relation", "row_count"), "select 'nodes' as relation, count(*) as row_count from nodes union all select 'edges', count(*) from edges union all select 'plans', count(*) from plans"),
+        "snk3": q(repaired_file, AUDIT_SQL + " select connector_id, connector_name, floor_id, stop_node_id as previous_node_id, replacement_node_id from found where replacement_node_id is not null"),
         "src4": q(lambda s, d: project.text_labels(drawn(s, d, "dlabels").select("drawing_id", "idx", F.when(F.col("idx") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit(" "))).alias("text"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 10).alias("x1"), (F.col("y") + 4).alias("y1"))), f"select drawing_id, idx, text, x + 5 as x, y + 2 as y from {LABELS} where idx%9<>0"),
         "src5": q(lambda s, d: project.vector_segments(drawn(s, d, "walls").select("idx", "layer", F.element_at(F.array(F.lit("l"), F.lit("c"), F.lit("re")), (F.col("idx") % 3 + 1).cast("int")).alias("op"))), f"select idx, layer, case when idx%3=0 then 'line' else 'curve' end as type from {WALLS} where idx%3<>2"),
         "src7": q(lambda s, d: project.page(drawn(s, d, "dlabels").withColumn("page", F.col("idx") % 4 + 1), 2).select("idx"), "select idx from dlabels where idx%4=1"),

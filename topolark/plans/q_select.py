@@ -178,6 +178,10 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "agg5": q(lambda s, d: drawing.dominant_fill(drawn(s, d, "dlabels"), drawn(s, d, "fills")), f"with {tiers} select * from dominant"),
         "agg6": q(lambda s, d: drawing.unshared_colors(drawing.dominant_fill(drawn(s, d, "dlabels").withColumn("text", (F.col("idx") % 24).cast("string")), drawn(s, d, "fills").withColumn("color", F.concat("color", (F.col("idx") % 5).cast("string")))).where("true")), f"with {tiers} select drawing_id, label, color from (select *, count(*) over (partition by drawing_id, color) as owners from dominant) where owners = 1".replace("l.text as label", "cast(l.idx%24 as varchar) as label").replace("f.color,", "concat(f.color, f.idx%5) as color,")),
         "agg7": q(lambda s, d: drawing.fit_axes(drawing.unique_pairs(drawn(s, d, "dlabels"), scaled(s, d))).select("drawing_id", "matches", *[F.round(c, 6).alias(c) for c in ("scale_x", "offset_x", "scale_y", "offset_y")]), f"with a1 as (select drawing_id, text, any_value(x) bx, any_value(y) bz from {LABELS} group by all having count(*) = 1), b1 as (select drawing_id, text, any_value(0.5*x+7) sx, any_value(2*y-3) sy from {LABELS} where idx%3<>0 group by all having count(*) = 1) select drawing_id, count(*) as matches, round(case when count(*)*var_pop(sx) > 1e-9 then regr_slope(bx, sx) else 1.0 end, 6) as scale_x, round(case when count(*)*var_pop(sx) > 1e-9 then regr_intercept(bx, sx) else avg(bx)-avg(sx) end, 6) as offset_x, round(case when count(*)*var_pop(sy) > 1e-9 then regr_slope(bz, sy) else 1.0 end, 6) as scale_y, round(case when count(*)*var_pop(sy) > 1e-9 then regr_intercept(bz, sy) else avg(bz)-avg(sy) end, 6) as offset_y from a1 join b1 using (drawing_id, text) group by drawing_id"),
+        "agg8": q(
+            lambda s, d: drawing.register(drawn(s, d, "dlabels"), scaled(s, d).withColumn("x", F.col("x") + F.col("idx") % 5)).select("drawing_id", F.round("residual", 4).alias("residual")),
+            f"with a1 as (select drawing_id, text, any_value(x) bx, any_value(y) bz from {LABELS} group by all having count(*) = 1), b1 as (select drawing_id, text, any_value(0.5*x+7+idx%5) sx, any_value(2*y-3) sy from {LABELS} where idx%3<>0 group by all having count(*) = 1), p as (select * from a1 join b1 using (drawing_id, text)), f as (select drawing_id, regr_slope(bx, sx) kx, regr_intercept(bx, sx) ox, regr_slope(bz, sy) ky, regr_intercept(bz, sy) oy from p group by drawing_id having count(*) >= 8) select drawing_id, round(median(sqrt(pow(kx*sx+ox-bx, 2)+pow(ky*sy+oy-bz, 2))), 4) as residual from p join f using (drawing_id) group by drawing_id having median(sqrt(pow(kx*sx+ox-bx, 2)+pow(ky*sy+oy-bz, 2))) <= 15",
+        ),
         "agg9": q(lambda s, d: quads(s, d).select("drawing_id", "poly_id", geometry.centroid(F.col("points")).alias("c")).select("drawing_id", "poly_id", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y")), f"with {QUADS} select drawing_id, poly_id, round(list_avg(px), 6) as x, round(list_avg(py), 6) as y from quads"),
         "agg10": q(lambda s, d: quads(s, d).select("drawing_id", "poly_id", F.round(geometry.polygon_area(F.col("points")), 6).alias("area")), f"with {QUADS} select drawing_id, poly_id, round(abs(sum(ax*bz-bx*ay))/2, 6) as area from ring group by all"),
         "agg11": q(lambda s, d: walked(derive(s, d)).select("floor_id", F.round(geometry.path_length(F.col("points")), 6).alias("length")), "select floor_id, round(coalesce(sum(h), 0), 6) as length from (select floor_id, sqrt(pow(x-lag(x) over w, 2)+pow(y-lag(y) over w, 2)) as h from nodes window w as (partition by floor_id order by idx)) group by floor_id"),
@@ -190,6 +194,10 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "win6": q(islands, f"with r as (select drawing_id, cast(floor(y1/100) as bigint) as band, least(x1,x2) as lo, greatest(x1,x2) as hi from {WALLS}), m as (select *, max(hi) over (partition by drawing_id, band order by lo, hi rows between unbounded preceding and 1 preceding) as before from r), i as (select *, sum(case when before is null or lo > before then 1 else 0 end) over (partition by drawing_id, band order by lo, hi rows between unbounded preceding and current row) as island from m) select drawing_id, band, min(lo) as lo, max(hi) as hi from i group by drawing_id, band, island"),
         "win7": q(openings, f"with {OPEN}, {PIECES} select drawing_id, wall_id, round(a, 6) as lo, round(b, 6) as hi from pieces where (b-a)*sqrt(sq) > 0.5 union all select drawing_id, wall_id, 0.0, 1.0 from sound s where not exists (select 1 from gaps g where g.drawing_id = s.drawing_id and g.wall_id = s.wall_id)"),
         "srt1": q(lambda s, d: select.sorted_menu(derive(s, d)).select("id", "building", "floor_label", "name", "floor_key"), f"{levels} select p.id, g.name as building, fl.floor_label, p.name, array_to_string([case when regexp_matches(r, '^[0-9]') then lpad(ltrim(r, '0'), 20, '0') else r end for r in regexp_extract_all(fl.floor_label, '[0-9]+|[^0-9]+')], '') as floor_key from places p join fl on fl.place_id = p.id join buildings g on g.id = p.building_id order by lower(g.name), floor_key, p.idx"),
+        "srt2": q(
+            lambda s, d: (lambda h: h.join(spatial.crossing(h, near_walls(s, d)).select("hop_id").distinct().withColumn("crosses", F.lit(True)), "hop_id", "left").select("hop_id", F.coalesce("crosses", F.lit(False)).alias("crosses"), F.round(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2), 6).alias("length")).orderBy("crosses", "length", "hop_id").limit(50))(hop_lines(derive(s, d))),
+            f"with hops_ as (select e.idx as hop_id, a.x ax, a.y ay, b.x bx, b.y bz from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id where e.idx%3=0), w as (select idx as wall_id, x1, y1, x2, y2 from walls where idx%4=0) select hop_id, exists (select 1 from w where {MEET}) as crosses, round(sqrt(pow(bx-ax,2)+pow(bz-ay,2)), 6) as length from hops_ order by crosses, length, hop_id limit 50",
+        ),
         "srt3": q(lambda s, d: derive(s, d).nodes.withColumn("far", F.round(F.sqrt((F.col("x") - 500) ** 2 + (F.col("y") - 350) ** 2), 6)).orderBy("far", "idx").limit(8).select("id", "far"), "select id, round(sqrt(pow(x-500,2)+pow(y-350,2)), 6) as far from nodes order by far, idx limit 8"),
         "set2": q(lambda s, d: (lambda t: t.nodes.select("floor_id").intersect(t.access_points.where("idx % 7 = 0").select("floor_id")))(derive(s, d)), "select floor_id from nodes intersect select floor_id from access_points where idx%7=0"),
         "keys_first_last": q(lambda s, d: (lambda n: first_wins(n).select("id", F.col("idx").alias("first_idx")).join(last_wins(n).select("id", F.col("idx").alias("last_idx")), "id"))(derive(s, d, True).nodes), "select id, min(idx) as first_idx, max(idx) as last_idx from d_nodes group by id"),
