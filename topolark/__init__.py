@@ -1 +1,8 @@
 """Topolark: indoor spatial-topology analytics on PySpark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel whole, so that the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
