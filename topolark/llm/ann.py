@@ -179,14 +179,15 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = T
     sample = matrix(drawn.column("embedding"))
     forest = fit(sample, total, longest, trees, seed)
     share = calibrated(forest, sample, k)
-    shared = spark.sparkContext.broadcast(forest)  # nodes of TREES trees over SAMPLE points
+    shared = spark.sparkContext.broadcast(vars(forest))  # nodes of TREES trees over SAMPLE points
 
     kind = dict(index.dtypes)["embedding"]
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees_ = Forest(**shared.value)
         for batch in batches:
             if batch.num_rows:
-                leaf = shared.value.route(matrix(batch.column(1)))
+                leaf = trees_.route(matrix(batch.column(1)))
                 for t in range(leaf.shape[1]):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), t, np.int32)), pa.array(leaf[:, t].astype(np.int32)), *batch.columns], ["tree", "leaf", "rep", "embedding"])
 
@@ -214,12 +215,12 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = T
                 yield pa.RecordBatch.from_arrays([pa.array(np.asarray(some.column(0))[i]), pa.array(reps[j]), pa.array((q[i] * x[j]).sum(1))], ["q", "rep", "score"])
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, enough = sizes.value
+        (held, enough), trees_ = sizes.value, Forest(**shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            margins = shared.value.margins(shared.value.widen(matrix(batch.column(1)), query=True))
-            taken = [shared.value.search(m, held, enough) for m in margins]
+            margins = trees_.margins(trees_.widen(matrix(batch.column(1)), query=True))
+            taken = [trees_.search(m, held, enough) for m in margins]
             owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in taken])
             tree, leaf = (np.array([y[i] for x in taken for y in x], np.int32) for i in range(2))
             least = bounds(matrix(batch.column(1)))[owner]

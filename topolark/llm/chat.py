@@ -22,7 +22,6 @@ import base64
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 from pathlib import Path
 
@@ -74,11 +73,6 @@ class Codec:
         return self.base.decode_bytes(ids).decode()
 
 
-@lru_cache(maxsize=2)
-def codec(ranks: bytes) -> Codec:
-    return Codec(ranks)
-
-
 def assemble(coder: Codec, role: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids, loss mask) of one turn."""
     segments = [[coder.start], coder.encode(escape(role)), [coder.middle], coder.encode(escape(text)), [coder.end]]
@@ -107,9 +101,9 @@ def format_turns(conversations: DataFrame, vocabulary: str = VOCABULARY) -> Data
     shared = spark.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a public vocabulary, under 1 MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, now, turn, offset = codec(shared.value), object(), 0, 0
+        coder, now, turn, offset = None, object(), 0, 0
         for batch in batches:
-            out = []
+            coder, out = coder or Codec(shared.value), []
             for conv, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 if conv != now:
                     now, turn, offset = conv, 0, 0
@@ -151,9 +145,9 @@ def read_back(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, reader = codec(shared.value), None
+        coder, reader = None, None
         for batch in batches:
-            done = []
+            coder, done = coder or Codec(shared.value), []
             for conv, turn, ids, mask in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3, 4))):
                 if turn == 0:
                     done += [reader.row()] if reader else []
