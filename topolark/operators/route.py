@@ -76,14 +76,17 @@ def hops(t: Topology, step_free: bool = False) -> DataFrame:
     return edge_hops(t, step_free).unionByName(vertical_hops(t, step_free))
 
 
-def distances(seeds: DataFrame, graph: DataFrame, most_rounds: int | None = None) -> DataFrame:
+def distances(seeds: DataFrame, graph: DataFrame, most_rounds: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(source, node_id, cost): least cost from each source's seeds (source, node_id, cost) to every node reached.
 
-    Each round relaxes the nodes that the last one improved. The graph is written once, hash-dealt by from-node;
-    rounds are bounded by the number of nodes.
+    A graph within most_broadcast pairs of nodes is sent to the workers, which search it once a source. Beyond that
+    joins relax all sources at once: each round extends the nodes that the last one improved and is written to the
+    shared folder; rounds are bounded by the number of nodes.
     """
     staging = Staging(seeds.sparkSession)
     edges = staging.write(graph.groupBy("from_node_id", "to_node_id").agg(F.min("cost").alias("hop")))
+    if edges.count() <= most_broadcast:
+        return local_distances(seeds, edges)
     known = staging.write(seeds.groupBy("source", "node_id").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True)))
     rounds = most_rounds or edges.select("from_node_id").distinct().count() + 1
     for _ in range(rounds):
@@ -99,11 +102,43 @@ def distances(seeds: DataFrame, graph: DataFrame, most_rounds: int | None = None
     return known.select("source", "node_id", "cost")
 
 
-def place_distances(t: Topology, from_places: DataFrame, step_free: bool = False) -> DataFrame:
+def local_distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """distances() by one search a source over a graph small enough for a broadcast."""
+    sent = seeds.sparkSession.sparkContext.broadcast(edges.toArrow())  # within MOST_BROADCAST rows
+    rows = seeds.where("source is not null").groupBy("source").agg(F.collect_list(F.struct("node_id", "cost")).alias("starts"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        for u, v, hop in zip(*(sent.value.column(k).to_pylist() for k in range(3))):
+            if u is not None and v is not None and hop is not None:
+                near[u].append((v, hop))
+        for batch in batches:
+            for source, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                least: dict[str, float] = {}
+                queue = [(s["cost"], s["node_id"]) for s in starts if s["node_id"] is not None and s["cost"] is not None]
+                heapq.heapify(queue)
+                for cost, node in queue:
+                    least[node] = min(cost, least.get(node, cost))
+                left = 64 + 64 * sent.value.num_rows  # negative cycles must not run forever
+                while queue and left > 0:
+                    cost, node = heapq.heappop(queue)
+                    if cost > least[node]:
+                        continue
+                    for other, hop in near.get(node, ()):
+                        left -= 1
+                        if cost + hop < least.get(other, float("inf")):
+                            least[other] = cost + hop
+                            heapq.heappush(queue, (cost + hop, other))
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(least), pa.string()), pa.array(list(least), pa.string()), pa.array(list(least.values()), pa.float64())], ["source", "node_id", "cost"])
+
+    return rows.mapInArrow(run, "source string, node_id string, cost double")
+
+
+def place_distances(t: Topology, from_places: DataFrame, step_free: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(from_place_id, to_place_id, cost) of every place that each of from_places (place_id) reaches."""
     options = endpoint_options(t)
     seeds = options.join(from_places.select("place_id").distinct(), "place_id").select(F.col("place_id").alias("source"), "node_id", "cost")
-    reached = distances(seeds, hops(t, step_free)).select("source", "node_id", F.col("cost").alias("walked"))
+    reached = distances(seeds, hops(t, step_free), most_broadcast=most_broadcast).select("source", "node_id", F.col("cost").alias("walked"))
     last = endpoint_options(t, "destination").select(F.col("place_id").alias("to_place_id"), "node_id", "cost")
     total = reached.join(last, "node_id").groupBy(F.col("source").alias("from_place_id"), "to_place_id").agg(F.min(F.col("walked") + F.col("cost")).alias("cost"))
     return total.where("from_place_id <> to_place_id")
@@ -179,7 +214,7 @@ def find_routes(t: Topology, requests: DataFrame, most_broadcast: int = MOST_BRO
     staging = Staging(spark)
     graph = staging.write(hops(t).withColumn("step_free", F.lit(False)).unionByName(hops(t, True).withColumn("step_free", F.lit(True))))
     if graph.count() > most_broadcast:
-        return distance_routes(t, requests)
+        return distance_routes(t, requests, most_broadcast)
     floors = staging.write(last_wins(t.nodes).select("id", "floor_id"))
     wanted = requests.select("from_place_id", "to_place_id", F.coalesce("step_free", F.lit(False)).alias("step_free"))
     order = lambda o: F.array_sort(F.collect_list(F.struct("point_idx", "link_idx", "node_id", "cost", "access_link_id", "instruction"))).alias(o)
@@ -217,12 +252,12 @@ def find_routes(t: Topology, requests: DataFrame, most_broadcast: int = MOST_BRO
     return rows.mapInArrow(run, ROUTE)
 
 
-def distance_routes(t: Topology, requests: DataFrame) -> DataFrame:
+def distance_routes(t: Topology, requests: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """find_routes() for graphs beyond a broadcast: status and cost by joins, without the hops."""
     wanted = requests.select("from_place_id", "to_place_id", F.coalesce("step_free", F.lit(False)).alias("step_free"))
     found = None
     for free in (False, True):
-        some = place_distances(t, wanted.where(F.col("step_free") == free).select(F.col("from_place_id").alias("place_id")), free).withColumn("step_free", F.lit(free))
+        some = place_distances(t, wanted.where(F.col("step_free") == free).select(F.col("from_place_id").alias("place_id")), free, most_broadcast).withColumn("step_free", F.lit(free))
         found = some if found is None else found.unionByName(some)
     start = endpoint_options(t).select(F.col("place_id").alias("from_place_id"), F.lit(True).alias("starts")).distinct()
     end = endpoint_options(t).select(F.col("place_id").alias("to_place_id"), F.lit(True).alias("ends")).distinct()

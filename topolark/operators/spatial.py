@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topolark.functions.geometry import cells_of_box, segments_cross
+from topolark.functions.geometry import cells_of_box, cells_of_line, segments_cross
 
 #: Edge length of a bucket.
 BUCKET = 40.0
@@ -30,7 +30,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...]
 def crossing(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket: float = BUCKET) -> DataFrame:
     """Distinct (hop_id, wall_id) of hops (ax, ay, bx, by) that meet walls (x1, y1, x2, y2)."""
     c = F.col
-    a = hops.withColumn("c_", F.explode(cells_of_box(c("ax"), c("ay"), c("bx"), c("by"), bucket)))
-    b = walls.withColumn("c_", F.explode(cells_of_box(c("x1"), c("y1"), c("x2"), c("y2"), bucket)))
+    a = hops.withColumn("c_", F.explode(cells_of_line(c("ax"), c("ay"), c("bx"), c("by"), bucket)))
+    b = walls.withColumn("c_", F.explode(cells_of_line(c("x1"), c("y1"), c("x2"), c("y2"), bucket)))
     exact = segments_cross((c("ax"), c("ay")), (c("bx"), c("by")), (c("x1"), c("y1")), (c("x2"), c("y2")))
     return a.join(b, [*on, "c_"]).where(exact).select(*on, "hop_id", "wall_id").distinct()
