@@ -129,11 +129,11 @@ def repaired_file(s: SparkSession, d: str) -> DataFrame:
 
 
 def file_names(s: SparkSession, d: str) -> DataFrame:
-    kinds = F.array(*[F.lit(x) for x in ("Wean-Floor-%d.pdf", "level_%da plan.PNG", "site-a-esim-map.pdf", "north 12 west %d.pdf", "x.tif", "HALL fl%d.pdf")])
+    kinds = F.array(*[F.lit(x) for x in ("Main-Floor-%d.pdf", "level_%da plan.PNG", "site-a-esim-map.pdf", "north 12 west %d.pdf", "x.tif", "HALL fl%d.pdf")])
     return derive(s, d).nodes.select("idx", F.replace(F.element_at(kinds, (F.col("idx") % 6 + 1).cast("int")), F.lit("%d"), F.col("idx").cast("string")).alias("name"))
 
 
-NAMES = "names_ as (select idx, replace(['Wean-Floor-%d.pdf','level_%da plan.PNG','site-a-esim-map.pdf','north 12 west %d.pdf','x.tif','HALL fl%d.pdf'][cast(idx%6+1 as int)], '%d', cast(idx as varchar)) as name from nodes)"
+NAMES = "names_ as (select idx, replace(['Main-Floor-%d.pdf','level_%da plan.PNG','site-a-esim-map.pdf','north 12 west %d.pdf','x.tif','HALL fl%d.pdf'][cast(idx%6+1 as int)], '%d', cast(idx as varchar)) as name from nodes)"
 
 
 def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:

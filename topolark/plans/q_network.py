@@ -93,7 +93,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     hits = f"hits as (select l.drawing_id, l.idx, r.poly_id from (select * from {LABELS} where idx%7=3) l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, l.x, l.y, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1), areas as (select drawing_id, poly_id, abs(sum(ax*bz-bx*ay))/2 as area from ring group by all)"
     return {
         "join9": (lambda s, d: network.greedy_matches(drawing.leader_matches(rooms(s, d), bare(s, d)).where("has_leader")).select("drawing_id", "idx", "seg_idx"), None),
-        "gph1": q(lambda s, d: network.room_nodes(drawn(s, d, "dlabels"), "wean").select("drawing_id", "id", "x", "y"), f"select drawing_id, 'wean-' || drawing_id || '-' || text as id, x, y from {LABELS} where length(text) >= 3 and regexp_full_match(substr(text, 1, 4), '[0-9]+')"),
+        "gph1": q(lambda s, d: network.room_nodes(drawn(s, d, "dlabels"), "main").select("drawing_id", "id", "x", "y"), f"select drawing_id, 'main-' || drawing_id || '-' || text as id, x, y from {LABELS} where length(text) >= 3 and regexp_full_match(substr(text, 1, 4), '[0-9]+')"),
         "gph2": (lambda s, d: network.leader_corrections(rooms(s, d), bare(s, d)).select("drawing_id", "idx", "x", "y"), None),
         "gph4": (lambda s, d: network.snap_into_outlines(rooms(s, d), quads(s, d)).select("drawing_id", "idx", "x", "y"), None),
         "gph5": (lambda s, d: network.mark_vertical(typed(s, d), lift_walls(s, d), positions(s, d)).select("drawing_id", "idx", "type"), None),
