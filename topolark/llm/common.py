@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -36,7 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = made.get() if made.isDefined() else None
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='topolark-')}"
+        own = tempfile.mkdtemp(prefix="topolark-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        folder = f"file://{own}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
