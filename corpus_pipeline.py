@@ -1,6 +1,6 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
 
-quality classifier, SimHash near-dedup, benchmark decontamination, personal data, mix to target weights.
+quality classifier, near-dedup by shingles, benchmark decontamination, personal data, mix to target weights.
 Every stage keeps all rows that it has no reason to drop; all but the last return the columns of documents.
 The last returns the documents that the mix takes, with their number of repetitions in ``times``.
 """
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.llm import decontaminate, mixing, pii, quality, simhash
+from topolark.llm import decontaminate, mixing, neardup, pii, quality
 from topolark.llm.common import Scratch, table
 
 
@@ -20,8 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each class stays; 5-word shingles with a Jaccard similarity of 0.8 or more link documents."""
+    return neardup.drop_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -147,15 +147,19 @@ def fingerprint_hex(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def keep_one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The documents that stay, by the root of each (doc_id, text_hash)."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    kept = classes.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
+    keyed = packed(docs, "doc_id", F.xxhash64("text").alias("own_hash"))
+    on = keyed.doc_id.eqNullSafe(F.col("kept_id")) & (keyed.own_hash == F.col("kept_hash"))
+    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "own_hash"]).select(*unpacked(docs.columns))
+
+
 def drop_near_duplicates(docs: DataFrame, max_bits: int = 4) -> DataFrame:
     """The documents without all but one of each class: the one with the smallest doc_id stays.
 
     A null doc_id stays only if no member of the class has an id; among equal ids the text with the smallest
     hash stays; of repeated rows one stays. All columns are kept.
     """
-    classes = near_duplicate_classes(docs, max_bits)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    kept = classes.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    keyed = packed(docs, "doc_id", F.xxhash64("text").alias("own_hash"))
-    on = keyed.doc_id.eqNullSafe(F.col("kept_id")) & (keyed.own_hash == F.col("kept_hash"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "own_hash"]).select(*unpacked(docs.columns))
+    return keep_one_of_each(docs, near_duplicate_classes(docs, max_bits))
