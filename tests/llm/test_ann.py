@@ -60,3 +60,38 @@ def test_few_rows(spark):
     assert ann.neighbours(spark.createDataFrame([(1, [1.0, 0.0])], kind), every).count() == 0
     two = ann.neighbours(spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 1.0])], kind), every).collect()
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in two) == [(1, 1, 2, 0.5), (2, 1, 1, 0.5)]
+
+
+def test_answers_come_from_leaves(spark, monkeypatch):
+    """Candidates are the vectors of the leaves taken: with one leaf a query, most neighbours are missed."""
+    monkeypatch.setattr(ann, "LEAF", 16)
+    rng = np.random.default_rng(3)
+    rows = [(k, rng.standard_normal(16).tolist()) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    expected = brute(rows, [r for r in rows if r[0] % 20 == 0], 10)
+
+    def recall():
+        found = {}
+        for r in ann.neighbours(df, F.col("vec_id") % 20 == 0, k=10).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        return sum(len(found.get(q, set()) & {i for i, _ in e}) for q, e in expected.items()) / (10 * len(expected))
+
+    assert recall() >= 0.9
+    every = ann.Forest.search
+    monkeypatch.setattr(ann.Forest, "search", lambda self, margins, sizes, enough: every(self, margins, sizes, enough)[:1])
+    assert recall() < 0.5
+
+
+def test_hot_vector_repeated_ids_and_lengths(spark):
+    hot, far = [3.0, 0.0], [0.0, 1.0]
+    rows = [(k, hot) for k in range(400)] + [(1000, far), (1000, [0.0, 2.0]), (1001, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.neighbours(df, (F.col("vec_id") % 2 == 0), k=3).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(found) == {*range(0, 400, 2), 1000}
+    assert sorted(found[0]) == [(1, 1, 9.0), (2, 2, 9.0), (3, 3, 9.0)] and sorted(found[2]) == [(1, 0, 9.0), (2, 1, 9.0), (3, 3, 9.0)]
+    # An id with two vectors asks with both; its own rows are never among its neighbours.
+    assert sorted(found[1000]) == [(1, 0, 0.0), (2, 1, 0.0), (3, 2, 0.0)]
+    tied = spark.createDataFrame([(1, [1.0]), (2, [2.0]), (3, [1.0, 1.0]), (4, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.vec_id) for r in ann.neighbours(tied, F.lit(True)).collect()) == [(3, 4), (4, 3)]

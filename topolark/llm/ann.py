@@ -4,17 +4,17 @@ Trees are fitted on a bounded sample: each node splits its points at the median
 them. Vectors get one more coordinate that makes all lengths equal, so that the largest inner product is the
 smallest distance. Every vector is routed to one leaf of each tree. A query searches all trees through one
 priority queue ordered by the least margin on the way, until the leaves it has taken hold a share of all
-vectors; that share is calibrated on the sample against brute force. The best of the sample itself are candidates
-too, and what scores below the last of them is left out early, as it cannot be among the nearest. Queries then meet the vectors of
-their leaves in blocks of bounded size, the products are taken exactly in double precision, and the best of all
-leaves are merged.
+vectors; that share is calibrated on the sample. The vectors of these leaves, and no others, are its candidates:
+queries meet leaves in blocks of bounded size and all products are taken exactly in double precision. The first
+leaves of a query are scored first; what the others hand on must reach the last place that these have found.
 
 Equal vectors are indexed once, so that copies neither fill leaves nor multiply candidates; each keeps its
 smallest ids, as many as can be asked for.
 
-Nulls and ties: a row with a null id, or a vector that is null, empty, all zero, of another length than most, or
-holds a null or a number that isn't finite takes no part. Ties go to the smaller id. Rows that repeat both id
-and vector count once. With one row there are no results. Extra columns are ignored.
+Nulls and ties: a row with a null id, or a vector that is null, empty, all zero, of another length than most (of
+two lengths as frequent, the longer counts), or holds a null or a number that isn't finite takes no part. Ties go
+to the smaller id. Rows that repeat both id and vector count once; a query id with several vectors takes the best
+score that any of them has. With one row there are no results. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,21 +32,22 @@ from topolark.llm.common import Scratch, bounded_batches
 
 TREES = 4
 #: Vectors that the forest is fitted on, vectors of a leaf, and rows of either side of a block.
-SAMPLE, LEAF, BLOCK = 16384, 512, 8192
+SAMPLE, LEAF, BLOCK = 16384, 256, 8192
 #: Share of the true neighbours that calibration on the sample asks for, and the queries it uses.
-RECALL, TRIALS = 0.95, 128
-SHARES = (0.01, 0.02, 0.05, *(round(0.1 * i, 1) for i in range(1, 10 * TREES + 1)))
+RECALL, TRIALS = 0.95, 256
+#: Part of a query's leaves, by their vectors, that is scored first.
+FIRST = 1 / 8
 
 
 @dataclass
 class Forest:
-    """Nodes of all trees in one numbering; child >= 0 is a node, otherwise ~child is a leaf of its tree."""
+    """Nodes of all trees in one numbering; child >= 0 is a node, otherwise ~child is a leaf, numbered through all trees."""
 
     normals: np.ndarray
     cuts: np.ndarray
     children: np.ndarray
     roots: list[int]
-    leaves: list[int]
+    leaves: int
     longest: float
 
     def widen(self, x: np.ndarray, query: bool = False) -> np.ndarray:
@@ -68,31 +69,31 @@ class Forest:
             out[:, t] = ~at
         return out
 
-    def search(self, margins: np.ndarray, sizes: list[np.ndarray], enough: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order of the shared queue, until they hold enough vectors."""
-        queue = [(-np.inf, t, root) for t, root in enumerate(self.roots)]
+    def search(self, margins: np.ndarray, sizes: np.ndarray, enough: float) -> list[int]:
+        """Leaves in the order of the shared queue, until they hold enough vectors."""
+        queue = [(-np.inf, root) for root in self.roots]
         heapq.heapify(queue)
         found, held, children = [], 0, self.children
         while queue and held < enough:
-            far, t, node = heapq.heappop(queue)
+            far, node = heapq.heappop(queue)
             if node < 0:
-                found.append((t, ~node))
-                held += sizes[t][~node]
+                found.append(~node)
+                held += sizes[~node]
                 continue
             m = margins[node]
-            heapq.heappush(queue, (max(far, -m), t, int(children[node, 1])))
-            heapq.heappush(queue, (max(far, m), t, int(children[node, 0])))
+            heapq.heappush(queue, (max(far, -m), int(children[node, 1])))
+            heapq.heappush(queue, (max(far, m), int(children[node, 0])))
         return found
 
 
 def fit(sample: np.ndarray, total: int, longest: float, trees: int, seed: int) -> Forest:
     rng, dims = np.random.default_rng(seed), sample.shape[1] + 1
-    normals, cuts, children, roots, leaves = [], [], [], [], []
-    forest = Forest(np.zeros((0, dims)), np.zeros(0), np.zeros((0, 2), np.int64), roots, leaves, longest)
+    normals, cuts, children = [], [], []
+    forest = Forest(np.zeros((0, dims)), np.zeros(0), np.zeros((0, 2), np.int64), [], 0, longest)
     wide = forest.widen(sample)
     least = max(8, LEAF * len(sample) // max(total, 1))
 
-    def grow(rows: np.ndarray, count: list[int]) -> int:
+    def grow(rows: np.ndarray) -> int:
         for _ in range(3 if len(rows) > least else 0):
             a, b = wide[rng.choice(rows, 2, replace=False)]
             line = a - b if np.any(a != b) else rng.standard_normal(dims)
@@ -103,54 +104,39 @@ def fit(sample: np.ndarray, total: int, longest: float, trees: int, seed: int) -
             if 0 < right.sum() < len(rows):
                 node = len(cuts)
                 normals.append(line), cuts.append(cut), children.append([0, 0])
-                children[node] = [grow(rows[~right], count), grow(rows[right], count)]
+                children[node] = [grow(rows[~right]), grow(rows[right])]
                 return node
-        count[0] += 1
-        return ~(count[0] - 1)
+        forest.leaves += 1
+        return ~(forest.leaves - 1)
 
-    for _ in range(trees):
-        count = [0]
-        roots.append(grow(np.arange(len(wide)), count))
-        leaves.append(count[0])
+    forest.roots = [grow(np.arange(len(wide))) for _ in range(trees)]
     if cuts:
         forest.normals, forest.cuts, forest.children = np.array(normals), np.array(cuts), np.array(children)
     return forest
 
 
-def best(scores: np.ndarray, k: int) -> np.ndarray:
-    """Mask of scores that may be among the k largest of their row, ties kept."""
-    if scores.shape[1] <= k:
-        return np.ones(scores.shape, bool)
-    return scores >= np.partition(scores, -k, axis=1)[:, -k, None] - 1e-9
-
-
 def calibrated(forest: Forest, sample: np.ndarray, k: int) -> float:
-    """Least share of all vectors that a search must take to find enough of the true neighbours."""
-    routed = forest.route(sample)
-    sizes = [np.bincount(routed[:, t], minlength=n) for t, n in enumerate(forest.leaves)]
+    """Share of all vectors that a search must take to find enough of the true neighbours of sample vectors."""
+    routed, needs = forest.route(sample), []
+    sizes = np.bincount(routed.ravel(), minlength=forest.leaves)
     trial = sample[: min(TRIALS, len(sample))]
     truth = np.argsort(-(trial @ sample.T), axis=1, kind="stable")[:, : k + 1]
-    margins = forest.margins(forest.widen(trial, query=True))
-    for share in SHARES:
-        hit = 0
-        for i, true in enumerate(truth):
-            taken = forest.search(margins[i], sizes, share * len(sample))
-            reached = np.zeros(len(true), bool)
-            for t, leaf in taken:
-                reached |= routed[true, t] == leaf
-            hit += reached.sum()
-        if hit >= RECALL * truth.size:
-            return share
-    return float(len(forest.roots))
+    for true, margins in zip(truth, forest.margins(forest.widen(trial, query=True))):
+        order = np.array(forest.search(margins, sizes, np.inf))
+        held = np.empty(forest.leaves)
+        held[order] = np.cumsum(sizes[order]) - sizes[order]  # taken as long as less than enough is held
+        needs.append(held[routed[true]].min(1))
+    return (float(np.quantile(np.concatenate(needs), RECALL, method="higher")) + 1) / len(sample)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the rows that take part, each once."""
+    """(vec_id, embedding) of the rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull())
     rows = rows.where(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda x: x != 0))
-    usual = rows.agg(F.mode(F.size("embedding"))).first()[0]
-    return rows.where(F.size("embedding") == F.lit(usual)) if usual else rows.limit(0)
+    sizes = rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
+    usual = sizes.orderBy(F.desc("n"), F.desc("dims")).first()
+    return rows.where(F.size("embedding") == F.lit(usual.dims)) if usual else rows.limit(0)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -158,28 +144,69 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
 
 
+def plain(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False)
+
+
+def cut_to_best(q: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each query: largest score, then smallest id. Ids met in several trees count once."""
+    order = np.lexsort((ids, -scores, q))
+    order = order[(np.diff(q[order], prepend=-1) != 0) | (np.diff(ids[order], prepend=0) != 0)]
+    starts = np.flatnonzero(np.diff(q[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(starts, np.diff(starts, append=len(order)))
+    return order[rank < k]
+
+
+def scored(left: pa.Table, right: pa.Table, k: int, longest: float) -> pa.Table:
+    """(query_id, rep, score) of a block's queries with the vectors of the leaves that they ask for, k each at most."""
+    reps, leaf, x = plain(right.column("rep")), plain(right.column("leaf")), matrix(right.column("embedding"))
+    ids, least, asked = plain(left.column("query_id")), plain(left.column("least")), left.column("leaves").combine_chunks()
+    rows_of = {int(f): np.flatnonzero(leaf == f) for f in np.unique(leaf)}
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for at in range(0, len(ids), 512):
+        some, q = asked.slice(at, 512), matrix(left.column("embedding").slice(at, 512))
+        # Products of a block and of a pair may differ by rounding, which grows with the lengths.
+        slack = 1e-15 * q.shape[1] * longest * np.sqrt((q * q).sum(1))
+        floor = least[at : at + 512] - slack
+        owner = np.repeat(np.arange(len(some)), some.value_lengths().to_numpy(zero_copy_only=False))
+        wanted = some.flatten().to_numpy(zero_copy_only=False)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for f, rows in rows_of.items():
+            who = owner[wanted == f]
+            if not len(who):
+                continue
+            products = q[who] @ x[rows].T
+            bound = floor[who]
+            if len(rows) > k:
+                bound = np.maximum(bound, np.partition(products, -k, axis=1)[:, -k] - 2 * slack[who])
+            i, j = np.nonzero(products >= bound[:, None])
+            i, j = who[i], rows[j]
+            found.append((i, reps[j], (q[i] * x[j]).sum(1)))  # each product summed the same way
+        i, rep, score = map(np.concatenate, zip(*found))
+        best = cut_to_best(i, rep, score, k)
+        out.append((ids[at + i[best]], rep[best], score[best]))
+    return pa.table(dict(zip(("query_id", "rep", "score"), map(np.concatenate, zip(*out)))))
+
+
 def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = TREES, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found for each query row."""
     spark = vectors.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark)
     rows = scratch.write(usable(vectors).withColumn("asks", F.coalesce(is_query, F.lit(False))))
-    same = Window.partitionBy("embedding")
-    members = rows.withColumn("n", F.row_number().over(same.orderBy("vec_id"))).where(f"n <= {k + 1}")
-    members = scratch.write(members.withColumn("rep", F.min("vec_id").over(same)).select("rep", "vec_id", "embedding").dropDuplicates(["rep", "vec_id"]))
+    copies = Window.partitionBy("embedding")
+    members = rows.withColumn("n", F.row_number().over(copies.orderBy("vec_id"))).where(f"n <= {k + 1}")
+    members = scratch.write(members.withColumn("rep", F.min("vec_id").over(copies)).select("rep", "vec_id", "embedding").dropDuplicates(["rep", "vec_id"]))
     index = members.where("vec_id = rep").select("rep", "embedding")
     length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     total, longest = index.agg(F.count("*"), F.max(length)).first()
-    asked = rows.where("asks").select("vec_id", "embedding").distinct().join(index, "embedding").select(F.col("vec_id").alias("query_id"), "rep")
-    asked = scratch.write(asked)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not total:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     drawn = index.orderBy(F.xxhash64(F.lit(seed), "rep"), "rep").limit(SAMPLE).toArrow()  # at most SAMPLE vectors
     sample = matrix(drawn.column("embedding"))
     forest = fit(sample, total, longest, trees, seed)
     share = calibrated(forest, sample, k)
-    shared = spark.sparkContext.broadcast(vars(forest))  # nodes of TREES trees over SAMPLE points
+    shared = spark.sparkContext.broadcast(vars(forest))  # nodes of the trees over SAMPLE points
 
     kind = dict(index.dtypes)["embedding"]
 
@@ -189,73 +216,61 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 20, trees: int = T
             if batch.num_rows:
                 leaf = trees_.route(matrix(batch.column(1)))
                 for t in range(leaf.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(leaf), t, np.int32)), pa.array(leaf[:, t].astype(np.int32)), *batch.columns], ["tree", "leaf", "rep", "embedding"])
-
-    placed = scratch.write(index.mapInArrow(routed, f"tree int, leaf int, rep long, embedding {kind}"))
-    counts = [np.zeros(n, np.int64) for n in forest.leaves]
-    for r in placed.groupBy("tree", "leaf").count().collect():  # a row for each leaf of the forest
-        counts[r.tree][r.leaf] = r["count"]
-    sizes = spark.sparkContext.broadcast((counts, share * total))
-    known = spark.sparkContext.broadcast((np.asarray(drawn.column("rep").combine_chunks()), sample))  # at most SAMPLE vectors
-
-    def bounds(q: np.ndarray) -> np.ndarray:
-        """Score of each query's last place among the sample, which nothing below can take part beyond."""
-        x = known.value[1]
-        if len(x) <= k:
-            return np.full(len(q), -np.inf)
-        return np.concatenate([np.partition(q[a : a + 256] @ x.T, -(k + 1), axis=1)[:, -(k + 1)] for a in range(0, len(q), 256)]) - 1e-9
-
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reps, x = known.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                some = batch.slice(a, 256)
-                q = matrix(some.column(1))
-                i, j = np.nonzero(best(q @ x.T, k + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(some.column(0))[i]), pa.array(reps[j]), pa.array((q[i] * x[j]).sum(1))], ["q", "rep", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf[:, t].astype(np.int32)), *batch.columns], ["leaf", "rep", "embedding"])
+
+    placed = scratch.write(index.mapInArrow(routed, f"leaf int, rep long, embedding {kind}"))
+    sizes = np.zeros(forest.leaves, np.int64)
+    for r in placed.groupBy("leaf").count().collect():  # a row for each leaf of the forest
+        sizes[r.leaf] = r["count"]
+    # Leaves that follow one another share a block as long as it stays small; a leaf beyond a block is cut in parts.
+    block_of, held = np.zeros(forest.leaves, np.int32), 0
+    for leaf in range(1, forest.leaves):
+        held += sizes[leaf - 1]
+        new = held + sizes[leaf] > BLOCK
+        block_of[leaf], held = block_of[leaf - 1] + new, 0 if new else held
+    plan = spark.sparkContext.broadcast((sizes, block_of, share * total))
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (held, enough), trees_ = sizes.value, Forest(**shared.value)
+        (held, blocks, enough), trees_ = plan.value, Forest(**shared.value)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            margins = trees_.margins(trees_.widen(matrix(batch.column(1)), query=True))
-            taken = [trees_.search(m, held, enough) for m in margins]
-            owner = np.repeat(np.arange(batch.num_rows), [len(x) for x in taken])
-            tree, leaf = (np.array([y[i] for x in taken for y in x], np.int32) for i in range(2))
-            least = bounds(matrix(batch.column(1)))[owner]
-            for a in range(0, len(owner), 4096):
-                some = batch.take(pa.array(owner[a : a + 4096]))
-                yield pa.RecordBatch.from_arrays([pa.array(tree[a : a + 4096]), pa.array(leaf[a : a + 4096]), *some.columns, pa.array(least[a : a + 4096])], ["tree", "leaf", "rep", "embedding", "least"])
-
-    asking = index.join(asked.select("rep").distinct(), "rep", "left_semi")
-    probes = scratch.write(asking.mapInArrow(searched, f"tree int, leaf int, rep long, embedding {kind}, least double"))
-    parts = [(t, leaf, -(-int(n) // BLOCK)) for t, c in enumerate(counts) for leaf, n in enumerate(c) if n]
-    cuts = [(r.tree, r.leaf, -(-r["count"] // BLOCK)) for r in probes.groupBy("tree", "leaf").count().collect()]  # likewise
-    blocks = spark.createDataFrame(parts, "tree int, leaf int, parts int").join(spark.createDataFrame(cuts, "tree int, leaf int, cuts int"), ["tree", "leaf"])
-    blocks = F.broadcast(blocks)  # a row for each leaf of the forest
-    block = ["tree", "leaf", "part", "cut"]
-    there = placed.join(blocks, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    here = probes.join(blocks, ["tree", "leaf"]).withColumn("cut", F.pmod(F.xxhash64("rep"), "cuts").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-
-    def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (np.asarray(t.column("rep").combine_chunks()) for t in (left, right))
-        if not len(a) or not len(b):
-            return pa.table({"q": pa.array([], pa.int64()), "rep": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, x = matrix(left.column("embedding")), matrix(right.column("embedding"))
-        least, out = np.asarray(left.column("least").combine_chunks()), []
-        for at in range(0, len(a), 512):
-            scores = q[at : at + 512] @ x.T
-            i, j = np.nonzero(best(scores, k + 1) & (scores >= least[at : at + 512, None]))
-            out.append((a[at + i], b[j], (q[at + i] * x[j]).sum(1)))  # each product summed the same way
-        return pa.table(dict(zip(("q", "rep", "score"), map(np.concatenate, zip(*out)))))
-
-    found = here.select(*block, "rep", "embedding", "least").groupBy(*block).cogroup(there.select(*block, "rep", "embedding").groupBy(*block)).applyInArrow(ranked, "q long, rep long, score double")
-    top = lambda by, *order: F.row_number().over(Window.partitionBy(by).orderBy(*order))
-    found = found.unionByName(asking.mapInArrow(sampled, "q long, rep long, score double"))
-    pairs = found.groupBy("q", "rep").agg(F.max("score").alias("score"))
-    pairs = pairs.withColumn("n", top("q", F.desc("score"), "rep")).where(f"n <= {k + 1}").drop("n")
-    named = pairs.join(members.select("rep", "vec_id"), "rep").withColumn("n", top("q", F.desc("score"), "vec_id")).where(f"n <= {k + 1}")
-    each = asked.join(named.select("q", "vec_id", "score"), asked.rep == F.col("q")).where("vec_id <> query_id")
-    each = each.withColumn("rank", top("query_id", F.desc("score"), "vec_id")).where(f"rank <= {k}")
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                owner, block, first, leaves = [], [], [], []
+                for i, m in enumerate(trees_.margins(trees_.widen(matrix(some.column(1)), query=True))):
+                    taken = np.array(trees_.search(m, held, enough))
+                    early = np.cumsum(held[taken]) - held[taken] < FIRST * enough
+                    for part in (True, False):
+                        mine = np.sort(taken[early == part])
+                        for b in np.split(mine, np.flatnonzero(np.diff(blocks[mine])) + 1) if len(mine) else ():
+                            owner.append(i), block.append(blocks[b[0]]), first.append(part), leaves.append(b)
+                columns = some.take(pa.array(owner, pa.int32())).columns
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(block, pa.int32()), pa.array(first, pa.bool_()), pa.array(leaves, pa.list_(pa.int32()))], ["query_id", "embedding", "block", "early", "leaves"])
+
+    asked = rows.where("asks").select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    probes = scratch.write(asked.mapInArrow(searched, f"query_id long, embedding {kind}, block int, early boolean, leaves array<int>"))
+    block_rows = np.bincount(block_of, sizes)
+    parts = spark.createDataFrame([(b, max(1, -(-int(n) // BLOCK))) for b, n in enumerate(block_rows)], "block int, parts int")
+    leaf_block = F.broadcast(spark.createDataFrame(list(enumerate(block_of.tolist())), "leaf int, block int").join(parts, "block"))  # a row for each leaf
+    there = placed.join(leaf_block, "leaf")
+
+    def met(some: DataFrame) -> DataFrame:
+        """(query_id, rep, score) of probes with their leaves, dealt in blocks of bounded size."""
+        cuts = some.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts")).collect()  # a row for each block
+        cuts = F.broadcast(spark.createDataFrame([tuple(r) for r in cuts], "block int, cuts int"))
+        key = ["block", "part", "cut"]
+        x = there.join(cuts, "block").withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int")).withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        q = some.join(F.broadcast(parts), "block").join(cuts, "block").withColumn("cut", F.pmod(F.xxhash64("query_id"), "cuts").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        pairs = q.select(*key, "query_id", "embedding", "leaves", "least").groupBy(*key).cogroup(x.select(*key, "leaf", "rep", "embedding").groupBy(*key))
+        return pairs.applyInArrow(lambda left, right: scored(left, right, k + 1, longest), "query_id long, rep long, score double")
+
+    top = lambda *order: F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
+    none = F.lit(float("-inf"))
+    early = met(probes.where("early").withColumn("least", none)).groupBy("query_id", "rep").agg(F.max("score").alias("score"))
+    early = scratch.write(early.withColumn("n", top(F.desc("score"), "rep")).where(f"n <= {k + 1}"))
+    last = early.where(f"n = {k + 1}").select("query_id", F.col("score").alias("last"))
+    late = met(probes.where("not early").join(last, "query_id", "left").withColumn("least", F.coalesce("last", none)))
+    found = early.drop("n").unionByName(late).groupBy("query_id", "rep").agg(F.max("score").alias("score"))
+    found = found.withColumn("n", top(F.desc("score"), "rep")).where(f"n <= {k + 1}")
+    each = found.join(members.select("rep", "vec_id"), "rep").where("vec_id <> query_id")
+    each = each.withColumn("rank", top(F.desc("score"), "vec_id")).where(f"rank <= {k}")
     return each.select("query_id", "rank", "vec_id", "score")
