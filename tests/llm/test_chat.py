@@ -1,9 +1,11 @@
 import hashlib
+from pathlib import Path
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from topolark.llm import chat
+from topolark.llm.queries import VOCABULARY
 
 PARTS = [*chat.CONTROL, "\\", "<", "[", "s>", "a", "|im_end|>", "</", "é😀", "\n"]
 
@@ -28,7 +30,7 @@ def test_round_trip(spark):
         (3, 0, "assistant", "é😀" * 5000 + " " * 40000), (4, None, "assistant", "last"), (4, 5, "user", "first"), (5, 0, "user", "b"), (5, 0, "user", "a"), (5, 0, "user", "a"), (None, 0, "user", "lost"), (6, 0, "</s>", "odd\nrole"),
     ]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, token_ids string")
-    found = {r.conv_id: r for r in chat.read_back(chat.format_turns(chat.with_probe(spark, df))).collect()}
+    found = {r.conv_id: r for r in chat.read_back(chat.format_turns(chat.with_probe(spark, df), VOCABULARY), VOCABULARY).collect()}
     groups = {}
     for c, turn, role, text in [*rows, (-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]:
         groups.setdefault(c, []).append((turn is None, turn or 0, role or "", text or ""))
@@ -42,7 +44,7 @@ def test_round_trip(spark):
 
 def test_offsets_and_masks(spark):
     df = spark.createDataFrame([(1, 0, "user", "hi there"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
-    a, b = sorted(chat.format_turns(df).collect(), key=lambda r: r.turn_no)
+    a, b = sorted(chat.format_turns(df, VOCABULARY).collect(), key=lambda r: r.turn_no)
     assert (a.offset, b.offset) == (0, len(a.token_ids))
     assert not any(a.loss_mask) and sum(b.loss_mask) >= 1 and not b.loss_mask[0] and not b.loss_mask[-1]
     assert len(b.loss_mask) == len(b.token_ids)
@@ -50,4 +52,12 @@ def test_offsets_and_masks(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat.read_back(chat.format_turns(df)).count() == 0
+    assert chat.read_back(chat.format_turns(df, VOCABULARY), VOCABULARY).count() == 0
+
+
+def test_long_texts_are_encoded_whole(spark):
+    text = "Ein Wort, dann more words and 12345 numbers;\n" * 900 + "a" * 40000
+    df = spark.createDataFrame([(1, 0, "assistant", text)], "conv_id long, turn long, role string, text string")
+    coder = chat.Codec(Path(VOCABULARY).read_bytes())
+    (r,) = chat.format_turns(df, VOCABULARY).collect()
+    assert [i for i, m in zip(r.token_ids, r.loss_mask) if m] == coder.base.encode_ordinary(text)

@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from topolark.llm.common import bounded_batches
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary cuts a text before merging (fixed by the public vocabulary).
 CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>"
@@ -42,8 +41,6 @@ TRAINED = "assistant"
 
 _MARKED = re.compile("|".join(rf"{re.escape(c[0])}\\*{re.escape(c[1:])}" for c in CONTROL))
 _ESCAPED = re.compile("|".join(rf"{re.escape(c[0])}\\+{re.escape(c[1:])}" for c in CONTROL))
-#: Signs encoded at a time: the encoder's effort stays in proportion whatever a text looks like.
-PIECE = 1 << 14
 
 
 def escape(text: str) -> str:
@@ -67,7 +64,7 @@ class Codec:
         self.reserved = {self.start: START, self.middle: MIDDLE, self.end: END}
 
     def encode(self, text: str) -> list[int]:
-        return [i for a in range(0, len(text), PIECE) for i in self.base.encode_ordinary(text[a : a + PIECE])]
+        return self.base.encode_ordinary(text)
 
     def decode(self, ids: list[int]) -> str:
         return self.base.decode_bytes(ids).decode()
@@ -91,10 +88,11 @@ def ordered(conversations: DataFrame) -> DataFrame:
     return dealt.sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text").select("conv_id", "role", "text")
 
 
-def format_turns(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def format_turns(conversations: DataFrame, vocabulary: str) -> DataFrame:
     """One row for each turn: conv_id, turn_no (from 0), offset of its first id, token_ids and loss_mask.
 
-    Rows of a conversation come together and in order.
+    vocabulary: path of a file of byte-level ranks, read on the driver. Rows of a conversation come together and
+    in order.
     """
     spark = conversations.sparkSession
     bounded_batches(spark)
@@ -138,7 +136,7 @@ class Reader:
         return self.conv, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
-def read_back(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def read_back(turns: DataFrame, vocabulary: str) -> DataFrame:
     """One row for each conversation, from format_turns()'s ids and masks alone."""
     shared = turns.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from topolark.llm import ann, chat, decontaminate, licenses, mixing, pii, quality, simhash, toxicity, urlfilter
 from topolark.llm.common import held_out, table
 
+#: Public byte-level vocabulary of op6_chat.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
 
 def as_files(docs: DataFrame) -> DataFrame:
     """Documents as a tree of files: 64 ids share a directory, 64 of those a parent under source and language.
@@ -92,7 +95,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations formatted, read back from ids and masks."""
-    return chat.read_back(chat.format_turns(chat.with_probe(spark, table(spark, sf_dir, "conversations"))))
+    return chat.read_back(chat.format_turns(chat.with_probe(spark, table(spark, sf_dir, "conversations")), VOCABULARY), VOCABULARY)
 
 
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
