@@ -1,17 +1,20 @@
 import math
+import re
+import textwrap
 from collections import Counter
 
 import pytest
 
+from topolark.llm import license_texts as lc_texts
 from topolark.llm import licenses as lc
 
 
-def cosine(line):
+def cosine(text):
     idf, unknown = lc.weights(lc.TEMPLATES)
-    a = {t: n * idf.get(t, unknown) for t, n in Counter(lc.terms(line)).items()}
+    a = {t: n * idf.get(t, unknown) for t, n in Counter(lc.terms(text)).items()}
     best = None
-    for name, text in lc.TEMPLATES:
-        b = {t: n * idf[t] for t, n in Counter(lc.terms(text)).items()}
+    for name, template in lc.TEMPLATES:
+        b = {t: n * idf[t] for t, n in Counter(lc.terms(template)).items()}
         dot = sum(v * b.get(t, 0) for t, v in a.items())
         score = round(dot / math.sqrt(sum(v * v for v in a.values())) / math.sqrt(sum(v * v for v in b.values())), 6)
         if best is None or (-score, name) < best:
@@ -19,13 +22,71 @@ def cosine(line):
     return -best[0], best[1]
 
 
-def test_scores_match_a_plain_cosine(spark):
-    lines = ["Released under the MIT License.", "released UNDER the mit license license license", "Licensed under the Apache License, Version 2.0.", "see the license", "LICENSE", "This work is licensed under the GNU General Public License, version 3. More words here about nothing"]
-    df = spark.createDataFrame([(t,) for t in lines], "text string").select("text", lc.own_license("text").alias("own"))
-    for r in df.collect():
-        score, name = cosine(r.text)
-        assert r.own.score == pytest.approx(score, abs=2e-6)
-        assert r.own.license == name or score == 0
+def brute(text, is_file):
+    """Best cosine over all parts of a text, by plain loops."""
+    low, parts = lc.plain(text), []
+    lines = low.split("\n")
+    parts += ["\n".join(lines[i : i + w]) for i in range(len(lines)) for w in range(1, lc.WINDOW + 1) if i + w <= len(lines)]
+    block = []
+    for line in [*lines, ""]:
+        if re.search("[a-z0-9]", line):
+            block.append(line)
+        elif block:
+            parts.append("\n".join(block))
+            block = []
+    head = re.match(lc.COMMENT, low), re.match(lc.BLOCK, low)
+    parts = [p for p in (*parts, *(h[0] for h in head if h)) if re.search(lc.MENTION, p)]
+    found = [cosine(p) for p in (*parts, *([low] if is_file else [])) if lc.terms(p)]
+    return min(((-s, n) for s, n in found if s >= lc.LEAST), default=None)
+
+
+FULL = {name: text for name, text in lc_texts.TEXTS if len(text) > 100}
+HEADS = {name: text for name, text in lc_texts.HEADERS}
+
+
+def wrapped(text, width, sign=""):
+    return "\n".join(sign + line for line in textwrap.wrap(text, width))
+
+
+CASES = [
+    ("a.py", wrapped(HEADS["GPL-2.0"], 70, "# ") + "\n\nimport os", "GPL-2.0"),
+    ("b.c", "/*\n" + wrapped(HEADS["Apache-2.0"], 60, " * ") + "\n */\nint main;", "Apache-2.0"),
+    ("c.c", "/* Copyright (c) 2020 Some Body. All rights reserved.\n\n" + wrapped(FULL["BSD-2-Clause"], 72) + " */\nint x;", "BSD-2-Clause"),
+    ("LICENSE", "MIT License\n\nCopyright (c) 2021 Jo Doe\n\n" + wrapped(FULL["MIT"], 78), "MIT"),
+    ("LICENSE.txt", "Copyright (c) 2021 Jo Doe\n\n" + wrapped(FULL["MIT"], 78), "MIT"),
+    ("COPYING", "Copyright 2021 Jo\n" + wrapped(FULL["BSD-3-Clause"], 50), "BSD-3-Clause"),
+    ("LICENCE", wrapped(FULL["ISC"], 80), "ISC"),
+    ("UNLICENSE", wrapped(FULL["Unlicense"], 80), "Unlicense"),
+    ("COPYING.LESSER", "   GNU LESSER GENERAL PUBLIC LICENSE\n       Version 3, 29 June 2007\n\n" + "Everyone may copy.\n" * 30, "LGPL-3.0"),
+    ("x.go", "// spdx-license-identifier: apache-2.0\npackage x", "Apache-2.0"),
+    ("y.txt", "prose before\nThis work is LICENCED under the GNU General\nPublic Licence, version 3.\nprose after", "GPL-3.0"),
+    ("z.txt", "Released under the MIT LiCENse.", "MIT"),
+    ("n.txt", "We took a driving license and redistributed the chairs. Permission is not needed.", None),
+    ("o.txt", "The general public may redistribute the program of the evening\nunder the terms of the theatre, at its own option.", None),
+]
+
+
+@pytest.mark.parametrize("where", ["", "/", "./"])
+def test_real_headers_and_files(spark, where):
+    df = spark.createDataFrame([(f"{where}d{k}/{name}", text) for k, (name, text, _) in enumerate(CASES)], "path string, text string")
+    found = {r.path: r for r in lc.scan(df).collect()}
+    for k, (name, text, license) in enumerate(CASES):
+        r, expected = found[f"{where}d{k}/{name}"], brute(text, re.match(lc.FILES, name) is not None)
+        assert (r.license, r.license_source) == (license, "own" if license else "none"), name
+        assert expected is None if license is None else (r.license == expected[1] and r.score == pytest.approx(-expected[0], abs=2e-6)), name
+
+
+def test_relative_paths(spark):
+    mit = "Released under the MIT License."
+    rows = [("LICENSE", mit), ("src/a.py", "x"), ("./src//deep/./b.py", "x"), ("a.py", "x"), ("/c.py", "x"), ("", "x"), ("src/deep/COPYING", HEADS["MPL-2.0"])]
+    found = {r.path: (r.license, r.license_dir) for r in lc.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found == {"LICENSE": ("MIT", None), "src/a.py": ("MIT", ""), "./src//deep/./b.py": ("MPL-2.0", "/src/deep"), "a.py": ("MIT", ""), "/c.py": ("MIT", ""), "": ("MIT", ""), "src/deep/COPYING": ("MPL-2.0", None)}
+
+
+def test_ties_take_the_first_id(spark):
+    twins = (("Zlib", "Licensed under the odd license."), ("Abc", "Licensed under the odd license."))
+    rows = [("d/LICENSE", "Licensed under the odd license."), ("d/COPYING", "Licensed under the other license.")]
+    assert {r.license for r in lc.scan(spark.createDataFrame(rows, "path string, text string"), twins, 0.9).collect()} == {"Abc"}
 
 
 def test_inheritance_from_the_nearest_ancestor(spark):
@@ -40,7 +101,7 @@ def test_inheritance_from_the_nearest_ancestor(spark):
     found = {r.doc_id: (r.license, r.license_source, r.license_dir, r.own_) for r in out}
     assert found == {
         1: ("MIT", "own", None, "keep"), 2: ("Apache-2.0", "inherited", "/a/b", "keep"), 3: ("Apache-2.0", "own", None, "keep"), 4: ("MIT", "inherited", "", "keep"), 5: ("Apache-2.0", "inherited", "/a/b", "keep"),
-        6: ("Apache-2.0", "own", None, "keep"), 7: (None, "none", None, "keep"), 8: ("MIT", "own", None, "keep"), 9: ("Apache-2.0", "inherited", "/a/b", "keep"), 10: (None, "none", None, "keep"),
+        6: ("Apache-2.0", "own", None, "keep"), 7: (None, "none", None, "keep"), 8: ("MIT", "own", None, "keep"), 9: ("Apache-2.0", "inherited", "/a/b", "keep"), 10: ("MIT", "inherited", "", "keep"),
     }
 
 

@@ -1,14 +1,22 @@
 """License scan, with DataFrame operations only.
 
-Notices are the lines of a whole text that mention a license. Each is compared with every template by the
-cosine of sparse TF-IDF vectors: terms are runs of letters and digits with inner dots, inverse document
-frequencies come from the templates, and terms unknown to them weigh most, so that prose around a notice
-lowers its score. The best template at or above ``least`` is the file's own license. A file without one
-inherits from its nearest ancestor directory with a license file (LICENSE, COPYING, NOTICE and the like)
-that has a license of its own, found by joins on paths of directories.
+What of a text may state a license is compared with every template by the cosine of sparse TF-IDF vectors: terms
+are runs of letters and digits with inner dots, inverse document frequencies come from the templates, and terms
+unknown to them weigh most, so that prose around a notice lowers its score. Compared are, each as a vector,
 
-Scoring happens inside the row, without a shuffle. For inheritance, license files are aggregated per directory
-and directories, not files, are joined with their ancestors.
+* one to WINDOW adjacent lines that mention a license (MENTION), as notices come alone or wrapped,
+* paragraphs that mention one, where lines without letters and digits, such as a bare comment sign, part them,
+* the comment that a text begins with, if it mentions one,
+* the whole text of a license file (LICENSE, COPYING, NOTICE and the like).
+
+The best template at or above ``least`` is the file's own license. A file without one inherits from its nearest
+ancestor directory with a license file that has a license of its own, found by joins on paths of directories.
+
+Scoring happens inside the row, without a shuffle, in time proportional to the text. For inheritance, license files
+are aggregated per directory and directories, not files, are joined with their ancestors.
+
+Paths count from the root with or without a leading slash; "." and empty parts are dropped, ".." is an ordinary
+name. The root directory is the empty string.
 
 Nulls and ties: a null or empty text has no notice; a null path has no directory, so it inherits nothing; among
 templates of one score the first id wins, among license files of one directory the best score, then the first
@@ -17,6 +25,7 @@ id. Repeated rows stay repeated. Columns named like those added are replaced, ot
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -25,30 +34,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topolark.llm.common import packed, unpacked
-
-#: Short public notices by SPDX id.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This program is free software; you can redistribute it under the terms of the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense."),
-)
-LEAST = 0.7
-TERM = "[a-z0-9]+(?:[.][a-z0-9]+)*+"
+from topolark.llm.license_texts import TEMPLATES
+
+LEAST, WINDOW = 0.7, 4
+TERM = "[a-z0-9]+(?:[.][a-z0-9]+)*"
+MENTION = "license|redistribut|permission is|permission to|public domain"
+#: Ends of a paragraph, a leading comment line by line, and a leading comment between signs.
+GAP = r"\n(?:[^a-z0-9\n]*\n)+"
+COMMENT = r"^(?:[ \t]*(?://|/\*|#|\*|--|;|%|<!--)[^\n]*(?:\n|$)|[ \t\r]*\n)+"
+BLOCK = r"(?s)^[ \t\r\n]*/\*.*?\*/"
 FILES = "(?i)^(?:licen[cs]e|copying|notice|unlicense)(?:[.-].*)?$"
 
 
+def plain(text: str) -> str:
+    return text.lower().replace("licence", "license")
+
+
 def terms(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9]+(?:[.][a-z0-9]+)*", text.lower())
+    return re.findall(TERM, plain(text))
 
 
 def weights(templates: tuple[tuple[str, str], ...]) -> tuple[dict[str, float], float]:
@@ -58,53 +61,76 @@ def weights(templates: tuple[tuple[str, str], ...]) -> tuple[dict[str, float], f
     return {t: math.log((1 + total) / (1 + n)) + 1 for t, n in sorted(seen.items())}, math.log(1 + total) + 1
 
 
-def numbers(values: dict[str, float]) -> str:
-    return "map(" + ", ".join(f"'{k}', {v!r}D" for k, v in values.items()) + ")"
+def possessive(pattern: str) -> str:
+    """The pattern with repetitions that never give back: matching takes no recursion, whatever the text's length."""
+    return re.sub(r"(?<=[\])])([+*])(?![+?])", r"\1+", pattern)
 
 
-def scored(templates: tuple[tuple[str, str], ...]) -> str:
-    """SQL over t, the terms of a notice: array of (score, license), unsorted."""
+def bound(value: str, name: str, body: str) -> str:
+    """SQL of body with name bound to value, evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def scored(templates: tuple[tuple[str, str], ...], least: float) -> str:
+    """SQL over t, the terms of a notice: the (score, license) of its best template, or null below least."""
     idf, unknown = weights(templates)
-    # Sum of squares over sorted terms: a run of equal terms adds (length * idf) squared when it ends.
-    square = "pow(s.run * s.idf, 2)"
-    norm = f"""aggregate(array_sort(t), named_struct('last', '', 'run', 0D, 'idf', 0D, 'sum', 0D),
-        (s, x) -> if(x = s.last, named_struct('last', s.last, 'run', s.run + 1, 'idf', s.idf, 'sum', s.sum),
-            named_struct('last', x, 'run', 1D, 'idf', coalesce(idf[x], {unknown!r}D), 'sum', s.sum + {square})), s -> sqrt(s.sum + {square}))"""
-    fits = []
-    for name, text in templates:
+    known = ", ".join(f"'{t}'" for t in idf)
+    rows: dict[str, list[float]] = {t: [0.0] * len(templates) for t in idf}
+    for k, (_, text) in enumerate(templates):
         counts = Counter(terms(text))
         length = math.sqrt(sum((n * idf[t]) ** 2 for t, n in counts.items()))
-        own = numbers({t: n * idf[t] ** 2 / length for t, n in sorted(counts.items())})
-        dot = f"aggregate(t, 0D, (s, x) -> s + coalesce({own}[x], 0D))"
-        fits.append(f"named_struct('score', round({dot} / norm, 6), 'license', '{name}')")
-    body = f"array({', '.join(fits)})"
-    bound = f"get(transform(array({norm}), norm -> {body}), 0)"
-    return f"get(transform(array({numbers(idf)}), idf -> {bound}), 0)"
-
-
-def best(found: str) -> str:
-    """SQL of the (score, license) with the largest score, the first id on ties, or null."""
-    return f"get(array_sort({found}, (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.license < b.license then -1 when a.license > b.license then 1 else 0 end), 0)"
-
-
-def own_license(text: str, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> Column:
-    """(score, license) of the best notice of a text column; null without a notice."""
-    notices = f"filter(split({text}, '\\n'), line -> contains(lower(line), 'licen'))"
-    lists = f"filter(transform({notices}, line -> regexp_extract_all(lower(line), r'{TERM}', 0)), t -> size(t) > 0)"
-    found = f"flatten(transform({lists}, t -> {scored(templates)}))"
-    return F.expr(f"if(contains({text}, 'icen') or contains({text}, 'ICEN'), {best(found)}, null)")
+        for t, n in counts.items():
+            rows[t][k] = n * idf[t] ** 2 / length
+    table = f"from_json('{json.dumps({t: [w, *rows[t]] for t, w in idf.items()})}', 'map<string, array<double>>')"
+    # Sums of squares over sorted terms, of all and of the known: a run of equal terms adds (length * idf) squared when it ends.
+    every, own = "s.sum + pow(s.run * s.idf, 2)", "s.own + if(s.known, pow(s.run * s.idf, 2), 0D)"
+    state = "named_struct('last', {}, 'run', {}, 'idf', {}, 'known', {}, 'sum', {}, 'own', {})".format
+    start = bound(f"if(x in ({known}), weights[x][0], null)", "i", state("x", "1D", f"coalesce(i, {unknown!r}D)", "i is not null", every, own))
+    more = state("s.last", "s.run + 1", "s.idf", "s.known", "s.sum", "s.own")
+    sums = f"aggregate(array_sort(t), {state("''", '0D', '0D', 'false', '0D', '0D')}, (s, x) -> if(x = s.last, {more}, {start}), s -> named_struct('sum', {every}, 'own', {own}))"
+    # No cosine exceeds the known terms' share of the length, so most texts end here.
+    dots = f"aggregate(t, array_repeat(0D, {len(templates)}), (s, x) -> if(x in ({known}), zip_with(s, slice(weights[x], 2, {len(templates)}), (a, b) -> a + b), s))"
+    names = "array(" + ", ".join(f"'{name}'" for name, _ in templates) + ")"
+    fits = f"array_sort(zip_with({dots}, {names}, (d, n) -> named_struct('score', -round(d / sqrt(n2.sum), 6), 'license', n)))"
+    first = bound(f"{fits}[0]", "f", f"if(f.score <= {-least}D, f, null)")
+    some = bound(sums, "n2", f"if(n2.own >= {least * least - 1e-6}D * n2.sum and n2.sum > 0, {first}, null)")
+    return bound(table, "weights", some)
+
+
+def notices(text: str, is_file: str) -> str:
+    """SQL of the parts of a text (lower case) that may state a license; is_file: SQL, whether the text is a license file's."""
+    tells = lambda x: f"{x} rlike '{MENTION}'"
+    windows = f"transform(sequence(1, least({WINDOW}, size(lines) - i)), w -> array_join(slice(lines, i + 1, w), '\\n'))"
+    lines = bound(f"split({text}, '\\n', -1)", "lines", f"flatten(transform(sequence(0, size(lines) - 1), i -> filter({windows}, x -> {tells('x')})))")
+    blocks = f"filter(concat(split({text}, r'{possessive(GAP)}', -1), array(regexp_extract({text}, r'{possessive(COMMENT)}', 0), regexp_extract({text}, r'{BLOCK}', 0))), x -> {tells('x')})"
+    none = "cast(array() as array<string>)"
+    return f"array_distinct(concat(if({tells(text)}, concat({lines}, {blocks}), {none}), if({is_file}, array({text}), {none})))"
+
+
+def own_license(text: str, is_file: str = "false", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> Column:
+    """(score, license) of the best notice of a text column; null without one at or above least."""
+    lists = f"transform({notices('low', is_file)}, x -> regexp_extract_all(x, r'{possessive(TERM)}', 0))"
+    found = f"array_min(transform({lists}, t -> {scored(templates, least)}))"
+    best = bound(f"replace(lower({text}), 'licence', 'license')", "low", bound(found, "f", "if(f is null, null, named_struct('score', -f.score, 'license', f.license))"))
+    return F.expr(f"if({text} is null, null, {best})")
+
+
+def rooted(path: Column) -> Column:
+    """The path from the root, without "." and empty parts."""
+    return F.regexp_replace(F.regexp_replace(F.concat(F.lit("/"), path), r"/(?:\.?/)*+(?:\.$)?", "/"), "/$", "")
 
 
 def directory(path: Column) -> Column:
     """Path without its last part; the root is the empty string."""
-    return F.regexp_replace(path, "/[^/]*$", "")
+    return F.regexp_replace(rooted(path), "/[^/]*$", "")
 
 
 def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """files (path, text, ...) with license, score, license_source (own, inherited or none) and license_dir."""
-    rows = packed(files, "path", own_license("text", templates).alias("own_"), directory(F.col("path")).alias("dir_"))
-    rows = rows.withColumn("own_", F.when(F.col("own_.score") >= least, F.col("own_")))
-    holders = rows.where(F.col("own_").isNotNull() & F.element_at(F.split("path", "/"), -1).rlike(FILES))
+    named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILES), F.lit(False))
+    rows = packed(files, "path", "text", named.alias("named_"), directory(F.col("path")).alias("dir_"))
+    rows = rows.select("row_", "named_", "dir_", own_license("text", "named_", templates, least).alias("own_"))
+    holders = rows.where(F.col("own_").isNotNull() & F.col("named_"))
     order = F.struct((-F.col("own_.score")).alias("s"), F.col("own_.license").alias("license"))
     holders = holders.groupBy(F.col("dir_").alias("holder")).agg(F.min(order).alias("held"))
     steps = F.transform(F.split("dir_", "/"), lambda _, i: F.struct(i.alias("depth"), F.array_join(F.slice(F.split("dir_", "/"), 1, i + 1), "/").alias("above")))

@@ -36,23 +36,33 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_sql() -> str:
     idf, unknown = licenses.weights(licenses.TEMPLATES)
-    templates = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    templates = ", ".join(f"({k}, {quoted(name)}, {quoted(licenses.plain(text))})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    tells = f"regexp_matches(part, '{licenses.MENTION}')"
     return f"""
 with files as (
-  select row_number() over () as rid, doc_id, text, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(cast(doc_id // 4096 as varchar), 'unknown')
+  select row_number() over () as rid, doc_id, replace(lower(text), 'licence', 'license') as text, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(cast(doc_id // 4096 as varchar), 'unknown')
     || case when doc_id % 512 = 0 then '' else '/' || coalesce(cast(doc_id // 64 as varchar), 'unknown') end as dir,
     case when doc_id % 8 = 0 then '/LICENSE.' || doc_id else '/' || coalesce(cast(doc_id as varchar), 'unknown') || '.txt' end as name from documents),
 templates(tid, license, text) as (values {templates}),
 template_terms as (
-  select tid, license, term, count(*) as n from (select tid, license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[.][a-z0-9]+)*')) as term from templates) group by all),
+  select tid, license, term, count(*) as n from (select tid, license, unnest(regexp_extract_all(text, '{licenses.TERM}')) as term from templates) group by all),
 idf as (
   select term, ln((1 + {len(licenses.TEMPLATES)}.0) / (1 + count(distinct tid))) + 1 as idf from template_terms group by term),
 template_norms as (
   select tid, sqrt(sum(pow(n * idf, 2))) as norm from template_terms join idf using (term) group by tid),
+telling as (
+  select rid, text from files where regexp_matches(text, '{licenses.MENTION}')),
 lines as (
-  select rid, row_number() over () as lid, line from (select rid, unnest(string_split(text, chr(10))) as line from files) where contains(lower(line), 'licen')),
+  select rid, string_split(text, chr(10)) as lines from telling),
+parts as (
+  select rid, array_to_string(lines[i:i + w - 1], chr(10)) as part from (select rid, lines, unnest(range(1, length(lines) + 1)) as i from lines) cross join (values {', '.join(f'({w + 1})' for w in range(licenses.WINDOW))}) v(w) where i + w - 1 <= length(lines)
+  union all select rid, unnest(string_split_regex(text, '{licenses.GAP}')) from telling
+  union all select rid, regexp_extract(text, '{licenses.COMMENT}') from telling union all select rid, regexp_extract(text, '{licenses.BLOCK}') from telling),
+notices as (
+  select row_number() over () as lid, rid, part from (select rid, part from parts where {tells} union select rid, text from files where name like '/LICENSE.%' and text is not null)),
 line_terms as (
-  select rid, lid, term, count(*) as n from (select rid, lid, unnest(regexp_extract_all(lower(line), '[a-z0-9]+(?:[.][a-z0-9]+)*')) as term from lines) group by all),
+  select rid, lid, term, count(*) as n from (select rid, lid, unnest(regexp_extract_all(part, '{licenses.TERM}')) as term from notices) group by all),
 line_norms as (
   select lid, sqrt(sum(pow(n * coalesce(idf, {unknown!r}), 2))) as norm from line_terms left join idf using (term) group by lid),
 scores as (
@@ -113,26 +123,30 @@ def op8_sql() -> str:
     luhn = f"list_sum([case when i % 2 = 0 then ([0, 2, 4, 6, 8, 1, 3, 5, 7, 9])[cast(substr({digits}, -i, 1) as int) + 1] else cast(substr({digits}, -i, 1) as int) end for i in range(1, length({digits}) + 1)]) % 10 = 0"
     compact = "(substr(replace(m, ' ', ''), 5) || substr(replace(m, ' ', ''), 1, 4))"
     mod97 = f"list_reduce([0] || [case when substr({compact}, i, 1) <= '9' then cast(substr({compact}, i, 1) as int) else 1000 + ascii(substr({compact}, i, 1)) - 55 end for i in range(1, length({compact}) + 1)], lambda r, c: case when c >= 1000 then (r * 100 + c - 1000) % 97 else (r * 10 + c) % 97 end) = 1"
-    kinds = (
-        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
-        ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max([case when length(ltrim(p, '0')) > 3 then 999 else cast('0' || ltrim(p, '0') as int) end for p in string_split(m, '.')]) <= 255"),
-        ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) between 12 and 19 and {luhn}"),
-        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) between 9 and 15"),
-        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", mod97),
+    sized = "(m[1:2] || length(replace(m, ' ', ''))) in (" + ", ".join(f"'{x}'" for x in pii.IBAN_LENGTHS.split()) + ")"
+    checks = (
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+        (r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "list_max([case when length(ltrim(p, '0')) > 3 then 999 else cast('0' || ltrim(p, '0') as int) end for p in string_split(m, '.')]) <= 255"),
+        (r"[0-9](?:[\x20-]?[0-9])+", f"length({digits}) between 12 and 19 and {luhn}"),
+        (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({digits}) between 9 and 15"),
+        (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", f"{sized} and {mod97}"),
     )
     parts = []
-    for rank, (kind, pattern, valid) in enumerate(kinds):
-        parts.append(f"""select rid, {rank} as rank, '{kind}' as kind, start_at, start_at + length(m) as end_at from (
-  select rid, m, cast(sum(length(g) + length(before)) over (partition by rid order by k) as bigint) as start_at from (
-    select rid, k, ms[k] as m, gs[k] as g, case when k > 1 then ms[k - 1] else '' end as before from (
+    for rank, (kind, (pattern, valid)) in enumerate(zip(pii.KINDS, checks)):
+        says = lambda words: " or ".join(f"contains(near, '{w}')" for w in words) or "false"
+        score = f"least(100, {round(kind.score * 100)} + case when {says(kind.near)} then 20 else 0 end - case when {says(kind.far)} then 20 else 0 end)"
+        parts.append(f"""select * from (select rid, {rank} as rank, '{kind.name}' as kind, start_at, start_at + length(m) as end_at, {score} as score from (
+  select rid, m, translate(right(g, {pii.CONTEXT}) || ' ' || left(after, {pii.CONTEXT}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as near,
+    cast(sum(length(g) + length(before)) over (partition by rid order by k) as bigint) as start_at from (
+    select rid, k, ms[k] as m, gs[k] as g, gs[k + 1] as after, case when k > 1 then ms[k - 1] else '' end as before from (
       select rid, ms, gs, unnest(range(1, length(ms) + 1)) as k from (
-        select rid, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as gs from docs)))) where {valid}""")
+        select rid, regexp_extract_all(t, '{pattern}') as ms, string_split_regex(t, '{pattern}') as gs from docs)))) where {valid}) where score >= {round(kind.least * 100)}""")
     text = "coalesce(string_agg(kind || ':' || start_at || ':' || end_at, ',' order by start_at, rank) filter (where rank < {}), '')"
     count = ", ".join(f"count(*) filter (where kind = '{k}') as n_{k}" for k in pii.BASE)
     return f"""with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as t from documents),
 found as ({' union all '.join(parts)})
 select d.doc_id, {count}, sha256({text.format(4)}) as base_sha256,
-  {text.format(5)} as spans, count(kind) as n_spans from docs d left join found f on f.rid = d.rid group by d.rid, d.doc_id"""
+  {text.format(5)} as spans, count(kind) as n_spans, coalesce(string_agg(cast(score as varchar), ',' order by start_at, rank), '') as scores from docs d left join found f on f.rid = d.rid group by d.rid, d.doc_id"""
 
 
 def op6_sql() -> str:
