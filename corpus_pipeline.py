@@ -1,6 +1,6 @@
 """Corpus pipeline: five stages over ``documents``, each written as Parquet and reread by the next.
 
-quality classifier, near-dedup by shingles, benchmark decontamination, personal data, mix to target weights.
+quality classifier, SimHash near-dedup, benchmark decontamination, personal data, mix to target weights.
 Every stage keeps all rows that it has no reason to drop; all but the last return the columns of documents.
 The last returns the documents that the mix takes, with their number of repetitions in ``times``.
 """
@@ -8,10 +8,9 @@ The last returns the documents that the mix takes, with their number of repetiti
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from topolark.llm import decontaminate, mixing, neardup, pii, quality
-from topolark.llm.common import Scratch, table
+from topolark.llm.common import Scratch, scratch_scope, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +19,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays; 5-word shingles with a Jaccard similarity of 0.8 or more link documents."""
+    """One document of each SimHash class stays; 5-word shingles with a Jaccard similarity of 0.8 or more link documents."""
     return neardup.drop_similar(docs)
 
 
@@ -31,9 +30,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; n_chars follows."""
-    changed = pii.redact(docs.withColumn("before_", F.col("text")))
-    count = F.when(F.col("text") != F.col("before_"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return changed.withColumn("n_chars", count).select(*docs.columns)
+    return pii.redact(docs, length="n_chars")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.write(docs)
-    return docs
+    """All stages over documents. What they wrote on the way is deleted, but for what the last one reads."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch_scope(spark):
+            after = scratch.write(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)

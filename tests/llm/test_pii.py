@@ -50,6 +50,36 @@ def test_iban_checksum_and_scores(spark):
     assert {r.doc_id: r.pii[0].score for r in scores} == {1: 0.8, 2: 0.6}
 
 
+def test_context_decides_on_added_kinds(spark):
+    iban = "DE89370400440532013000"
+    rows = [(1, f"konto {iban}"), (2, f"x {iban}"), (3, f"order {iban}"), (4, f"order of my bank {iban}"), (5, "order 4111 1111 1111 1111"), (6, "konto DE8937040044053201300012")]
+    found = {r.doc_id: (r.spans, r.scores) for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert found == {1: ("iban:6:28", "90"), 2: ("iban:2:24", "70"), 3: ("", ""), 4: ("iban:17:39", "70"), 5: ("card:6:25", "50"), 6: ("", "")}
+
+
+def brute_redacted(text, spans):
+    merged = []
+    for a, _, b, kind in spans:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b, kind])
+    for a, b, kind in reversed(merged):
+        text = text[:a] + f"[{kind.upper()}]" + text[b:]
+    return text
+
+
+def test_redaction_covers_the_spans_found(spark):
+    texts = [t for t in TEXTS if t is not None] + ["me@10.0.0.1 and +49.10.0.0.1234"]
+    df = spark.createDataFrame([(k, t, "x", "y", "z", k) for k, t in enumerate(texts)], "doc_id long, text string, pii string, before_ string, signs string, n int")
+    out = pii.redact(df, pii.KINDS[:4], length="n")
+    assert out.columns == df.columns
+    for r in out.collect():
+        spans = brute(texts[r.doc_id])
+        assert r.text == brute_redacted(texts[r.doc_id], spans)
+        assert r.n == (len(r.text) if spans else r.doc_id) and (r.pii, r.before_, r.signs) == ("x", "y", "z")
+
+
 def test_redaction_leaves_clean_text_alone(spark):
     rows = [(1, "mail me@x.org or +1 (555) 123-4567 now"), (2, "clean 12 text"), (3, None), (4, "card 4111 1111 1111 1111, host 10.0.0.1, 999.1.1.1")]
     out = pii.redact(spark.createDataFrame(rows, "doc_id long, text string"))

@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound the rows and bytes of an Arrow batch, so that long texts don't fill a worker's memory."""
+    """Bound the rows and bytes of an Arrow batch, so that long texts don't fill a worker's memory.
+
+    Spark reads these settings when a plan runs, after an operator has returned it, so they stay set in the session.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
@@ -30,13 +35,15 @@ def bounded_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir.
 
-    Where the setting is absent (a local session), a temporary folder is taken and set.
+    Where the setting is absent, a local session gets a temporary folder; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = made.get() if made.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
         own = tempfile.mkdtemp(prefix="topolark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
@@ -45,12 +52,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cut lineage and survive the loss of an executor."""
+    """Tables written to the shared folder, which cut lineage and survive the loss of an executor.
+
+    An operator returns a plan that reads them, so they outlive it; scratch_scope() deletes those made within it.
+    """
+
+    scopes: list[list[str]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
         self.made = 0
+        for scope in self.scopes[-1:]:
+            scope.append(self.root)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -62,8 +76,23 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table of write() that no pending DataFrame reads any more."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        delete(self.spark, df._scratch_path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the scratch tables of operators called within; their results must be written by then."""
+    Scratch.scopes.append([])
+    try:
+        yield
+    finally:
+        for root in Scratch.scopes.pop():
+            delete(spark, root)
 
 
 def packed(rows: DataFrame, *names: str) -> DataFrame:
