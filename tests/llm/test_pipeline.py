@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from topolark.llm import decontaminate, quality, queries, simhash
+from topolark.llm import decontaminate, quality, queries
 
 SYLLABLES = ["tha", "nor", "wi", "el", "stro", "pa", "ume", "qui", "da", "ber"]
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,23 +38,28 @@ def tables(spark, tmp_path_factory):
     return str(folder), docs, labels, items
 
 
+def grams(text):
+    words = (text or "").lower().split()
+    return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
 def brute(docs, labels, items):
     """The stages by plain loops: (doc_id, text) that the mix may take, and words by source."""
     from zlib import crc32
 
     shapes, graded = quality.Shapes(), {k: 0 if q == 0 else 1 if t == 1 else 2 for k, q, t in labels if crc32(str(k).encode()) % 3 != 1}
-    seen = sorted((k, graded[k], quality.features(t.encode(), shapes)) for k, t, *_ in docs if k in graded)
-    w, thresholds = quality.fit([f for *_, f in seen], np.array([g for _, g, _ in seen]), 3)
+    seen = sorted((crc32(str(k).encode()), k, graded[k], t) for k, t, *_ in docs if k in graded)
+    w, thresholds = quality.fit([quality.features(t.encode(), shapes) for *_, t in seen], [g for *_, g, _ in seen], 3)
     kept = []
     for row in docs:
         at, x = quality.features((row[1] or "").encode(), shapes)
         if 1 / (1 + np.exp(thresholds[0] - w[at] @ x)) >= 0.5:
             kept.append(row)
-    fps = [simhash.fingerprint((r[1] or "").encode()) for r in kept]
+    sets = [grams(r[1]) for r in kept]
     home = list(range(len(kept)))
     for i in range(len(kept)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 4:
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
                 a, b = home[i], home[j]
                 home = [min(a, b) if h in (a, b) else h for h in home]
     kept = [r for i, r in enumerate(kept) if home[i] == i]

@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,6 +117,34 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def bounded_sample(labelled: DataFrame, most: int, seed: int) -> DataFrame:
-    """At most so many ids of labelled rows, in the order of a seeded hash; ids only, so rows stay short."""
-    return labelled.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+def bounded_rows(docs: DataFrame, known: DataFrame, most: int, seed: int) -> DataFrame:
+    """(doc_id, text in UTF-8, the other columns of known) of at most so many rows of known (doc_id once each).
+
+    Taken in the order of a seeded hash. Of rows that repeat an id the smallest text counts.
+    """
+    sample = known.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)  # ids and labels, short rows
+    rest = [c for c in known.columns if c != "doc_id"]
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(sample), "doc_id")
+    return rows.groupBy("doc_id", *rest).agg(F.min("text").alias("text"))
+
+
+def word_chunks(text: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text whose separators are spaces, some of them at a time."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + size)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
+def tally(chunks: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, counts) over all chunks."""
+    at, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for chunk in chunks:
+        one, count = np.unique(chunk, return_counts=True)
+        if len(at):
+            one, place = np.unique(np.concatenate((at, one)), return_inverse=True)
+            count = np.bincount(place, np.concatenate((n, count)), len(one)).astype(np.int64)
+        at, n = one, count
+    return at, n

@@ -191,12 +191,12 @@ from cut left join best on cut.page_id = best.page_id left join listed on cut.pa
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Expected grade and tail probabilities of every document."""
+    """Expected and median grade and tail probabilities of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, quality.grades_of(table(spark, sf_dir, "labels")), 3)
     tail = F.col("tail")
     rated = quality.rate(docs, model, 3, ["doc_id"])
-    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.expected_grade(tail).alias("expected_grade"), tail[0].alias("p_at_least_1"), tail[1].alias("p_at_least_2"), (tail[0] >= 0.5).alias("keep"))
+    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.expected_grade(tail).alias("expected_grade"), tail[0].alias("p_at_least_1"), tail[1].alias("p_at_least_2"), F.when(tail[0] < 0.5, 0).when(tail[1] < 0.5, 1).otherwise(2).alias("grade"), (tail[0] >= 0.5).alias("keep"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
