@@ -5,10 +5,12 @@ all sizes; a source's target stops at ``max_epochs`` times its size and the exce
 until no target is above its cap. The result is target = min(cap, level * weight) at one common level,
 which is found by clamping rounds: each round is one aggregate over the table of sources.
 
-The documents of a source are then taken whole: floor(target / S) times each, and once more those that
-come first in a seeded hash order, while their words stay within the rest of the target; last, a few
-further documents, each of which closes most of the gap that is left. The cut in the hash order is found on words pre-summed by
-hash bucket, so that no source, however large, is sorted in one task: only the bucket that holds the cut is.
+The documents of a source are then taken whole: floor(target / S) times each, and once more those that fit when the
+rest of the target is filled in a seeded hash order: a document that exceeds what is left is passed over, and the
+filling goes on behind it until what is left is at most ``near`` of the target or no document fits. If more than that
+is left, one further document is taken whose excess is smaller than the gap. Each round of the filling finds the next
+document that doesn't fit, on words pre-summed by hash bucket, so that no source, however large, is sorted in one
+task: only the bucket that holds that document is. Rounds are few, as what is left shrinks by a good part in each.
 
 Nulls and ties: a null source is a source of its own and comes last; a null text has size 0; a null doc_id is
 kept. The order is by (hash of seed, doc_id and text, doc_id, size); rows equal in all of these are all drawn
@@ -18,26 +20,32 @@ untouched; columns named like those that it adds are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topolark.llm.common import Scratch, packed, unpacked, word_count
 
-#: Hash buckets of a source, of which one is sorted.
+#: Hash buckets of a source, of which one is sorted in a round.
 BUCKETS = 1 << 12
 
-#: Single documents of a source that close the gap to its target, at most.
-FILLERS = 4
+
+def in_order(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sources`` with position (from 0) by code points, null last: ranges are numbered apart and then joined up."""
+    order = (F.col("source").isNull(), F.col("source"))
+    ranges = scratch.write(sources.repartitionByRange(*order).withColumn("range_", F.spark_partition_id()))
+    counts = ranges.groupBy("range_").agg(F.count("*").alias("n"))  # a row for each partition
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("range_", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start_"))
+    within = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1
+    return ranges.withColumn("within_", within).join(F.broadcast(starts), "range_").withColumn("position", F.col("start_") + F.col("within_")).drop("range_", "within_", "start_")
 
 
 def source_targets(sources: DataFrame, weights: list[float], max_epochs: float, scratch: Scratch) -> DataFrame:
     """``sources`` (source, key_, source_size) with target. Weights repeat along the order of the sources."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    position = (F.row_number().over(order) - 1) % len(weights)
     cap = F.col("source_size") * F.lit(float(max_epochs))
-    ranked = scratch.write(
-        sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (position + 1).cast("int"))).withColumn("cap", cap)
-    )
+    every = F.array(*[F.lit(float(w)) for w in weights])
+    ranked = in_order(sources, scratch).withColumn("weight", F.get(every, F.col("position") % len(weights))).withColumn("cap", cap)
+    ranked = scratch.write(ranked.drop("position"))
     total = ranked.agg(F.sum("source_size")).first()[0] or 0
     level, clamped = 0.0, -1
     while True:
@@ -55,56 +63,69 @@ def keyed(df: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, seed: int) -> DataFrame:
-    out = docs.withColumns({"size": word_count(F.col("text")), "draw_": F.xxhash64(F.lit(seed), "doc_id", "text")})
-    return keyed(out).withColumn("place_", F.struct("draw_", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size"))
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = 7, narrow: bool = False) -> DataFrame:
+    """docs with size, key_ and place_, the place in the order of drawing, by bucket first."""
+    out = keyed(docs.withColumns({"size": word_count(F.col("text")), "draw_": F.xxhash64(F.lit(seed), "doc_id", "text")}))
+    bucket = F.pmod(F.col("draw_"), F.lit(BUCKETS)).alias("bucket")
+    return out.withColumn("place_", F.struct(bucket, "draw_", F.col("doc_id").isNull().alias("no_id"), "doc_id", "size"))
+
+
+def drawn() -> Column:
+    """Whether a row (place_, size) is drawn once more by its source's rounds and fill_."""
+    place = F.col("place_")
+    in_round = lambda r: (r.above.isNull() | (place > r.above)) & (r.below.isNull() | (place < r.below)) & (F.col("size") <= r.most)
+    return F.exists("rounds_", in_round) | F.coalesce(place == F.col("fill_"), F.lit(False))
+
+
+def next_round(short: DataFrame, plan: DataFrame, near: float) -> DataFrame:
+    """plan after one more round of each source that is open and lacks more than ``near`` of its target."""
+    active = plan.where(F.col("open_") & (F.col("gap_") > near * F.col("target"))).select("key_", "gap_", F.try_element_at("rounds_", F.lit(-1)).below.alias("above_"))
+    left = short.join(active, "key_").where((F.col("above_").isNull() | (F.col("place_") > F.col("above_"))) & (F.col("size") <= F.col("gap_")))
+    buckets = left.groupBy("key_", F.col("place_.bucket").alias("bucket"), "gap_").agg(F.sum("size").alias("words"))
+    end = F.sum("words").over(Window.partitionBy("key_").orderBy("bucket"))
+    fits = F.col("end") <= F.col("gap_")
+    cut = buckets.withColumn("end", end).groupBy("key_").agg(F.max(F.when(fits, F.col("end"))).alias("whole_"), F.min(F.when(~fits, F.col("bucket"))).alias("cut_"))
+    inside = left.withColumn("cut_", F.col("place_.bucket")).join(cut, ["key_", "cut_"])
+    inside = inside.withColumn("end", F.coalesce("whole_", F.lit(0)) + F.sum("size").over(Window.partitionBy("key_").orderBy("place_")))
+    edge = inside.groupBy("key_").agg(F.max(F.when(fits, F.col("end"))).alias("part_"), F.min(F.when(~fits, F.col("place_"))).alias("below_"))
+    found = active.join(cut, "key_").join(edge, "key_", "left")
+    taken = F.coalesce("part_", "whole_", F.lit(0))
+    entry = F.struct(F.col("above_").alias("above"), F.col("below_").alias("below"), F.col("gap_").alias("most"))
+    found = found.select(F.col("key_").alias("found_"), entry.alias("entry_"), (F.col("gap_") - taken).alias("new_gap_"), F.col("below_").isNotNull().alias("goes_on_"))
+    both = plan.join(found, plan.key_ == found.found_, "left")
+    rounds = F.when(F.col("found_").isNotNull(), F.array_append("rounds_", F.col("entry_"))).otherwise(F.col("rounds_"))
+    return both.select(*[c for c in plan.columns if c not in ("gap_", "open_", "rounds_")], F.coalesce("new_gap_", "gap_").alias("gap_"), F.coalesce("goes_on_", F.lit(False)).alias("open_"), rounds.alias("rounds_"))
+
+
+def filled(short: DataFrame, plan: DataFrame, near: float, scratch: Scratch) -> DataFrame:
+    """plan with rounds_ (what to draw in the order of places) and fill_ (the place of a last document)."""
+    place = dict(short.dtypes)["place_"]
+    none = F.array().cast(f"array<struct<above: {place}, below: {place}, most: double>>")
+    plan = scratch.write(plan.withColumns({"gap_": F.col("target") - F.col("whole") * F.col("source_size"), "open_": F.lit(True), "rounds_": none}))
+    while not plan.where(F.col("open_") & (F.col("gap_") > near * F.col("target"))).isEmpty():
+        plan = scratch.write(next_round(short, plan, near))
+    lacking = plan.where(F.col("gap_") > near * F.col("target")).withColumn("fill_", F.lit(None).cast(place))
+    left = short.join(lacking, "key_").where(~drawn() & (F.col("size") < 2 * F.col("gap_")) & (F.col("size") > 0))
+    filler = left.groupBy("key_").agg(F.min_by("place_", F.struct(F.abs(F.col("size") - F.col("gap_")), "place_")).alias("fill_"), F.first("gap_").alias("gap_"))
+    alike = short.join(filler, "key_").where("place_ = fill_").groupBy("key_", "fill_", "gap_").agg(F.sum("size").alias("words"))
+    return scratch.write(plan.join(alike.where("words < 2 * gap_").select("key_", "fill_"), "key_", "left"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: float = 3.0, seed: int = 7, near: float = 0.001, narrow: bool = False) -> DataFrame:
     """All rows with size, source_size, target (of the source), times (whole repetitions) and taken (words).
 
     narrow: return doc_id, source and these columns only, which saves a second pass over the texts.
     """
     scratch = Scratch(docs.sparkSession)
-    bucket = F.pmod(F.col("draw_"), F.lit(BUCKETS))
     rows = sized(packed(docs, "doc_id", "source", "text"), seed)
-    short = scratch.write(rows.select("doc_id", "source", "key_", "size", "place_", bucket.alias("bucket_")))
-    by_bucket = scratch.write(short.groupBy("source", "key_", "bucket_").agg(F.sum("size").alias("words")))
-    targets = source_targets(by_bucket.groupBy("source", "key_").agg(F.sum("words").alias("source_size")), list(weights), max_epochs, scratch)
+    short = scratch.write(rows.select("doc_id", "source", "key_", "size", "place_"))
+    sources = short.groupBy("source", "key_").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sources, list(weights), max_epochs, scratch)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = targets.withColumn("whole", epochs).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
-
-    # The cut: the last bucket that starts within the rest, and in it the last document that ends within the rest.
-    along = Window.partitionBy("key_").orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)
-    started = by_bucket.withColumn("before", F.coalesce(F.sum("words").over(along), F.lit(0))).join(plan.select("key_", "rest"), "key_").where("before <= rest")
-    cut = started.groupBy("key_").agg(F.max_by(F.struct("bucket_", "before", "rest"), "bucket_").alias("c")).select("key_", "c.*")
-    cut = scratch.write(cut)
-    peers_too = Window.partitionBy("key_").orderBy("place_")
-    inside = short.join(cut, ["key_", "bucket_"]).withColumn("end", F.col("before") + F.sum("size").over(peers_too)).where("end <= rest")
-    last = inside.groupBy("key_").agg(F.max_by(F.struct("place_", "end"), "place_").alias("m"))
-    edge = cut.join(last, "key_", "left").select("key_", F.col("bucket_").alias("cut_bucket"), F.col("m.place_").alias("cut_place"), F.coalesce("m.end", "before").alias("drawn"))
-    plan = scratch.write(plan.drop("source").join(edge, "key_", "left").withColumn("gap", F.col("rest") - F.coalesce("drawn", F.lit(0))))
-
-    never = F.lit(False)
-    before_cut = (F.col("bucket_") < F.col("cut_bucket")) | ((F.col("bucket_") == F.col("cut_bucket")) & F.coalesce(F.col("place_") <= F.col("cut_place"), never))
-    drawn = F.coalesce(before_cut, never) | F.array_contains("fills", F.col("place_"))
-    plan = plan.withColumn("fills", F.filter(F.array("cut_place"), lambda x: x.isNotNull()))
-
-    # Again and again the document, not drawn yet, whose words close most of the gap; rows equal to it count with it.
-    misses = F.abs(F.col("size") - F.col("gap"))
-    for _ in range(FILLERS):
-        left = short.join(plan, "key_").where(~drawn & (misses < F.col("gap")))
-        filler = left.groupBy("key_").agg(F.min_by("place_", F.struct(misses, "place_")).alias("fill"), F.first("gap").alias("gap"))
-        alike = short.join(scratch.write(filler), "key_").where("place_ = fill").groupBy("key_", "fill", "gap").agg(F.sum("size").alias("words"))
-        alike = scratch.write(alike.where("abs(words - gap) < gap").drop("gap"))
-        if alike.isEmpty():
-            break
-        more = F.when(F.col("fill").isNotNull(), F.array_append("fills", F.col("fill"))).otherwise(F.col("fills"))
-        plan = plan.join(alike, "key_", "left").withColumns({"fills": more, "gap": F.col("gap") - F.coalesce("words", F.lit(0))})
-        plan = scratch.write(plan.drop("fill", "words"))
+    plan = filled(short, targets.drop("source").withColumn("whole", epochs), near, scratch)
 
-    rows = short if narrow else rows.withColumn("bucket_", bucket)
+    rows = short if narrow else rows
     added = ["source_size", "target", "times", "taken"]
-    rows = rows.join(plan, "key_").withColumn("times", F.col("whole") + drawn.cast("long"))
+    rows = rows.join(plan, "key_").withColumn("times", F.col("whole") + drawn().cast("long"))
     rows = rows.withColumn("taken", F.col("times") * F.col("size"))
     own = ["doc_id", "source"] if narrow else unpacked(docs.columns, ("size", *added))
     return rows.select(*own, "size", *added)
