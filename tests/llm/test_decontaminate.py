@@ -58,8 +58,10 @@ def test_no_occurrence_within_the_budget_is_missed(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string, hits string")
     found = {}
     for blocks in (1 << 20, 700):
-        rows = dc.with_hits(df, bench, block_bytes=blocks).collect()
-        found[blocks] = {(r.doc_id, h.item_id, h.distance) for r in rows for h in r.hits}
+        found[blocks] = {(r.doc_id, r.item_id, r.distance) for r in dc.contaminations(df, bench, block_bytes=blocks).collect()}
+        kept = dc.decontaminate(df, bench, block_bytes=blocks)
+        assert kept.columns == df.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == sorted({str(d[0]) for d in docs} - {str(d) for d, *_ in found[blocks]})
     assert found[700] == found[1 << 20]
     expected = set()
     for d, text, _ in docs[:60]:
@@ -81,6 +83,16 @@ def test_decontaminate_keeps_columns_and_clean_rows(spark):
     assert out.columns == df.columns and sorted((r.doc_id, r.hits) for r in out.collect()) == [(1, 7), (3, 9)]
 
 
+def test_each_block_has_a_pass_of_its_own(spark):
+    items = [(k, f"item number {k} with some text of its own to find") for k in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([(k, text) for k, text in items] + [(9, "clean")], "doc_id long, text string")
+    for out in (dc.contaminations(df, bench, block_bytes=100), dc.decontaminate(df, bench, block_bytes=100)):
+        assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.item_id) for r in dc.contaminations(df, bench, error_rate=0.0, block_bytes=100).collect()) == [(k, k) for k in range(6)]
+    assert [r.doc_id for r in dc.decontaminate(df, bench, block_bytes=100).collect()] == [9]
+
+
 @pytest.mark.parametrize("empty", ["docs", "items"])
 def test_empty_tables(spark, empty):
     df = spark.createDataFrame([] if empty == "docs" else [(1, "text")], "doc_id long, text string")

@@ -5,9 +5,9 @@ characters may occur with up to k = floor(error_rate * m) edits. It is split int
 must occur exactly wherever the item does; an Aho-Corasick automaton finds all pieces of all items in one
 pass over a whole text, and Myers' bit-parallel algorithm verifies the edit distance around each hit.
 
-Items are taken in blocks of bounded size, each broadcast as an automaton's input; benchmarks beyond one
-block take further passes within the same map. Nothing is shuffled, and long texts cost time in
-proportion to their length.
+Items are taken in blocks of bounded size, each broadcast as an automaton's input. A benchmark beyond one block
+takes a pass over the texts for each, written to the shared folder, so that a worker holds one automaton at a time.
+Nothing is shuffled, and long texts cost time in proportion to their length.
 
 Nulls and ties: a null or empty text or item matches nothing; items too short for an edit must occur as whole
 words; items with equal text are all reported; of several places of an item in a text the one with the least
@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
-from topolark.llm.common import bounded_batches, packed, unpacked
+from topolark.llm.common import Scratch, beside_text, bounded_batches, with_text
 
 ERROR_RATE = 0.08
 #: Bytes of item text in a block; its automaton takes some hundred times as much in a worker.
@@ -138,40 +139,53 @@ class Matcher:
         return out
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, keep: list[str] | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs (or the columns to keep) with hits: array of (item_id, distance, start, end in the normal text)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
+def blocks_of(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
+    """Items (item_id, text) in blocks of about block_bytes, one on the driver at a time; one empty block if there is none."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes)
-    out = docs.drop("hits").withColumn("hits", F.array().cast(HITS))
+    blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()  # about block_bytes
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in rows])
-        columns = [c for c in (keep if keep and b == blocks - 1 else docs.columns) if c != "hits"]
-        out = out.mapInArrow(matching(shared, error_rate, out.columns, columns), out.select(*columns, "hits").schema)
-    return out.select(*[c for c in keep or docs.columns if c != "hits"], "hits")
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()]
 
 
-def matching(shared, error_rate: float, columns: list[str], kept: list[str]):
-    text, hits, own = columns.index("text"), columns.index("hits"), [columns.index(c) for c in kept]
+def passes(benchmark: DataFrame, block_bytes: int, one: Callable[[DataFrame | None, list], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """The result of the last block and the written results of those before it, each given to the next."""
+    scratch, written, last = Scratch(benchmark.sparkSession), [], None
+    for block in blocks_of(benchmark, block_bytes):
+        if last is not None:
+            written.append(scratch.write(last))
+        last = one(written[-1] if written else None, block)
+    return last, written
+
+
+def with_hits(docs: DataFrame, block: list[tuple[int | None, str]], error_rate: float, keep: list[str]) -> DataFrame:
+    """The columns to keep of docs, and hits: array of (item_id, distance, start, end in the normal text)."""
+    bounded_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(block)  # about block_bytes
+    text, own = docs.columns.index("text"), [docs.columns.index(c) for c in keep]
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(shared.value, error_rate)
         for batch in batches:
-            found = [(before or []) + matcher.hits(t.as_py()) for t, before in zip(batch.column(text), batch.column(hits).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in own), pa.array(found, kind)], [*kept, "hits"])
+            found = [matcher.hits(t.as_py()) for t in batch.column(text)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in own), pa.array(found, kind)], [*keep, "hits"])
 
-    return run
+    return docs.mapInArrow(run, docs.select(*keep).schema.add("hits", HITS))
 
 
-def contaminations(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+def contaminations(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each document and item that occurs in it."""
-    return with_hits(docs.select("doc_id", "text"), benchmark, error_rate, ["doc_id"]).select("doc_id", F.inline("hits"))
+    texts = docs.select("doc_id", "text")
+    last, written = passes(benchmark, block_bytes, lambda _, block: with_hits(texts, block, error_rate, ["doc_id"]).select("doc_id", F.inline("hits")))
+    return reduce(DataFrame.unionByName, written, last)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no item occurs; all columns kept."""
-    return with_hits(packed(docs, "text"), benchmark, error_rate, ["row_"]).where(F.size("hits") == 0).select(*unpacked(docs.columns))
+
+    def clean(before: DataFrame | None, block: list) -> DataFrame:
+        rows = before if before is not None else beside_text(docs)
+        return with_hits(rows, block, error_rate, ["row_", "text"]).where(F.size("hits") == 0).drop("hits")
+
+    return passes(benchmark, block_bytes, clean)[0].select(*with_text(docs.columns))
