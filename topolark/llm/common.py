@@ -106,6 +106,17 @@ def unpacked(columns: list[str], without: tuple[str, ...] = ()) -> list[Column]:
     return [F.col("row_")[c].alias(c) for c in columns if c not in without]
 
 
+def beside_text(rows: DataFrame) -> DataFrame:
+    """text, and the other columns as one struct, row_: a text goes to Python once and no name can clash."""
+    rest = [F.col(f"`{c}`") for c in rows.columns if c != "text"] or [F.lit(0).alias("none")]
+    return rows.select(F.struct(*rest).alias("row_"), "text")
+
+
+def with_text(columns: list[str]) -> list[Column]:
+    """The columns of a table that beside_text() has packed."""
+    return [F.col("text") if c == "text" else F.col("row_")[c].alias(c) for c in columns]
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs of non-white-space); null counts as empty. Needs no array of the words."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), "[^\\x20\\x09-\\x0D]++", "x")

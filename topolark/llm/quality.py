@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from topolark.llm import toxicity
-from topolark.llm.common import bounded_batches, bounded_rows, held_out, packed, tally, unpacked, word_chunks
+from topolark.llm.common import beside_text, bounded_batches, bounded_rows, held_out, tally, with_text, word_chunks
 from topolark.llm.toxicity import Ftrl, features_of, gathered, sigmoid
 
 #: Slots of shapes, before those of words.
@@ -167,5 +167,5 @@ def expected_grade(tail):
 def select_quality(docs: DataFrame, ratings: DataFrame, levels: int = 3, at_least: int = 1, most_rows: int = MOST_ROWS) -> DataFrame:
     """The documents whose grade is at_least that with a probability of a half or more; all columns kept."""
     model = train(docs, ratings, levels, most_rows)
-    kept = rate(packed(docs, "text"), model, levels, ["row_"]).where(F.col("tail")[at_least - 1] >= 0.5)
-    return kept.select(*unpacked(docs.columns))
+    kept = rate(beside_text(docs), model, levels).where(F.col("tail")[at_least - 1] >= 0.5)
+    return kept.select(*with_text(docs.columns))

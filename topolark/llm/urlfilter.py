@@ -1,12 +1,13 @@
 """URL filter by a Bloom filter cascade.
 
-A list of domains is tested exactly without a join: level 1 is a Bloom filter of the listed keys, level 2 one
-of the keys of the corpus that pass level 1 without being listed, level 3 one of the listed keys that pass
+A list of domains is tested exactly without a join of the pages: level 1 is a Bloom filter of the listed keys, level
+2 one of the keys of the corpus that pass level 1 without being listed, level 3 one of the listed keys that pass
 level 2, and so on until none passes wrongly. Since the levels are built over the complete set of keys in
-the corpus, the first level that says no decides each of these keys without error. Keys of a URL are its
-host and the parent domains with no more labels than the longest listed domain. Filters are
-aggregated to 64-bit words before they leave the executors; a list too large for one bounded filter is cut into
-shards by hash, each with a cascade and a pass of its own.
+the corpus, the first level that says no decides each of these keys without error. Only the few keys that pass level 1
+are held against the list itself. Keys of a URL are its host and the parent domains with no more labels than the
+longest listed domain. Filters are aggregated to 64-bit words before they leave the executors; a list too large for
+one bounded filter is cut into shards by hash, each with a cascade of its own; of a page only its keys' hashes go to
+Python.
 
 Rules of (host, path) come before the list: a rule fits its host and all subdomains if the path starts with
 its own; the longest (host and path together) wins and gives the verdict.
@@ -48,6 +49,8 @@ DOMAINS = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "ca
 
 #: Bits for each key and hash functions of a level; bytes of a level at most, beyond which keys are sharded.
 BITS_PER_KEY, HASHES, MOST_BYTES = 10, 5, 8 << 20
+#: Shards whose cascades a worker holds at once.
+SHARDS_AT_ONCE = 16
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -125,19 +128,26 @@ def member(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def passing(keys: DataFrame, words: np.ndarray, number: int) -> DataFrame:
+    """The rows of keys (a, b, ...) that pass a level."""
     shared = keys.sparkSession.sparkContext.broadcast(words)  # at most MOST_BYTES
+    at = [keys.columns.index(c) for c in "ab"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(passes(shared.value, *(batch.column(k).to_numpy(zero_copy_only=False) for k in range(2)), number)))
+            yield batch.filter(pa.array(passes(shared.value, *(batch.column(k).to_numpy(zero_copy_only=False) for k in at), number)))
 
-    return keys.mapInArrow(run, "a long, b long")
+    return keys.mapInArrow(run, keys.schema)
 
 
-def cascade(listed: DataFrame, others: DataFrame, scratch: Scratch, most_levels: int = 40) -> list[np.ndarray]:
-    """Levels for the keys (a, b) that are listed against all others of the corpus."""
-    levels, inside, outside = [], listed, others
-    for number in range(most_levels):
+def cascade(listed: DataFrame, universe: DataFrame, scratch: Scratch, most_levels: int = 40) -> list[np.ndarray]:
+    """Levels for the listed keys (key, a, b) against the corpus's universe of keys (key, a, b), repeats allowed."""
+    count = listed.count()
+    if not count:
+        return []
+    levels = [level(listed.select("a", "b"), count, 0)]
+    wrong = passing(universe, levels[0], 0).distinct().join(listed.select("key"), "key", "left_anti")
+    inside, outside = scratch.write(wrong.select("a", "b")), listed.select("a", "b")
+    for number in range(1, most_levels):
         count = inside.count()
         if not count:
             return levels
@@ -153,41 +163,37 @@ def blocked(pages: DataFrame, domains: DataFrame | tuple[str, ...], most_bytes:
     scratch = Scratch(spark)
     if not isinstance(domains, DataFrame):
         domains = spark.createDataFrame([(d,) for d in domains], "domain string")
-    domains = domains.where("domain is not null").select(F.lower("domain").alias("key")).distinct()
+    lowered = F.translate("domain", string.ascii_uppercase, string.ascii_lowercase)
+    domains = domains.where("domain is not null").select(lowered.alias("key")).distinct()
     size = domains.agg(F.count("*").alias("n"), F.max(F.size(F.split("key", "[.]"))).alias("labels")).first()
     if not size.n:
         return pages.withColumn("listed", F.lit(False))
     shards = -(-size.n * BITS_PER_KEY // (8 * most_bytes))
+    listed = scratch.write(domains.select("key", hashes(F.col("key")).alias("h")).select("key", "h.*"))
     hosts = pages.select("host").distinct()
-    universe = hosts.select(F.explode(keys_of(F.col("host"), size.labels)).alias("key")).distinct()
-    known = universe.join(domains.withColumn("listed", F.lit(True)), "key", "full_outer")
-    known = scratch.write(known.select(hashes(F.col("key")).alias("h"), F.coalesce("listed", F.lit(False)).alias("listed")).select("h.*", "listed"))
-    hashed = F.transform(keys_of(F.col("host"), size.labels), hashes)
-    out = pages.withColumn("listed", F.lit(False)).withColumn("hashed_", hashed)
+    universe = hosts.select(F.explode(keys_of(F.col("host"), size.labels)).alias("key")).select("key", hashes(F.col("key")).alias("h")).select("key", "h.*")
+    universe = universe if shards == 1 else scratch.write(universe)
+    out = pages.withColumn("listed", F.lit(False)).withColumn("hashed_", F.transform(keys_of(F.col("host"), size.labels), hashes))
     for s in range(shards):
         mine = F.pmod("a", F.lit(shards)) == s
-        levels = cascade(known.where(F.col("listed") & mine).drop("listed"), known.where(~F.col("listed") & mine).drop("listed"), scratch)
+        levels = cascade(listed.where(mine), universe.where(mine), scratch)
         shared = spark.sparkContext.broadcast(levels)  # level 1 has at most most_bytes; later ones are smaller
-        out = out.mapInArrow(testing(shared, out.columns, s, shards), out.schema)
-        if s < shards - 1:
+        out = out.withColumn("listed", F.col("listed") | testing(shared, s, shards)(F.col("hashed_")))
+        if s % SHARDS_AT_ONCE == SHARDS_AT_ONCE - 1 and s < shards - 1:
             out = scratch.write(out)
     return out.drop("hashed_")
 
 
-def testing(shared, columns: list[str], shard: int, shards: int):
-    listed, hashed = columns.index("listed"), columns.index("hashed_")
+def testing(shared, shard: int, shards: int):
+    """Arrow function of arrays of hashes: whether one of them is a listed key of the shard."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(hashed)
-            flat = column.flatten()
-            a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
-            hit = member(shared.value, a, b) & (np.mod(a, shards) == shard)
-            owner = np.repeat(np.arange(batch.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
-            found = np.bincount(owner[hit], minlength=batch.num_rows) > 0
-            arrays = list(batch.columns)
-            arrays[listed] = pa.array(found | batch.column(listed).to_numpy(zero_copy_only=False).astype(bool))
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+    @F.arrow_udf("boolean")
+    def run(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        a, b = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+        hit = member(shared.value, a, b) & (np.mod(a, shards) == shard)
+        owner = np.repeat(np.arange(len(column)), column.value_lengths().to_numpy(zero_copy_only=False))
+        return pa.array(np.bincount(owner[hit], minlength=len(column)) > 0)
 
     return run
 
