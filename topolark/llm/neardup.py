@@ -1,19 +1,23 @@
-"""Near-dedup by the Jaccard similarity of word shingles, as an exact set-similarity join.
+"""SimHash near-dedup at a Jaccard similarity of word shingles, complete where Hamming balls can't reach.
 
 Documents are sets of hashed shingles. Sets with a Jaccard similarity of ``least`` or more are linked, and one
-document of each connected component stays. Two sets that have at least m members in common share at least k of
-the first n - m + k members of each, in any order common to all sets, so no link is missed by two steps:
+document of each connected component stays. Equal sets are one node. Sets of similarity 0.8 differ by about ten and
+up to some fourteen bits of their SimHash, which is too far for the balls of multi-index hashing; so the links
+within ``simhash.hamming_links()``'s few bits come first, and what they leave out is found by common shingles:
 
-1. by hash order, only sets stay that share enough of their leading members with other sets (``enough``);
-2. by rising frequency among the sets that are left, so that common passages come last, candidates are sets with
-   a common member among the first n - ceil(least * n) + 1, found by an equality join.
+1. By hash order, only sets stay that share enough of their leading members with other sets (``enough``): sets with m
+   members or more in common share at least k of the first n - m + k members of each, in any order common to all.
+2. Of the nodes left, fingerprints within a few bits are looked up by multi-index hashing; each node is compared with
+   the one of its neighbours that has most members in common with other sets.
+3. By rising frequency among the nodes left, so that common passages come last, candidates are nodes with a common
+   member among the first n - ceil(least * n) + 1. Each is first compared with the best such node of each member, then
+   with those that are still in another component; the complete fingerprints of both must be within REACH bits and
+   the sketches of their sets alike, which the join itself decides.
 
-Equal sets are one node. Candidates are first compared with the least and the greatest node of each prefix member
-and what is alike is merged; then the pairs of nodes that are still in different components are compared, so a
-large group of copies makes no square of pairs. Links are verified on the whole sets.
+So a large group of copies makes no square of pairs. Links are verified on the whole sets.
 
 Nulls and ties: a null text counts as empty, and texts without a word are one class; a text shorter than a shingle
-is one shingle. Of a class, drop_similar() keeps what simhash.drop_near_duplicates() keeps.
+is one shingle. Of a class, drop_similar() keeps what simhash.keep_one_of_each() keeps.
 """
 
 from __future__ import annotations
@@ -28,26 +32,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from topolark.llm.common import Scratch, bounded_batches
-from topolark.llm.simhash import CHUNK, LOWER, components, keep_one_of_each
+from topolark.llm.simhash import components, hamming_links, keep_one_of_each, majority, shingle_hashes
 
 #: Room for rounding in bounds on candidates; links are decided without it.
 SLACK = 1e-9
 
+#: Bits by which the fingerprints of candidates may differ: 0.8 makes some 10 of 64, with a deviation of 3.
+REACH = 24
 
-def shingle_set(text: bytes | None, shingle: int = 5, seed: int = 42) -> np.ndarray:
-    """Sorted distinct hashes, as signed longs, of a UTF-8 text's word shingles."""
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.int64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    size = min(shingle, len(words))
-    first, last = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-    digest, parts = xxhash.xxh64_intdigest, []
-    for at in range(0, len(first), CHUNK):
-        parts.append(np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])], np.uint64).view(np.int64)))
-    return np.unique(np.concatenate(parts))
+#: Least hashes of a set that estimate its similarity to others: exact up to so many, else with a margin of four deviations.
+SKETCH = 512
 
 
 def enough(n: int, least: float) -> int:
@@ -61,7 +55,7 @@ def least_common(n: int, least: float) -> int:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42, leading: float | None = None) -> DataFrame:
-    """(doc_id, text_hash, node, n, needed, members): node is the hash of the whole set and n its size.
+    """(doc_id, text_hash, node, n, needed, fp, members): node is the hash of the whole set, n its size, fp the SimHash.
 
     leading: a similarity; members are then only those that step 1 compares, of which ``needed`` must be shared.
     """
@@ -70,7 +64,9 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42, leading: flo
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle, seed) for t in batch.column(2)]
+            chunks = [list(shingle_hashes(t.as_py(), shingle, seed)) for t in batch.column(2)]
+            fps = np.zeros(len(chunks), np.int64) if leading is not None else np.array([majority(c) for c in chunks], np.uint64).view(np.int64)
+            sets = [np.unique(np.concatenate(c)).view(np.int64) if c else np.empty(0, np.int64) for c in chunks]
             nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets), np.uint64, len(sets)).view(np.int64)
             sizes, needed = np.fromiter(map(len, sets), np.int32, len(sets)), np.ones(len(sets), np.int32)
             if leading is not None:
@@ -78,10 +74,10 @@ def shingle_sets(docs: DataFrame, shingle: int = 5, seed: int = 42, leading: flo
                 sets = [s[: len(s) - least_common(len(s), leading) + enough(len(s), leading)] for s in sets]
             offsets = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-            names = ["doc_id", "text_hash", "node", "n", "needed", "members"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(sizes), pa.array(needed), members], names)
+            columns = [batch.column(0), batch.column(1), *map(pa.array, (nodes, sizes, needed, fps)), members]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "node", "n", "needed", "fp", "members"])
 
-    return narrow.mapInArrow(hashed, "doc_id long, text_hash long, node long, n int, needed int, members array<long>")
+    return narrow.mapInArrow(hashed, "doc_id long, text_hash long, node long, n int, needed int, fp long, members array<long>")
 
 
 def prefix_size(least: float):
@@ -98,12 +94,15 @@ def sharing(leading: DataFrame) -> DataFrame:
 
 
 def rare_members(alive: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """(key, node, n): prefix members by rising frequency, without those of one node only."""
-    rows = alive.select("node", "n", F.explode("members").alias("key"))
+    """(node, n, fp, share, prefix): the prefix of members by rising frequency, without those of one node only.
+
+    share: the part of the node's members that other nodes have too.
+    """
+    rows = alive.select("node", "n", "fp", F.explode("members").alias("key"))
     often = scratch.write(rows.groupBy("key").agg(F.count("*").alias("df")).where("df > 1"))
-    known = rows.join(often, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("m"))
+    known = rows.join(often, "key").groupBy("node", "n", "fp").agg(F.sort_array(F.collect_list(F.struct("df", "key"))).alias("m"))
     rest = F.greatest(prefix_size(least) - (F.col("n") - F.size("m")), F.lit(0))
-    return known.select("node", "n", F.explode(F.slice("m", F.lit(1), rest)).alias("e")).select("e.key", "node", "n")
+    return known.select("node", "n", "fp", (F.size("m") / F.col("n")).alias("share"), F.transform(F.slice("m", F.lit(1), rest), lambda e: e.key).alias("prefix"))
 
 
 def alike(pairs: DataFrame, alive: DataFrame, least: float) -> DataFrame:
@@ -114,31 +113,58 @@ def alike(pairs: DataFrame, alive: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= least).select("a", "b")
 
 
-def similar_links(alive: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between the nodes, whose components are those of all pairs with that similarity."""
-    rare = scratch.write(rare_members(alive, least, scratch))
-
-    def fits(x, y):
-        return F.least(x, y) >= F.greatest(x, y) * F.lit(least) - SLACK
-
-    here = F.struct("node", "n")
-    ends = rare.groupBy("key").agg(F.min(here).alias("low"), F.max(here).alias("high")).where("low.node <> high.node")
-    star = rare.join(ends, "key").select("node", "n", F.explode(F.array("low", "high")).alias("hub")).where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
-    pairs = star.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    links = scratch.write(alike(pairs, alive, least))
+def near_fingerprints(rare: DataFrame, max_bits: int) -> DataFrame:
+    """(node, other): each node with the best supported node among those whose fingerprints are within max_bits bits."""
+    support = F.struct("share", "n", "node")
+    of_fp = rare.groupBy("fp").agg(F.max(support).alias("best"))
+    links = hamming_links(of_fp.select("fp"), max_bits)
+    both = links.select(F.col("a").alias("fp"), F.col("b").alias("near")).union(links.select("b", "a")).union(of_fp.select("fp", "fp"))
+    near = both.join(of_fp.select(F.col("fp").alias("near"), "best"), "near").groupBy("fp").agg(F.max("best").alias("best"))
+    return rare.select("node", "fp").join(near, "fp").select("node", F.col("best.node").alias("other"))
 
-    roots = components(links, scratch)
-    homed = rare.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = homed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    groups = scratch.write(homed.join(mixed, "key").groupBy("key", "root").agg(F.collect_list(here).alias("nodes")))
-    a = groups.select("key", F.col("root").alias("root_a"), F.explode("nodes").alias("x"))
-    b = groups.select("key", F.col("root").alias("root_b"), F.col("nodes").alias("ys"))
-    met = a.join(b, "key").where("root_a < root_b").select("x", F.explode(F.filter("ys", lambda y: fits(F.col("x.n"), y["n"]))).alias("y"))
-    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return links.union(scratch.write(alike(pairs, alive, least)))
 
+def similar_links(alive: DataFrame, least: float, max_bits: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between the nodes, whose components are those of all pairs with that similarity."""
+    rare = scratch.write(rare_members(alive, least, scratch))
 
-def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, seed: int = 42) -> DataFrame:
+    def fits(a: str, b: str):
+        sizes = F.least(f"{a}n", f"{b}n") >= F.greatest(f"{a}n", f"{b}n") * F.lit(least) - SLACK
+        return sizes & (F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= REACH)
+
+    def pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
+        return rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    by_key = rare.select("node", "n", "fp", "share", F.explode("prefix").alias("key"))
+    best = by_key.groupBy("key").agg(F.max(F.struct("share", "n", "node", "fp")).alias("h"), F.min("node").alias("low"), F.max("node").alias("high"))
+    best = best.where("low <> high").select("key", F.col("h.node").alias("h_node"), F.col("h.n").alias("h_n"), F.col("h.fp").alias("h_fp"))
+    star = by_key.drop("share").join(best, "key").where(fits("", "h_"))
+    first = pairs(near_fingerprints(rare, max_bits), "node", "other").union(pairs(star, "node", "h_node")).distinct()
+    links = scratch.write(alike(first, alive, least))
+
+    # What still lies in several components is compared inside the join, by the sketches of both sets. A pair that
+    # shares several members meets at the first of them only.
+    left = mixed(by_key.drop("share"), components(links, scratch), scratch)
+    keys = left.groupBy("node", "n", "fp", "root").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    sketches = alive.select("node", F.slice(F.sort_array(F.transform("members", lambda m: F.shiftright(m, 32).cast("int"))), 1, SKETCH).alias("sketch"))
+    left = keys.join(sketches, "node").select("*", F.explode("keys").alias("key"))
+    x, y = (left.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "fp", "root", "keys", "sketch")]) for p in "xy")
+    at = F.get(F.array_intersect("x_keys", "y_keys"), F.lit(0))
+    last = F.least(*[F.when(F.col(f"{p}_n") > SKETCH, F.element_at(f"{p}_sketch", -1)).otherwise((1 << 31) - 1) for p in "xy"])
+    common, every = (F.size(F.filter(f("x_sketch", "y_sketch"), lambda m: m <= last)) for f in (F.array_intersect, F.array_union))
+    short = 4 * math.sqrt(least * (1 - least) / SKETCH)
+    close = common >= every * (F.lit(least) - F.when(F.greatest("x_n", "y_n") > SKETCH, short).otherwise(SLACK))
+    met = x.join(y, (x.key == y.key) & (F.col("x_root") < F.col("y_root")) & fits("x_", "y_") & (at == x.key) & close)
+    return links.union(scratch.write(alike(pairs(met, "x_node", "y_node"), alive, least)))
+
+
+def mixed(by_key: DataFrame, roots: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows (node, key) of members that nodes of several components have, with root."""
+    homed = by_key.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ends = homed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return scratch.write(homed.join(ends.where("low <> high").select("key"), "key").select(*by_key.columns, "root"))
+
+
+def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, max_bits: int = 4, seed: int = 42) -> DataFrame:
     """One row for each document: doc_id, text_hash and root, the node that names its class."""
     scratch = Scratch(docs.sparkSession)
     leading = scratch.write(shingle_sets(docs, shingle, seed, leading=least))
@@ -147,8 +173,8 @@ def similar_classes(docs: DataFrame, least: float = 0.8, shingle: int = 5, seed:
     scratch.drop(leading)
     texts = scratch.write(narrow.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_hash").alias("own_hash")).select("own_hash"))
     again = docs.select("doc_id", "text").join(texts, F.xxhash64("text") == F.col("own_hash"), "left_semi")
-    alive = scratch.write(shingle_sets(again, shingle, seed).select("node", "n", "members").dropDuplicates(["node"]))
-    links = similar_links(alive, least, scratch)
+    alive = scratch.write(shingle_sets(again, shingle, seed).select("node", "n", "fp", "members").dropDuplicates(["node"]))
+    links = similar_links(alive, least, max_bits, scratch)
     roots = scratch.write(components(links, scratch))
     return narrow.join(roots, "node", "left").select("doc_id", "text_hash", F.coalesce("root", "node").alias("root"))
 

@@ -16,7 +16,7 @@ id (then component_id is null). Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,21 +37,33 @@ CHUNK = 1 << 16
 THREE_SEGMENTS_MOST = 1 << 26
 
 
-def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text."""
+def shingle_hashes(text: bytes | None, shingle: int, seed: int) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a UTF-8 text, repeats included, CHUNK of them at a time."""
     words = (text or b"").translate(LOWER).split()  # bytes.split() knows space and \x09-\x0d only
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     size = min(shingle, len(words))
     first, last = starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(first), CHUNK):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])], np.uint64)
+        yield np.array([digest(joined[a:b], seed) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])], np.uint64)
+
+
+def majority(chunks: Iterable[np.ndarray]) -> int:
+    """Unsigned 64-bit number whose bits are those set in over half of all hashes."""
+    ones, total = np.zeros(64, np.int64), 0
+    for hashes in chunks:
         ones += np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(first)).tobytes(), "big")
+        total += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > total).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, shingle: int = 4, seed: int = 42) -> int:
+    """Unsigned 64-bit SimHash of a UTF-8 text."""
+    return majority(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:
@@ -148,18 +160,19 @@ def fingerprint_hex(fp):
 
 
 def keep_one_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The documents that stay, by the root of each (doc_id, text_hash)."""
+    """The documents that stay, by the root of each (doc_id, text_hash): of a class the smallest doc_id.
+
+    A null doc_id stays only if no member of the class has an id; among equal ids the text with the smallest
+    hash stays; of repeated rows one stays. All columns are kept. Texts are dealt once, by id and hash.
+    """
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    kept = classes.groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_hash").alias("kept_hash"))
-    keyed = packed(docs, "doc_id", F.xxhash64("text").alias("own_hash"))
-    on = keyed.doc_id.eqNullSafe(F.col("kept_id")) & (keyed.own_hash == F.col("kept_hash"))
-    return keyed.join(kept, on, "left_semi").dropDuplicates(["doc_id", "own_hash"]).select(*unpacked(docs.columns))
+    own = ["id_", "text_hash_"]
+    name = lambda doc_id: F.coalesce(doc_id.cast("string"), F.lit("none"))
+    kept = classes.groupBy("root").agg(F.min(order).alias("k")).select(name(F.col("k.doc_id")).alias("id_"), F.col("k.text_hash").alias("text_hash_"))
+    keyed = packed(docs, name(F.col("doc_id")).alias("id_"), F.xxhash64("text").alias("text_hash_"))
+    return keyed.join(kept, own, "left_semi").dropDuplicates(own).select(*unpacked(docs.columns))
 
 
 def drop_near_duplicates(docs: DataFrame, max_bits: int = 4) -> DataFrame:
-    """The documents without all but one of each class: the one with the smallest doc_id stays.
-
-    A null doc_id stays only if no member of the class has an id; among equal ids the text with the smallest
-    hash stays; of repeated rows one stays. All columns are kept.
-    """
+    """The documents without all but one of each class, as keep_one_of_each() chooses."""
     return keep_one_of_each(docs, near_duplicate_classes(docs, max_bits))
