@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from fixtures import base, make, tall
 
@@ -66,11 +67,42 @@ def test_statuses(spark):
     assert [x.instruction for x in lines] == ["Leave.", "Take Core from floor 4 to floor 5.", "On.", "You are there."]
 
 
-def test_joins_and_search_agree_beyond_the_broadcast(spark):
-    t = make(spark, **tall())
-    wanted = spark.createDataFrame([("room", "upper", f) for f in (False, True)] + [("room", "room", False)], "from_place_id string, to_place_id string, step_free boolean")
-    key = lambda rows: sorted((r.to_place_id, r.step_free, r.status, r.total_cost or 0.0) for r in rows.collect())
-    assert key(route.find_routes(t, wanted)) == key(route.find_routes(t, wanted, most_broadcast=0))
+def rows_of(routes):
+    return sorted(routes.collect(), key=lambda r: (r.from_place_id or "", r.to_place_id or "", r.step_free))
+
+
+def test_joins_and_search_agree_on_whole_routes(spark):
+    for t in (make(spark, **tall()), make(spark, **tall("elevator")), make(spark, **crossing())):
+        places = [r.id for r in t.places.collect()] + ["nowhere"]
+        wanted = spark.createDataFrame([(a, b, f) for a in places for b in places for f in (False, True)], "from_place_id string, to_place_id string, step_free boolean")
+        found = rows_of(route.find_routes(t, wanted))
+        assert found == rows_of(route.find_routes(t, wanted, most_broadcast=0))
+        assert any(r.status == "ok" and r.traversals for r in found)
+
+
+def test_joins_and_search_agree_on_a_grid_of_ties(spark):
+    """A grid on which many routes cost the same, hops that cost nothing among them."""
+    rng, size = np.random.default_rng(1), 5
+    name = lambda i, j: f"n{i}{j}"
+    rows = base(places=[(f"p{i}", "b1", "landmark", f"P{i}", None) for i in range(size)], access_points=[(f"a{i}", f"p{i}", "f4", "network_node", name(i, size - 1 - i), None, None) for i in range(size)])
+    rows["nodes"] += [(name(i, j), "f4", "turn", 0.0, 0.0) for i in range(size) for j in range(size)]
+    steps = [(name(i, j), name(i + a, j + b)) for i in range(size) for j in range(size) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if 0 <= i + a < size and 0 <= j + b < size]
+    rng.shuffle(steps)
+    rows["segments"] += [(f"g{k}", "hallway", u, v) for k, (u, v) in enumerate(steps)]
+    rows["edges"] += [(f"h{k}", f"g{k}", str(u), str(v), float(rng.integers(0, 3)), None, None, None) for k, (u, v) in enumerate(steps)]
+    t = make(spark, **rows)
+    wanted = spark.createDataFrame([(f"p{a}", f"p{b}", False) for a in range(size) for b in range(size)], "from_place_id string, to_place_id string, step_free boolean")
+    found = rows_of(route.find_routes(t, wanted))
+    assert found == rows_of(route.find_routes(t, wanted, most_broadcast=0))
+    assert all(r.status == ("same_place" if r.from_place_id == r.to_place_id else "ok") for r in found)
+
+
+def test_endless_falling_costs_raise(spark):
+    graph = spark.createDataFrame([("a", "b", -2.0), ("b", "a", 1.0)], "from_node_id string, to_node_id string, cost double")
+    seeds = spark.createDataFrame([("s", "a", 0.0)], "source string, node_id string, cost double")
+    for most in (10, 0):
+        with pytest.raises(Exception, match="fall for ever"):
+            route.distances(seeds, graph, most_broadcast=most).collect()
 
 
 def test_ties_keep_the_first_hop(spark):

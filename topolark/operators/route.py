@@ -1,19 +1,19 @@
 """Directed shortest routes across floors and buildings, with a step-free option.
 
-Hops come from enabled edges and from ordered pairs of connector stops on different floors. Two searches are
-offered: distances() relaxes all nodes of a graph of any size by joins, one written table a round;
-find_routes() rebuilds whole routes for many requests, one search a request, over a graph that is sent to
-the workers only within a checked bound and is read per request group beyond it.
+Hops come from enabled edges and from ordered pairs of connector stops on different floors. A graph within a checked
+number of hops is sent to the workers, which search it once for each start; beyond that relaxed() works by joins,
+one written table a round. Both keep, of equally cheap ways, the one with the fewest hops, then the one whose hops
+come first, so that a route doesn't depend on the size of its graph.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topolark.functions.keys import last_wins, number, renamed
@@ -24,7 +24,7 @@ from topolark.plans.topology import Topology
 #: Cost of a connector by level.
 STAIRS, ELEVATOR = 180.0, 120.0
 #: Hops and options that are broadcast at most (a few hundred bytes each).
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 250_000
 
 
 def endpoint_options(t: Topology, side: str = "origin") -> DataFrame:
@@ -76,60 +76,107 @@ def hops(t: Topology, step_free: bool = False) -> DataFrame:
     return edge_hops(t, step_free).unionByName(vertical_hops(t, step_free))
 
 
+#: State of a search: (source, node_id), least cost, fewest hops of that cost, and these hops by (ord, ord2).
+STEP = "struct<ord: bigint, ord2: bigint>"
+
+
+def relaxed(seeds: DataFrame, graph: DataFrame, paths: bool, most_rounds: int | None = None) -> DataFrame:
+    """(source, node_id, cost, n, path) by joins, of graphs of any size; path is empty unless asked for.
+
+    seeds: source, node_id, cost; graph: from_node_id, to_node_id, cost, ord, ord2 and, if seeds have it, step_free.
+    Round n extends the nodes that the round before improved by one hop, so that of equally short ways the one with the
+    fewest hops stays, then the one whose hops come first from the start. Each round is written once; raises if costs go on falling after as many
+    rounds as there are nodes.
+    """
+    staging = Staging(seeds.sparkSession)
+    on = ["step_free"] if "step_free" in seeds.columns else []
+    key = [*on, "source", "node_id"]
+    graph = graph.where("from_node_id is not null and to_node_id is not null and cost is not null")
+    hop = F.struct(F.col("cost").alias("hop"), "ord", "ord2")
+    edges = staging.write(graph.groupBy(*on, F.col("from_node_id").alias("node_id"), "to_node_id").agg(F.min(hop).alias("h")).select(*on, "node_id", "to_node_id", "h.*"))
+    start = seeds.where("source is not null and node_id is not null and cost is not null")
+    none = F.array().cast(f"array<{STEP}>")
+    known = front = staging.write(start.groupBy(*key).agg(F.min("cost").alias("cost")).select(*key, "cost", F.lit(0).alias("n"), none.alias("path")))
+    n = 0
+    while not front.isEmpty():
+        n += 1
+        if n > (most_rounds or edges.select("node_id").distinct().count() + 1):
+            raise ValueError("Costs fall for ever along a cycle of hops.")
+        further = F.array_append("path", F.struct("ord", "ord2")) if paths else F.col("path")
+        offers = front.join(edges, [*on, "node_id"]).select(*on, "source", F.col("to_node_id").alias("node_id"), (F.col("cost") + F.col("hop")).alias("offer"), further.alias("path"))
+        best = offers.groupBy(*key).agg(F.min(F.struct("offer", "path")).alias("o")).select(*key, "o.offer", "o.path")
+        before = known.groupBy(*key).agg(F.min("cost").alias("before"))
+        fresh = best.join(before, key, "left").where("before is null or offer < before")
+        front = staging.write(fresh.select(*key, F.col("offer").alias("cost"), F.lit(n).alias("n"), "path"))
+        known = known.unionByName(front)
+    return known.groupBy(*key).agg(F.min(F.struct("cost", "n", "path")).alias("k")).select(*key, "k.*")
+
+
 def distances(seeds: DataFrame, graph: DataFrame, most_rounds: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(source, node_id, cost): least cost from each source's seeds (source, node_id, cost) to every node reached.
 
-    A graph within most_broadcast pairs of nodes is sent to the workers, which search it once a source. Beyond that
-    joins relax all sources at once: each round extends the nodes that the last one improved and is written to the
-    shared folder; rounds are bounded by the number of nodes.
+    A graph within most_broadcast pairs of nodes is sent to the workers, which search it once a source; beyond that
+    relaxed() joins. Either way gives the same costs.
     """
     staging = Staging(seeds.sparkSession)
-    edges = staging.write(graph.groupBy("from_node_id", "to_node_id").agg(F.min("cost").alias("hop")))
+    edges = staging.write(graph.groupBy("from_node_id", "to_node_id").agg(F.min("cost").alias("cost")))
     if edges.count() <= most_broadcast:
         return local_distances(seeds, edges)
-    known = staging.write(seeds.groupBy("source", "node_id").agg(F.min("cost").alias("cost")).withColumn("fresh", F.lit(True)))
-    rounds = most_rounds or edges.select("from_node_id").distinct().count() + 1
-    for _ in range(rounds):
-        front = known.where("fresh").select("source", F.col("node_id").alias("from_node_id"), "cost")
-        if front.isEmpty():
-            break
-        offers = front.join(edges, "from_node_id").groupBy("source", F.col("to_node_id").alias("node_id")).agg(F.min(F.col("cost") + F.col("hop")).alias("offer"))
-        merged = known.join(offers, ["source", "node_id"], "full_outer")
-        better = F.col("offer").isNotNull() & (F.col("cost").isNull() | (F.col("offer") < F.col("cost")))
-        new = staging.write(merged.select("source", "node_id", F.when(better, F.col("offer")).otherwise(F.col("cost")).alias("cost"), better.alias("fresh")))
-        staging.drop(known)
-        known = new
-    return known.select("source", "node_id", "cost")
+    ordered = edges.withColumns({"ord": F.lit(0).cast("long"), "ord2": F.lit(0).cast("long")})
+    return relaxed(seeds.select("source", "node_id", "cost"), ordered, False, most_rounds).select("source", "node_id", "cost")
+
+
+def search(origins: Iterable[tuple[str, float]], adjacency: dict[str, list[tuple]]) -> dict[str, tuple]:
+    """(cost, hops, by, from node) of every node reached; by is the hop (to, cost, ord, ord2) that reaches it.
+
+    Least cost first, then fewest hops, then the first hops from the start (by ord, ord2).
+    """
+
+    def path(entry: tuple) -> list[tuple]:
+        hops_ = []
+        while entry[3] is not None:
+            hops_.append(entry[2])
+            entry = best[entry[3]]
+        return hops_[::-1]
+
+    best: dict[str, tuple] = {}
+    for node, cost in origins:
+        if node not in best or cost < best[node][0]:
+            best[node] = (cost, 0, (), None)
+    queue = [(cost, 0, node) for node, (cost, *_) in best.items()]
+    heapq.heapify(queue)
+    left = 64 + 64 * sum(map(len, adjacency.values()))
+    while queue:
+        cost, n, node = heapq.heappop(queue)
+        if (cost, n) != best[node][:2]:
+            continue
+        for hop in adjacency.get(node, ()):
+            left -= 1
+            if left < 0:
+                raise ValueError("Costs fall for ever along a cycle of hops.")
+            to, offer = hop[0], (cost + hop[1], n + 1, hop[2:], node)
+            old = best.get(to)
+            if old is None or offer[:2] < old[:2]:
+                best[to] = offer
+                heapq.heappush(queue, (*offer[:2], to))
+            elif offer[:2] == old[:2] and path(offer) < path(old):
+                best[to] = offer
+    return best
 
 
 def local_distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """distances() by one search a source over a graph small enough for a broadcast."""
-    sent = seeds.sparkSession.sparkContext.broadcast(edges.toArrow())  # within MOST_BROADCAST rows
-    rows = seeds.where("source is not null").groupBy("source").agg(F.collect_list(F.struct("node_id", "cost")).alias("starts"))
+    sent = seeds.sparkSession.sparkContext.broadcast(edges.where("from_node_id is not null and to_node_id is not null and cost is not null").toArrow())  # within MOST_BROADCAST rows
+    rows = seeds.where("source is not null and node_id is not null and cost is not null").groupBy("source").agg(F.collect_list(F.struct("node_id", "cost")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: dict[str, list[tuple[str, float]]] = defaultdict(list)
+        near: dict[str, list[tuple]] = defaultdict(list)
         for u, v, hop in zip(*(sent.value.column(k).to_pylist() for k in range(3))):
-            if u is not None and v is not None and hop is not None:
-                near[u].append((v, hop))
+            near[u].append((v, hop, 0, 0))
         for batch in batches:
             for source, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                least: dict[str, float] = {}
-                queue = [(s["cost"], s["node_id"]) for s in starts if s["node_id"] is not None and s["cost"] is not None]
-                heapq.heapify(queue)
-                for cost, node in queue:
-                    least[node] = min(cost, least.get(node, cost))
-                left = 64 + 64 * sent.value.num_rows  # negative cycles must not run forever
-                while queue and left > 0:
-                    cost, node = heapq.heappop(queue)
-                    if cost > least[node]:
-                        continue
-                    for other, hop in near.get(node, ()):
-                        left -= 1
-                        if cost + hop < least.get(other, float("inf")):
-                            least[other] = cost + hop
-                            heapq.heappush(queue, (cost + hop, other))
-                yield pa.RecordBatch.from_arrays([pa.array([source] * len(least), pa.string()), pa.array(list(least), pa.string()), pa.array(list(least.values()), pa.float64())], ["source", "node_id", "cost"])
+                found = search([(s["node_id"], s["cost"]) for s in starts], near)
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array([f[0] for f in found.values()], pa.float64())], ["source", "node_id", "cost"])
 
     return rows.mapInArrow(run, "source string, node_id string, cost double")
 
@@ -144,127 +191,95 @@ def place_distances(t: Topology, from_places: DataFrame, step_free: bool = False
     return total.where("from_place_id <> to_place_id")
 
 
-def search(origins: list[dict], targets: list[dict], adjacency: dict[str, list[dict]]) -> tuple[float, dict, dict, list[dict]] | None:
-    """(total, origin, destination, hops) of the best route. Ties keep what was found first."""
-    least: dict[str, float] = {}
-    start: dict[str, dict] = {}
-    before: dict[str, tuple[str, dict]] = {}
-    joined: dict[str, int] = {}
-    queue: list[tuple[float, int, str]] = []
-    clock = 0
-
-    def offer(node: str, cost: float) -> bool:
-        nonlocal clock
-        if cost >= least.get(node, float("inf")):
-            return False
-        least[node] = cost
-        if node not in joined:  # keeps its place while it waits
-            joined[node] = clock
-            clock += 1
-        heapq.heappush(queue, (cost, joined[node], node))
-        return True
-
-    for o in origins:
-        if offer(o["node_id"], o["cost"]):
-            start[o["node_id"]] = o
-    left = 64 + 64 * sum(map(len, adjacency.values()))  # negative cycles must not run forever
-    while queue and left > 0:
-        cost, order, node = heapq.heappop(queue)
-        if joined.get(node) != order or cost != least[node]:
-            continue
-        del joined[node]
-        for hop in adjacency.get(node, ()):
-            left -= 1
-            if offer(hop["to_node_id"], cost + hop["cost"]):
-                before[hop["to_node_id"]] = (node, hop)
-                start[hop["to_node_id"]] = start[node]
-    best = None
-    for d in targets:
-        if d["node_id"] in least and (best is None or least[d["node_id"]] + d["cost"] < best[0]):
-            best = (least[d["node_id"]] + d["cost"], d)
-    if best is None:
-        return None
-    steps, node, seen = [], best[1]["node_id"], set()
-    while node in before and node not in seen:
-        seen.add(node)
-        node, hop = before[node]
-        steps.append(hop)
-    return best[0], start[best[1]["node_id"]], best[1], steps[::-1]
-
-
 HOP = "struct<from_node_id: string, to_node_id: string, cost: double, kind: string, segment_id: string, instruction: string, floor_id: string, destination_floor_id: string>"
 ROUTE = f"from_place_id string, to_place_id string, step_free boolean, status string, total_cost double, start_node_id string, end_node_id string, origin_access_link_id string, arrival_access_link_id string, origin_instruction string, arrival_instruction string, floor_ids array<string>, traversals array<{HOP}>"
 
 
-def floor_sequence(first: str | None, steps: list[dict], last: str | None) -> list[str]:
-    """Floors in order of passing; only consecutive repeats collapse."""
-    out: list[str] = []
-    for floor in (first, *(f for s in steps for f in (s["floor_id"], s["destination_floor_id"])), last):
-        if floor and (not out or out[-1] != floor):
-            out.append(floor)
-    return out
+OPTION = "struct<cost: double, point_idx: bigint, link_idx: bigint, node_id: string, access_link_id: string, instruction: string>"
+
+
+def options_of(t: Topology, side: str) -> DataFrame:
+    """endpoint_options() with the option as one struct, whose order decides between equal costs."""
+    fields = [F.col(f.split(":")[0]).cast(f.split(": ")[1]) for f in OPTION[7:-1].split(", ")]
+    return endpoint_options(t, side).select("place_id", "node_id", F.struct(*fields).cast(OPTION).alias("option"))
 
 
 def find_routes(t: Topology, requests: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """A row for each request (from_place_id, to_place_id, step_free) with status, cost, floors and hops.
 
-    status: ok, same_place, no_access, no_route or no_step_free_route.
+    status: ok, same_place, no_access, no_route or no_step_free_route. Of equally cheap routes the one with the fewest
+    hops counts, then the first hops; of equally cheap ways in or out the first. A graph within most_broadcast hops is
+    searched in the workers, once for each start; a larger one by joins, with the same result.
     """
-    spark = requests.sparkSession
-    staging = Staging(spark)
+    staging = Staging(requests.sparkSession)
     graph = staging.write(hops(t).withColumn("step_free", F.lit(False)).unionByName(hops(t, True).withColumn("step_free", F.lit(True))))
-    if graph.count() > most_broadcast:
-        return distance_routes(t, requests, most_broadcast)
-    floors = staging.write(last_wins(t.nodes).select("id", "floor_id"))
-    wanted = requests.select("from_place_id", "to_place_id", F.coalesce("step_free", F.lit(False)).alias("step_free"))
-    order = lambda o: F.array_sort(F.collect_list(F.struct("point_idx", "link_idx", "node_id", "cost", "access_link_id", "instruction"))).alias(o)
-    start = endpoint_options(t, "origin").groupBy(F.col("place_id").alias("from_place_id")).agg(order("origins"))
-    end = endpoint_options(t, "destination").groupBy(F.col("place_id").alias("to_place_id")).agg(order("targets"))
-    rows = wanted.join(start, "from_place_id", "left").join(end, "to_place_id", "left").select("from_place_id", "to_place_id", "step_free", "origins", "targets")
-    sent = spark.sparkContext.broadcast((graph.orderBy("ord", "ord2").toArrow(), floors.toArrow()))  # within most_broadcast hops
-    names = [c.strip().split(" ")[0] for c in ROUTE.split(", traversals")[0].split(", ")] + ["traversals"]
+    wanted = staging.write(requests.select("from_place_id", "to_place_id", F.coalesce("step_free", F.lit(False)).alias("step_free")))
+    asked = wanted.select(F.col("from_place_id").alias("place_id"), "step_free").where("place_id is not null").distinct()
+    starts = options_of(t, "origin").join(asked, "place_id").select("step_free", F.col("place_id").alias("source"), "node_id", "option")
+    starts = staging.write(starts.groupBy("step_free", "source", "node_id").agg(F.min("option").alias("option")))
+    seeds = starts.select("step_free", "source", "node_id", F.col("option.cost").alias("cost"))
+    few = graph.count() <= most_broadcast
+    reached = staging.write(local_paths(seeds, graph) if few else relaxed(seeds, graph, True))
+
+    last = options_of(t, "destination").withColumnsRenamed({"place_id": "to_place_id", "option": "last"})
+    targets = wanted.where("from_place_id <> to_place_id").distinct().join(last, "to_place_id").join(reached.withColumnRenamed("source", "from_place_id"), ["step_free", "from_place_id", "node_id"])
+    total = F.struct((F.col("cost") + F.col("last.cost")).alias("total"), F.col("last.point_idx").alias("p"), F.col("last.link_idx").alias("l"), "last", "path", "n")
+    key = ["from_place_id", "to_place_id", "step_free"]
+    best = staging.write(targets.groupBy(*key).agg(F.min(total).alias("b")).select(*key, "b.*"))
+
+    # The hops of each route, and the node that it starts from.
+    names = [f.split(":")[0].strip() for f in HOP[7:-1].split(", ")]
+    steps = best.select(*key, F.posexplode("path").alias("pos", "s")).select(*key, "pos", F.col("s.ord").alias("ord"), F.col("s.ord2").alias("ord2"))
+    steps = steps.join(graph, ["step_free", "ord", "ord2"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*names).alias("hop")))).alias("s"))
+    found = best.join(steps.select(*key, F.transform("s", lambda x: x.hop).cast(f"array<{HOP}>").alias("traversals")), key, "left")
+    found = found.withColumn("traversals", F.coalesce("traversals", F.array().cast(f"array<{HOP}>")))
+    first = F.coalesce(F.get("traversals", F.lit(0)).from_node_id, F.col("last.node_id"))
+    found = found.withColumn("start_node_id", first).join(starts.select("step_free", F.col("source").alias("from_place_id"), F.col("node_id").alias("start_node_id"), F.col("option").alias("first")), ["step_free", "from_place_id", "start_node_id"])
+    floor = last_wins(t.nodes).select("id", "floor_id")
+    found = found.join(renamed(floor, "a_", "id", "floor_id"), F.col("start_node_id") == F.col("a_id"), "left").join(renamed(floor, "b_", "id", "floor_id"), F.col("last.node_id") == F.col("b_id"), "left")
+
+    has = lambda side, name: options_of(t, side).select(F.col("place_id").alias(name), F.lit(True).alias(f"{side}_")).distinct()
+    rows = wanted.join(found, key, "left").join(has("origin", "from_place_id"), "from_place_id", "left").join(has("destination", "to_place_id"), "to_place_id", "left")
+    closed = F.col("origin_").isNull() | F.col("destination_").isNull()
+    status = F.when(F.col("from_place_id") == F.col("to_place_id"), "same_place").when(closed, "no_access").when(F.col("total").isNotNull(), "ok").when(F.col("step_free"), "no_step_free_route").otherwise("no_route")
+    ok = lambda c: F.when(F.col("total").isNotNull(), c)
+    return rows.select(
+        *key, status.alias("status"), F.col("total").alias("total_cost"), ok(F.col("start_node_id")).alias("start_node_id"), F.col("last.node_id").alias("end_node_id"), F.col("first.access_link_id").alias("origin_access_link_id"),
+        F.col("last.access_link_id").alias("arrival_access_link_id"), F.col("first.instruction").alias("origin_instruction"), F.col("last.instruction").alias("arrival_instruction"), ok(floor_sequence()).alias("floor_ids"), "traversals",
+    )
+
+
+def floor_sequence() -> Column:
+    """Floors in order of passing, of a_floor_id, traversals and b_floor_id; only consecutive repeats collapse."""
+    hops_ = F.flatten(F.transform("traversals", lambda h: F.array(h.floor_id, h.destination_floor_id)))
+    every = F.filter(F.concat(F.array("a_floor_id"), hops_, F.array("b_floor_id")), lambda f: f.isNotNull() & (f != ""))
+    pairs = F.arrays_zip(every.alias("here"), F.concat(F.array(F.lit(None).cast("string")), every).alias("before"))
+    return F.transform(F.filter(pairs, lambda p: p["here"].isNotNull() & ~p["here"].eqNullSafe(p["before"])), lambda p: p["here"])
+
+
+def local_paths(seeds: DataFrame, graph: DataFrame) -> DataFrame:
+    """relaxed() with paths, by one search for each (step_free, source) over a graph small enough for a broadcast."""
+    usable = graph.where("from_node_id is not null and to_node_id is not null and cost is not null").orderBy("ord", "ord2")
+    sent = seeds.sparkSession.sparkContext.broadcast(usable.select("step_free", "from_node_id", "to_node_id", "cost", "ord", "ord2").toArrow())  # within most_broadcast hops
+    rows = seeds.groupBy("step_free", "source").agg(F.collect_list(F.struct("node_id", "cost")).alias("starts"))
+    step = pa.struct([("ord", pa.int64()), ("ord2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adjacency: dict[bool, dict[str, list[dict]]] = {False: defaultdict(list), True: defaultdict(list)}
-        for hop in sent.value[0].to_pylist():
-            adjacency[hop["step_free"]][hop["from_node_id"]].append(hop)
-        floor = dict(zip(*(sent.value[1].column(k).to_pylist() for k in range(2))))
-        hop_fields = [c.split(":")[0].strip() for c in HOP[7:-1].split(", ")]
+        near: dict[bool, dict[str, list[tuple]]] = {False: defaultdict(list), True: defaultdict(list)}
+        for free, u, *hop in zip(*(sent.value.column(k).to_pylist() for k in range(6))):
+            near[free][u].append(tuple(hop))
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                base = {n: None for n in names} | {k: r[k] for k in ("from_place_id", "to_place_id", "step_free")}
-                if r["from_place_id"] == r["to_place_id"]:
-                    base["status"] = "same_place"
-                elif not r["origins"] or not r["targets"]:
-                    base["status"] = "no_access"
-                elif (found := search(r["origins"], r["targets"], adjacency[r["step_free"]])) is None:
-                    base["status"] = "no_step_free_route" if r["step_free"] else "no_route"
-                else:
-                    total, o, d, steps = found
-                    base |= {"status": "ok", "total_cost": total, "start_node_id": o["node_id"], "end_node_id": d["node_id"], "origin_access_link_id": o["access_link_id"], "arrival_access_link_id": d["access_link_id"], "origin_instruction": o["instruction"], "arrival_instruction": d["instruction"]}
-                    base |= {"floor_ids": floor_sequence(floor.get(o["node_id"]), steps, floor.get(d["node_id"])), "traversals": [{f: s[f] for f in hop_fields} for s in steps]}
-                out.append(base)
-            text, hop_type = pa.string(), pa.struct([(f, pa.float64() if f == "cost" else pa.string()) for f in hop_fields])
-            types = [text, text, pa.bool_(), text, pa.float64(), *[text] * 6, pa.list_(text), pa.list_(hop_type)]
-            yield pa.RecordBatch.from_arrays([pa.array([o[n] for o in out], k) for n, k in zip(names, types)], names)
-
-    return rows.mapInArrow(run, ROUTE)
-
-
-def distance_routes(t: Topology, requests: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """find_routes() for graphs beyond a broadcast: status and cost by joins, without the hops."""
-    wanted = requests.select("from_place_id", "to_place_id", F.coalesce("step_free", F.lit(False)).alias("step_free"))
-    found = None
-    for free in (False, True):
-        some = place_distances(t, wanted.where(F.col("step_free") == free).select(F.col("from_place_id").alias("place_id")), free, most_broadcast).withColumn("step_free", F.lit(free))
-        found = some if found is None else found.unionByName(some)
-    start = endpoint_options(t).select(F.col("place_id").alias("from_place_id"), F.lit(True).alias("starts")).distinct()
-    end = endpoint_options(t).select(F.col("place_id").alias("to_place_id"), F.lit(True).alias("ends")).distinct()
-    rows = wanted.join(found.withColumnRenamed("cost", "total_cost"), ["from_place_id", "to_place_id", "step_free"], "left").join(start, "from_place_id", "left").join(end, "to_place_id", "left")
-    status = F.when(F.col("from_place_id") == F.col("to_place_id"), "same_place").when(F.col("starts").isNull() | F.col("ends").isNull(), "no_access").when(F.col("total_cost").isNotNull(), "ok").when(F.col("step_free"), "no_step_free_route").otherwise("no_route")
-    typed = {c.split(" ", 1)[0]: c.split(" ", 1)[1] for c in [*ROUTE.split(", traversals")[0].split(", "), f"traversals array<{HOP}>"]}
-    return rows.withColumn("status", status).select(*[F.col(n) if n in ("from_place_id", "to_place_id", "step_free", "status", "total_cost") else F.lit(None).cast(k).alias(n) for n, k in typed.items()])
+            for free, source, starts in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                best = search([(s["node_id"], s["cost"]) for s in starts], near[free])
+                paths: dict[str, list] = {}
+                for node in sorted(best, key=lambda k: best[k][1]):  # by hops: what a path goes on from is known
+                    _, n, by, before = best[node]
+                    paths[node] = [*paths[before], {"ord": by[0], "ord2": by[1]}] if n else []
+                size = len(best)
+                columns = [pa.array([free] * size, pa.bool_()), pa.array([source] * size, pa.string()), pa.array(list(best), pa.string()), pa.array([b[0] for b in best.values()], pa.float64()), pa.array([b[1] for b in best.values()], pa.int32()), pa.array([paths[k] for k in best], pa.list_(step))]
+                yield pa.RecordBatch.from_arrays(columns, ["step_free", "source", "node_id", "cost", "n", "path"])
+
+    return rows.mapInArrow(run, f"step_free boolean, source string, node_id string, cost double, n int, path array<{STEP}>")
 
 
 def directions(routes: DataFrame, places: DataFrame | None = None) -> DataFrame:

@@ -12,8 +12,8 @@ from topolark.operators import route
 from topolark.plans.derived import duckdb_sql
 from topolark.plans.topology import Topology, derive
 
-#: The place that the queries start from, and the last place that whole routes are asked for.
-FROM, LAST = "P4", 60
+#: The place that the queries start from.
+FROM = "P4"
 
 OPTIONS = "opts as (select a.place_id, a.node_id, cast(0 as double) as cost, cast(null as varchar) as access_link_id from access_points a where a.connection = 'network_node' union all select a.place_id, l.node_id, l.cost, l.id from access_points a join links l on l.access_point_id = a.id where a.connection <> 'network_node')"
 EDGE_HOPS = "edge_hops as (select e.from_node_id, e.to_node_id, e.cost, case when s.kind = 'building_connection' then 'building_connection' else 'path' end as kind, e.segment_id, a.floor_id, case when a.floor_id <> b.floor_id then b.floor_id end as destination_floor_id, s.kind as segment_kind, e.wheelchair_accessible as wheel from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id join segments s on s.id = e.segment_id where e.enabled is distinct from false)"
@@ -37,7 +37,7 @@ def costs(name: str, dist: str) -> str:
 
 BASE = f"with {OPTIONS}, {EDGE_HOPS}, {VERTICAL}"
 COSTS = f"{BASE}, {graph(False)}, {graph(True, 'free_hops')}, {reach('dist', 'hops')}, {reach('free_dist', 'free_hops')}, {costs('costs', 'dist')}, {costs('free_costs', 'free_dist')}"
-WANTED = f"wanted as (select id as place_id, free from places cross join (values (false), (true)) f(free) where idx <= {LAST}), known as (select w.place_id, w.free, case when w.free then f.cost else c.cost end as cost, exists (select 1 from opts o where o.place_id = w.place_id) as has from wanted w left join costs c on c.place_id = w.place_id left join free_costs f on f.place_id = w.place_id)"
+WANTED = f"wanted as (select id as place_id, free from places cross join (values (false), (true)) f(free)), known as (select w.place_id, w.free, case when w.free then f.cost else c.cost end as cost, exists (select 1 from opts o where o.place_id = w.place_id) as has from wanted w left join costs c on c.place_id = w.place_id left join free_costs f on f.place_id = w.place_id)"
 STATUS = f"case when place_id = '{FROM}' then 'same_place' when not has then 'no_access' when cost is not null then 'ok' when free then 'no_step_free_route' else 'no_route' end"
 
 
@@ -49,7 +49,7 @@ def told(t: Topology) -> Topology:
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = told(derive(spark, sf_dir))
     free = F.explode(F.array(F.lit(False), F.lit(True)))
-    wanted = t.places.where(F.col("idx") <= LAST).select(F.lit(FROM).alias("from_place_id"), F.col("id").alias("to_place_id"), free.alias("step_free"))
+    wanted = t.places.select(F.lit(FROM).alias("from_place_id"), F.col("id").alias("to_place_id"), free.alias("step_free"))
     return route.find_routes(t, wanted)
 
 
