@@ -1,3 +1,5 @@
+import heapq
+import itertools
 import math
 import random
 
@@ -8,7 +10,7 @@ from fixtures import base, make
 from pyspark.sql import functions as F
 
 from topolark.functions import keys
-from topolark.operators import drawing, grid, network, spatial, suggest, validate
+from topolark.operators import drawing, grid, network, paths, spatial, suggest, validate
 from topolark.sources import project
 
 
@@ -51,7 +53,7 @@ def test_bucketed_joins_match_brute_force(spark):
     walls = spark.createDataFrame(lines, "wall_id long, x1 double, y1 double, x2 double, y2 double")
     met = {(r.hop_id, r.wall_id) for r in spatial.crossing(hops, walls).collect()}
     w = np.array([x[1:] for x in lines])
-    assert met == {(i, j) for i in range(len(lines)) for j in np.flatnonzero(network.meet(w[i, :2], w[i, 2:], w[:, :2], w[:, 2:]))}
+    assert met == {(i, j) for i in range(len(lines)) for j in np.flatnonzero(paths.meet(w[i, :2], w[i, 2:], w[:, :2], w[:, 2:]))}
     assert {(60, 61), (60, 62), (61, 62)} <= met
 
 
@@ -84,15 +86,98 @@ def test_simplification_keeps_corners():
     points = np.array([(0, 0), (5, 0.5), (10, 0), (10, 5), (10, 10)], float)
     assert grid.simplify_points(points, 1.0) == [0, 2, 4]
     assert grid.simplify_points(points[:2], 1.0) == [0, 1]
-    assert network.wall_aware_indices([tuple(p) for p in points], network.Walls(np.array([[4.0, 3.0, 4.0, 9.0]])), 20.0) != [0, 4]
+    assert paths.kept_points([tuple(p) for p in points], paths.Walls(np.array([[4.0, 3.0, 4.0, 9.0]])), 20.0) != [0, 4]
 
 
 def test_paths_go_around_walls():
-    walls = network.Walls(np.array([[30.0, -60.0, 30.0, 60.0]]))
-    path = network.walking_path((0.0, 0.0), (60.0, 0.0), walls)
-    assert path[0] == (0.0, 0.0) and path[-1] == (60.0, 0.0) and network.length_of(path) > 120
+    lines = np.array([[30.0, -60.0, 30.0, 60.0]])
+    walls = paths.Walls(lines)
+    path = paths.simplified(paths.walk((0.0, 0.0), (60.0, 0.0), lines), walls)
+    assert path[0] == (0.0, 0.0) and path[-1] == (60.0, 0.0) and paths.length_of(path) > 120
     assert not any(walls.crosses(a, b) for a, b in zip(path, path[1:]))
-    assert network.walking_path((0.0, 0.0), (60.0, 0.0), network.Walls(np.zeros((0, 4)))) == [(0.0, 0.0), (60.0, 0.0)]
+    assert paths.simplified(paths.walk((0.0, 0.0), (60.0, 0.0), np.zeros((0, 4))), paths.Walls(np.zeros((0, 4)))) == [(0.0, 0.0), (60.0, 0.0)]
+
+
+def cheapest(start, end, lines, ring=None, factor=1.0):
+    """Cost of the cheapest way between the entry cells, by Dijkstra over a dictionary."""
+    s, g = (tuple(map(int, paths.entry(p, lines))) for p in (start, end))
+    walls, best, queue, done = paths.Walls(lines), {s: 0.0}, [(0.0, s)], set()
+    every = np.concatenate((lines.reshape(-1, 2), [start, end], ring or [start])) / paths.CELL
+    low, high = np.floor(every.min(0)) - 4, np.ceil(every.max(0)) + 4
+    while queue:
+        cost, u = heapq.heappop(queue)
+        if u == g:
+            return cost
+        if u in done:
+            continue
+        done.add(u)
+        for i, j in itertools.product((-1, 0, 1), repeat=2):
+            v = (u[0] + i, u[1] + j)
+            if v == u or not (low[0] <= v[0] <= high[0] and low[1] <= v[1] <= high[1]) or walls.crosses((u[0] * 6.0, u[1] * 6.0), (v[0] * 6.0, v[1] * 6.0)):
+                continue
+            toll = factor if ring and not paths.inside(np.array(v) * 6.0, ring) else 1.0
+            if (more := cost + 6.0 * math.hypot(i, j) * toll) < best.get(v, math.inf):
+                best[v] = more
+                heapq.heappush(queue, (more, v))
+    return None
+
+
+@pytest.mark.parametrize("factor", [1.0, 25.0])
+def test_walks_are_the_cheapest(factor):
+    rng = np.random.default_rng(6)
+    ring = [(10.0, 10.0), (110.0, 20.0), (100.0, 60.0), (50.0, 40.0), (20.0, 110.0)] if factor > 1 else None
+    found = 0
+    for _ in range(8):
+        lines = rng.uniform(0, 120, (25, 4))
+        lines[:, 2:] = lines[:, :2] + rng.uniform(-40, 40, (25, 2))
+        start, end = (tuple(map(float, rng.uniform(0, 120, 2))) for _ in range(2))
+        if paths.entry(start, lines) is None or paths.entry(end, lines) is None:
+            assert paths.walk(start, end, lines, ring, factor) is None
+            continue
+        walk, cost = paths.walk(start, end, lines, ring, factor), cheapest(start, end, lines, ring, factor)
+        assert (walk is None) == (cost is None)
+        if walk and len(walk) > 2:
+            cells = [np.array(p) for p in walk if paths.entry(p, np.zeros((0, 4))) is not None and all(v % 6 == 0 for v in p)]
+            tolls = [factor if ring and not paths.inside(c, ring) else 1.0 for c in cells[1:]]
+            assert sum(t * float(np.hypot(*(b - a))) for a, b, t in zip(cells, cells[1:], tolls)) == pytest.approx(cost)
+            found += 1
+    assert found > 3
+
+
+def test_rooms_find_their_doors(spark):
+    """Each room's door by brute force: the shortest of the walks to all doors of the drawing."""
+    rng = np.random.default_rng(7)
+    rooms = [("d", f"r{k}", *map(float, rng.uniform(0, 300, 2))) for k in range(25)]
+    doors = [("d", f"p{k}", *map(float, rng.uniform(0, 300, 2))) for k in range(12)]
+    lines = rng.uniform(0, 300, (40, 4))
+    lines[:, 2:] = lines[:, :2] + rng.uniform(-50, 50, (40, 2))
+    walls = spark.createDataFrame([("d", k, *map(float, w)) for k, w in enumerate(lines)], "drawing_id string, idx long, x1 double, y1 double, x2 double, y2 double")
+    point = "drawing_id string, {} string, x double, y double"
+    out = network.room_doors(spark.createDataFrame(rooms, point.format("id")), spark.createDataFrame(doors, point.format("door")), walls).collect()
+    found, boxed = {r.id: (r.door, round(r.length, 6)) for r in out}, paths.Walls(lines)
+    expected = {}
+    for _, room, x, y in rooms:
+        best = None
+        for _, door, u, v in sorted(doors, key=lambda d: math.dist((x, y), d[2:]))[:8]:
+            walk = paths.simplified(paths.walk((x, y), (u, v), lines), boxed)
+            if walk and (best is None or paths.length_of(walk) < best[0]):
+                best = (paths.length_of(walk), door, math.dist((x, y), (u, v)))
+        if best and best[0] <= 100 and best[0] <= 2.2 * max(best[2], 1):
+            expected[room] = (best[1], round(best[0], 6))
+    assert found == expected and len(found) > 5
+
+
+def test_graph_of_a_floor(spark):
+    """Two rooms on either side of a wall with a door in it: both reach the door, waypoints lie between."""
+    rooms = spark.createDataFrame([("d", "a", 20.0, 30.0), ("d", "b", 90.0, 30.0)], "drawing_id string, id string, x double, y double")
+    lines = [("line", "ARCH|A-WALL", 50.0, 0.0, 50.0, 25.0), ("line", "ARCH|A-WALL", 50.0, 40.0, 50.0, 90.0), ("curve", "ARCH|A-DOOR", 50.0, 30.0, 50.0, 34.0), ("curve", "ARCH|A-DOOR", 140.0, 30.0, 140.0, 34.0)]
+    segments = spark.createDataFrame([("d", k, t, x1, y1, x2, y2, layer) for k, (t, layer, x1, y1, x2, y2) in enumerate(lines)], "drawing_id string, idx long, type string, x1 double, y1 double, x2 double, y2 double, layer string")
+    edges = network.auto_graph(rooms, segments).collect()
+    ends = {r.from_node for r in edges} | {r.to_node for r in edges}
+    assert {"a", "b", "d-door-0", "d-door-1"} <= ends and {r.type for r in edges} == {"door", "corridor"}
+    assert all(r.weight > 0 for r in edges)
+    lonely = network.auto_graph(rooms, segments.where("type = 'line'")).collect()
+    assert [(r.from_node, r.to_node, r.weight, r.type) for r in lonely] == [("a", "b", 70.0, "corridor")]
 
 
 def test_spanning_trees():
@@ -100,9 +185,9 @@ def test_spanning_trees():
     nodes = [(f"n{k}", *map(float, rng.uniform(0, 100, 2))) for k in range(25)]
     at = {n[0]: n[1:] for n in nodes}
     total = lambda pairs: sum(math.dist(at[a], at[b]) for a, b in pairs)
-    plain, aware = network.plain_tree(nodes), network.wall_tree(nodes, network.Walls(np.zeros((0, 4))))
+    plain, aware = network.plain_tree(nodes), network.wall_tree(nodes, paths.Walls(np.zeros((0, 4))))
     assert len(plain) == len(aware) == 24 and total(plain) == pytest.approx(total(aware))
-    split = network.wall_tree([("a", 0.0, 0.0), ("b", 60.0, 0.0), ("c", 0.0, 90.0)], network.Walls(np.array([[30.0, -50.0, 30.0, 50.0]])), 1.0)
+    split = network.wall_tree([("a", 0.0, 0.0), ("b", 60.0, 0.0), ("c", 0.0, 90.0)], paths.Walls(np.array([[30.0, -50.0, 30.0, 50.0]])), 1.0)
     assert len(split) == 2 and ("a", "c") in split
 
 

@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 from topolark.functions import geometry
 from topolark.operators import drawing, grid, network, spatial
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.q_select import LABELS, MEET, QUADS, bare, drawn, drawn_sql, polygon_cells, quads, rooms
+from topolark.plans.q_select import LABELS, MEET, QUADS, WALLS, bare, drawn, polygon_cells, quads, rooms
 
 
-def some_rooms(s: SparkSession, d: str) -> DataFrame:
-    """Rooms of two small drawings, near their walls' start."""
-    return drawn(s, d, "dlabels", 64).where("drawing_id in ('D3', 'D8') and idx % 3 = 0").select("drawing_id", "idx", F.concat(F.lit("R"), F.col("idx").cast("string")).alias("id"), "x", "y", F.lit("room").alias("type"))
+#: Labels and walls start at the same places, so rooms stand beside them.
+ASIDE = (7.0, 11.0)
 
 
-def some_walls(s: SparkSession, d: str) -> DataFrame:
-    rows = drawn(s, d, "walls", 64).where("drawing_id in ('D3', 'D8')")
-    return rows.withColumn("layer", F.when(F.col("type") == "curve", "ARCH|A-DOOR").otherwise(F.col("layer")))
+def placed(s: SparkSession, d: str) -> DataFrame:
+    return drawn(s, d, "dlabels", 16).select("drawing_id", "idx", F.concat(F.lit("R"), F.col("idx").cast("string")).alias("id"), (F.col("x") + ASIDE[0]).alias("x"), (F.col("y") + ASIDE[1]).alias("y"))
+
+
+def planned(s: SparkSession, d: str) -> DataFrame:
+    """Walls of sixteen drawings, whose curves are doors."""
+    return drawn(s, d, "walls", 16).withColumn("layer", F.when(F.col("type") == "curve", "ARCH|A-DOOR").otherwise(F.col("layer")))
 
 
 def lift_walls(s: SparkSession, d: str) -> DataFrame:
@@ -55,35 +58,51 @@ def lines(s: SparkSession, d: str) -> DataFrame:
     return drawn(s, d, "dlabels").select("drawing_id", (F.col("idx") % 5).cast("int").alias("run"), F.col("idx").cast("int").alias("pos"), F.col("idx").cast("double").alias("x"), ((F.col("idx") * 37) % 11).cast("double").alias("y"))
 
 
-def paths(s: SparkSession, d: str) -> DataFrame:
-    """Walks between rooms of a drawing: length, and whether any piece crosses a wall."""
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        walls = network.Walls(right[["x1", "y1", "x2", "y2"]].to_numpy(float))
-        at, out = left.sort_values("idx")[["idx", "x", "y"]].to_numpy(float)[:4], []
-        for a, b in zip(at, at[1:]):
-            path = network.walking_path(tuple(a[1:]), tuple(b[1:]), walls)
-            if path:
-                crossed = any(walls.crosses(p, q) for p, q in zip(path[1:-1], path[2:-1]))
-                out.append((key[0], int(a[0]), int(b[0]), round(network.length_of(path), 3), crossed))
-        return pd.DataFrame(out, columns=["drawing_id", "a", "b", "length", "crossed"])
+def nearest_rooms(s: SparkSession, d: str) -> DataFrame:
+    """Each room with the nearest other room of its drawing: drawing_id, id, x, y, tx, ty."""
+    a = placed(s, d)
+    b = a.select("drawing_id", F.col("id").alias("other"), F.col("x").alias("rx"), F.col("y").alias("ry"))
+    near = spatial.within(a, b, network.REACH_ROOM, ("drawing_id",)).where("id <> other")
+    best = near.groupBy("drawing_id", "id", "x", "y").agg(F.min(F.struct("far", "other", "rx", "ry")).alias("n"))
+    return best.select("drawing_id", "id", "x", "y", F.col("n.rx").alias("tx"), F.col("n.ry").alias("ty"))
+
+
+def walked(s: SparkSession, d: str) -> DataFrame:
+    """Walks between neighbouring rooms: number of points and length."""
+    found = network.short_walks(nearest_rooms(s, d), drawing.barrier_lines(planned(s, d))).where("path is not null")
+    return found.select("drawing_id", "id", F.size("path").alias("points"), F.round(geometry.path_length(F.col("path")), 3).alias("length"))
+
 
-    left, right = some_rooms(s, d).select("drawing_id", "idx", "x", "y"), drawing.barrier_lines(some_walls(s, d)).select("drawing_id", "x1", "y1", "x2", "y2")
-    return left.groupBy("drawing_id").cogroup(right.groupBy("drawing_id")).applyInPandas(one, "drawing_id string, a long, b long, length double, crossed boolean")
+def doors_of_rooms(s: SparkSession, d: str) -> DataFrame:
+    doors = network.door_points(planned(s, d)).select("drawing_id", F.col("cluster").cast("string").alias("door"), "x", "y")
+    found = network.room_doors(placed(s, d), doors, drawing.structural_lines(planned(s, d)))
+    return found.select("drawing_id", "id", "door", F.round("length", 3).alias("length"))
 
 
 def trees(s: SparkSession, d: str, aware: bool) -> DataFrame:
-    """Edges of each drawing's spanning tree."""
+    """Edges of each drawing's spanning tree over all rooms."""
     def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        nodes = [(r.id, r.x, r.y) for r in left.sort_values("idx").itertuples()][:40]
+        nodes = [(r.id, r.x, r.y) for r in left.sort_values("idx").itertuples()]
         pairs = network.wall_tree(nodes, network.Walls(right[["x1", "y1", "x2", "y2"]].to_numpy(float))) if aware else network.plain_tree(nodes)
         return pd.DataFrame([(key[0], a, b) for a, b in pairs], columns=["drawing_id", "a", "b"])
 
-    left, right = some_rooms(s, d).select("drawing_id", "idx", "id", "x", "y"), drawing.barrier_lines(some_walls(s, d)).select("drawing_id", "x1", "y1", "x2", "y2")
+    left, right = placed(s, d), drawing.barrier_lines(planned(s, d)).select("drawing_id", "x1", "y1", "x2", "y2")
     return left.groupBy("drawing_id").cogroup(right.groupBy("drawing_id")).applyInPandas(one, "drawing_id string, a string, b string")
 
 
-def nearest_doors(s: SparkSession, d: str) -> DataFrame:
-    return network.auto_graph(some_rooms(s, d), some_walls(s, d)).where("type = 'door'")
+def graph(s: SparkSession, d: str) -> DataFrame:
+    return network.auto_graph(placed(s, d), planned(s, d))
+
+
+def segments(s: SparkSession, d: str, aside: float, name: str, *ends: str) -> DataFrame:
+    """All walls of eight drawings as lines of four named ends, moved aside in x."""
+    rows = drawn(s, d, "walls")
+    moved = [(F.col(c) + (aside if c[0] == "x" else 0.0)).alias(e) for c, e in zip(("x1", "y1", "x2", "y2"), ends)]
+    return rows.select("drawing_id", F.col("idx").alias(name), *moved)
+
+
+CROSSED = f"a as (select drawing_id, idx as hop_id, x1+7 ax, y1 ay, x2+7 bx, y2 bz from {WALLS}), w as (select drawing_id, idx as wall_id, x1, y1, x2, y2 from {WALLS})"
+ENDS = ", ".join(f"sqrt(pow({p}-x{k},2)+pow({q}-y{k},2))" for p, q in (("ax", "ay"), ("bx", "bz")) for k in (1, 2))
 
 
 def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
@@ -99,18 +118,21 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "gph5": (lambda s, d: network.mark_vertical(typed(s, d), lift_walls(s, d), positions(s, d)).select("drawing_id", "idx", "type"), None),
         "gph6": (lambda s, d: network.mark_lifts(typed(s, d), lift_walls(s, d)).select("drawing_id", "idx", "type"), None),
         "gph8": q(lambda s, d: network.vertical_positions(drawn(s, d, "dlabels").withColumn("text", F.when(F.col("idx") % 20 == 0, " Stairway ").when(F.col("idx") % 20 == 1, "Elevator").otherwise(F.col("text"))), s.createDataFrame([(f"D{k}", 2.0, float(k), 0.5, -1.0) for k in range(8)], "drawing_id string, scale_x double, offset_x double, scale_y double, offset_y double"), {"Stairway": "stair", "Elevator": "elevator"}), f"select drawing_id, idx as ord, case when idx%20=0 then 'stair' else 'elevator' end as kind, 2*x + cast(substr(drawing_id, 2) as double) as x, 0.5*y - 1 as y from {LABELS} where idx%20 < 2"),
-        "gph9": (paths, None),
-        "gph10": (nearest_doors, None),
+        "gph9": (walked, None),
+        "gph10": (doors_of_rooms, None),
         "gph11": (lambda s, d: trees(s, d, False), None),
         "gph12": (lambda s, d: trees(s, d, True), None),
-        "gph13": (lambda s, d: network.auto_graph(some_rooms(s, d), some_walls(s, d)).where("from_node like '%-wp-%' or to_node like '%-wp-%'"), None),
-        "gph14": (lambda s, d: network.auto_graph(some_rooms(s, d), some_walls(s, d)), None),
+        "gph13": (lambda s, d: network.waypoints(graph(s, d)), None),
+        "gph14": (lambda s, d: graph(s, d).drop("x", "y"), None),
         "gph16": q(lambda s, d: network.pathway_records(lines(s, d).withColumns({"page_width": F.lit(1224.0), "page_height": F.lit(5.0)})).select("drawing_id", "pos", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "confidence"), f"select drawing_id, cast(idx as int) as pos, round(greatest(0, least(1000, idx*1000/1224)), 6) as x, round(greatest(0.0, least(1000.0, ((idx*37)%11)*1000/5)), 6) as y, 1.0::double as confidence from {LABELS}"),
         "geo4": q(
-            lambda s, d: spatial.crossing(drawn(s, d, "walls", 2).where("idx % 3 = 0").select("drawing_id", F.col("idx").alias("hop_id"), F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by")), drawn(s, d, "walls", 2).where("idx % 3 = 1").select("drawing_id", F.col("idx").alias("wall_id"), "x1", "y1", "x2", "y2"), ("drawing_id",)),
-            f"with a as (select drawing_id, idx as hop_id, x1 ax, y1 ay, x2 bx, y2 bz from {drawn_sql('walls', 2)} where idx%3=0), w as (select drawing_id, idx as wall_id, x1, y1, x2, y2 from {drawn_sql('walls', 2)} where idx%3=1) select a.drawing_id, hop_id, wall_id from a join w on a.drawing_id = w.drawing_id and ({MEET})",
+            lambda s, d: spatial.crossing(segments(s, d, 7.0, "hop_id", "ax", "ay", "bx", "by"), segments(s, d, 0.0, "wall_id", "x1", "y1", "x2", "y2"), ("drawing_id",)),
+            f"with {CROSSED} select a.drawing_id, hop_id, wall_id from a join w on a.drawing_id = w.drawing_id and ({MEET})",
+        ),
+        "geo5": q(
+            lambda s, d: spatial.crossing(segments(s, d, 7.0, "hop_id", "ax", "ay", "bx", "by"), segments(s, d, 0.0, "wall_id", "x1", "y1", "x2", "y2"), ("drawing_id",), ignore=12.0),
+            f"with {CROSSED} select a.drawing_id, hop_id, wall_id from a join w on a.drawing_id = w.drawing_id and ({MEET}) where least({ENDS}) > 12",
         ),
-        "geo5": (lambda s, d: network.auto_graph(some_rooms(s, d), some_walls(s, d)).groupBy("drawing_id", "type").agg(F.count("*").alias("edges")), None),
         "geo6": q(lambda s, d: polygon_cells(s, d).groupBy("drawing_id", "poly_id").agg(F.count("*").alias("inside")), f"with {QUADS}, h as (select l.drawing_id, l.idx, r.poly_id from {LABELS} l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, l.x, l.y, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1) select drawing_id, poly_id, count(*) as inside from h group by all"),
         "geo7": q(lambda s, d: drawn(s, d, "walls").select("idx", F.round(geometry.line_distance(F.lit(600.0), F.lit(400.0), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6).alias("far")), "select idx, round(case when x1=x2 and y1=y2 then sqrt(pow(600-x1,2)+pow(400-y1,2)) else abs((x2-x1)*(y1-400)-(x1-600)*(y2-y1))/sqrt(pow(x2-x1,2)+pow(y2-y1,2)) end, 6) as far from walls"),
         "geo8": (lambda s, d: grid.simplify(lines(s, d), 4.0), None),
