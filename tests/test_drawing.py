@@ -61,7 +61,7 @@ def test_morphology_and_components(spark):
     block = [("d", x, y) for x in range(10) for y in range(6)] + [("d", 30, 30), ("e", 0, 0)]
     m = spark.createDataFrame(block, "drawing_id string, cx int, cy int")
     cells = lambda df: {tuple(r) for r in df.select("drawing_id", "cx", "cy").collect()}
-    offsets = grid.disc(2)
+    offsets = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4]
     wide = {(d, x + dx, y + dy) for d, x, y in block for dx, dy in offsets}
     assert cells(grid.dilate(m, 2)) == wide
     assert cells(grid.erode(m, 2)) == {c for c in block if all((c[0], c[1] + dx, c[2] + dy) in set(block) for dx, dy in offsets)}
@@ -70,6 +70,19 @@ def test_morphology_and_components(spark):
     assert cells(grid.touching(m, seeds)) == {c for c in block if c[0] == "d" and c[1] < 30}
 
 
+@pytest.mark.parametrize("radius", [1, 2, 4])
+def test_discs_by_rows_match_brute_force(spark, radius):
+    rng = np.random.default_rng(9)
+    mask = {(int(x), int(y)) for x, y in rng.integers(0, 25, (260, 2))}
+    m = spark.createDataFrame([("d", x, y) for x, y in mask], "drawing_id string, cx int, cy int")
+    disc = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if i * i + j * j <= radius * radius]
+    cells = lambda rows: {(r.cx, r.cy) for r in rows.collect()}
+    wide = cells(grid.dilate(m, radius))
+    assert wide == {(x + i, y + j) for x, y in mask for i, j in disc}
+    assert cells(grid.erode(m, radius)) == {p for p in mask if all((p[0] + i, p[1] + j) in mask for i, j in disc)}
+    assert cells(grid.close(m, radius)) == {p for p in wide if all((p[0] + i, p[1] + j) in wide for i, j in disc)}
+
+
 def test_thinning_and_tracing_of_a_cross(spark):
     cross = {(x, y) for x in range(80) for y in range(38, 43)} | {(x, y) for x in range(38, 43) for y in range(80)}
     m = spark.createDataFrame([("d", x, y) for x, y in cross], "drawing_id string, cx int, cy int")
@@ -238,12 +251,77 @@ def test_project_round_trip(spark, tmp_path):
         project.read_project(spark, str(tmp_path / "bad.json"))
 
 
-def test_service_checks():
-    for media, size, status in (("text/plain", 5, 415), ("application/pdf", 0, 400)):
-        with pytest.raises(project.ServiceError) as e:
-            project.check_upload(media, size)
-        assert e.value.status == status
-    project.check_upload("application/pdf", 9)
+def test_service_checks(spark):
+    cases = [("a.txt", "text/plain", 5, 415), ("a.PDF", "text/plain", 5, None), ("a", "application/pdf", 0, 400), (None, None, 0, 415), ("x.pdf", None, None, 400)]
+    rows = spark.createDataFrame([c[:3] for c in cases], "name string, kind string, size int").select("*", project.refusal(F.col("name"), F.col("kind"), F.col("size")).alias("r")).collect()
+    assert {(r.name, r.kind, r["size"]): r.r and r.r.status for r in rows} == {c[:3]: c[3] for c in cases}
+    for name, kind, size, status in cases[:4]:
+        if status is None:
+            project.check_upload(name, kind, size)
+        else:
+            with pytest.raises(project.ServiceError) as e:
+                project.check_upload(name, kind, size)
+            assert e.value.status == status
+
+
+def test_levels_of_file_names(spark):
+    cases = {"Main-Floor-12.pdf": "12", "level_3a plan.PNG": "3A", "site-a-esim-map.pdf": "A", "north 12 west 7.pdf": "7", "x.tif": "?", "HALL fl9.pdf": "9", "roof2b.pdf": "2B", "a-esim.pdf": "?", "floor--3.pdf": "3", "floor x-y floor": "Y", "b floor_z level": "Z"}
+    df = spark.createDataFrame([(n,) for n in cases], "n string").select("n", project.guess_level(F.col("n"), F.lit("?")).alias("level"))
+    assert {r.n: r.level for r in df.collect()} == cases
+
+
+def test_nearest_doors_look_further(spark):
+    rng = np.random.default_rng(5)
+    rooms = [("d", k, *map(float, rng.uniform(0, 900, 2))) for k in range(40)] + [("e", 1, 0.0, 0.0), ("f", 1, 5.0, 5.0)]
+    doors = [("d", k, *map(float, rng.uniform(0, 900, 2))) for k in range(30)] + [("e", 9, 4000.0, 0.0)]
+    found = {}
+    point = "drawing_id string, {} long, x double, y double"
+    for r in drawing.door_candidates(spark.createDataFrame(rooms, point.format("room_id")), spark.createDataFrame(doors, point.format("door_id")), 4).collect():
+        found.setdefault((r.drawing_id, r.room_id), []).append((r["rank"], r.door_id))
+    for name, k, x, y in rooms:
+        near = sorted((math.dist((x, y), p[2:]), p[1]) for p in doors if p[0] == name)[:4]
+        assert sorted(found.get((name, k), [])) == [(n + 1, i) for n, (_, i) in enumerate(near)]
+
+
+def test_traced_runs_cover_a_drawing():
+    """Two squares tied by a bar, a free ring, a spur and a lone cell."""
+    square = lambda x, n: {(x + i, j) for i in range(n) for j in (0, n - 1)} | {(x + i, j) for i in (0, n - 1) for j in range(n)}
+    ring, tied = {(x, s * (12 - abs(x))) for x in range(-12, 13) for s in (1, -1)}, square(100, 12) | square(140, 12) | {(x, 5) for x in range(111, 141)}
+    runs = grid.trace_cells(ring | tied | {(300, 0)} | {(400 + k, 0) for k in range(10)} | {(500 + k, 0) for k in range(30)})
+    covered = {c for run in runs for c in run}
+    assert ring | tied <= covered | {(300, 0)} and not covered & ({(300, 0)} | {(400 + k, 0) for k in range(10)}) and {(500 + k, 0) for k in range(30)} <= covered
+    assert all(max(abs(a - c), abs(b - d)) == 1 for run in runs for (a, b), (c, d) in zip(run, run[1:]))
+    assert sum(run[0] in ring for run in runs) == 1 and len(next(run for run in runs if run[0] in ring)) == len(ring)
+
+
+def test_simplification_around_walls_by_rows(spark):
+    rng = np.random.default_rng(8)
+    lines = [("d", run, k, 10.0 * k, float(rng.uniform(0, 12))) for run in range(6) for k in range(25)]
+    walls = [("d", k, *map(float, (x, y, x + 8, y + 6))) for k, (x, y) in enumerate(rng.uniform((0, -5), (240, 12), (30, 2)))]
+    df = spark.createDataFrame(lines, "drawing_id string, run int, pos int, x double, y double")
+    out = network.simplify_around_walls(df, spark.createDataFrame(walls, "drawing_id string, idx long, x1 double, y1 double, x2 double, y2 double"), 12.0).collect()
+    boxed = paths.Walls(np.array([w[2:] for w in walls]))
+    for run in range(6):
+        points = [r[3:] for r in lines if r[1] == run]
+        assert sorted(r.pos for r in out if r.run == run) == paths.kept_points(points, boxed, 12.0)
+
+
+def test_hallways_from_a_painted_corridor(spark):
+    text = "drawing_id string, text string, x double, y double"
+    labels = spark.createDataFrame([("a", grid.CORRIDOR, 50.0, 50.0), ("b", grid.CORRIDOR, 50.0, 50.0), ("b", "Lab", 50.0, 50.0), ("b", "Lab", 52.0, 50.0), ("c", "Lab", 5.0, 5.0), ("e", grid.CORRIDOR, 50.0, 50.0)], text)
+    fills = spark.createDataFrame([(n, "k", 40.0, 40.0, 60.0, 60.0, 0.5, 0.5, 0.5) for n in "abe"], "drawing_id string, color string, x0 double, y0 double, x1 double, y1 double, r double, g double, b double")
+    pixels = spark.createDataFrame([("a", x, y, 128, 120, 128) for x in range(0, 400) for y in range(90, 130)] + [("a", x, 300, 0, 0, 0) for x in range(300)] + [("e", 1, 1, 128, 128, 128)], "drawing_id string, x int, y int, r int, g int, b int")
+    lines = grid.hallway_suggestions(grid.corridor_cells(labels, fills, grid.pixel_cells(pixels, 6)), 6.0, 1224.0, 792.0)
+    found = lines.collect()
+    assert {r.drawing_id for r in found} == {"a"} and len(found) >= 2 and all(0 <= r.x <= 0.34 and 0.1 < r.y < 0.18 for r in found)
+    assert {r.drawing_id: r.warning for r in grid.hallway_warnings(labels, fills, lines).collect()} == {"b": grid.NO_FILL, "c": grid.NO_FILL, "e": grid.NO_LINES}
+
+
+def test_walkable_rooms(spark):
+    room = spark.createDataFrame([("d", 1, [(0.0, 0.0), (100.0, 0.0), (100.0, 60.0), (0.0, 60.0)])], "drawing_id string, poly_id long, points array<struct<x: double, y: double>>")
+    table = spark.createDataFrame([("d", 48.0, 30.0, 52.0, 30.0)], "drawing_id string, x1 double, y1 double, x2 double, y2 double")
+    cells = {(r.cx, r.cy) for r in grid.walkable_room_cells(room, table, 1.0).collect()}
+    assert (20, 30) in cells and (50, 30) not in cells and (50, 33) not in cells and (50, 35) in cells and (0, 0) not in cells
 
 
 def test_greedy_matching_is_one_to_one(spark):

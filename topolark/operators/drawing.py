@@ -5,10 +5,13 @@ Drawings are told apart by ``drawing_id``; every operator works on all of them a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from topolark.functions.geometry import cells_of_box
+from topolark.functions.geometry import cells_of_box, in_polygon
+from topolark.functions.staging import Staging
 from topolark.operators.spatial import within
 
 #: Fixed layer names of the drawings' CAD export.
@@ -44,7 +47,11 @@ def leader_ticks(segments: DataFrame) -> DataFrame:
     return rows.where("type = 'line'").where(~F.col("has_leader") | on_leader).where((dx > 3) & (dy > 3) & (length >= 10) & (length <= 30))
 
 
-def pixels_near(pixels: DataFrame, r: int, g: int, b: int, tolerance: int = 18) -> DataFrame:
+#: How far a channel (0 to 255) of a pixel may be from a fill's.
+PIXEL_TOLERANCE = 18
+
+
+def pixels_near(pixels: DataFrame, r: int, g: int, b: int, tolerance: int = PIXEL_TOLERANCE) -> DataFrame:
     """Pixels each of whose channels is within the tolerance of a color."""
     return pixels.where((F.abs(F.col("r") - r) <= tolerance) & (F.abs(F.col("g") - g) <= tolerance) & (F.abs(F.col("b") - b) <= tolerance))
 
@@ -204,12 +211,49 @@ def cut_openings(walls: DataFrame, doors: DataFrame, radius: float = 20.0) -> Da
     return cut.drop("sq").unionByName(untouched)
 
 
-def door_candidates(rooms: DataFrame, doors: DataFrame, k: int = 8) -> DataFrame:
-    """The k nearest doors (drawing_id, room_id, door_id, far, rank) of each room."""
-    pairs = rooms.select("drawing_id", "room_id", "x", "y").join(doors.select("drawing_id", "door_id", F.col("x").alias("dx"), F.col("y").alias("dy")), "drawing_id")
-    pairs = pairs.withColumn("far", F.sqrt((F.col("x") - F.col("dx")) ** 2 + (F.col("y") - F.col("dy")) ** 2))
+def door_candidates(rooms: DataFrame, doors: DataFrame, k: int = 8, radius: float = 50.0) -> DataFrame:
+    """The k nearest doors (drawing_id, room_id, door_id, far, rank) of each room, all if its drawing has fewer.
+
+    Doors are joined within a radius by buckets; only the rooms that lack some look further, each time twice as far.
+    """
+    staging = Staging(rooms.sparkSession)
+    at = staging.write(doors.select("drawing_id", "door_id", F.col("x").alias("rx"), F.col("y").alias("ry")))
+    total = at.groupBy("drawing_id").agg(F.least(F.count("*"), F.lit(k)).alias("enough"))
+    left, done = staging.write(rooms.select("drawing_id", "room_id", "x", "y").join(total, "drawing_id")), []
     rank = F.row_number().over(Window.partitionBy("drawing_id", "room_id").orderBy("far", "door_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("drawing_id", "room_id", "door_id", "far", "rank")
+    while not left.isEmpty():
+        near = within(left, at, radius, ("drawing_id",)).withColumn("rank", rank).where(F.col("rank") <= k)
+        near = near.withColumn("n", F.count("*").over(Window.partitionBy("drawing_id", "room_id"))).where("n = enough")
+        done.append(staging.write(near.select("drawing_id", "room_id", "door_id", "far", "rank")))
+        left = staging.write(left.join(done[-1].select("drawing_id", "room_id").distinct(), ["drawing_id", "room_id"], "left_anti"))
+        radius *= 2
+    return reduce(DataFrame.unionByName, done) if done else within(left, at, radius, ("drawing_id",)).select("drawing_id", "room_id", "door_id", "far", F.lit(0).alias("rank"))
+
+
+def enclosing(points: DataFrame, outlines_: DataFrame, size: float = 64.0) -> DataFrame:
+    """Pairs of points (drawing_id, x, y, ...) and outlines (drawing_id, poly_id, points) around them, by buckets."""
+    low, high = (lambda f: F.array_min(F.transform("points", lambda p: p[f]))), (lambda f: F.array_max(F.transform("points", lambda p: p[f])))
+    a = outlines_.withColumn("c_", F.explode(cells_of_box(low("x"), low("y"), high("x"), high("y"), size)))
+    b = points.withColumn("c_", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")))
+    return a.join(b, ["drawing_id", "c_"]).where(in_polygon(F.col("x"), F.col("y"), F.col("points"))).drop("c_")
+
+
+def overlay_shapes(labels: DataFrame, fills: DataFrame, categories: dict[str, str], fits: DataFrame) -> DataFrame:
+    """Fills to draw over the base drawing: drawing_id, category, color and the box x0, y0, x1, y1 in its coordinates.
+
+    categories: label to category. A label's color counts if no other label of the drawing has it. Boxes come through
+    fits (drawing_id, scale_x, offset_x, scale_y, offset_y); thin ones are widened.
+    """
+    kind = F.create_map(*[F.lit(x) for pair in categories.items() for x in pair])
+    owned = unshared_colors(dominant_fill(labels, fills)).withColumn("category", kind[F.col("label")]).where("category is not null")
+    rows = fills.join(owned.select("drawing_id", "color", "category"), ["drawing_id", "color"]).join(fits, "drawing_id")
+    ends = {c: F.col(f"scale_{c[0]}") * F.col(c) + F.col(f"offset_{c[0]}") for c in ("x0", "x1", "y0", "y1")}
+    rows = rows.withColumns({f"t{c}": v for c, v in ends.items()})
+    box = {f"{a}{k}": f("t" + a + "0", "t" + a + "1") for a in "xy" for k, f in ((0, F.least), (1, F.greatest))}
+    rows = rows.select("drawing_id", "category", "color", *[v.alias(c) for c, v in box.items()])
+    thin = (F.col("x1") - F.col("x0") < 0.4) | (F.col("y1") - F.col("y0") < 0.4)
+    more = F.when(thin, 0.3).otherwise(0.0)
+    return rows.withColumns({"x0": F.col("x0") - more, "y0": F.col("y0") - more, "x1": F.col("x1") + more, "y1": F.col("y1") + more})
 
 
 def outlines(pen: DataFrame, jump: float = 0.01) -> DataFrame:

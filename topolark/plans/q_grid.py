@@ -11,7 +11,7 @@ from topolark.functions.staging import Staging
 from topolark.operators import grid, suggest
 from topolark.plans.derived import duckdb_sql
 from topolark.plans.q_mutate import heading, sizes
-from topolark.plans.q_select import LABELS, WALLS, drawn, quads
+from topolark.plans.q_select import LABELS, WALLS, drawn, drawn_sql, quads
 from topolark.plans.q_validate import AUDIT_SQL, audited
 from topolark.plans.topology import Topology, derive
 from topolark.sources import project
@@ -88,10 +88,44 @@ def touching(s: SparkSession, d: str) -> DataFrame:
     return grid.touching(m, m.where("cx + cy < 12"))
 
 
+def halls(s: SparkSession, d: str) -> DataFrame:
+    """All walls of 32 drawings, drawn out, as lines of corridors."""
+    return drawn(s, d, "walls", 32).select("drawing_id", "x1", "y1", (F.col("x1") + F.when(F.col("idx") % 3 > 0, 120.0).otherwise(0.0)).alias("x2"), (F.col("y1") + F.when(F.col("idx") % 3 != 1, 120.0).otherwise(0.0)).alias("y2"))
+
+
 def corridors(s: SparkSession, d: str) -> DataFrame:
-    """Four crossing corridors in each of a few drawings, from the walls' longest lines."""
-    lines = drawn(s, d, "walls", 3).where("idx % 40 < 3").select("drawing_id", "x1", "y1", (F.col("x1") + 400).alias("x2"), (F.col("y1") + F.col("idx") % 2 * 300).alias("y2"))
-    return grid.dilate(grid.segment_cells(lines, 6.0), 3)
+    return grid.dilate(grid.segment_cells(halls(s, d), 6.0), 2)
+
+
+def painted(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(labels, fills, pixels) of pages: corridor labels sit on fills of one color, but for every fifth drawing."""
+    odd, side = F.expr("int(substr(drawing_id, 2)) % 5 = 0"), F.expr("(idx div 32) % 2 = 0")
+    labels = drawn(s, d, "dlabels", 32).select("drawing_id", "x", "y", F.when(odd | side, F.col("text")).otherwise(grid.CORRIDOR).alias("text"))
+    fills = drawn(s, d, "dlabels", 32).select("drawing_id", F.when(side, "other").otherwise("hall").alias("color"), (F.col("x") - 2).alias("x0"), (F.col("y") - 2).alias("y0"), (F.col("x") + 2).alias("x1"), (F.col("y") + 2).alias("y1"))
+    fills = fills.withColumns({"r": F.when(F.col("color") == "hall", 0.2).otherwise(0.9), "g": F.lit(0.6), "b": F.lit(0.4)})
+    pixels = corridors(s, d).select("drawing_id", (F.col("cx") * 6).alias("x"), (F.col("cy") * 6).alias("y"), (F.lit(51) + F.col("cx") % 10).alias("r"), F.lit(153).alias("g"), F.lit(102).alias("b"))
+    aside = pixels.withColumn("x", F.col("x") + 3).withColumn("r", F.lit(51))
+    return labels, fills, pixels.unionByName(aside)
+
+
+def hallways(s: SparkSession, d: str) -> DataFrame:
+    labels, fills, pixels = painted(s, d)
+    return grid.hallway_suggestions(grid.corridor_cells(labels, fills, grid.pixel_cells(pixels, 6)), 6.0, 1224.0, 792.0)
+
+
+def answers(s: SparkSession, d: str) -> DataFrame:
+    """One answer of the suggestion service for each label; two in three fail."""
+    at = F.struct((F.col("x") / 1224).alias("x"), (F.col("y") / 792).alias("y"))
+    return drawn(s, d, "dlabels").select(
+        "drawing_id", "idx", F.lit(1224.0).alias("width"), F.lit(792.0).alias("height"), F.when(F.col("idx") % 3 == 0, 200).when(F.col("idx") % 3 == 1, 400 + F.col("idx").cast("int") % 20).alias("status"), F.when(F.col("idx") % 6 == 1, "No page.").when(F.col("idx") % 6 == 2, "Offline.").alias("detail"),
+        F.array(F.struct(F.col("text").alias("id"), F.col("text").alias("room_number"), at.alias("position"))).alias("rooms"), F.array(F.struct(F.lit("h").alias("id"), F.array(at, at).alias("points"))).alias("hallways"), F.array(F.lit("w")).alias("warnings"),
+    )
+
+
+def received(s: SparkSession, d: str) -> DataFrame:
+    rows = answers(s, d)
+    out = project.received_suggestions(rows.withColumn("drawing_id", F.concat_ws("-", "drawing_id", F.col("idx").cast("string"))))
+    return out.select("drawing_id", F.round(F.get("rooms", F.lit(0)).position.x, 6).alias("x"), F.size(F.flatten(F.transform("hallways", lambda h: h.points))).cast("long").alias("points"), F.array_join("warnings", "|").alias("warnings"))
 
 
 def grd7(s: SparkSession, d: str) -> DataFrame:
@@ -168,8 +202,8 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "src11": q(lambda s, d: project.scale_suggestions(drawn(s, d, "dlabels").select("idx", (F.col("x") / 1224).alias("x"), (F.col("y") / 792).alias("y"), F.lit(1224.0).alias("width"), F.lit(792.0).alias("height"))).select("idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")), "select idx, x, y from dlabels"),
         "snk1": q(lambda s, d: file_names(s, d).select("idx", project.file_slug(F.concat(F.lit("--"), F.when(F.col("idx") % 7 == 0, "!!").otherwise(F.col("name")), F.lit(" "))).alias("slug")), f"with {NAMES} select idx, coalesce(nullif(regexp_replace(regexp_replace(lower(case when idx%7=0 then '!!' else name end), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'map') as slug from names_"),
         "grd1": q(
-            lambda s, d: grid.polygon_cells(quads(s, d).where("poly_id % 5 = 0"), SIZE),
-            f"with quads as (select drawing_id, idx as poly_id, [x/{SIZE}, (x+3*(20+idx%30))/{SIZE}, (x+2*(20+idx%30))/{SIZE}, (x-(20+idx%30))/{SIZE}] as px, [y/{SIZE}, (y+(20+idx%30))/{SIZE}, (y+3*(20+idx%30))/{SIZE}, (y+2*(20+idx%30))/{SIZE}] as py from {LABELS} where idx%7=1 and idx%5=0), rws as (select *, unnest(range(cast(trunc(list_min(py)) as bigint), cast(trunc(list_max(py)) as bigint)+1)) as cy from quads), cross_ as (select drawing_id, poly_id, cy, px[k] + (cy+0.5-py[k])*(px[k%4+1]-px[k])/(py[k%4+1]-py[k]) as cx from rws cross join (values (1),(2),(3),(4)) t(k) where (py[k] > cy+0.5) <> (py[k%4+1] > cy+0.5)), num as (select *, row_number() over (partition by drawing_id, poly_id, cy order by cx) - 1 as n from cross_), spans as (select drawing_id, poly_id, cy, n//2 as s, min(cx) as lo, max(cx) as hi from num group by all having count(*) = 2) select distinct drawing_id, cast(unnest(range(cast(trunc(lo) as bigint), cast(trunc(hi) as bigint)+1)) as int) as cx, cast(cy as int) as cy from spans",
+            lambda s, d: grid.polygon_cells(quads(s, d), SIZE),
+            f"with quads as (select drawing_id, idx as poly_id, [x/{SIZE}, (x+3*(20+idx%30))/{SIZE}, (x+2*(20+idx%30))/{SIZE}, (x-(20+idx%30))/{SIZE}] as px, [y/{SIZE}, (y+(20+idx%30))/{SIZE}, (y+3*(20+idx%30))/{SIZE}, (y+2*(20+idx%30))/{SIZE}] as py from {LABELS} where idx%7=1), rws as (select *, unnest(range(cast(trunc(list_min(py)) as bigint), cast(trunc(list_max(py)) as bigint)+1)) as cy from quads), cross_ as (select drawing_id, poly_id, cy, px[k] + (cy+0.5-py[k])*(px[k%4+1]-px[k])/(py[k%4+1]-py[k]) as cx from rws cross join (values (1),(2),(3),(4)) t(k) where (py[k] > cy+0.5) <> (py[k%4+1] > cy+0.5)), num as (select *, row_number() over (partition by drawing_id, poly_id, cy order by cx) - 1 as n from cross_), spans as (select drawing_id, poly_id, cy, n//2 as s, min(cx) as lo, max(cx) as hi from num group by all having count(*) = 2) select distinct drawing_id, cast(unnest(range(cast(trunc(lo) as bigint), cast(trunc(hi) as bigint)+1)) as int) as cx, cast(cy as int) as cy from spans",
         ),
         "grd2": q(lambda s, d: grid.segment_cells(drawn(s, d, "walls"), SIZE), f"with l as (select drawing_id, x1, y1, x2, y2, sqrt(pow(x2-x1,2)+pow(y2-y1,2))/{SIZE} as len from {WALLS}), st as (select *, unnest(range(0, cast(trunc(len*2) as bigint)+2)) as step from l), t as (select *, least(1.0, step/greatest(1.0, len*2)) as t from st) select distinct drawing_id, cast(trunc((x1+(x2-x1)*t)/{SIZE}) as int) as cx, cast(trunc((y1+(y2-y1)*t)/{SIZE}) as int) as cy from t"),
         "grd3": q(lambda s, d: grid.dilate(mask(s, d), 2), f"with {MASK}, {disc_sql(2)}, {DILATED} select drawing_id, cast(cx as int) as cx, cast(cy as int) as cy from dil"),
@@ -181,5 +215,10 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "grd8": (lambda s, d: grid.trace(grid.thin(corridors(s, d))).groupBy("drawing_id").agg(F.countDistinct("run").alias("runs"), F.count("*").alias("cells")), None),
         "grd9": q(lambda s, d: grid.clear_barriers(grid.dilate(mask(s, d), 2), mask(s, d).where("cx % 3 = 0"), 1), f"with {MASK}, {disc_sql(2)}, {DILATED}, {disc_sql(1, 'one')}, bar as (select distinct drawing_id, cx+dx as cx, cy+dy as cy from mask cross join one where cx%3=0) select drawing_id, cast(cx as int) as cx, cast(cy as int) as cy from dil where not exists (select 1 from bar b where b.drawing_id = dil.drawing_id and b.cx = dil.cx and b.cy = dil.cy)"),
         "set1": q(lambda s, d: (lambda m: grid.union(grid.subtract(m, m.where("cx % 2 = 0")), grid.intersect(m, m.where("cy % 2 = 0"))))(mask(s, d)), f"with {MASK} select * from mask where cx%2<>0 or cy%2=0"),
-        "sug2": (lambda s, d: grid.hallway_suggestions(corridors(s, d), 6.0, 1224.0, 792.0), None),
+        "sug2": (hallways, None),
+        "sug2_warnings": q(lambda s, d: grid.hallway_warnings(*painted(s, d)[:2], hallways(s, d)), f"select distinct drawing_id, '{grid.NO_FILL}' as warning from {drawn_sql('dlabels', 32)} where cast(substr(drawing_id, 2) as int)%5 = 0"),
+        "src8": q(lambda s, d: grid.pixel_cells(drawn(s, d, "dlabels").select("drawing_id", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), (F.col("idx") % 256).alias("r"), F.lit(1).alias("g"), F.lit(2).alias("b")), 3).select("drawing_id", "cx", "cy", "r"), f"select drawing_id, cast(x as int)//3 as cx, cast(y as int)//3 as cy, idx%256 as r from {LABELS} where cast(x as int)%3 = 0 and cast(y as int)%3 = 0"),
+        "src11_failures": q(received, f"select drawing_id || '-' || idx as drawing_id, case when idx%3=0 then round(x, 6) end as x, cast(case when idx%3=0 then 2 else 0 end as bigint) as points, case when idx%3=0 then 'w' when idx%6=1 then 'Automatic suggestions unavailable: No page.' when idx%6=4 then 'Automatic suggestions unavailable: Suggestion service returned ' || (400+idx%20) || '.' when idx%6=2 then 'Automatic suggestions unavailable: Offline.' else 'Automatic suggestions unavailable.' end as warnings from {LABELS}"),
+        "src12": q(lambda s, d: file_names(s, d).select("idx", project.refusal(F.col("name"), F.when(F.col("idx") % 5 == 0, "application/pdf").otherwise("text/plain"), F.col("idx") % 4).alias("r")).select("idx", F.coalesce("r.status", F.lit(200)).alias("status"), "r.detail"), f"with {NAMES} select idx, case when not lower(name) like '%.pdf' and idx%5<>0 then 415 when idx%4=0 then 400 else 200 end as status, case when not lower(name) like '%.pdf' and idx%5<>0 then 'Suggestions require a PDF floorplan.' when idx%4=0 then 'The uploaded PDF is empty.' end as detail from names_"),
+        "grd10_cells": (lambda s, d: grid.walkable_room_cells(quads(s, d), drawn(s, d, "walls").where("type = 'line'"), 2.0), None),
     }

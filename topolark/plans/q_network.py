@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from topolark.functions import geometry
 from topolark.operators import drawing, grid, network, spatial
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.q_select import LABELS, MEET, QUADS, WALLS, bare, drawn, polygon_cells, quads, rooms
+from topolark.plans.q_select import FILLS, LABELS, MEET, QUADS, WALLS, bare, drawn, polygon_cells, quads, rooms
 
 
 #: Labels and walls start at the same places, so rooms stand beside them.
@@ -53,6 +53,22 @@ def exterior(s: SparkSession, d: str) -> DataFrame:
     return edges.where("drawing_id <> 'D2' or k > 0").select("drawing_id", (F.col("poly_id") * 10 + F.col("k")).alias("idx"), F.lit("line").alias("type"), F.lit("EXT").alias("layer"), "e.*")
 
 
+def strokes(s: SparkSession, d: str) -> DataFrame:
+    """Pen strokes of quads, but for every fifth; the pen jumps from one to the next."""
+    point = lambda i: F.get("points", i % F.size("points"))
+    edges = F.transform("points", lambda p, i: F.struct(p.x.alias("x1"), p.y.alias("y1"), point(i + 1).x.alias("x2"), point(i + 1).y.alias("y2")))
+    rows = quads(s, d).where("poly_id % 5 <> 2").select("drawing_id", "poly_id", F.posexplode(edges).alias("k", "e"))
+    return rows.select("drawing_id", (F.col("poly_id") * 10 + F.col("k")).alias("ord"), "e.*")
+
+
+def tinted(s: SparkSession, d: str) -> DataFrame:
+    return drawn(s, d, "fills").withColumn("color", F.concat("color", (F.col("idx") % 5).cast("string")))
+
+
+def axes(s: SparkSession) -> DataFrame:
+    return s.createDataFrame([(f"D{k}", 2.0, 1.0, -0.5, 5.0) for k in range(8)], "drawing_id string, scale_x double, offset_x double, scale_y double, offset_y double")
+
+
 def lines(s: SparkSession, d: str) -> DataFrame:
     """Zigzag polylines for simplification."""
     return drawn(s, d, "dlabels").select("drawing_id", (F.col("idx") % 5).cast("int").alias("run"), F.col("idx").cast("int").alias("pos"), F.col("idx").cast("double").alias("x"), ((F.col("idx") * 37) % 11).cast("double").alias("y"))
@@ -136,9 +152,17 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "geo6": q(lambda s, d: polygon_cells(s, d).groupBy("drawing_id", "poly_id").agg(F.count("*").alias("inside")), f"with {QUADS}, h as (select l.drawing_id, l.idx, r.poly_id from {LABELS} l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, l.x, l.y, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1) select drawing_id, poly_id, count(*) as inside from h group by all"),
         "geo7": q(lambda s, d: drawn(s, d, "walls").select("idx", F.round(geometry.line_distance(F.lit(600.0), F.lit(400.0), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6).alias("far")), "select idx, round(case when x1=x2 and y1=y2 then sqrt(pow(600-x1,2)+pow(400-y1,2)) else abs((x2-x1)*(y1-400)-(x1-600)*(y2-y1))/sqrt(pow(x2-x1,2)+pow(y2-y1,2)) end, 6) as far from walls"),
         "geo8": (lambda s, d: grid.simplify(lines(s, d), 4.0), None),
-        "geo12": (lambda s, d: network.exterior_polygons(exterior(s, d), "EXT"), None),
+        "geo9": (lambda s, d: network.simplify_around_walls(lines(s, d), drawing.barrier_lines(planned(s, d)), 4.0), None),
+        "geo12": q(lambda s, d: network.exterior_polygons(exterior(s, d), "EXT"), f"with {QUADS}, firsts as (select *, count(*) over (partition by drawing_id) as many, min(poly_id) over (partition by drawing_id) as least from ring) select drawing_id, cast(k - 1 as int) as pos, ax as x, ay as y from firsts where poly_id = least and drawing_id not in ('D1', 'D2')"),
         "geo13": (lambda s, d: network.door_points(bare(s, d)), None),
         "geo14": (lambda s, d: network.layer_centres(lift_walls(s, d), "A-FLOR-EVTR"), None),
-        "grd10": q(lambda s, d: network.room_cells(drawn(s, d, "dlabels").withColumn("text", (F.col("idx") % 7).cast("string")), quads(s, d), "3"), f"with {QUADS}, {hits} select h.drawing_id, h.idx, arg_min(h.poly_id, (area, h.poly_id)) as poly_id from hits h join areas a on a.drawing_id = h.drawing_id and a.poly_id = h.poly_id group by h.drawing_id, h.idx"),
-        "src6": (lambda s, d: drawing.outlines(exterior(s, d).select("drawing_id", F.col("idx").alias("ord"), "x1", "y1", "x2", "y2")).select("drawing_id", F.size("points").alias("points")), None),
+        "grd10": q(lambda s, d: network.room_outlines(drawn(s, d, "dlabels").withColumn("text", (F.col("idx") % 7).cast("string")), quads(s, d), "3"), f"with {QUADS}, {hits} select h.drawing_id, h.idx, arg_min(h.poly_id, (area, h.poly_id)) as poly_id from hits h join areas a on a.drawing_id = h.drawing_id and a.poly_id = h.poly_id group by h.drawing_id, h.idx"),
+        "src6": q(lambda s, d: drawing.outlines(strokes(s, d)).select("drawing_id", F.size("points").cast("long").alias("corners"), F.round(geometry.polygon_area(F.col("points")), 3).alias("area")), f"with {QUADS} select drawing_id, count(*)+1 as corners, round(abs(sum(ax*bz-bx*ay))/2, 3) as area from ring where poly_id%5<>2 group by drawing_id, poly_id"),
+        "gph15": q(
+            lambda s, d: drawing.overlay_shapes(drawn(s, d, "dlabels").withColumn("text", (F.col("idx") % 24).cast("string")), tinted(s, d), {"3": "stair", "5": "lift", "7": "hall"}, axes(s)).select("drawing_id", "category", "color", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")]),
+            f"with pr as (select l.drawing_id, trim(cast(l.idx%24 as varchar)) as label, f.color || (f.idx%5) as color, greatest(1e-6, f.x1-f.x0)*greatest(1e-6, f.y1-f.y0) as area, sqrt(pow(l.x-(f.x0+f.x1)/2,2)+pow(l.y-(f.y0+f.y1)/2,2)) as far from {LABELS} l join {FILLS} f on f.drawing_id = l.drawing_id), tiered as (select *, case when far <= 2 then 0 when far <= 8 then 1 else 2 end as tier from pr where far <= 20), "
+            "tight as (select *, min(tier) over (partition by drawing_id, label) as least_ from tiered), sums as (select drawing_id, label, color, sum(area) as area from tight where tier = least_ group by all), dominant as (select drawing_id, label, arg_max(color, (area, color)) as color from sums group by all), "
+            f"owned as (select *, count(*) over (partition by drawing_id, color) as owners from dominant), boxes as (select f.drawing_id, case o.label when '3' then 'stair' when '5' then 'lift' else 'hall' end as category, o.color, least(2*f.x0+1, 2*f.x1+1) as x0, least(5-0.5*f.y0, 5-0.5*f.y1) as y0, greatest(2*f.x0+1, 2*f.x1+1) as x1, greatest(5-0.5*f.y0, 5-0.5*f.y1) as y1 from owned o join {FILLS} f on f.drawing_id = o.drawing_id and f.color || (f.idx%5) = o.color where o.owners = 1 and o.label in ('3', '5', '7')), "
+            "wide as (select *, case when x1-x0 < 0.4 or y1-y0 < 0.4 then 0.3 else 0.0 end as more from boxes) select drawing_id, category, color, round(x0-more, 6) as x0, round(y0-more, 6) as y0, round(x1+more, 6) as x1, round(y1+more, 6) as y1 from wide",
+        ),
     }

@@ -52,24 +52,20 @@ def quads(s: SparkSession, d: str) -> DataFrame:
 QUADS = f"quads as (select drawing_id, idx as poly_id, [x, x+3*(20+idx%30), x+2*(20+idx%30), x-(20+idx%30)] as px, [y, y+(20+idx%30), y+3*(20+idx%30), y+2*(20+idx%30)] as py from {LABELS} where idx%7=1), ring as (select drawing_id, poly_id, k, px[k] as ax, py[k] as ay, px[k%4+1] as bx, py[k%4+1] as bz from quads cross join (values (1),(2),(3),(4)) t(k))"
 
 
-def polygon_cells(s: SparkSession, d: str, size: float = 64.0) -> DataFrame:
-    """Labels inside outlines, by buckets of the outline's box and an exact test."""
-    rows = quads(s, d)
-    low, high = (lambda f: F.array_min(F.transform("points", lambda p: p[f]))), (lambda f: F.array_max(F.transform("points", lambda p: p[f])))
-    a = rows.withColumn("c_", F.explode(geometry.cells_of_box(low("x"), low("y"), high("x"), high("y"), size)))
-    b = drawn(s, d, "dlabels").select("drawing_id", "idx", "x", "y", F.struct(F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy")).alias("c_"))
-    return a.join(b, ["drawing_id", "c_"]).where(geometry.in_polygon(F.col("x"), F.col("y"), F.col("points")))
+def polygon_cells(s: SparkSession, d: str) -> DataFrame:
+    """Labels inside outlines."""
+    return drawing.enclosing(drawn(s, d, "dlabels").select("drawing_id", "idx", "x", "y"), quads(s, d))
 
 
 def hop_lines(t: Topology) -> DataFrame:
     """Edges as lines of their floor's drawing."""
     a = t.nodes.select(F.col("id").alias("from_node_id"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     b = t.nodes.select(F.col("id").alias("to_node_id"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    return t.edges.where("idx % 3 = 0").join(a, "from_node_id").join(b, "to_node_id").select(F.col("idx").alias("hop_id"), "ax", "ay", "bx", "by")
+    return t.edges.join(a, "from_node_id").join(b, "to_node_id").select(F.col("idx").alias("hop_id"), "ax", "ay", "bx", "by")
 
 
 def near_walls(s: SparkSession, d: str) -> DataFrame:
-    return relation(s, d, "walls").where("idx % 4 = 0").select(F.col("idx").alias("wall_id"), "x1", "y1", "x2", "y2")
+    return relation(s, d, "walls").select(F.col("idx").alias("wall_id"), "x1", "y1", "x2", "y2")
 
 
 TURN = "({bx}-{ax})*({cy}-{ay})-({by}-{ay})*({cx}-{ax})"
@@ -167,9 +163,9 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "join3": q(lambda s, d: (lambda t: t.nodes.join(t.segments.select(F.explode(F.array("from_node_id", "to_node_id")).alias("id")), "id", "left_semi").select("id"))(derive(s, d)), "select id from nodes n where exists (select 1 from segments s where n.id in (s.from_node_id, s.to_node_id))"),
         "join4": q(lambda s, d: (lambda t: t.connector_stops.select("connector_id", F.col("node_id").alias("a")).join(t.connector_stops.select("connector_id", F.col("node_id").alias("b")), "connector_id").where("a <> b"))(derive(s, d)), "select a.connector_id, a.node_id as a, b.node_id as b from connector_stops a join connector_stops b on a.connector_id = b.connector_id and a.node_id <> b.node_id"),
         "join5": q(lambda s, d: spatial.within(rooms(s, d).select("drawing_id", "idx", "x", "y"), drawing.overlay_candidates(drawn(s, d, "dlabels").withColumn("text", F.concat("text", F.lit("x")))).where("length(text) > 4").select("drawing_id", F.col("idx").alias("label_idx"), F.col("x").alias("rx"), F.col("y").alias("ry")), 20.0, ("drawing_id",)).select("drawing_id", "idx", "label_idx", F.round("far", 6).alias("far")), near),
-        "join6": q(lambda s, d: spatial.crossing(hop_lines(derive(s, d)), near_walls(s, d)), f"with hops_ as (select e.idx as hop_id, a.x ax, a.y ay, b.x bx, b.y bz from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id where e.idx%3=0), w as (select idx as wall_id, x1, y1, x2, y2 from walls where idx%4=0) select hop_id, wall_id from hops_ join w on {MEET}"),
+        "join6": q(lambda s, d: spatial.crossing(hop_lines(derive(s, d)), near_walls(s, d)), f"with hops_ as (select e.idx as hop_id, a.x ax, a.y ay, b.x bx, b.y bz from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id), w as (select idx as wall_id, x1, y1, x2, y2 from walls) select hop_id, wall_id from hops_ join w on {MEET}"),
         "join7": q(lambda s, d: polygon_cells(s, d).select("drawing_id", "poly_id", "idx"), f"with {QUADS} select l.drawing_id, r.poly_id, l.idx from {LABELS} l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, l.x, l.y, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1"),
-        "join8": q(lambda s, d: drawing.door_candidates(drawn(s, d, "dlabels").where("idx % 11 = 3").select("drawing_id", F.col("idx").alias("room_id"), "x", "y"), doors(s, d)).select("drawing_id", "room_id", "door_id", F.round("far", 6).alias("far"), F.col("rank").cast("long").alias("rank")), f"select r.drawing_id, r.idx as room_id, d.idx as door_id, round({FAR.format(a='r.', b='d.')}, 6) as far, row_number() over (partition by r.drawing_id, r.idx order by {FAR.format(a='r.', b='d.')}, d.idx) as rank from {LABELS} r join {LABELS} d on r.drawing_id = d.drawing_id where r.idx%11=3 and d.idx%3=1 qualify rank <= 8"),
+        "join8": q(lambda s, d: drawing.door_candidates(drawn(s, d, "dlabels").select("drawing_id", F.col("idx").alias("room_id"), "x", "y"), doors(s, d)).select("drawing_id", "room_id", "door_id", F.round("far", 6).alias("far"), F.col("rank").cast("long").alias("rank")), f"select r.drawing_id, r.idx as room_id, d.idx as door_id, round({FAR.format(a='r.', b='d.')}, 6) as far, row_number() over (partition by r.drawing_id, r.idx order by {FAR.format(a='r.', b='d.')}, d.idx) as rank from {LABELS} r join {LABELS} d on r.drawing_id = d.drawing_id where d.idx%3=1 qualify rank <= 8"),
         "join10": q(lambda s, d: drawing.unique_pairs(drawn(s, d, "dlabels"), scaled(s, d)).select("drawing_id", "text"), f"select drawing_id, text from {LABELS} group by all having count(*) = 1 intersect select drawing_id, text from {LABELS} where idx%3<>0 group by all having count(*) = 1"),
         "agg1": q(lambda s, d: (lambda t: t.nodes.groupBy("floor_id").agg(F.count("*").alias("nodes")).join(t.access_points.groupBy("floor_id").agg(F.countDistinct("place_id").alias("places")), "floor_id", "full_outer").join(select.end_floors(t).groupBy(F.col("a_floor_id").alias("floor_id")).agg(F.count("*").alias("paths")), "floor_id", "full_outer"))(derive(s, d)), "select f.id as floor_id, n.c as nodes, p.c as places, e.c as paths from floors f left join (select floor_id, count(*) c from nodes group by 1) n on n.floor_id = f.id left join (select floor_id, count(distinct place_id) c from access_points group by 1) p on p.floor_id = f.id left join (select n.floor_id, count(*) c from segments s join nodes n on n.id = s.from_node_id group by 1) e on e.floor_id = f.id where n.c is not null or p.c is not null or e.c is not null"),
         "agg2": q(lambda s, d: derive(s, d).access_points.groupBy("floor_id").agg(F.countDistinct("place_id").alias("places"), F.countDistinct("node_id").alias("network_nodes")), "select floor_id, count(distinct place_id) as places, count(distinct node_id) as network_nodes from access_points group by floor_id"),
@@ -195,15 +191,15 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "win7": q(openings, f"with {OPEN}, {PIECES} select drawing_id, wall_id, round(a, 6) as lo, round(b, 6) as hi from pieces where (b-a)*sqrt(sq) > 0.5 union all select drawing_id, wall_id, 0.0, 1.0 from sound s where not exists (select 1 from gaps g where g.drawing_id = s.drawing_id and g.wall_id = s.wall_id)"),
         "srt1": q(lambda s, d: select.sorted_menu(derive(s, d)).select("id", "building", "floor_label", "name", "floor_key"), f"{levels} select p.id, g.name as building, fl.floor_label, p.name, array_to_string([case when regexp_matches(r, '^[0-9]') then lpad(ltrim(r, '0'), 20, '0') else r end for r in regexp_extract_all(fl.floor_label, '[0-9]+|[^0-9]+')], '') as floor_key from places p join fl on fl.place_id = p.id join buildings g on g.id = p.building_id order by lower(g.name), floor_key, p.idx"),
         "srt2": q(
-            lambda s, d: (lambda h: h.join(spatial.crossing(h, near_walls(s, d)).select("hop_id").distinct().withColumn("crosses", F.lit(True)), "hop_id", "left").select("hop_id", F.coalesce("crosses", F.lit(False)).alias("crosses"), F.round(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2), 6).alias("length")).orderBy("crosses", "length", "hop_id").limit(50))(hop_lines(derive(s, d))),
-            f"with hops_ as (select e.idx as hop_id, a.x ax, a.y ay, b.x bx, b.y bz from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id where e.idx%3=0), w as (select idx as wall_id, x1, y1, x2, y2 from walls where idx%4=0) select hop_id, exists (select 1 from w where {MEET}) as crosses, round(sqrt(pow(bx-ax,2)+pow(bz-ay,2)), 6) as length from hops_ order by crosses, length, hop_id limit 50",
+            lambda s, d: (lambda h: h.join(spatial.crossing(h, near_walls(s, d)).select("hop_id").distinct().withColumn("crosses", F.lit(True)), "hop_id", "left").select("hop_id", F.coalesce("crosses", F.lit(False)).alias("crosses"), F.round(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2), 6).alias("length")).orderBy("crosses", "length", "hop_id"))(hop_lines(derive(s, d))),
+            f"with hops_ as (select e.idx as hop_id, a.x ax, a.y ay, b.x bx, b.y bz from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id), w as (select idx as wall_id, x1, y1, x2, y2 from walls) select hop_id, exists (select 1 from w where {MEET}) as crosses, round(sqrt(pow(bx-ax,2)+pow(bz-ay,2)), 6) as length from hops_ order by crosses, length, hop_id",
         ),
         "srt3": q(lambda s, d: derive(s, d).nodes.withColumn("far", F.round(F.sqrt((F.col("x") - 500) ** 2 + (F.col("y") - 350) ** 2), 6)).orderBy("far", "idx").limit(8).select("id", "far"), "select id, round(sqrt(pow(x-500,2)+pow(y-350,2)), 6) as far from nodes order by far, idx limit 8"),
         "set2": q(lambda s, d: (lambda t: t.nodes.select("floor_id").intersect(t.access_points.where("idx % 7 = 0").select("floor_id")))(derive(s, d)), "select floor_id from nodes intersect select floor_id from access_points where idx%7=0"),
         "keys_first_last": q(lambda s, d: (lambda n: first_wins(n).select("id", F.col("idx").alias("first_idx")).join(last_wins(n).select("id", F.col("idx").alias("last_idx")), "id"))(derive(s, d, True).nodes), "select id, min(idx) as first_idx, max(idx) as last_idx from d_nodes group by id"),
-        "geo1": q(lambda s, d: (lambda t: hop_lines(t))(derive(s, d)).select("hop_id", F.round(F.greatest(F.lit(1.0), F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), 6).alias("clamped")), "select e.idx as hop_id, round(greatest(1, sqrt(pow(b.x-a.x,2)+pow(b.y-a.y,2))), 6) as clamped from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id where e.idx%3=0"),
+        "geo1": q(lambda s, d: (lambda t: hop_lines(t))(derive(s, d)).select("hop_id", F.round(F.greatest(F.lit(1.0), F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), 6).alias("clamped")), "select e.idx as hop_id, round(greatest(1, sqrt(pow(b.x-a.x,2)+pow(b.y-a.y,2))), 6) as clamped from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id"),
         "geo2": q(lambda s, d: derive(s, d).nodes.select("id", half_up(F.col("x") / 7 - 50, 1).alias("tenth")), "select id, floor((x/7-50)*10+0.5)/10 as tenth from nodes"),
-        "geo3": q(lambda s, d: hop_lines(derive(s, d)).select("hop_id", direction(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("heading")), "select e.idx as hop_id, case when abs(b.x-a.x) > 1.8*abs(b.y-a.y) then if(b.x > a.x, 'east', 'west') when abs(b.y-a.y) > 1.8*abs(b.x-a.x) then if(b.y > a.y, 'south', 'north') else concat(if(b.y >= a.y, 'south', 'north'), if(b.x >= a.x, 'east', 'west')) end as heading from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id where e.idx%3=0"),
+        "geo3": q(lambda s, d: hop_lines(derive(s, d)).select("hop_id", direction(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")).alias("heading")), "select e.idx as hop_id, case when abs(b.x-a.x) > 1.8*abs(b.y-a.y) then if(b.x > a.x, 'east', 'west') when abs(b.y-a.y) > 1.8*abs(b.x-a.x) then if(b.y > a.y, 'south', 'north') else concat(if(b.y >= a.y, 'south', 'north'), if(b.x >= a.x, 'east', 'west')) end as heading from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id"),
         "geo10": q(lambda s, d: drawing.invert_transform(drawing.apply_transform(drawn(s, d, "dlabels"), drawing.register(drawn(s, d, "dlabels"), scaled(s, d)).select("drawing_id", "scale_x", "offset_x", "scale_y", "offset_y")), drawing.register(drawn(s, d, "dlabels"), scaled(s, d)).select("drawing_id", "scale_x", "offset_x", "scale_y", "offset_y")).select("idx", F.round("x", 4).alias("x"), F.round("y", 4).alias("y")), f"select idx, x, y from {LABELS} l where drawing_id in (select drawing_id from (select drawing_id, text from {LABELS} group by all having count(*) = 1 intersect select drawing_id, text from {LABELS} where idx%3<>0 group by all having count(*) = 1) group by drawing_id having count(*) >= 8)"),
         "geo11": q(lambda s, d: openings(s, d).groupBy("drawing_id").agg(F.count("*").alias("pieces"), F.round(F.sum(F.col("hi") - F.col("lo")), 3).alias("share")), f"with {OPEN}, {PIECES}, every as (select drawing_id, round(a, 6) as lo, round(b, 6) as hi from pieces where (b-a)*sqrt(sq) > 0.5 union all select drawing_id, 0.0, 1.0 from sound s where not exists (select 1 from gaps g where g.drawing_id = s.drawing_id and g.wall_id = s.wall_id)) select drawing_id, count(*) as pieces, round(sum(hi-lo), 3) as share from every group by drawing_id"),
         "geo15": q(lambda s, d: drawn(s, d, "dlabels").select("idx", (F.col("idx") % 11 / 10).alias("r"), (F.col("idx") % 7 / 6).alias("g"), (F.col("idx") % 5 / 4).alias("b")).select("idx", geometry.color_name().alias("color")), "select idx, case when r > 0.85 and g > 0.85 and b > 0.85 then 'white/very light' when r > 0.85 and g > 0.55 and g < 0.85 and b < 0.65 then 'tan/orange' when r > 0.8 and g < 0.3 and b > 0.5 then 'magenta/pink' when g > 0.8 and r < 0.5 and b < 0.5 then 'green' when r > 0.85 and g > 0.85 and b < 0.65 then 'yellow' when b > 0.8 and r < 0.6 then 'blue/cyan' when r > 0.8 and g > 0.4 and g < 0.75 and b < 0.75 then 'salmon/pink' else printf('rgb(%.2f,%.2f,%.2f)', r, g, b) end as color from (select idx, idx%11/10 as r, idx%7/6 as g, idx%5/4 as b from dlabels)"),

@@ -135,15 +135,26 @@ def file_slug(name: Column) -> Column:
     return F.coalesce(F.nullif(slug, F.lit("")), F.lit("map"))
 
 
+#: Words before a level, before a number of a level and behind a letter that is one.
+LEVEL_WORDS, LETTER_WORDS = "(?:floor|level|fl|f)", "(?:esim|floor|level)"
+LEVEL_CODE = "[a-z]?[0-9]+[a-z]?"
+
+
 def guess_level(file_name: Column, fallback: Column) -> Column:
-    """Floor level from a file name: a token behind floor, level, fl or f; else the last number; else a letter."""
-    stem = F.regexp_replace(file_name, r"\.[^.]+$", "")
-    marked = F.regexp_extract(stem, r"(?i)(?:floor|level|fl|f)[-_ ]?([a-z]?\d+[a-z]?)", 1)
-    numbers = F.regexp_extract_all(stem, F.lit(r"(?i)(?:^|[-_ ])([a-z]?\d+[a-z]?)(?=$|[-_ ])"), F.lit(1))
-    last = F.when(F.size(numbers) > 0, F.element_at(numbers, -1))
-    letter = F.regexp_extract(stem, r"(?i)[-_ ]([a-z])[-_ ](?:esim|floor|level)", 1)
-    found = F.coalesce(F.nullif(marked, F.lit("")), last, F.nullif(letter, F.lit("")))
-    return F.coalesce(F.upper(found), fallback)
+    """Floor level from the tokens of a file name, which dashes, underscores and spaces part.
+
+    The first code behind a level word, in the same token or in the next, counts; else the last token that is a code;
+    else the first single letter, not in the first token, before one that starts with a letter word.
+    """
+    tokens = F.split(F.lower(F.regexp_replace(file_name, r"\.[^.]+$", "")), "[-_ ]")
+    after = lambda t, i: F.coalesce(F.get(t, i + 1), F.lit(""))
+    inside = lambda x: F.regexp_extract(x, f"{LEVEL_WORDS}({LEVEL_CODE})", 1)
+    behind = lambda x, y: F.when(x.rlike(f"{LEVEL_WORDS}$"), F.regexp_extract(y, f"^({LEVEL_CODE})", 1)).otherwise("")
+    coded = F.transform(tokens, lambda x, i: F.coalesce(F.nullif(inside(x), F.lit("")), F.nullif(behind(x, after(tokens, i)), F.lit(""))))
+    numbers = F.filter(tokens, lambda x: x.rlike(f"^{LEVEL_CODE}$"))
+    letters = F.filter(tokens, lambda x, i: (i > 0) & x.rlike("^[a-z]$") & after(tokens, i).rlike(f"^{LETTER_WORDS}"))
+    first = lambda a: F.get(F.filter(a, lambda x: x.isNotNull()), F.lit(0))
+    return F.coalesce(F.upper(F.coalesce(first(coded), F.get(numbers, F.size(numbers) - 1), first(letters))), fallback)
 
 
 def import_kind(file_name: Column, media_type: Column) -> Column:
@@ -177,18 +188,48 @@ def scale_suggestions(points: DataFrame) -> DataFrame:
     return points.withColumns({"x": F.col("x") * F.col("width"), "y": F.col("y") * F.col("height")})
 
 
+#: What a caller sees if the suggestion service fails.
+UNAVAILABLE = "Automatic suggestions unavailable"
+
+
+def received_suggestions(answers: DataFrame) -> DataFrame:
+    """Answers of the suggestion service as rooms, hallways and warnings in pixels, one row each.
+
+    answers: drawing_id, width, height, status, detail (of an error, or null), rooms and hallways (in shares of the page)
+    and warnings. Any status but 200 gives no rooms and hallways and one warning; a null status is no answer at all.
+    """
+    c, ok = F.col, F.coalesce(F.col("status") == 200, F.lit(False))
+    at = lambda p: F.struct((p.x * c("width")).alias("x"), (p.y * c("height")).alias("y"))
+    rooms = F.transform("rooms", lambda r: F.struct(r.id.alias("id"), r.room_number.alias("roomNumber"), at(r.position).alias("position")))
+    hallways = F.transform("hallways", lambda h: F.struct(h.id.alias("id"), F.transform(h.points, at).alias("points")))
+    said = F.coalesce("detail", F.concat(F.lit("Suggestion service returned "), c("status").cast("string"), F.lit(".")))
+    failed = F.when(c("status").isNull() & c("detail").isNull(), f"{UNAVAILABLE}.").otherwise(F.concat(F.lit(f"{UNAVAILABLE}: "), said))
+    return answers.select("drawing_id", F.when(ok, rooms).otherwise(F.slice(rooms, 1, 0)).alias("rooms"), F.when(ok, hallways).otherwise(F.slice(hallways, 1, 0)).alias("hallways"), F.when(ok, c("warnings")).otherwise(F.array(failed)).alias("warnings"))
+
+
 class ServiceError(ValueError):
     def __init__(self, status: int, message: str):
         super().__init__(message)
         self.status = status
 
 
-def check_upload(media_type: str, size: int) -> None:
-    """What the suggestion service refuses: other types than PDF and empty files."""
-    if media_type != "application/pdf":
-        raise ServiceError(415, "Only PDF files are supported.")
+#: What the suggestion service answers to files that it refuses.
+NOT_PDF, EMPTY = (415, "Suggestions require a PDF floorplan."), (400, "The uploaded PDF is empty.")
+
+
+def refusal(file_name: Column, media_type: Column, size: Column) -> Column:
+    """(status, detail) of an upload that the suggestion service refuses, else null: no PDF by name or type, or empty."""
+    is_pdf = F.coalesce(F.lower(file_name).endswith(".pdf"), F.lit(False)) | F.coalesce(media_type == "application/pdf", F.lit(False))
+    answer = lambda a: F.struct(F.lit(a[0]).alias("status"), F.lit(a[1]).alias("detail"))
+    return F.when(~is_pdf, answer(NOT_PDF)).when(F.coalesce(size, F.lit(0)) == 0, answer(EMPTY))
+
+
+def check_upload(file_name: str | None, media_type: str | None, size: int) -> None:
+    """Raises what refusal() says of one upload."""
+    if not (file_name or "").lower().endswith(".pdf") and media_type != "application/pdf":
+        raise ServiceError(*NOT_PDF)
     if size == 0:
-        raise ServiceError(400, "The file is empty.")
+        raise ServiceError(*EMPTY)
 
 
 def repair_file(spark: SparkSession, source: str, target: str) -> DataFrame:
