@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from topolark.functions.components import components
 from topolark.llm.common import Scratch, bounded_batches, packed, unpacked
 
 #: Bytes of A-Z lower-cased; bytes of other characters stay.
@@ -115,31 +116,7 @@ def hamming_links(fps: DataFrame, max_bits: int = 4, segments: int = 3) -> DataF
 
     probe = fps.select(F.explode(F.concat(*[around(k, *segment) for k, segment in enumerate(plan)])).alias("seg"), F.col("fp").alias("a"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    return probe.join(table.hint("shuffle_hash"), (probe.seg == table.seg) & near).select("a", "b")
-
-
-def components(links: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
-    """(node, root): each node of the links with the smallest node of its connected component, itself excluded.
-
-    Alternates large-star and small-star. Each round is written to the shared folder; only a count and a
-    checksum reach the driver.
-    """
-    edges = scratch.write(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    state = digest(edges)
-    for _ in range(most_rounds):
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        new = scratch.write(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).where("u <> v").distinct())
-        scratch.drop(edges)
-        edges, before = new, state
-        state = digest(edges)
-        if state == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError(f"components: no fixpoint in {most_rounds} rounds")
+    return probe.join(table.hint("merge"), (probe.seg == table.seg) & near).select("a", "b")
 
 
 def near_duplicate_classes(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
