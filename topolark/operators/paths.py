@@ -89,9 +89,8 @@ class Ground:
             a = np.maximum(np.floor(ends.min(0) / CELL).astype(int) - 1 - low, 0)
             b = np.minimum(np.ceil(ends.max(0) / CELL).astype(int) + 2 - low, shape)
             if (a < b).all():
-                some = points[a[0] : b[0], a[1] : b[1]]
-                for k, way in enumerate(WAYS):
-                    self.free[k, a[0] : b[0], a[1] : b[1]] &= ~meet(some, some + np.array(way) * CELL, ends[0], ends[1])
+                some = points[None, a[0] : b[0], a[1] : b[1]]
+                self.free[:, a[0] : b[0], a[1] : b[1]] &= ~meet(some, some + np.array(WAYS)[:, None, None] * CELL, ends[0], ends[1])
         #: What it costs to enter a cell, by the length of the step.
         self.toll = np.ones(shape) if not ring or factor <= 1 else np.where(inside(points, ring), 1.0, factor)
 
