@@ -168,7 +168,7 @@ def test_training_sample_is_bounded(spark, monkeypatch):
     known = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, y int")
     assert sorted((r.doc_id, r.y, r.text) for r in bounded_rows(docs, known, 9, 1).collect() if r.text) == [(1, 1, b"a b"), (3, 1, b"c"), (4, 0, b"hot")]
     assert bounded_rows(docs, known, 2, 1).count() == 2
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 1, 0]), pa.array([[1, 2], [3], [4, 5]], pa.list_(pa.int32())), pa.array([[1.0, 2.0], [3.0], [4.0, 5.0]])], ["doc_id", "y", "at", "x"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([0, 1, 0]), pa.array([[1, 2], [3], [4, 5]], pa.list_(pa.int32())), pa.array([[1.0, 2.0], [3.0], [4.0, 5.0]], pa.list_(pa.float32()))], ["doc_id", "y", "at", "x"])
     assert [at.tolist() for at, _ in toxicity.gathered(iter([batch]), 4)[0]] == [[1, 2], [3]]
     assert toxicity.gathered(iter([batch]))[1] == [0, 1, 0]
 

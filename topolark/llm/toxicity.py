@@ -104,10 +104,10 @@ def features_of(rows: DataFrame, label: str, take) -> DataFrame:
                 some = batch.slice(a, 64)
                 taken = [take(t.as_py()) for t in some.column(2)]
                 at, x = ([f[k] for f in taken] for k in range(2))
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float64()))], ["doc_id", label, "at", "x"])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([v.astype(np.float32) for v in x], pa.list_(pa.float32()))], ["doc_id", label, "at", "x"])
 
     kept = rows.select("doc_id", F.col(label).cast("int").alias(label), "text")
-    taken = kept.mapInArrow(run, f"doc_id long, {label} int, at array<int>, x array<double>")
+    taken = kept.mapInArrow(run, f"doc_id long, {label} int, at array<int>, x array<float>")
     return taken.repartition(1).sortWithinPartitions(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id")
 
 
@@ -119,7 +119,7 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = MOST_FEATURES) -> tu
             held += len(at)
             if held > most:
                 return rows, labels
-            rows.append((at.values.to_numpy(zero_copy_only=False).astype(np.int64), x.values.to_numpy(zero_copy_only=False)))
+            rows.append((np.array(at.values, np.int32), np.array(x.values, np.float32)))  # eight bytes a feature
             labels.append(label)
     return rows, labels
 
