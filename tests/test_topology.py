@@ -3,6 +3,7 @@ import pytest
 from fixtures import base, make, tall
 
 from topolark.operators import audit, mutate, route, suggest, validate
+from topolark.plans.topology import staged
 
 
 def codes(t):
@@ -97,6 +98,16 @@ def test_joins_and_search_agree_on_a_grid_of_ties(spark):
     assert all(r.status == ("same_place" if r.from_place_id == r.to_place_id else "ok") for r in found)
 
 
+def test_plans_read_each_relation_once(spark):
+    """Rows of a collection are read once for all their rules; look-ups and removed ids are written tables."""
+    t = staged(make(spark, **crossing()))
+    scans = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+    own = len(vars(t)) - 1
+    assert scans(validate.validate(t)) <= own + 24  # the relations, connectors of elements, and look-ups
+    cut = mutate.remove_floor(t, "f4")
+    assert sum(scans(getattr(cut, name)) for name in ("nodes", "segments", "edges", "links", "places")) <= 5 + 8
+
+
 def test_endless_falling_costs_raise(spark):
     graph = spark.createDataFrame([("a", "b", -2.0), ("b", "a", 1.0)], "from_node_id string, to_node_id string, cost double")
     seeds = spark.createDataFrame([("s", "a", 0.0)], "source string, node_id string, cost double")

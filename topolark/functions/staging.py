@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset (local sessions)."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a temporary one in local sessions, else an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = made.get() if made.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share.")
         own = tempfile.mkdtemp(prefix="topolark-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         folder = f"file://{own}"
@@ -26,16 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Staging:
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.made = spark, f"{shared_folder(spark)}/staging-{uuid.uuid4().hex}", 0
+        self.spark, self.root, self.numbers = spark, f"{shared_folder(spark)}/staging-{uuid.uuid4().hex}", itertools.count()
 
     def write(self, df: DataFrame) -> DataFrame:
-        self.made += 1
-        path = f"{self.root}/{self.made}"
+        path = f"{self.root}/{next(self.numbers)}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._staged = path
         return out
 
+    def write_all(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Independent tables written at the same time, a job for each."""
+        with ThreadPoolExecutor(len(tables) or 1) as pool:
+            return dict(zip(tables, pool.map(self.write, tables.values())))
+
     def drop(self, df: DataFrame) -> None:
         """Delete a staged table that no pending DataFrame reads."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topolark.functions.keys import last_wins, renamed
+from topolark.functions.staging import Staging
 from topolark.plans.topology import Topology
 
 
@@ -51,7 +52,7 @@ def repair(t: Topology) -> Repair:
 
     Terminal links are not remapped and remapped stops are not deduplicated.
     """
-    found = audit(t).where("replacement_node_id is not null")
+    found = Staging(t.nodes.sparkSession).write(audit(t).where("replacement_node_id is not null"))  # read by all that follows
     order = F.struct("connector_idx", "pos")
     swap = found.groupBy(F.col("stop_node_id").alias("old")).agg(F.max_by("replacement_node_id", order).alias("new"))
     label = found.groupBy(F.col("replacement_node_id").alias("labelled")).agg(F.min_by("connector_name", order).alias("label"))

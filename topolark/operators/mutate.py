@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topolark.functions.keys import clamped_distance, direction, half_up, last_wins, renamed
+from topolark.functions.staging import Staging
 from topolark.plans.topology import Topology
 
 
@@ -25,20 +26,24 @@ def keep(rows: DataFrame, removed: DataFrame, *columns: str) -> DataFrame:
 
 def hit(rows: DataFrame, removed: DataFrame, *columns: str) -> DataFrame:
     """Rows any of whose columns is among the removed ids."""
-    return reduce(DataFrame.unionByName, [rows.join(removed, F.col(c) == F.col("id_"), "left_semi") for c in columns]).distinct()
+    if len(columns) == 1:
+        return rows.join(removed, F.col(columns[0]) == F.col("id_"), "left_semi")
+    met = rows.select("id", F.explode(F.array(*columns)).alias("end_")).join(removed, F.col("end_") == F.col("id_"), "left_semi").select(F.col("id").alias("met_")).distinct()
+    return rows.join(met, F.col("id") == F.col("met_"), "left_semi")
 
 
 def remove_floors(t: Topology, floor_ids: DataFrame, building_ids: DataFrame) -> Topology:
-    """Cascade of removing floors (id_) and buildings (id_)."""
-    nodes = ids(hit(t.nodes, floor_ids, "floor_id"))
+    """Cascade of removing floors (id_) and buildings (id_). The sets of removed ids are written once for all that reads them."""
+    staging = Staging(t.nodes.sparkSession)
     owners = renamed(last_wins(t.places), "p_", "id", "building_id").join(building_ids, F.col("p_building_id") == F.col("id_"), "left_semi")
     point_ids = ids(hit(t.access_points, floor_ids, "floor_id").unionByName(t.access_points.join(owners, F.col("place_id") == F.col("p_id"), "left_semi")))
+    nodes, point_ids = staging.write_all({"nodes": ids(hit(t.nodes, floor_ids, "floor_id")), "points": point_ids}).values()
     gone = t.access_points.join(point_ids, F.col("id") == F.col("id_"), "left_semi")
     left = keep(t.access_points, point_ids, "id")
     stranded = ids(gone, "place_id").join(ids(left, "place_id"), "id_", "left_anti")
     place_ids = ids(hit(t.places, building_ids, "building_id").unionByName(hit(t.places, stranded, "id")))
+    place_ids, segment_ids = staging.write_all({"places": place_ids, "segments": ids(hit(t.segments, nodes, "from_node_id", "to_node_id"))}).values()
     points = keep(left, place_ids, "place_id")
-    segment_ids = ids(hit(t.segments, nodes, "from_node_id", "to_node_id"))
     stops = keep(t.connector_stops, nodes, "node_id")
     return t.with_(
         buildings=keep(t.buildings, building_ids, "id"),

@@ -1,4 +1,4 @@
-"""Referential integrity of a topology: one operator per rule, each a DataFrame of issues.
+"""Referential integrity of a topology: rules over views of its collections, as a DataFrame of issues.
 
 An issue has ``rule`` (order of the checks), ``idx`` and ``sub`` (place of the row and of an element in it),
 ``code``, ``path`` and ``message``. Lookups over repeated ids see the last row, as the document's maps do.
@@ -6,12 +6,14 @@ An issue has ``rule`` (order of the checks), ``idx`` and ``sub`` (place of the r
 
 from __future__ import annotations
 
-from functools import reduce
+from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topolark.functions.keys import bad_cost, last_wins, renamed
+from topolark.functions.staging import Staging
 from topolark.plans.topology import Topology
 
 #: Names of the collections in a document, by relation and in checking order.
@@ -25,188 +27,190 @@ def at(collection: str, field: str = "", idx: str = "idx") -> Column:
     return F.concat(F.lit(f"{collection}["), F.col(idx).cast("string"), F.lit("]" + (f".{field}" if field else "")))
 
 
-def issues(rows: DataFrame, rule: int, code: str, path: Column, message: Column | str, sub: Column | None = None) -> DataFrame:
-    said = F.lit(message) if isinstance(message, str) else message
-    return rows.select(F.lit(rule).alias("rule"), F.col("idx").cast("long").alias("idx"), (F.lit(-1) if sub is None else sub).cast("long").alias("sub"), F.lit(code).alias("code"), path.alias("path"), said.alias("message"))
+class Maps:
+    """Look-ups by id over the relations of a topology, each made once where a staging is given."""
 
+    def __init__(self, t: Topology, staging: Staging | None = None):
+        self.rows = {name: last_wins(getattr(t, name)) for name in ("buildings", "floors", "places", "access_points", "nodes", "segments")}
+        if staging:
+            self.rows = staging.write_all(self.rows)
 
-def unknown(what: str, column: str) -> Column:
-    return F.concat(F.lit(f"Unknown {what}: "), F.col(column))
-
-
-def lacking(rows: DataFrame, column: str, targets: DataFrame) -> DataFrame:
-    """Rows whose reference has no target."""
-    return rows.join(targets.select(F.col("id").alias("target_")).distinct(), F.col(column) == F.col("target_"), "left_anti")
-
-
-def joined(rows: DataFrame, column: str, targets: DataFrame, prefix: str, *fields: str, how: str = "inner") -> DataFrame:
-    """Rows with fields of the last row that their reference finds; ``<prefix>id`` tells whether it found one."""
-    found = renamed(last_wins(targets), prefix, "id", *fields)
-    return rows.join(found, F.col(column) == F.col(f"{prefix}id"), how)
-
-
-def val1(t: Topology) -> DataFrame:
-    again = F.row_number().over(Window.partitionBy("id").orderBy("idx"))
-
-    def of(relation: str, name: str) -> DataFrame:
-        rows = getattr(t, relation).select("id", "idx").withColumn("n", again).where("n > 1")
-        return issues(rows, 1, "duplicate_id", at(name, "id"), F.concat(F.lit("Duplicate id: "), F.col("id")))
+    def join(self, rows: DataFrame, column: str, relation: str, prefix: str, *fields: str) -> DataFrame:
+        """rows with fields of what their reference finds; ``<prefix>id`` is null if it finds nothing."""
+        found = renamed(self.rows[relation], prefix, "id", *fields)
+        return rows.join(found, F.col(column) == F.col(f"{prefix}id"), "left")
 
-    return reduce(DataFrame.unionByName, [of(*c) for c in COLLECTIONS.items()])
 
+@dataclass(frozen=True)
+class Rule:
+    number: int
+    code: str
+    broken: Column | str
+    path: Column
+    message: Column | str
+    sub: Column | None = None
 
-def val2(t: Topology) -> DataFrame:
-    return issues(lacking(t.floors, "building_id", t.buildings), 2, "missing_building", at("floors", "buildingId"), unknown("building", "building_id"))
+    def issue(self) -> Column:
+        """The issue of a row that breaks the rule, else null."""
+        said = F.lit(self.message) if isinstance(self.message, str) else self.message
+        sub = (F.lit(-1) if self.sub is None else self.sub).cast("long")
+        issue = F.struct(F.lit(self.number).alias("rule"), F.col("idx").cast("long").alias("idx"), sub.alias("sub"), F.lit(self.code).alias("code"), self.path.alias("path"), said.alias("message"))
+        return F.when(F.expr(self.broken) if isinstance(self.broken, str) else self.broken, issue)
 
 
-def val3(t: Topology) -> DataFrame:
-    return issues(lacking(t.places, "building_id", t.buildings), 3, "missing_building", at("places", "buildingId"), unknown("building", "building_id"))
-
-
-def val4(t: Topology) -> DataFrame:
-    return issues(lacking(t.nodes, "floor_id", t.floors), 4, "missing_floor", at("nodes", "floorId"), unknown("floor", "floor_id"))
-
-
-def val5(t: Topology) -> DataFrame:
-    return issues(lacking(t.access_points, "place_id", t.places), 5, "missing_place", at("accessPoints", "placeId"), unknown("place", "place_id"))
-
+def unknown(what: str, column: str) -> Column:
+    return F.concat(F.lit(f"Unknown {what}: "), F.col(column))
 
-def val6(t: Topology) -> DataFrame:
-    return issues(lacking(t.access_points, "floor_id", t.floors), 6, "missing_floor", at("accessPoints", "floorId"), unknown("floor", "floor_id"))
 
+def element(collection: str, field: str) -> Column:
+    return F.concat(at(collection, f"{field}["), F.col("pos").cast("string"), F.lit("]"))
 
-def val7(t: Topology) -> DataFrame:
-    rows = joined(joined(t.access_points, "place_id", t.places, "p_", "building_id"), "floor_id", t.floors, "f_", "building_id")
-    return issues(rows.where("p_building_id <> f_building_id"), 7, "building_mismatch", at("accessPoints", "floorId"), "Access point floor must belong to the place's building")
 
+#: Each view gives rows, joined with all that their rules ask for, and these rules, so that one pass checks them all.
+View = tuple[DataFrame, list[Rule]]
 
-def val8(t: Topology) -> DataFrame:
-    rows = lacking(t.access_points.where("connection = 'network_node'"), "node_id", t.nodes)
-    return issues(rows, 8, "missing_node", at("accessPoints", "nodeId"), unknown("node", "node_id"))
 
+def numbered(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("again_", F.row_number().over(Window.partitionBy("id").orderBy("idx")))
 
-def ends(t: Topology, how: str = "left") -> DataFrame:
-    """Segments with both end nodes and the buildings of their floors."""
-    rows = joined(joined(t.segments, "from_node_id", t.nodes, "a_", "floor_id", "kind", how=how), "to_node_id", t.nodes, "b_", "floor_id", "kind", how=how)
-    rows = joined(rows, "a_floor_id", t.floors, "fa_", "building_id", how="left")
-    return joined(rows, "b_floor_id", t.floors, "fb_", "building_id", how="left")
 
+def repeated(relation: str) -> Rule:
+    """The rule of numbered() rows."""
+    return Rule(1, "duplicate_id", "again_ > 1", at(COLLECTIONS[relation], "id"), F.concat(F.lit("Duplicate id: "), F.col("id")))
 
-def val9(t: Topology) -> DataFrame:
-    return issues(ends(t).where("a_id is null or b_id is null"), 9, "missing_node", at("segments"), "Segment references an unknown node")
 
+def buildings(t: Topology, maps: Maps) -> View:
+    return t.buildings, []
 
-def val10(t: Topology) -> DataFrame:
-    return issues(t.segments.where("from_node_id = to_node_id"), 10, "self_segment", at("segments"), "A path segment must connect different nodes")
 
+def floors(t: Topology, maps: Maps) -> View:
+    return maps.join(t.floors, "building_id", "buildings", "b_"), [Rule(2, "missing_building", "b_id is null", at("floors", "buildingId"), unknown("building", "building_id"))]
 
-def val11(t: Topology) -> DataFrame:
-    rows = ends(t, "inner").where((F.col("kind") == "building_connection") & F.col("fa_building_id").eqNullSafe(F.col("fb_building_id")))
-    return issues(rows, 11, "building_connection_same_building", at("segments"), "A building connection must join nodes in different buildings")
 
+def places(t: Topology, maps: Maps) -> View:
+    return maps.join(t.places, "building_id", "buildings", "b_"), [Rule(3, "missing_building", "b_id is null", at("places", "buildingId"), unknown("building", "building_id"))]
 
-def val12(t: Topology) -> DataFrame:
-    rows = ends(t, "inner").where("kind = 'building_connection' and (a_kind <> 'building_portal' or b_kind <> 'building_portal')")
-    return issues(rows, 12, "building_connection_node_kind", at("segments"), "Building connections must use building_portal nodes at both ends")
 
+def nodes(t: Topology, maps: Maps) -> View:
+    return maps.join(t.nodes, "floor_id", "floors", "f_"), [Rule(4, "missing_floor", "f_id is null", at("nodes", "floorId"), unknown("floor", "floor_id"))]
 
-def val13(t: Topology) -> DataFrame:
-    rows = ends(t, "inner").where("kind <> 'building_connection' and fa_building_id <> fb_building_id")
-    return issues(rows, 13, "cross_building_segment_kind", at("segments", "kind"), "Paths between buildings must use building_connection")
 
+def access_points(t: Topology, maps: Maps) -> View:
+    rows = maps.join(maps.join(maps.join(t.access_points, "place_id", "places", "p_", "building_id"), "floor_id", "floors", "f_", "building_id"), "node_id", "nodes", "n_")
+    name = "accessPoints"
+    return rows, [
+        Rule(5, "missing_place", "p_id is null", at(name, "placeId"), unknown("place", "place_id")),
+        Rule(6, "missing_floor", "f_id is null", at(name, "floorId"), unknown("floor", "floor_id")),
+        Rule(7, "building_mismatch", "p_building_id <> f_building_id", at(name, "floorId"), "Access point floor must belong to the place's building"),
+        Rule(8, "missing_node", "connection = 'network_node' and n_id is null", at(name, "nodeId"), unknown("node", "node_id")),
+    ]
 
-def val14(t: Topology) -> DataFrame:
-    return issues(lacking(t.edges, "segment_id", t.segments), 14, "missing_segment", at("edges", "segmentId"), unknown("segment", "segment_id"))
 
-
-def val15(t: Topology) -> DataFrame:
-    rows = joined(t.edges, "segment_id", t.segments, "s_", "from_node_id", "to_node_id")
+def segments(t: Topology, maps: Maps) -> View:
+    """Segments with both end nodes and the buildings of their floors."""
+    rows = maps.join(maps.join(t.segments, "from_node_id", "nodes", "a_", "floor_id", "kind"), "to_node_id", "nodes", "b_", "floor_id", "kind")
+    rows = maps.join(maps.join(rows, "a_floor_id", "floors", "fa_", "building_id"), "b_floor_id", "floors", "fb_", "building_id")
+    both, bridge = "a_id is not null and b_id is not null", "kind = 'building_connection'"
+    return rows, [
+        Rule(9, "missing_node", "a_id is null or b_id is null", at("segments"), "Segment references an unknown node"),
+        Rule(10, "self_segment", "from_node_id = to_node_id", at("segments"), "A path segment must connect different nodes"),
+        Rule(11, "building_connection_same_building", f"{both} and {bridge} and fa_building_id <=> fb_building_id", at("segments"), "A building connection must join nodes in different buildings"),
+        Rule(12, "building_connection_node_kind", f"{both} and {bridge} and (a_kind <> 'building_portal' or b_kind <> 'building_portal')", at("segments"), "Building connections must use building_portal nodes at both ends"),
+        Rule(13, "cross_building_segment_kind", f"{both} and not {bridge} and fa_building_id <> fb_building_id", at("segments", "kind"), "Paths between buildings must use building_connection"),
+    ]
+
+
+def edges(t: Topology, maps: Maps) -> View:
     same = "(from_node_id = s_from_node_id and to_node_id = s_to_node_id) or (from_node_id = s_to_node_id and to_node_id = s_from_node_id)"
-    return issues(rows.where(f"not ({same})"), 15, "edge_segment_mismatch", at("edges"), "Edge endpoints must match its segment")
-
-
-def val16(t: Topology) -> DataFrame:
-    return issues(t.edges.where(bad_cost(F.col("cost"))), 16, "invalid_cost", at("edges", "cost"), "Edge cost must be positive")
-
-
-def val17(t: Topology) -> DataFrame:
-    return issues(lacking(t.links, "access_point_id", t.access_points), 17, "missing_access_point", at("terminalAccessLinks", "accessPointId"), "Unknown access point")
-
-
-def val18(t: Topology) -> DataFrame:
-    rows = joined(t.links, "access_point_id", t.access_points, "p_", "connection").where("p_connection <> 'terminal'")
-    return issues(rows, 18, "non_terminal_access_link", at("terminalAccessLinks", "accessPointId"), "Access link must reference a terminal point")
+    return maps.join(t.edges, "segment_id", "segments", "s_", "from_node_id", "to_node_id"), [
+        Rule(14, "missing_segment", "s_id is null", at("edges", "segmentId"), unknown("segment", "segment_id")),
+        Rule(15, "edge_segment_mismatch", f"s_id is not null and not ({same})", at("edges"), "Edge endpoints must match its segment"),
+        Rule(16, "invalid_cost", bad_cost(F.col("cost")), at("edges", "cost"), "Edge cost must be positive"),
+    ]
 
 
-def val19(t: Topology) -> DataFrame:
-    return issues(lacking(t.links, "node_id", t.nodes), 19, "missing_node", at("terminalAccessLinks", "nodeId"), "Unknown node")
+def links(t: Topology, maps: Maps) -> View:
+    rows, name = maps.join(maps.join(t.links, "access_point_id", "access_points", "p_", "connection", "floor_id"), "node_id", "nodes", "n_", "floor_id"), "terminalAccessLinks"
+    return rows, [
+        Rule(17, "missing_access_point", "p_id is null", at(name, "accessPointId"), "Unknown access point"),
+        Rule(18, "non_terminal_access_link", "p_connection <> 'terminal'", at(name, "accessPointId"), "Access link must reference a terminal point"),
+        Rule(19, "missing_node", "n_id is null", at(name, "nodeId"), "Unknown node"),
+        Rule(20, "floor_mismatch", "p_floor_id <> n_floor_id", at(name, "nodeId"), "Terminal link cannot cross floors"),
+        Rule(21, "invalid_cost", bad_cost(F.col("cost")), at(name, "cost"), "Terminal access cost must be positive"),
+    ]
 
 
-def val20(t: Topology) -> DataFrame:
-    rows = joined(joined(t.links, "access_point_id", t.access_points, "p_", "floor_id"), "node_id", t.nodes, "n_", "floor_id")
-    return issues(rows.where("p_floor_id <> n_floor_id"), 20, "floor_mismatch", at("terminalAccessLinks", "nodeId"), "Terminal link cannot cross floors")
+def connectors(t: Topology, maps: Maps) -> View:
+    rule = Rule(22, "missing_place", "nullif(place_id, '') is not null and p_id is null", at("verticalConnectors", "placeId"), "Connector references an unknown place")
+    return maps.join(t.connectors, "place_id", "places", "p_"), [rule]
 
 
-def val21(t: Topology) -> DataFrame:
-    return issues(t.links.where(bad_cost(F.col("cost"))), 21, "invalid_cost", at("terminalAccessLinks", "cost"), "Terminal access cost must be positive")
+def with_connector(t: Topology, rows: DataFrame) -> DataFrame:
+    """Elements with their connector's row (id may repeat)."""
+    return rows.join(t.connectors.select(F.col("id").alias("connector_id"), F.col("kind").alias("c_kind"), "idx"), "connector_id")
 
 
-def val22(t: Topology) -> DataFrame:
-    rows = lacking(t.connectors.where("nullif(place_id, '') is not null"), "place_id", t.places)
-    return issues(rows, 22, "missing_place", at("verticalConnectors", "placeId"), "Connector references an unknown place")
+def stops(t: Topology, maps: Maps) -> View:
+    rows = maps.join(with_connector(t, t.connector_stops.select("connector_id", "pos", "node_id")), "node_id", "nodes", "n_", "floor_id", "kind")
+    expected, path = F.when(F.col("c_kind") == "stairs", "stair_landing").otherwise("elevator_lobby"), element("verticalConnectors", "stopNodeIds")
+    return rows, [
+        Rule(23, "missing_node", "n_id is null", path, "Unknown connector stop node", F.col("pos")),
+        Rule(24, "connector_node_kind", F.col("n_kind") != expected, path, F.concat("c_kind", F.lit(" stops must use "), expected, F.lit(" nodes")), F.col("pos")),
+    ]
 
 
-def stops(t: Topology) -> DataFrame:
-    """Stops with their connector's row (id may repeat) and node."""
-    of = t.connectors.select(F.col("id").alias("connector_id"), F.col("kind").alias("c_kind"), "name", "idx")
-    rows = t.connector_stops.select("connector_id", "pos", "node_id").join(of, "connector_id")
-    return joined(rows, "node_id", t.nodes, "n_", "floor_id", "kind", how="left")
-
-
-def val23(t: Topology) -> DataFrame:
-    path = F.concat(at("verticalConnectors", "stopNodeIds["), F.col("pos").cast("string"), F.lit("]"))
-    return issues(stops(t).where("n_id is null"), 23, "missing_node", path, "Unknown connector stop node", F.col("pos"))
-
-
-def expected_kind() -> Column:
-    return F.when(F.col("c_kind") == "stairs", "stair_landing").otherwise("elevator_lobby")
-
-
-def val24(t: Topology) -> DataFrame:
-    path = F.concat(at("verticalConnectors", "stopNodeIds["), F.col("pos").cast("string"), F.lit("]"))
-    rows = stops(t).where(F.col("n_kind") != expected_kind())
-    return issues(rows, 24, "connector_node_kind", path, F.concat("c_kind", F.lit(" stops must use "), expected_kind(), F.lit(" nodes")), F.col("pos"))
+def spans(t: Topology, maps: Maps) -> View:
+    """Number of buildings of each connector's stops."""
+    rows = maps.join(maps.join(with_connector(t, t.connector_stops.select("connector_id", "node_id")), "node_id", "nodes", "n_", "floor_id"), "n_floor_id", "floors", "f_", "building_id")
+    rows = rows.groupBy("idx").agg(F.countDistinct(F.nullif("f_building_id", F.lit(""))).alias("n"))
+    message = "A stair or elevator group cannot span different buildings; use a building connection instead"
+    return rows, [Rule(25, "vertical_connector_crosses_buildings", "n > 1", at("verticalConnectors", "stopNodeIds"), message)]
 
 
-def val25(t: Topology) -> DataFrame:
-    rows = joined(stops(t), "n_floor_id", t.floors, "f_", "building_id")
-    many = rows.groupBy("idx").agg(F.countDistinct(F.nullif("f_building_id", F.lit(""))).alias("n")).where("n > 1")
-    message = "A stair or elevator group cannot span different buildings; use a building connection instead"
-    return issues(many, 25, "vertical_connector_crosses_buildings", at("verticalConnectors", "stopNodeIds"), message)
+def connector_paths(t: Topology, maps: Maps) -> View:
+    rows = maps.join(with_connector(t, t.connector_segments), "segment_id", "segments", "s_", "kind")
+    path = element("verticalConnectors", "segmentIds")
+    return rows, [
+        Rule(26, "missing_segment", "s_id is null", path, "Unknown connector segment", F.col("pos")),
+        Rule(27, "connector_segment_kind", "s_kind <> c_kind", path, F.concat(F.lit("Connector segments must have kind "), "c_kind"), F.col("pos")),
+    ]
 
 
-def connector_paths(t: Topology) -> DataFrame:
-    of = t.connectors.select(F.col("id").alias("connector_id"), F.col("kind").alias("c_kind"), "idx")
-    return joined(t.connector_segments.join(of, "connector_id"), "segment_id", t.segments, "s_", "kind", how="left")
+VIEWS = (buildings, floors, places, nodes, access_points, segments, edges, links, connectors, stops, spans, connector_paths)
 
 
-def val26(t: Topology) -> DataFrame:
-    path = F.concat(at("verticalConnectors", "segmentIds["), F.col("pos").cast("string"), F.lit("]"))
-    return issues(connector_paths(t).where("s_id is null"), 26, "missing_segment", path, "Unknown connector segment", F.col("pos"))
+def checked(view: View, only: int | None = None) -> DataFrame:
+    """Issues of a view's rows, of all rules or one."""
+    rows, rules = view
+    found = F.array(*[r.issue() for r in rules if only in (None, r.number)])
+    return rows.select(F.explode(F.filter(found, lambda i: i.isNotNull())).alias("i")).select("i.*")
 
 
-def val27(t: Topology) -> DataFrame:
-    path = F.concat(at("verticalConnectors", "segmentIds["), F.col("pos").cast("string"), F.lit("]"))
-    return issues(connector_paths(t).where("s_kind <> c_kind"), 27, "connector_segment_kind", path, F.concat(F.lit("Connector segments must have kind "), "c_kind"), F.col("pos"))
+def check(t: Topology, number: int) -> DataFrame:
+    """Issues of one rule."""
+    if number == 1:
+        return reduce(DataFrame.unionByName, [checked((numbered(getattr(t, name)), [repeated(name)])) for name in COLLECTIONS])
+    maps = Maps(t)
+    view = next(v for v in (view(t, maps) for view in VIEWS) if any(r.number == number for r in v[1]))
+    return checked(view, number)
 
 
-RULES = (val1, val2, val3, val4, val5, val6, val7, val8, val9, val10, val11, val12, val13, val14, val15, val16, val17, val18, val19, val20, val21, val22, val23, val24, val25, val26, val27)
+RULES = tuple(partial(check, number=k) for k in range(1, 28))
 
 #: Place of each rule's group in the document's order of checks; rules of a group interleave by row.
 GROUPS = (0, 1, 2, 3, 4, 4, 4, 4, 5, 5, 5, 5, 5, 6, 6, 6, 7, 7, 7, 7, 7, 8, 8, 8, 8, 8, 8)
 
 
 def validate(t: Topology) -> DataFrame:
-    """All issues, with ``group`` to order them: by group, idx, rule and sub."""
+    """All issues, with ``group`` to order them: by group, idx, rule and sub.
+
+    Look-ups are written once, and each collection is read once for all its rules.
+    """
+    maps = Maps(t, Staging(t.nodes.sparkSession))
+    t = t.with_(**{name: numbered(getattr(t, name)) for name in COLLECTIONS})
+    views = []
+    for view in VIEWS:
+        rows, rules = view(t, maps)
+        views.append((rows, [*([repeated(view.__name__)] if view.__name__ in COLLECTIONS else []), *rules]))
     group = F.element_at(F.array(*[F.lit(g) for g in GROUPS]), F.col("rule"))
-    return reduce(DataFrame.unionByName, [r(t) for r in RULES]).withColumn("group", group)
+    return reduce(DataFrame.unionByName, map(checked, views)).withColumn("group", group)

@@ -7,6 +7,7 @@ integrity rule is broken by some rows.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,15 +48,15 @@ RELATIONS: dict[str, str] = {
 }
 
 
-def needed(text: str) -> list[str]:
-    """Relations that a statement mentions, with what they build on, in order."""
+def needed(text: str, made: Iterable[str] = ()) -> list[str]:
+    """Relations that a statement mentions, with what they build on unless they are made already, in order."""
     found: set[str] = set()
     queue = [text]
     while queue:
         said = set(re.findall(r"\w+", queue.pop()))
         for name in RELATIONS.keys() & said - found:
             found.add(name)
-            queue.append(RELATIONS[name])
+            queue += [] if name in made else [RELATIONS[name]]
     return [n for n in RELATIONS if n in found]
 
 
@@ -72,10 +73,11 @@ def duckdb_sql(statement: str, recursive: bool = False) -> str:
     return f"{head}{parts} {body}" if parts else body
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = RELATIONS[name]
-    order = [n for n in needed(text)]
-    used = " ".join([text, *(RELATIONS[n] for n in order)])
+def relation(spark: SparkSession, sf_dir: str, name: str, made: dict[str, str] | None = None) -> DataFrame:
+    """A relation over the driver's tables; made: folders of relations that are written already."""
+    made, text = made or {}, RELATIONS[name]
+    bodies = {n: f"select * from parquet.`{made[n]}`" if n in made else RELATIONS[n] for n in needed(text, made)}
+    used = " ".join([text, *bodies.values()])
     sources = [s for s in SOURCES if re.search(rf"\b{s}\b", used)]
-    parts = [f"{s} as (select * from parquet.`{sf_dir}/{s}.parquet`)" for s in sources] + [f"{n} as ({RELATIONS[n]})" for n in order]
+    parts = [f"{s} as (select * from parquet.`{sf_dir}/{s}.parquet`)" for s in sources] + [f"{n} as ({body})" for n, body in bodies.items()]
     return spark.sql(f"with {', '.join(parts)} {text}")

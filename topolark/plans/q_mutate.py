@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topolark.operators import mutate
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.topology import Topology, derive
+from topolark.plans.topology import Topology, derive, derive_staged
 
 COUNTED = ("buildings", "floors", "places", "access_points", "nodes", "segments", "edges", "links", "connectors", "connector_stops", "connector_segments", "plans")
 LEN = "greatest(1.0, sqrt(pow({b}.x-{a}.x,2)+pow({b}.y-{a}.y,2)))"
@@ -56,7 +56,7 @@ SOME_FLOORS = "select id from floors where idx % 3 = 0"
 
 
 def removed(s: SparkSession, d: str) -> Topology:
-    t = derive(s, d)
+    t = derive_staged(s, d)
     return mutate.remove_floors(t, mutate.ids(t.floors.where("idx % 3 = 0")), mutate.ids(t.buildings.limit(0)))
 
 
@@ -88,15 +88,15 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
     house = cascade("select id from floors where building_id = 'B1'", "select id from buildings where id = 'B1'")
     own = "own as (select * from access_points where place_id = 'P8'), gn as (select node_id id from own where connection = 'network_node'), gs as (select id from segments where from_node_id in (from gn) or to_node_id in (from gn))"
     return {
-        "mut1": (lambda s, d: sizes(mutate.remove_floor(derive(s, d), "F3")), sizes_sql(one, R)),
-        "mut2": (lambda s, d: sizes(mutate.remove_building(derive(s, d), "B1")), sizes_sql(house, R)),
+        "mut1": (lambda s, d: sizes(mutate.remove_floor(derive_staged(s, d), "F3")), sizes_sql(one, R)),
+        "mut2": (lambda s, d: sizes(mutate.remove_building(derive_staged(s, d), "B1")), sizes_sql(house, R)),
         "mut3": (lambda s, d: sizes(removed(s, d)), sizes_sql(few, R)),
         "mut4": q(lambda s, d: removed(s, d).connectors.select("id", "kind", "place_id"), f"{few} select id, kind, place_id from r_connectors"),
         "mut5": q(
             lambda s, d: (lambda t: mutate.removal_scope(t, mutate.ids(t.floors.where("idx % 3 = 0"))))(derive(s, d)),
             f"{few} select (select count(*) from gf) as floors, (select count(*) from gn) as nodes, (select count(*) from gs) as segments, (select count(distinct place_id) from access_points where floor_id in (from gf)) as places",
         ),
-        "mut6": (lambda s, d: sizes(mutate.guarded_remove_building(derive(s, d), "B1")).where("relation = 'buildings'"), duckdb_sql(f"{house} select 'buildings' as relation, count(*) as row_count, cast(sum(idx) as bigint) as mark from r_buildings")),
+        "mut6": (lambda s, d: sizes(mutate.guarded_remove_building(derive_staged(s, d), "B1")).where("relation = 'buildings'"), duckdb_sql(f"{house} select 'buildings' as relation, count(*) as row_count, cast(sum(idx) as bigint) as mark from r_buildings")),
         "mut7": (lambda s, d: sizes(mutate.delete_segment(derive(s, d), "S1-2")), sizes_sql("with r_segments as (select * from segments where id <> 'S1-2'), r_edges as (select * from edges where segment_id <> 'S1-2')", {"segments": "r_segments", "edges": "r_edges"})),
         "mut8": (
             lambda s, d: sizes(mutate.delete_place(derive(s, d), "P8")),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from topolark.functions.keys import half_up
 from topolark.operators import route
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.topology import Topology, derive
+from topolark.plans.topology import Topology, derive, derive_staged
 
 #: The place that the queries start from.
 FROM = "P4"
@@ -47,7 +47,7 @@ def told(t: Topology) -> Topology:
 
 
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = told(derive(spark, sf_dir))
+    t = told(derive_staged(spark, sf_dir))
     free = F.explode(F.array(F.lit(False), F.lit(True)))
     wanted = t.places.select(F.lit(FROM).alias("from_place_id"), F.col("id").alias("to_place_id"), free.alias("step_free"))
     return route.find_routes(t, wanted)

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.functions.staging import Staging
 from topolark.operators import audit, validate
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.topology import Topology, derive
+from topolark.plans.topology import derive, derive_staged
 
 
 def last(name: str) -> str:
@@ -98,7 +97,7 @@ AUDIT_SQL = AUDIT_SQL.replace("{stops}", AUDIT_STOPS)
 
 def audited(spark: SparkSession, sf_dir: str):
     """The derived topology with isolated, missing and wrong stops."""
-    t = derive(spark, sf_dir)
+    t = derive_staged(spark, sf_dir)
     number = lambda c: F.substring(c, 2, 20).cast("long")
     keep = lambda c: (number(F.col(c)) % 30 != 0) & (number(F.col(c)) % 50 != 1)
     extra = t.connectors.where("idx % 2 = 0").select(F.col("id").alias("connector_id"), "kind", F.lit(1000).cast("long").alias("pos"), F.lit("N-missing").alias("node_id"))
@@ -108,12 +107,6 @@ def audited(spark: SparkSession, sf_dir: str):
     return t.with_(nodes=nodes, edges=t.edges.where(keep("from_node_id") & keep("to_node_id")), connector_stops=t.connector_stops.unionByName(extra).unionByName(wrong))
 
 
-def kept(t: Topology) -> Topology:
-    """The relations written once, as all rules read them."""
-    staging = Staging(t.nodes.sparkSession)
-    return Topology(**{name: rows if rows is None else staging.write(rows) for name, rows in vars(t).items()})
-
-
 def aud4_nodes(t) -> DataFrame:
     return audit.repair(t).topology.nodes.select("id", "floor_id", "kind", "label")
 
@@ -125,7 +118,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]]:
     every = " union all ".join(f"select code, path from ({RULE_SQL[k]}) r{k}" for k in range(1, 28) if not RULE_SQL[k].startswith("with"))
     merged = f"""with {ENDS}, {STOPS}, {PATHS}, issues as ({every} {' '.join(f"union all select code, path from ({'select' + RULE_SQL[k].rsplit(') select', 1)[1]}) r{k}" for k in range(1, 28) if RULE_SQL[k].startswith('with'))})
       select code, count(*) as issues, min(path) as first_path from issues group by code"""
-    out["val28"] = (lambda s, d: validate.validate(kept(derive(s, d, perturbed=True))).groupBy("code").agg(F.count("*").alias("issues"), F.min("path").alias("first_path")), duckdb_sql(merged))
+    out["val28"] = (lambda s, d: validate.validate(derive_staged(s, d, perturbed=True)).groupBy("code").agg(F.count("*").alias("issues"), F.min("path").alias("first_path")), duckdb_sql(merged))
     degree = duckdb_sql(f"with {DEGREE} select id, degree from degree")
     out["aud1"] = (lambda s, d: audit.routed_degree(derive(s, d, perturbed=True)), degree)
     out["aud2"] = (lambda s, d: audit.audit(audited(s, d)).select("connector_id", "connector_name", "pos", "stop_node_id", "floor_id", "code"), duckdb_sql(AUDIT_SQL + " select connector_id, connector_name, pos, stop_node_id, floor_id, code from found where code is not null"))

@@ -6,6 +6,7 @@ from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from topolark.functions.staging import Staging
 from topolark.plans import derived
 
 
@@ -30,8 +31,22 @@ class Topology:
         return replace(self, **changed)
 
 
-def derive(spark: SparkSession, sf_dir: str, perturbed: bool = False) -> Topology:
+def derive(spark: SparkSession, sf_dir: str, perturbed: bool = False, made: dict[str, str] | None = None) -> Topology:
     def of(name: str) -> DataFrame:
-        return derived.relation(spark, sf_dir, f"d_{name}" if perturbed and f"d_{name}" in derived.RELATIONS else name)
+        return derived.relation(spark, sf_dir, f"d_{name}" if perturbed and f"d_{name}" in derived.RELATIONS else name, made)
 
     return Topology(**{f.name: of(f.name) for f in fields(Topology)})
+
+
+def staged(t: Topology) -> Topology:
+    """The relations written once to the shared folder, for operators that read them many times."""
+    return t.with_(**Staging(t.nodes.sparkSession).write_all({name: rows for name, rows in vars(t).items() if rows is not None}))
+
+
+def derive_staged(spark: SparkSession, sf_dir: str, perturbed: bool = False) -> Topology:
+    """staged(derive()), for which the pairs of nodes, which all edges build on, are found once."""
+    staging = Staging(spark)
+    pairs = staging.write(derived.relation(spark, sf_dir, "pairs"))
+    made = {"pairs": pairs._staged}
+    made["segments"] = staging.write(derived.relation(spark, sf_dir, "segments", made))._staged
+    return staged(derive(spark, sf_dir, perturbed, made))
