@@ -129,8 +129,9 @@ def scan(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, l
     """files (path, text, ...) with license, score, license_source (own, inherited or none) and license_dir."""
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILES), F.lit(False))
     rows = packed(files, "path", "text", named.alias("named_"), directory(F.col("path")).alias("dir_"))
-    rows = rows.select("row_", "named_", "dir_", own_license("text", "named_", templates, least).alias("own_"))
-    holders = rows.where(F.col("own_").isNotNull() & F.col("named_"))
+    rows = rows.select("row_", "dir_", own_license("text", "named_", templates, least).alias("own_"))
+    # License files are scored apart, so that no other text is scored twice.
+    holders = files.where(named).select(directory(F.col("path")).alias("dir_"), own_license("text", "true", templates, least).alias("own_")).where("own_ is not null")
     order = F.struct((-F.col("own_.score")).alias("s"), F.col("own_.license").alias("license"))
     holders = holders.groupBy(F.col("dir_").alias("holder")).agg(F.min(order).alias("held"))
     steps = F.transform(F.split("dir_", "/"), lambda _, i: F.struct(i.alias("depth"), F.array_join(F.slice(F.split("dir_", "/"), 1, i + 1), "/").alias("above")))
