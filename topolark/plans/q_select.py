@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from topolark.functions import geometry
 from topolark.functions.keys import direction, first_wins, half_up, last_wins, number
-from topolark.operators import audit, drawing, select, spatial
+from topolark.operators import drawing, relate, select, spatial
 from topolark.plans.derived import duckdb_sql, relation
 from topolark.plans.topology import Topology, derive
 
@@ -147,7 +147,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "flt5": q(lambda s, d: select.point_positions(derive(s, d)), "select a.id, a.place_id, case when connection = 'terminal' then a.x else n.x end as x, case when connection = 'terminal' then a.y else n.y end as y from access_points a left join nodes n on n.id = a.node_id where (connection = 'terminal' or n.id is not null) and a.place_id in (select id from places)"),
         "flt6": q(lambda s, d: select.drawable_links(derive(s, d), FLOOR).select("id", "cost"), f"select id, cost from links where access_point_id in (select id from access_points where floor_id = '{FLOOR}') and node_id in (select id from nodes where floor_id = '{FLOOR}')"),
         "flt7": q(lambda s, d: select.linked_nodes(derive(s, d), "P1").select("id", "kind"), "select id, kind from nodes where id in (select l.node_id from links l join access_points a on a.id = l.access_point_id where a.place_id = 'P1')"),
-        "flt8": q(lambda s, d: (lambda t: t.places.join(t.access_points.where("idx % 6 <> 1").select(F.col("place_id").alias("id")), "id", "left_semi").select("id", "name"))(derive(s, d)), "select id, name from places p where exists (select 1 from access_points a where a.place_id = p.id and a.idx % 6 <> 1)"),
+        "flt8": q(lambda s, d: (lambda t: relate.used_places(t.places, t.access_points.where("idx % 6 <> 1")).select("id", "name"))(derive(s, d)), "select id, name from places p where exists (select 1 from access_points a where a.place_id = p.id and a.idx % 6 <> 1)"),
         "flt9": q(lambda s, d: drawing.barrier_lines(bare(s, d)).select("drawing_id", "idx"), f"select drawing_id, idx from (select *, bool_or(length(layer) > 0) over (partition by drawing_id) as named from {BARE}) where type = 'line' and (not coalesce(named, false) or coalesce(list_last(string_split(layer, '|')) in ('A-WALL','S-COLS','A-FURN','P-FIXT','A-FLOR-MLWK','A-EQPM','I-EQPM-FIXD'), false))"),
         "flt10": q(lambda s, d: drawing.structural_lines(bare(s, d)).select("drawing_id", "idx"), f"select drawing_id, idx from (select *, bool_or(length(layer) > 0) over (partition by drawing_id) as named from {BARE}) where type = 'line' and (not coalesce(named, false) or layer = 'ARCH|A-WALL')"),
         "flt11": q(lambda s, d: bare(s, d).groupBy("drawing_id").agg(F.coalesce(F.bool_or(F.length("layer") > 0), F.lit(False)).alias("has_layers")), f"select drawing_id, coalesce(bool_or(length(layer) > 0), false) as has_layers from {BARE} group by drawing_id"),
@@ -157,18 +157,18 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "flt15": q(lambda s, d: drawing.overlay_candidates(drawn(s, d, "dlabels").withColumn("text", F.when(F.col("idx") % 3 == 0, F.concat("text", F.lit(" sf"))).when(F.col("idx") % 3 == 1, F.concat(F.lit("Lab "), "text")).otherwise(F.col("text")))).select("idx", "text"), "select idx, t as text from (select idx, case idx%3 when 0 then text || ' sf' when 1 then 'Lab ' || text else text end as t from dlabels) where length(t) > 3 and not regexp_full_match(trim(replace(replace(t, ',', ''), 'sf', '')), '[0-9]+')"),
         "flt16": q(lambda s, d: drawing.category_candidates(drawn(s, d, "dlabels").withColumn("text", F.when(F.col("idx") % 4 == 0, F.concat(F.lit("Lounge"), F.chr(65 + F.col("idx") % 9))).when(F.col("idx") % 4 == 1, F.lit("A - B")).otherwise(F.col("text")))), f"select distinct drawing_id, t as text from (select drawing_id, case idx%4 when 0 then 'Lounge' || chr(cast(65 + idx%9 as int)) when 1 then 'A - B' else text end as t from {LABELS}) where length(t) > 3 and not contains(t, ' - ') and not regexp_matches(t, '[0-9]')"),
         "flt17": q(lambda s, d: drawing.exact_labels(drawn(s, d, "dlabels").withColumn("text", F.concat(F.lit(" "), (F.col("idx") % 7).cast("string"), F.lit(" "))), "3").select("idx", "x", "y"), "select idx, x, y from dlabels where idx%7 = 3"),
-        "flt18": q(lambda s, d: polygon_cells(s, d).groupBy("drawing_id", "idx").agg(F.lit(1.0).alias("in_")).join(drawn(s, d, "dlabels").select("drawing_id", "idx"), ["drawing_id", "idx"], "right").groupBy("drawing_id", (F.col("idx") % 400).alias("run")).agg(F.avg(F.coalesce("in_", F.lit(0.0))).alias("share")).where("share >= 0.5").select("drawing_id", "run", F.round("share", 6).alias("share")), f"with {QUADS}, hits as (select l.drawing_id, l.idx, r.poly_id from {LABELS} l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1), ins as (select distinct drawing_id, idx from hits) select l.drawing_id, l.idx%400 as run, round(avg(case when i.idx is not null then 1.0 else 0.0 end), 6) as share from {LABELS} l left join ins i on i.drawing_id = l.drawing_id and i.idx = l.idx group by all having avg(case when i.idx is not null then 1.0 else 0.0 end) >= 0.5".replace("group by l.drawing_id, l.idx, r.poly_id", "group by l.drawing_id, l.idx, l.x, l.y, r.poly_id")),
-        "join1": q(lambda s, d: (lambda t: t.edges.join(last_wins(t.segments).select(F.col("id").alias("segment_id"), "kind"), "segment_id").groupBy("kind").agg(F.count("*").alias("edges"), F.round(F.sum(F.when(~F.isnan("cost") & (F.abs("cost") < 1e300), F.col("cost"))), 3).alias("cost")))(derive(s, d, True)), "with s as (select * from d_segments qualify row_number() over (partition by id order by idx desc) = 1) select s.kind, count(*) as edges, round(sum(case when not isnan(cost) and not isinf(cost) then cost end), 3) as cost from d_edges e join s on s.id = e.segment_id group by s.kind"),
-        "join2": q(lambda s, d: (lambda t: t.links.join(t.nodes.select(F.col("id").alias("node_id")), "node_id", "left_anti").select("id"))(derive(s, d, True)), "select id from d_links l where not exists (select 1 from d_nodes n where n.id = l.node_id)"),
-        "join3": q(lambda s, d: (lambda t: t.nodes.join(t.segments.select(F.explode(F.array("from_node_id", "to_node_id")).alias("id")), "id", "left_semi").select("id"))(derive(s, d)), "select id from nodes n where exists (select 1 from segments s where n.id in (s.from_node_id, s.to_node_id))"),
-        "join4": q(lambda s, d: (lambda t: t.connector_stops.select("connector_id", F.col("node_id").alias("a")).join(t.connector_stops.select("connector_id", F.col("node_id").alias("b")), "connector_id").where("a <> b"))(derive(s, d)), "select a.connector_id, a.node_id as a, b.node_id as b from connector_stops a join connector_stops b on a.connector_id = b.connector_id and a.node_id <> b.node_id"),
+        "flt18": q(lambda s, d: relate.shares_inside(drawn(s, d, "dlabels"), polygon_cells(s, d), F.col("idx") % 400).select("drawing_id", "run", F.round("share", 6).alias("share")), f"with {QUADS}, hits as (select l.drawing_id, l.idx, r.poly_id from {LABELS} l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1), ins as (select distinct drawing_id, idx from hits) select l.drawing_id, l.idx%400 as run, round(avg(case when i.idx is not null then 1.0 else 0.0 end), 6) as share from {LABELS} l left join ins i on i.drawing_id = l.drawing_id and i.idx = l.idx group by all having avg(case when i.idx is not null then 1.0 else 0.0 end) >= 0.5".replace("group by l.drawing_id, l.idx, r.poly_id", "group by l.drawing_id, l.idx, l.x, l.y, r.poly_id")),
+        "join1": q(lambda s, d: relate.edges_by_kind(derive(s, d, True)).withColumn("cost", F.round("cost", 3)), "with s as (select * from d_segments qualify row_number() over (partition by id order by idx desc) = 1) select s.kind, count(*) as edges, round(sum(case when not isnan(cost) and not isinf(cost) then cost end), 3) as cost from d_edges e join s on s.id = e.segment_id group by s.kind"),
+        "join2": q(lambda s, d: relate.dangling_links(derive(s, d, True)).select("id"), "select id from d_links l where not exists (select 1 from d_nodes n where n.id = l.node_id)"),
+        "join3": q(lambda s, d: relate.joined_nodes(derive(s, d)).select("id"), "select id from nodes n where exists (select 1 from segments s where n.id in (s.from_node_id, s.to_node_id))"),
+        "join4": q(lambda s, d: relate.stop_pairs(derive(s, d)), "select a.connector_id, a.node_id as a, b.node_id as b from connector_stops a join connector_stops b on a.connector_id = b.connector_id and a.node_id <> b.node_id"),
         "join5": q(lambda s, d: spatial.within(rooms(s, d).select("drawing_id", "idx", "x", "y"), drawing.overlay_candidates(drawn(s, d, "dlabels").withColumn("text", F.concat("text", F.lit("x")))).where("length(text) > 4").select("drawing_id", F.col("idx").alias("label_idx"), F.col("x").alias("rx"), F.col("y").alias("ry")), 20.0, ("drawing_id",)).select("drawing_id", "idx", "label_idx", F.round("far", 6).alias("far")), near),
         "join6": q(lambda s, d: spatial.crossing(hop_lines(derive(s, d)), near_walls(s, d)), f"with hops_ as (select e.idx as hop_id, a.x ax, a.y ay, b.x bx, b.y bz from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id), w as (select idx as wall_id, x1, y1, x2, y2 from walls) select hop_id, wall_id from hops_ join w on {MEET}"),
         "join7": q(lambda s, d: polygon_cells(s, d).select("drawing_id", "poly_id", "idx"), f"with {QUADS} select l.drawing_id, r.poly_id, l.idx from {LABELS} l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, l.x, l.y, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1"),
         "join8": q(lambda s, d: drawing.door_candidates(drawn(s, d, "dlabels").select("drawing_id", F.col("idx").alias("room_id"), "x", "y"), doors(s, d)).select("drawing_id", "room_id", "door_id", F.round("far", 6).alias("far"), F.col("rank").cast("long").alias("rank")), f"select r.drawing_id, r.idx as room_id, d.idx as door_id, round({FAR.format(a='r.', b='d.')}, 6) as far, row_number() over (partition by r.drawing_id, r.idx order by {FAR.format(a='r.', b='d.')}, d.idx) as rank from {LABELS} r join {LABELS} d on r.drawing_id = d.drawing_id where d.idx%3=1 qualify rank <= 8"),
         "join10": q(lambda s, d: drawing.unique_pairs(drawn(s, d, "dlabels"), scaled(s, d)).select("drawing_id", "text"), f"select drawing_id, text from {LABELS} group by all having count(*) = 1 intersect select drawing_id, text from {LABELS} where idx%3<>0 group by all having count(*) = 1"),
-        "agg1": q(lambda s, d: (lambda t: t.nodes.groupBy("floor_id").agg(F.count("*").alias("nodes")).join(t.access_points.groupBy("floor_id").agg(F.countDistinct("place_id").alias("places")), "floor_id", "full_outer").join(select.end_floors(t).groupBy(F.col("a_floor_id").alias("floor_id")).agg(F.count("*").alias("paths")), "floor_id", "full_outer"))(derive(s, d)), "select f.id as floor_id, n.c as nodes, p.c as places, e.c as paths from floors f left join (select floor_id, count(*) c from nodes group by 1) n on n.floor_id = f.id left join (select floor_id, count(distinct place_id) c from access_points group by 1) p on p.floor_id = f.id left join (select n.floor_id, count(*) c from segments s join nodes n on n.id = s.from_node_id group by 1) e on e.floor_id = f.id where n.c is not null or p.c is not null or e.c is not null"),
-        "agg2": q(lambda s, d: derive(s, d).access_points.groupBy("floor_id").agg(F.countDistinct("place_id").alias("places"), F.countDistinct("node_id").alias("network_nodes")), "select floor_id, count(distinct place_id) as places, count(distinct node_id) as network_nodes from access_points group by floor_id"),
+        "agg1": q(lambda s, d: relate.floor_counts(derive(s, d)), "select f.id as floor_id, n.c as nodes, p.c as places, e.c as paths from floors f left join (select floor_id, count(*) c from nodes group by 1) n on n.floor_id = f.id left join (select floor_id, count(distinct place_id) c from access_points group by 1) p on p.floor_id = f.id left join (select n.floor_id, count(*) c from segments s join nodes n on n.id = s.from_node_id group by 1) e on e.floor_id = f.id where n.c is not null or p.c is not null or e.c is not null"),
+        "agg2": q(lambda s, d: relate.distinct_counts(derive(s, d)), "select floor_id, count(distinct place_id) as places, count(distinct node_id) as network_nodes from access_points group by floor_id"),
         "agg3": q(lambda s, d: drawing.color_contributions(drawn(s, d, "dlabels"), drawn(s, d, "fills")).select("drawing_id", "color", "label", F.round("area", 4).alias("area")), f"with {contributions} select drawing_id, color, label, round(area, 4) as area from contrib"),
         "agg4": q(lambda s, d: (lambda c: drawing.dominant_color(c, "0"))(drawing.color_contributions(drawn(s, d, "dlabels").withColumn("text", (F.col("idx") % 3).cast("string")), drawn(s, d, "fills")).withColumn("area", F.round("area", 6))), f"with {contributions}, own as (select *, max(area) over (partition by drawing_id, color) as most from contrib) select drawing_id, arg_max(color, (area, color)) as color from (select drawing_id, color, label, round(area, 6) as area, round(most, 6) as most from own) where label = '0' and area > 0 and most <= area group by drawing_id".replace("l.text as label", "cast(l.idx%3 as varchar) as label")),
         "agg5": q(lambda s, d: drawing.dominant_fill(drawn(s, d, "dlabels"), drawn(s, d, "fills")), f"with {tiers} select * from dominant"),
@@ -181,21 +181,21 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "agg9": q(lambda s, d: quads(s, d).select("drawing_id", "poly_id", geometry.centroid(F.col("points")).alias("c")).select("drawing_id", "poly_id", F.round("c.x", 6).alias("x"), F.round("c.y", 6).alias("y")), f"with {QUADS} select drawing_id, poly_id, round(list_avg(px), 6) as x, round(list_avg(py), 6) as y from quads"),
         "agg10": q(lambda s, d: quads(s, d).select("drawing_id", "poly_id", F.round(geometry.polygon_area(F.col("points")), 6).alias("area")), f"with {QUADS} select drawing_id, poly_id, round(abs(sum(ax*bz-bx*ay))/2, 6) as area from ring group by all"),
         "agg11": q(lambda s, d: walked(derive(s, d)).select("floor_id", F.round(geometry.path_length(F.col("points")), 6).alias("length")), "select floor_id, round(coalesce(sum(h), 0), 6) as length from (select floor_id, sqrt(pow(x-lag(x) over w, 2)+pow(y-lag(y) over w, 2)) as h from nodes window w as (partition by floor_id order by idx)) group by floor_id"),
-        "agg12": q(lambda s, d: derive(s, d).edges.groupBy("segment_id").agg(F.bool_or(audit.enabled()).alias("any_enabled"), F.bool_and(F.col("cost") > 0).alias("all_positive")), "select segment_id, bool_or(coalesce(enabled, true)) as any_enabled, bool_and(cost > 0) as all_positive from edges group by segment_id"),
-        "win1": q(lambda s, d: drawn(s, d, "dlabels").withColumn("n", F.row_number().over(Window.partitionBy("drawing_id", F.upper("text")).orderBy("idx"))).where("n = 1").select("drawing_id", "text", "idx"), f"select drawing_id, text, min(idx) as idx from {LABELS} group by drawing_id, text"),
-        "win2": q(lambda s, d: spatial.within(rooms(s, d).select("drawing_id", "idx", "x", "y"), drawn(s, d, "dlabels").where("length(text) > 3").select("drawing_id", F.col("idx").alias("label_idx"), F.col("x").alias("rx"), F.col("y").alias("ry")), 20.0, ("drawing_id",)).groupBy("drawing_id", "idx").agg(F.min_by("label_idx", F.struct("far", "label_idx")).alias("label_idx")), f"select drawing_id, idx, label_idx from (select l.drawing_id, l.idx, f.idx as label_idx, {FAR.format(a='l.', b='f.')} as far from {LABELS} l join {LABELS} f on l.drawing_id = f.drawing_id and {FAR.format(a='l.', b='f.')} <= 20 where l.idx%5<>2 and length(f.text) > 3) qualify row_number() over (partition by drawing_id, idx order by far, label_idx) = 1"),
-        "win3": q(lambda s, d: derive(s, d).nodes.select("floor_id", F.col("id").alias("a"), F.lead("id").over(Window.partitionBy("floor_id").orderBy("idx")).alias("b")).where("b is not null"), "select * from (select floor_id, id as a, lead(id) over (partition by floor_id order by idx) as b from nodes) where b is not null"),
-        "win4": q(lambda s, d: derive(s, d).nodes.select("idx", "floor_id", F.lag("floor_id").over(Window.partitionBy(F.floor(F.col("idx") / 50)).orderBy("idx")).alias("p")).where("p is null or p <> floor_id").select("idx", "floor_id"), "select idx, floor_id from (select idx, floor_id, lag(floor_id) over (partition by floor(idx/50) order by idx) as p from nodes) where p is distinct from floor_id"),
+        "agg12": q(lambda s, d: relate.segment_flags(derive(s, d).edges), "select segment_id, bool_or(coalesce(enabled, true)) as any_enabled, bool_and(cost > 0) as all_positive from edges group by segment_id"),
+        "win1": q(lambda s, d: relate.first_labels(drawn(s, d, "dlabels")).select("drawing_id", "text", "idx"), f"select drawing_id, text, min(idx) as idx from {LABELS} group by drawing_id, text"),
+        "win2": q(lambda s, d: relate.nearest_labels(rooms(s, d), drawn(s, d, "dlabels").where("length(text) > 3"), 20.0), f"select drawing_id, idx, label_idx from (select l.drawing_id, l.idx, f.idx as label_idx, {FAR.format(a='l.', b='f.')} as far from {LABELS} l join {LABELS} f on l.drawing_id = f.drawing_id and {FAR.format(a='l.', b='f.')} <= 20 where l.idx%5<>2 and length(f.text) > 3) qualify row_number() over (partition by drawing_id, idx order by far, label_idx) = 1"),
+        "win3": q(lambda s, d: relate.next_nodes(derive(s, d).nodes), "select * from (select floor_id, id as a, lead(id) over (partition by floor_id order by idx) as b from nodes) where b is not null"),
+        "win4": q(lambda s, d: relate.floor_changes(derive(s, d).nodes, F.floor(F.col("idx") / 50)), "select idx, floor_id from (select idx, floor_id, lag(floor_id) over (partition by floor(idx/50) order by idx) as p from nodes) where p is distinct from floor_id"),
         "win5": q(lambda s, d: drawing.outlines(pen(s, d)).select("drawing_id", F.col("ring").cast("long").alias("ring"), F.size("points").cast("long").alias("points")), f"with pen as (select drawing_id, k as ord, k + case when k%5=0 then 0.5 else 0 end as x1, k + 1 as x2 from (select drawing_id, row_number() over (partition by drawing_id order by idx) as k from {LABELS})), marked as (select *, case when lag(x2) over w is null or abs(lag(x2) over w - x1) > 0.01 then 1 else 0 end as new from pen window w as (partition by drawing_id order by ord)), rings as (select *, sum(new) over (partition by drawing_id order by ord) as ring from marked) select drawing_id, cast(ring as bigint) as ring, count(*) + 1 as points from rings group by drawing_id, ring having count(*) + 1 >= 4"),
         "win6": q(islands, f"with r as (select drawing_id, cast(floor(y1/100) as bigint) as band, least(x1,x2) as lo, greatest(x1,x2) as hi from {WALLS}), m as (select *, max(hi) over (partition by drawing_id, band order by lo, hi rows between unbounded preceding and 1 preceding) as before from r), i as (select *, sum(case when before is null or lo > before then 1 else 0 end) over (partition by drawing_id, band order by lo, hi rows between unbounded preceding and current row) as island from m) select drawing_id, band, min(lo) as lo, max(hi) as hi from i group by drawing_id, band, island"),
         "win7": q(openings, f"with {OPEN}, {PIECES} select drawing_id, wall_id, round(a, 6) as lo, round(b, 6) as hi from pieces where (b-a)*sqrt(sq) > 0.5 union all select drawing_id, wall_id, 0.0, 1.0 from sound s where not exists (select 1 from gaps g where g.drawing_id = s.drawing_id and g.wall_id = s.wall_id)"),
         "srt1": q(lambda s, d: select.sorted_menu(derive(s, d)).select("id", "building", "floor_label", "name", "floor_key"), f"{levels} select p.id, g.name as building, fl.floor_label, p.name, array_to_string([case when regexp_matches(r, '^[0-9]') then lpad(ltrim(r, '0'), 20, '0') else r end for r in regexp_extract_all(fl.floor_label, '[0-9]+|[^0-9]+')], '') as floor_key from places p join fl on fl.place_id = p.id join buildings g on g.id = p.building_id order by lower(g.name), floor_key, p.idx"),
         "srt2": q(
-            lambda s, d: (lambda h: h.join(spatial.crossing(h, near_walls(s, d)).select("hop_id").distinct().withColumn("crosses", F.lit(True)), "hop_id", "left").select("hop_id", F.coalesce("crosses", F.lit(False)).alias("crosses"), F.round(F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2), 6).alias("length")).orderBy("crosses", "length", "hop_id"))(hop_lines(derive(s, d))),
+            lambda s, d: relate.hops_by_sight(hop_lines(derive(s, d)), near_walls(s, d)),
             f"with hops_ as (select e.idx as hop_id, a.x ax, a.y ay, b.x bx, b.y bz from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id), w as (select idx as wall_id, x1, y1, x2, y2 from walls) select hop_id, exists (select 1 from w where {MEET}) as crosses, round(sqrt(pow(bx-ax,2)+pow(bz-ay,2)), 6) as length from hops_ order by crosses, length, hop_id",
         ),
-        "srt3": q(lambda s, d: derive(s, d).nodes.withColumn("far", F.round(F.sqrt((F.col("x") - 500) ** 2 + (F.col("y") - 350) ** 2), 6)).orderBy("far", "idx").limit(8).select("id", "far"), "select id, round(sqrt(pow(x-500,2)+pow(y-350,2)), 6) as far from nodes order by far, idx limit 8"),
-        "set2": q(lambda s, d: (lambda t: t.nodes.select("floor_id").intersect(t.access_points.where("idx % 7 = 0").select("floor_id")))(derive(s, d)), "select floor_id from nodes intersect select floor_id from access_points where idx%7=0"),
+        "srt3": q(lambda s, d: relate.nearest_nodes(derive(s, d).nodes, 500, 350, 8), "select id, round(sqrt(pow(x-500,2)+pow(y-350,2)), 6) as far from nodes order by far, idx limit 8"),
+        "set2": q(lambda s, d: (lambda t: relate.common_floors(t.nodes, t.access_points.where("idx % 7 = 0")))(derive(s, d)), "select floor_id from nodes intersect select floor_id from access_points where idx%7=0"),
         "keys_first_last": q(lambda s, d: (lambda n: first_wins(n).select("id", F.col("idx").alias("first_idx")).join(last_wins(n).select("id", F.col("idx").alias("last_idx")), "id"))(derive(s, d, True).nodes), "select id, min(idx) as first_idx, max(idx) as last_idx from d_nodes group by id"),
         "geo1": q(lambda s, d: (lambda t: hop_lines(t))(derive(s, d)).select("hop_id", F.round(F.greatest(F.lit(1.0), F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), 6).alias("clamped")), "select e.idx as hop_id, round(greatest(1, sqrt(pow(b.x-a.x,2)+pow(b.y-a.y,2))), 6) as clamped from edges e join nodes a on a.id = e.from_node_id join nodes b on b.id = e.to_node_id"),
         "geo2": q(lambda s, d: derive(s, d).nodes.select("id", half_up(F.col("x") / 7 - 50, 1).alias("tenth")), "select id, floor((x/7-50)*10+0.5)/10 as tenth from nodes"),
