@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,3 +160,14 @@ def tally(chunks: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             count = np.bincount(place, np.concatenate((n, count)), len(one)).astype(np.int64)
         at, n = one, count
     return at, n
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Unsigned 32-bit integers, byte plane by byte plane, compressed."""
+    return pa.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob: bytes, n: int) -> np.ndarray:
+    """The n integers of squeezed()."""
+    planes = pa.decompress(blob, 4 * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()

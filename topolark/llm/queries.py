@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topolark.llm import ann, chat, decontaminate, licenses, mixing, pii, quality, simhash, toxicity, urlfilter
+from topolark.llm import ann, chat, decontaminate, licenses, merkle, mixing, pii, quality, simhash, token_alignment, token_files, toxicity, urlfilter
 from topolark.llm.common import held_out, table
 
 #: Public byte-level vocabulary of op6_chat.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Public vocabularies of op11_alignment and op13_token_files, and the id that ends a document in the latter.
+BYTE_LEVEL, PIECES, WORDS, END_ID = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model", "/opt/tokenizers/word_bpe_49k.json", 2
 
 
 def as_files(docs: DataFrame) -> DataFrame:
@@ -199,9 +201,68 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), quality.expected_grade(tail).alias("expected_grade"), tail[0].alias("p_at_least_1"), tail[1].alias("p_at_least_2"), F.when(tail[0] < 0.5, 0).when(tail[1] < 0.5, 1).otherwise(2).alias("grade"), (tail[0] >= 0.5).alias("keep"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over every document."""
+    return token_alignment.align_documents(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of every document, held against texts some of which are lower-cased."""
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    proved = merkle.manifest(table(spark, sf_dir, "documents"), F.when(tampered, lowered).otherwise(F.col("text")))
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+def op12_sql() -> str:
+    said = lambda c: f"coalesce(strlen({c}) || ':' || {c}, '-')"
+    fields = [f"cast({c} as varchar)" for c in merkle.FIELDS]
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(said(f) for f in [*fields[:-1], text]) + ")"
+    # CRC-32 bit by bit: a code from 1000 on takes in a byte, a zero shifts.
+    steps = "flatten([[1000 + ascii(c), 0, 0, 0, 0, 0, 0, 0, 0] for c in string_split(cast(doc_id as varchar), '')])"
+    crc = f"xor(list_reduce(list_prepend(4294967295, {steps}), lambda r, x: case when x >= 1000 then xor(r, x - 1000) when r % 2 = 1 then xor(r // 2, 3988292384) else r // 2 end), 4294967295)"
+    parts = [
+        f"leaves as (select row_number() over () as rid, doc_id, coalesce('s' || lang, 'n') as tree, {leaf('text')} as leaf, case when doc_id is not null and {crc} % 3 = 0 then {leaf(lowered)} else {leaf('text')} end as claim from documents)",
+        "ranked as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as idx from leaves)",
+    ]
+
+    def climb(name: str, start: str, rounds: int) -> None:
+        """Levels name0, name1, ... with the siblings before and after each node, and name_top."""
+        parts.append(f"{name}_n0 as ({start})")
+        for k in range(rounds):
+            run = "over (partition by tree, idx // 8 order by idx rows between"
+            parts.append(f"{name}{k} as (select *, count(*) over (partition by tree) as many, coalesce(string_agg(d, '') {run} unbounded preceding and 1 preceding), '') as before, coalesce(string_agg(d, '') {run} 1 following and unbounded following), '') as after from {name}_n{k})")
+            parts.append(f"{name}_n{k + 1} as (select tree, idx // 8 as idx, case when any_value(many) = 1 then any_value(d) else sha256(string_agg(d, '' order by idx)) end as d from {name}{k} group by tree, idx // 8)")
+        parts.append(f"{name}_top as (select tree, d from {name}_n{rounds})")
+
+    climb("low", "select tree, idx, leaf as d from ranked", 7)
+    climb("high", "select '' as tree, row_number() over (order by tree) - 1 as idx, d from low_top", 3)
+    parts.append("placed as (select tree, row_number() over (order by tree) - 1 as idx from low_top)")
+    joins, fold, proof = [], "r.claim", []
+    for name, of, rounds in (("low", "r", 7), ("high", "p", 3)):
+        for k in range(rounds):
+            at = f"{name}{k}"
+            joins.append(f"join {at} on {at}.idx = {of}.idx // {8**k}" + (f" and {at}.tree = r.tree" if name == "low" else ""))
+            fold = f"case when {at}.many > 1 then sha256({at}.before || {fold} || {at}.after) else {fold} end"
+            proof.append(f"case when {at}.many > 1 then {at}.before || {at}.after else '' end")
+            parts_of = f"f{len(joins)}"
+            joins.append(f"cross join lateral (select {fold} as d) {parts_of}")
+            fold = f"{parts_of}.d"
+    return f"""with {", ".join(parts)}
+select r.doc_id, r.leaf, s.d as subroot, t.d as root, sha256({" || ".join(proof)}) as proof_sha256, {fold} as folded_root, {fold} = t.d as verified
+from ranked r join placed p on p.tree = r.tree {" ".join(joins)} join low_top s on s.tree = r.tree cross join high_top t"""
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to files and read back."""
+    manifest, folder = token_files.write_ids(table(spark, sf_dir, "documents"), WORDS, END_ID)
+    return token_files.read_ids(manifest, folder)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_licenses": op1_licenses, "op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_pii": op8_pii, "op9_urlfilter": op9_urlfilter, "op10_quality": op10_quality}
+    return {"op1_licenses": op1_licenses, "op2_simhash": op2_simhash, "op3_mixing": op3_mixing, "op4_toxicity": op4_toxicity, "op5_decontamination": op5_decontamination, "op6_chat": op6_chat, "op7_ann": op7_ann, "op8_pii": op8_pii, "op9_urlfilter": op9_urlfilter, "op10_quality": op10_quality, "op11_alignment": op11_alignment, "op12_merkle": op12_merkle, "op13_token_files": op13_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_licenses": op1_sql(), "op6_chat": op6_sql(), "op8_pii": op8_sql(), "op9_urlfilter": OP9_SQL}
+    return {"op1_licenses": op1_sql(), "op6_chat": op6_sql(), "op8_pii": op8_sql(), "op9_urlfilter": OP9_SQL, "op12_merkle": op12_sql()}
