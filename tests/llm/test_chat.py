@@ -61,3 +61,18 @@ def test_long_texts_are_encoded_whole(spark):
     coder = chat.Codec(Path(VOCABULARY).read_bytes())
     (r,) = chat.format_turns(df, VOCABULARY).collect()
     assert [i for i, m in zip(r.token_ids, r.loss_mask) if m] == coder.base.encode_ordinary(text)
+
+
+def test_very_long_runs(spark):
+    """Runs that the pattern matcher's stack can't hold have the ids of the whole segment, and round trip in a job."""
+    coder = chat.Codec(Path(VOCABULARY).read_bytes())
+    for sign in (" ", "\n", "　", "a"):
+        for around in ("{}", "b{}c d", "x{}.", "{} {} e\n{}"):
+            text = around.replace("{}", sign * 200_000)
+            assert coder.encode(text) == coder.base.encode_ordinary(text)
+    rows = [(1, 0, "user", " " * 2_000_000), (1, 1, "assistant", "x" + "\n" * 2_000_000 + "y"), (2, 0, "assistant", "a" * 2_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: r for r in chat.read_back(chat.format_turns(df, VOCABULARY), VOCABULARY).collect()}
+    for conv in (1, 2):
+        r = found[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == expected([row[2:] for row in rows if row[0] == conv])

@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 
 from topolark.llm.common import bounded_batches
 
+#: White space as the vocabulary's pattern takes it, in runs that its matcher's stack can't hold (it fails beyond some 600,000).
+SPACES = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{100000,}")
 #: How the byte-level vocabulary cuts a text before merging (fixed by the public vocabulary).
 CUTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 START, MIDDLE, END = "<|im_start|>", "\n", "<|im_end|>"
@@ -64,7 +66,14 @@ class Codec:
         self.reserved = {self.start: START, self.middle: MIDDLE, self.end: END}
 
     def encode(self, text: str) -> list[int]:
-        return self.base.encode_ordinary(text)
+        """Ids of the text. A long run of white space is cut off as the pattern would: all but its last sign, or all at the end."""
+        ids, start = [], 0
+        for run in SPACES.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            ids += self.base.encode_ordinary(text[start : run.start()])
+            ids += self.base._encode_single_piece(text[run.start() : end])
+            start = end
+        return ids + self.base.encode_ordinary(text[start:])
 
     def decode(self, ids: list[int]) -> str:
         return self.base.decode_bytes(ids).decode()
