@@ -64,3 +64,39 @@ def test_classes_are_those_of_all_pairs(spark):
 
 def test_empty_table(spark):
     assert neardup.drop_similar(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_texts_at_exactly_the_least_similarity(spark):
+    """Pairs whose fingerprints lie far apart although four of five shingles are common."""
+    base = "2cc57a f85416 f05f99 465430 c54762 d5a8f0 a2b45f f1b5d2"
+    rng = np.random.default_rng(8)
+    texts = [base, base + " 4ee34f"]
+    for _ in range(400):
+        words = [f"{w:06x}" for w in rng.integers(0, 1 << 24, 9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.root for r in neardup.similar_classes(docs).collect()}
+    assert all(root[k] == root[k + 1] for k in range(0, len(texts), 2))
+    assert len(set(root.values())) == len(texts) // 2
+
+
+def test_sets_beyond_a_sketch(spark, monkeypatch):
+    """Sketches that hold a part of a set: links at the least similarity stay, and no others come."""
+    monkeypatch.setattr(neardup, "SKETCH", 8)
+    rng = np.random.default_rng(9)
+    texts = []
+    for k in range(12):
+        words = [f"w{w}" for w in rng.integers(0, 10**6, 304)]
+        texts.append(" ".join(words))
+        texts.append(" ".join(words[: 244 - k] + [f"x{w}" for w in rng.integers(0, 10**6, 60 + k)]))
+        texts.append(" ".join(words + [f"y{k}x{j}" for j in range(75)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    root = {r.doc_id: r.root for r in neardup.similar_classes(docs).collect()}
+    home = brute_classes(texts)
+    assert len({(root[k], home[k]) for k in root}) == len(set(root.values())) == len(set(home)) == 24
+
+
+def test_shingle_that_every_text_has(spark):
+    texts = [f"the very same five words then a{k} b{k} c{k} d{k} e{k}" for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({r.root for r in neardup.similar_classes(docs).collect()}) == 300

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topolark.llm.common import Scratch, bounded_batches
@@ -37,11 +37,8 @@ from topolark.llm.simhash import components, hamming_links, keep_one_of_each, ma
 #: Room for rounding in bounds on candidates; links are decided without it.
 SLACK = 1e-9
 
-#: Bits by which the fingerprints of candidates may differ: 0.8 makes some 10 of 64, with a deviation of 3.
-REACH = 24
-
-#: Least hashes of a set that estimate its similarity to others: exact up to so many, else with a margin of four deviations.
-SKETCH = 512
+#: Least hashes of a set that its sketch holds: so many, or this part of them if that is more.
+SKETCH, SKETCH_PART = 512, 4
 
 
 def enough(n: int, least: float) -> int:
@@ -86,9 +83,9 @@ def prefix_size(least: float):
 
 def sharing(leading: DataFrame) -> DataFrame:
     """Nodes that share as many of their leading members with other nodes as a link needs."""
-    of_key = Window.partitionBy("key")
     rows = leading.select("node", "needed", F.explode("members").alias("key"))
-    shared = rows.withColumns({"low": F.min("node").over(of_key), "high": F.max("node").over(of_key)}).where("low <> high")
+    ends = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    shared = rows.join(ends.where("low <> high").select("key"), "key")
     counts = shared.groupBy("node", "key").agg(F.first("needed").alias("needed")).groupBy("node").agg(F.count("*").alias("found"), F.first("needed").alias("needed"))
     return counts.where("found >= needed").select("node")
 
@@ -128,15 +125,14 @@ def similar_links(alive: DataFrame, least: float, max_bits: int, scratch: Scratc
     rare = scratch.write(rare_members(alive, least, scratch))
 
     def fits(a: str, b: str):
-        sizes = F.least(f"{a}n", f"{b}n") >= F.greatest(f"{a}n", f"{b}n") * F.lit(least) - SLACK
-        return sizes & (F.bit_count(F.col(f"{a}fp").bitwiseXOR(F.col(f"{b}fp"))) <= REACH)
+        return F.least(f"{a}n", f"{b}n") >= F.greatest(f"{a}n", f"{b}n") * F.lit(least) - SLACK
 
     def pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
         return rows.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    by_key = rare.select("node", "n", "fp", "share", F.explode("prefix").alias("key"))
-    best = by_key.groupBy("key").agg(F.max(F.struct("share", "n", "node", "fp")).alias("h"), F.min("node").alias("low"), F.max("node").alias("high"))
-    best = best.where("low <> high").select("key", F.col("h.node").alias("h_node"), F.col("h.n").alias("h_n"), F.col("h.fp").alias("h_fp"))
+    by_key = rare.select("node", "n", "share", F.explode("prefix").alias("key"))
+    best = by_key.groupBy("key").agg(F.max(F.struct("share", "n", "node")).alias("h"), F.min("node").alias("low"), F.max("node").alias("high"))
+    best = best.where("low <> high").select("key", F.col("h.node").alias("h_node"), F.col("h.n").alias("h_n"))
     star = by_key.drop("share").join(best, "key").where(fits("", "h_"))
     first = pairs(near_fingerprints(rare, max_bits), "node", "other").union(pairs(star, "node", "h_node")).distinct()
     links = scratch.write(alike(first, alive, least))
@@ -144,15 +140,16 @@ def similar_links(alive: DataFrame, least: float, max_bits: int, scratch: Scratc
     # What still lies in several components is compared inside the join, by the sketches of both sets. A pair that
     # shares several members meets at the first of them only.
     left = mixed(by_key.drop("share"), components(links, scratch), scratch)
-    keys = left.groupBy("node", "n", "fp", "root").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    sketches = alive.select("node", F.slice(F.sort_array(F.transform("members", lambda m: F.shiftright(m, 32).cast("int"))), 1, SKETCH).alias("sketch"))
+    keys = left.groupBy("node", "n", "root").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    size = F.greatest(F.lit(SKETCH), F.ceil(F.col("n") / SKETCH_PART).cast("int"))
+    sketches = alive.select("node", F.slice(F.sort_array("members"), F.lit(1), size).alias("sketch"))
     left = keys.join(sketches, "node").select("*", F.explode("keys").alias("key"))
-    x, y = (left.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "fp", "root", "keys", "sketch")]) for p in "xy")
+    x, y = (left.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("node", "n", "root", "keys", "sketch")]) for p in "xy")
     at = F.get(F.array_intersect("x_keys", "y_keys"), F.lit(0))
-    last = F.least(*[F.when(F.col(f"{p}_n") > SKETCH, F.element_at(f"{p}_sketch", -1)).otherwise((1 << 31) - 1) for p in "xy"])
+    # Up to the end of the shorter sketch both sets are known; what differs there differs in the whole.
+    last = F.least(*[F.when(F.col(f"{p}_n") > F.size(f"{p}_sketch"), F.element_at(f"{p}_sketch", -1)).otherwise((1 << 63) - 1) for p in "xy"])
     common, every = (F.size(F.filter(f("x_sketch", "y_sketch"), lambda m: m <= last)) for f in (F.array_intersect, F.array_union))
-    short = 4 * math.sqrt(least * (1 - least) / SKETCH)
-    close = common >= every * (F.lit(least) - F.when(F.greatest("x_n", "y_n") > SKETCH, short).otherwise(SLACK))
+    close = every - common <= (F.col("x_n") + F.col("y_n")) * F.lit((1 - least) / (1 + least)) + SLACK
     met = x.join(y, (x.key == y.key) & (F.col("x_root") < F.col("y_root")) & fits("x_", "y_") & (at == x.key) & close)
     return links.union(scratch.write(alike(pairs(met, "x_node", "y_node"), alive, least)))
 
