@@ -1,19 +1,20 @@
 """Directed shortest routes across floors and buildings, with a step-free option.
 
-Hops come from enabled edges and from ordered pairs of connector stops on different floors. A graph within a checked
-number of hops is sent to the workers, which search it once for each start; beyond that relaxed() works by joins,
-one written table a round. Both keep, of equally cheap ways, the one with the fewest hops, then the one whose hops
-come first, so that a route doesn't depend on the size of its graph.
+Hops come from enabled edges and from ordered pairs of connector stops on different floors. A graph is cut into parts
+of a bounded number of hops; each is searched as a whole, joins carry labels (cost, hops) between parts, and a graph of
+one part takes one round. Routes are put together from predecessors by pointer doubling, for the ends asked for only. A
+route doesn't depend on how the graph is cut.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections import defaultdict, deque
+from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topolark.functions.keys import last_wins, number, renamed
@@ -23,8 +24,8 @@ from topolark.plans.topology import Topology
 
 #: Cost of a connector by level.
 STAIRS, ELEVATOR = 180.0, 120.0
-#: Hops and options that are broadcast at most (a few hundred bytes each).
-MOST_BROADCAST = 250_000
+#: Hops of a part of the graph, which are sent together (some sixteen bytes each).
+MOST_BROADCAST = 100_000
 
 
 def endpoint_options(t: Topology, side: str = "origin") -> DataFrame:
@@ -76,116 +77,182 @@ def hops(t: Topology, step_free: bool = False) -> DataFrame:
     return edge_hops(t, step_free).unionByName(vertical_hops(t, step_free))
 
 
-#: State of a search: (source, node_id), least cost, fewest hops of that cost, and these hops by (ord, ord2).
-STEP = "struct<ord: bigint, ord2: bigint>"
+#: A label of a node is (cost, n): the least cost from the source's seeds, and the fewest hops of that cost.
+LABEL = ["cost", "n"]
 
 
-def relaxed(seeds: DataFrame, graph: DataFrame, paths: bool, most_rounds: int | None = None) -> DataFrame:
-    """(source, node_id, cost, n, path) by joins, of graphs of any size; path is empty unless asked for.
+def divided(edges: DataFrame, most: int, staging: Staging) -> DataFrame:
+    """(node_id, part, pos) of every node of edges (node_id, to_node_id, near): parts of nodes in a row with about ``most`` hops.
 
-    seeds: source, node_id, cost; graph: from_node_id, to_node_id, cost, ord, ord2 and, if seeds have it, step_free.
-    Round n extends the nodes that the round before improved by one hop, so that of equally short ways the one with the
-    fewest hops stays, then the one whose hops come first from the start. Each round is written once; raises if costs go on falling after as many
-    rounds as there are nodes.
+    Nodes stand in the order of near (the least of their hops) and id, so that those of one floor mostly share a part.
+    Ranges are numbered apart.
+    """
+    ends = edges.select("node_id", "near", F.lit(1).alias("hops")).unionByName(edges.select(F.col("to_node_id").alias("node_id"), F.lit(None).cast("string").alias("near"), F.lit(0).alias("hops")))
+    nodes = ends.groupBy("node_id").agg(F.min("near").alias("near"), F.sum("hops").alias("hops"))
+    ranges = staging.write(nodes.repartitionByRange("near", "node_id").withColumn("range_", F.spark_partition_id()))
+    order = Window.partitionBy("range_").orderBy("near", "node_id")
+    before = F.coalesce(F.sum("hops").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    part = F.col("range_").cast("long") * (1 << 40) + F.floor(before / max(most, 1))
+    rows = ranges.withColumn("part", part)
+    return staging.write(rows.select("node_id", "part", (F.row_number().over(Window.partitionBy("part").orderBy("near", "node_id")) - 1).alias("pos")))
+
+
+def spread(starts: list[tuple[int, float, int]], near: dict[int, list[tuple[int, float]]], falling: bool, most: int) -> dict[int, tuple[float, int]]:
+    """Labels of all nodes that starts (pos, cost, n) reach within a part. Raises when a way has more hops than there are nodes."""
+    best: dict[int, tuple[float, int]] = {}
+    for pos, *label in starts:
+        if pos not in best or tuple(label) < best[pos]:
+            best[pos] = tuple(label)
+    queue = deque(best) if falling else [(*label, pos) for pos, label in best.items()]
+    if not falling:
+        heapq.heapify(queue)
+    while queue:
+        if falling:
+            pos = queue.popleft()
+            cost, n = best[pos]
+        else:
+            cost, n, pos = heapq.heappop(queue)
+            if (cost, n) != best[pos]:
+                continue
+        for to, hop in near.get(pos, ()):
+            offer = (cost + hop, n + 1)
+            if to not in best or offer < best[to]:
+                if n >= most:
+                    raise ValueError("Costs fall for ever along a cycle of hops.")
+                best[to] = offer
+                queue.append(to) if falling else heapq.heappush(queue, (*offer, to))
+    return best
+
+
+def spread_parts(front: DataFrame, parts: DataFrame, key: list[str], slices: int, most: int) -> DataFrame:
+    """Labels that front (key, part, pos, cost, n) gives to nodes of its own parts, over the hops within them.
+
+    parts: a row (part, and step_free if it is in the key) with the hops of a part, which each slice of sources gets once.
+    """
+    free = [c for c in key if c != "source"]
+    starts = front.groupBy(*key, "part").agg(F.collect_list(F.struct("pos", "cost", "n")).alias("starts"))
+    sliced = starts.groupBy(*free, "part", F.pmod(F.xxhash64("source"), F.lit(slices)).alias("slice")).agg(F.collect_list(F.struct("source", "starts")).alias("rows"))
+    named = {"step_free": "boolean", "source": "string"}
+    kinds = {"step_free": pa.bool_(), "source": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for *own, part, rows, hops_ in zip(*(batch.column(k).to_pylist() for k in range(len(free) + 3))):
+                near: dict[int, list[tuple[int, float]]] = defaultdict(list)
+                for h in hops_ or ():
+                    near[h["u"]].append((h["v"], h["w"]))
+                falling = any(h["w"] < 0 for h in hops_ or ())
+                for row in rows:
+                    best = spread([(s["pos"], s["cost"], s["n"]) for s in row["starts"]], near, falling, most)
+                    size = len(best)
+                    columns = [pa.array([v] * size, kinds[c]) for c, v in zip([*free, "source"], [*own, row["source"]])]
+                    columns += [pa.array([part] * size, pa.int64()), pa.array(list(best), pa.int32()), pa.array([b[0] for b in best.values()], pa.float64()), pa.array([b[1] for b in best.values()], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(columns, [*free, "source", "part", "pos", "cost", "n"])
+
+    whole = sliced.join(parts, [*free, "part"], "left").select(*free, "part", "rows", "hops")
+    return whole.mapInArrow(run, ", ".join(f"{c} {named[c]}" for c in [*free, "source"]) + ", part long, pos int, cost double, n int")
+
+
+def least(rows: DataFrame, *key: str) -> DataFrame:
+    return rows.groupBy(*key).agg(F.min(F.struct(*LABEL)).alias("l")).select(*key, "l.*")
+
+
+def labels(seeds: DataFrame, graph: DataFrame, most_broadcast: int) -> DataFrame:
+    """(source, node_id, cost, n) of every node that a source reaches, by (step_free, source) if seeds have both.
+
+    seeds: source, node_id, cost; graph: from_node_id, to_node_id, cost. The graph is cut into parts of most_broadcast hops.
+    In a round every part that a source has newly entered is searched to its end in one go, and joins carry the better
+    labels over the hops between parts; so the rounds are as many as the parts that a way passes, and a graph of one part
+    takes one. What is known is kept in at most four tables, merged when a fifth would come.
     """
     staging = Staging(seeds.sparkSession)
-    on = ["step_free"] if "step_free" in seeds.columns else []
-    key = [*on, "source", "node_id"]
+    free = ["step_free"] if "step_free" in seeds.columns else []
+    key, at = [*free, "source"], ["part", "pos"]
+    near = F.col("floor_id") if "floor_id" in graph.columns else F.lit(None).cast("string")
     graph = graph.where("from_node_id is not null and to_node_id is not null and cost is not null")
-    hop = F.struct(F.col("cost").alias("hop"), "ord", "ord2")
-    edges = staging.write(graph.groupBy(*on, F.col("from_node_id").alias("node_id"), "to_node_id").agg(F.min(hop).alias("h")).select(*on, "node_id", "to_node_id", "h.*"))
-    start = seeds.where("source is not null and node_id is not null and cost is not null")
-    none = F.array().cast(f"array<{STEP}>")
-    known = front = staging.write(start.groupBy(*key).agg(F.min("cost").alias("cost")).select(*key, "cost", F.lit(0).alias("n"), none.alias("path")))
-    n = 0
-    while not front.isEmpty():
-        n += 1
-        if n > (most_rounds or edges.select("node_id").distinct().count() + 1):
+    pairs = graph.groupBy(*free, F.col("from_node_id").alias("node_id"), "to_node_id").agg(F.min("cost").alias("hop"), F.min(near).alias("near"))
+    edges, start = staging.write_all({"edges": pairs, "start": seeds.where("source is not null and node_id is not null and cost is not null").groupBy(*key, "node_id").agg(F.min("cost").alias("cost"))}).values()
+    nodes = divided(edges.select("node_id", "to_node_id", "near").unionByName(start.select("node_id", F.col("node_id").alias("to_node_id"), F.lit(None).cast("string").alias("near"))), most_broadcast, staging)
+    of = lambda name, *as_: nodes.select(F.col("node_id").alias(name), *[F.col(c).alias(a) for c, a in zip(at, as_)])
+    hops_ = staging.write(edges.join(of("node_id", "part", "u"), "node_id").join(of("to_node_id", "to_part", "v"), "to_node_id").select(*free, "part", "u", "to_part", "v", "hop"))
+    inner = hops_.where("part = to_part").groupBy(*free, "part").agg(F.collect_list(F.struct("u", "v", F.col("hop").alias("w"))).alias("hops"))
+    counts = {r.what: r.n for r in nodes.select(F.lit("nodes").alias("what")).unionAll(start.select("source").distinct().select(F.lit("sources"))).unionAll(hops_.where("part <> to_part").limit(1).select(F.lit("outer"))).groupBy("what").agg(F.count("*").alias("n")).collect()}
+    parts, slices, most = staging.write(inner), 1 + counts.get("sources", 0) // 64, counts.get("nodes", 0)
+
+    front = start.join(nodes, "node_id").select(*key, *at, "cost", F.lit(0).alias("n"))
+    known: list[DataFrame] = []
+    while True:
+        reached = spread_parts(front, parts, key, slices, most)
+        if not counts.get("outer"):
+            known = [staging.write(reached)]
+            break
+        before = least(reduce(DataFrame.unionByName, known), *key, *at).withColumnsRenamed({"cost": "old_cost", "n": "old_n"}) if known else None
+        better = F.col("old_cost").isNull() | (F.struct(*LABEL) < F.struct(F.col("old_cost").alias("cost"), F.col("old_n").alias("n")))
+        if before is not None:
+            reached = reached.join(before, [*key, *at], "left").where(better).select(*key, *at, *LABEL)
+        fresh = staging.write(reached)
+        known = [staging.write(least(reduce(DataFrame.unionByName, [*known, fresh]), *key, *at))] if len(known) == 4 else [*known, fresh]
+        outer = hops_.where("part <> to_part").withColumnRenamed("u", "pos")
+        offers = fresh.join(outer, [*free, *at]).select(*key, F.col("to_part").alias("part"), F.col("v").alias("pos"), (F.col("cost") + F.col("hop")).alias("cost"), (F.col("n") + 1).alias("n"))
+        now = least(reduce(DataFrame.unionByName, known), *key, *at).withColumnsRenamed({"cost": "old_cost", "n": "old_n"})
+        front = staging.write(least(offers, *key, *at).join(now, [*key, *at], "left").where(better).select(*key, *at, *LABEL))
+        longest = front.agg(F.max("n")).first()[0]
+        if longest is None:
+            break
+        if longest > most:
             raise ValueError("Costs fall for ever along a cycle of hops.")
-        further = F.array_append("path", F.struct("ord", "ord2")) if paths else F.col("path")
-        offers = front.join(edges, [*on, "node_id"]).select(*on, "source", F.col("to_node_id").alias("node_id"), (F.col("cost") + F.col("hop")).alias("offer"), further.alias("path"))
-        best = offers.groupBy(*key).agg(F.min(F.struct("offer", "path")).alias("o")).select(*key, "o.offer", "o.path")
-        before = known.groupBy(*key).agg(F.min("cost").alias("before"))
-        fresh = best.join(before, key, "left").where("before is null or offer < before")
-        front = staging.write(fresh.select(*key, F.col("offer").alias("cost"), F.lit(n).alias("n"), "path"))
-        known = known.unionByName(front)
-    return known.groupBy(*key).agg(F.min(F.struct("cost", "n", "path")).alias("k")).select(*key, "k.*")
+    every = known[0] if len(known) == 1 else least(reduce(DataFrame.unionByName, known), *key, *at)
+    return every.join(nodes, at).select(*key, "node_id", *LABEL)
 
 
-def distances(seeds: DataFrame, graph: DataFrame, most_rounds: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def distances(seeds: DataFrame, graph: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(source, node_id, cost): least cost from each source's seeds (source, node_id, cost) to every node reached.
 
-    A graph within most_broadcast pairs of nodes is sent to the workers, which search it once a source; beyond that
-    relaxed() joins. Either way gives the same costs.
+    most_broadcast: hops of a part of the graph, which goes as a whole to the tasks that search it.
     """
-    staging = Staging(seeds.sparkSession)
-    edges = staging.write(graph.groupBy("from_node_id", "to_node_id").agg(F.min("cost").alias("cost")))
-    if edges.count() <= most_broadcast:
-        return local_distances(seeds, edges)
-    ordered = edges.withColumns({"ord": F.lit(0).cast("long"), "ord2": F.lit(0).cast("long")})
-    return relaxed(seeds.select("source", "node_id", "cost"), ordered, False, most_rounds).select("source", "node_id", "cost")
+    return labels(seeds.select("source", "node_id", "cost"), graph, most_broadcast).select("source", "node_id", "cost")
 
 
-def search(origins: Iterable[tuple[str, float]], adjacency: dict[str, list[tuple]]) -> dict[str, tuple]:
-    """(cost, hops, by, from node) of every node reached; by is the hop (to, cost, ord, ord2) that reaches it.
+def predecessors(reached: DataFrame, graph: DataFrame) -> DataFrame:
+    """(step_free, source, node_id, before, ord, ord2, n): the hop that reaches each node and where it comes from.
 
-    Least cost first, then fewest hops, then the first hops from the start (by ord, ord2).
+    Of the hops that give a node its label the one counts whose start was cheapest to reach, then whose start has the first
+    hop into it, then the first.
     """
-
-    def path(entry: tuple) -> list[tuple]:
-        hops_ = []
-        while entry[3] is not None:
-            hops_.append(entry[2])
-            entry = best[entry[3]]
-        return hops_[::-1]
-
-    best: dict[str, tuple] = {}
-    for node, cost in origins:
-        if node not in best or cost < best[node][0]:
-            best[node] = (cost, 0, (), None)
-    queue = [(cost, 0, node) for node, (cost, *_) in best.items()]
-    heapq.heapify(queue)
-    left = 64 + 64 * sum(map(len, adjacency.values()))
-    while queue:
-        cost, n, node = heapq.heappop(queue)
-        if (cost, n) != best[node][:2]:
-            continue
-        for hop in adjacency.get(node, ()):
-            left -= 1
-            if left < 0:
-                raise ValueError("Costs fall for ever along a cycle of hops.")
-            to, offer = hop[0], (cost + hop[1], n + 1, hop[2:], node)
-            old = best.get(to)
-            if old is None or offer[:2] < old[:2]:
-                best[to] = offer
-                heapq.heappush(queue, (*offer[:2], to))
-            elif offer[:2] == old[:2] and path(offer) < path(old):
-                best[to] = offer
-    return best
+    key = ["step_free", "source"]
+    here = reached.select(*key, F.col("node_id").alias("from_node_id"), F.col("cost").alias("so_far"), F.col("n").alias("hops_"))
+    usable = graph.where("from_node_id is not null and to_node_id is not null and cost is not null").select("step_free", "from_node_id", F.col("to_node_id").alias("node_id"), F.col("cost").alias("hop"), "ord", "ord2")
+    tight = here.join(usable, ["step_free", "from_node_id"]).join(reached, [*key, "node_id"]).where("so_far + hop = cost and hops_ + 1 = n")
+    first = tight.groupBy(*key, F.col("node_id").alias("from_node_id")).agg(F.min(F.struct("ord", "ord2")).alias("first_"))
+    choice = F.struct("so_far", "first_", "ord", "ord2", F.col("from_node_id").alias("before"))
+    found = tight.join(first, [*key, "from_node_id"], "left").groupBy(*key, "node_id", "n").agg(F.min(choice).alias("c"))
+    return found.select(*key, "node_id", "c.before", "c.ord", "c.ord2", "n")
 
 
-def local_distances(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """distances() by one search a source over a graph small enough for a broadcast."""
-    sent = seeds.sparkSession.sparkContext.broadcast(edges.where("from_node_id is not null and to_node_id is not null and cost is not null").toArrow())  # within MOST_BROADCAST rows
-    rows = seeds.where("source is not null and node_id is not null and cost is not null").groupBy("source").agg(F.collect_list(F.struct("node_id", "cost")).alias("starts"))
+def unrolled(ends: DataFrame, pointers: DataFrame, staging: Staging) -> DataFrame:
+    """(request, n, ord, ord2): the hops of the ways that end at ends (request, step_free, source, node_id), n from 1.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: dict[str, list[tuple]] = defaultdict(list)
-        for u, v, hop in zip(*(sent.value.column(k).to_pylist() for k in range(3))):
-            near[u].append((v, hop, 0, 0))
-        for batch in batches:
-            for source, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = search([(s["node_id"], s["cost"]) for s in starts], near)
-                yield pa.RecordBatch.from_arrays([pa.array([source] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array([f[0] for f in found.values()], pa.float64())], ["source", "node_id", "cost"])
-
-    return rows.mapInArrow(run, "source string, node_id string, cost double")
+    Pointer doubling: jump table k leads 2^k hops back, and every node that an end's way has so far is taken 2^k hops further
+    back, from the largest k on, so that the rounds are the logarithm of the longest way.
+    """
+    key = ["step_free", "source", "node_id"]
+    jumps, longest = [pointers.select(*key, "before")], pointers.agg(F.max("n")).first()[0] or 0
+    while 1 << len(jumps) < longest:
+        step = jumps[-1]
+        further = step.select("step_free", "source", F.col("node_id").alias("before"), F.col("before").alias("beyond"))
+        jumps.append(staging.write(step.join(further, ["step_free", "source", "before"]).select(*key, F.col("beyond").alias("before"))))
+    some = ends.select("request", *key)
+    for jump in reversed(jumps):
+        back = some.join(jump, key).select("request", "step_free", "source", F.col("before").alias("node_id"))
+        some = staging.write(some.unionByName(back))
+    return some.join(pointers, key).select("request", "step_free", "n", "ord", "ord2")
 
 
 def place_distances(t: Topology, from_places: DataFrame, step_free: bool = False, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """(from_place_id, to_place_id, cost) of every place that each of from_places (place_id) reaches."""
     options = endpoint_options(t)
     seeds = options.join(from_places.select("place_id").distinct(), "place_id").select(F.col("place_id").alias("source"), "node_id", "cost")
-    reached = distances(seeds, hops(t, step_free), most_broadcast=most_broadcast).select("source", "node_id", F.col("cost").alias("walked"))
+    reached = distances(seeds, hops(t, step_free), most_broadcast).select("source", "node_id", F.col("cost").alias("walked"))
     last = endpoint_options(t, "destination").select(F.col("place_id").alias("to_place_id"), "node_id", "cost")
     total = reached.join(last, "node_id").groupBy(F.col("source").alias("from_place_id"), "to_place_id").agg(F.min(F.col("walked") + F.col("cost")).alias("cost"))
     return total.where("from_place_id <> to_place_id")
@@ -208,38 +275,40 @@ def find_routes(t: Topology, requests: DataFrame, most_broadcast: int = MOST_BRO
     """A row for each request (from_place_id, to_place_id, step_free) with status, cost, floors and hops.
 
     status: ok, same_place, no_access, no_route or no_step_free_route. Of equally cheap routes the one with the fewest
-    hops counts, then the first hops; of equally cheap ways in or out the first. A graph within most_broadcast hops is
-    searched in the workers, once for each start; a larger one by joins, with the same result.
+    hops counts, then as predecessors() says; of equally cheap ways in or out the first. Only routes that are asked for are
+    put together, when their ends are chosen; until then a node has a label and a predecessor.
     """
     staging = Staging(requests.sparkSession)
-    graph = staging.write(hops(t).withColumn("step_free", F.lit(False)).unionByName(hops(t, True).withColumn("step_free", F.lit(True))))
-    wanted = staging.write(requests.select("from_place_id", "to_place_id", F.coalesce("step_free", F.lit(False)).alias("step_free")))
-    asked = wanted.select(F.col("from_place_id").alias("place_id"), "step_free").where("place_id is not null").distinct()
-    starts = options_of(t, "origin").join(asked, "place_id").select("step_free", F.col("place_id").alias("source"), "node_id", "option")
-    starts = staging.write(starts.groupBy("step_free", "source", "node_id").agg(F.min("option").alias("option")))
-    seeds = starts.select("step_free", "source", "node_id", F.col("option.cost").alias("cost"))
-    few = graph.count() <= most_broadcast
-    reached = staging.write(local_paths(seeds, graph) if few else relaxed(seeds, graph, True))
-
-    last = options_of(t, "destination").withColumnsRenamed({"place_id": "to_place_id", "option": "last"})
-    targets = wanted.where("from_place_id <> to_place_id").distinct().join(last, "to_place_id").join(reached.withColumnRenamed("source", "from_place_id"), ["step_free", "from_place_id", "node_id"])
-    total = F.struct((F.col("cost") + F.col("last.cost")).alias("total"), F.col("last.point_idx").alias("p"), F.col("last.link_idx").alias("l"), "last", "path", "n")
     key = ["from_place_id", "to_place_id", "step_free"]
-    best = staging.write(targets.groupBy(*key).agg(F.min(total).alias("b")).select(*key, "b.*"))
-
-    # The hops of each route, and the node that it starts from.
+    every = {"graph": hops(t).withColumn("step_free", F.lit(False)).unionByName(hops(t, True).withColumn("step_free", F.lit(True)))}
+    every["wanted"] = requests.select("from_place_id", "to_place_id", F.coalesce("step_free", F.lit(False)).alias("step_free")).withColumn("request", F.xxhash64(*key))
+    every |= {"origin": options_of(t, "origin"), "destination": options_of(t, "destination")}
+    graph, wanted, origin, destination = staging.write_all(every).values()
+    asked = wanted.select(F.col("from_place_id").alias("place_id"), "step_free").where("place_id is not null").distinct()
+    starts = origin.join(asked, "place_id").select("step_free", F.col("place_id").alias("source"), "node_id", "option")
+    starts = starts.groupBy("step_free", "source", "node_id").agg(F.min("option").alias("option"))
+    reached = staging.write(labels(starts.select("step_free", "source", "node_id", F.col("option.cost").alias("cost")), graph, most_broadcast))
+
+    last = destination.withColumnsRenamed({"place_id": "to_place_id", "option": "last"})
+    targets = wanted.where("from_place_id <> to_place_id").select(*key).distinct().join(last, "to_place_id").join(reached.withColumnRenamed("source", "from_place_id"), ["step_free", "from_place_id", "node_id"])
+    total = F.struct((F.col("cost") + F.col("last.cost")).alias("total"), F.col("last.point_idx").alias("p"), F.col("last.link_idx").alias("l"), "last", "n")
+    tables = {"best": targets.groupBy(*key).agg(F.min(total).alias("b")).select(*key, "b.*"), "pointers": predecessors(reached, graph)}
+    best, pointers = staging.write_all(tables).values()
+
+    # The hops of each way that ends a route, and the node that it starts from.
+    ends = best.select(F.xxhash64("step_free", "from_place_id", "last.node_id").alias("request"), "step_free", F.col("from_place_id").alias("source"), F.col("last.node_id").alias("node_id")).distinct()
     names = [f.split(":")[0].strip() for f in HOP[7:-1].split(", ")]
-    steps = best.select(*key, F.posexplode("path").alias("pos", "s")).select(*key, "pos", F.col("s.ord").alias("ord"), F.col("s.ord2").alias("ord2"))
-    steps = steps.join(graph, ["step_free", "ord", "ord2"]).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", F.struct(*names).alias("hop")))).alias("s"))
-    found = best.join(steps.select(*key, F.transform("s", lambda x: x.hop).cast(f"array<{HOP}>").alias("traversals")), key, "left")
+    steps = unrolled(ends, pointers, staging).join(graph, ["step_free", "ord", "ord2"]).groupBy("request").agg(F.array_sort(F.collect_list(F.struct("n", F.struct(*names).alias("hop")))).alias("s"))
+    steps = steps.join(ends, "request").select("step_free", F.col("source").alias("from_place_id"), F.col("node_id").alias("end_"), F.transform("s", lambda x: x.hop).cast(f"array<{HOP}>").alias("traversals"))
+    found = best.withColumn("end_", F.col("last.node_id")).join(steps, ["step_free", "from_place_id", "end_"], "left").drop("end_")
     found = found.withColumn("traversals", F.coalesce("traversals", F.array().cast(f"array<{HOP}>")))
     first = F.coalesce(F.get("traversals", F.lit(0)).from_node_id, F.col("last.node_id"))
     found = found.withColumn("start_node_id", first).join(starts.select("step_free", F.col("source").alias("from_place_id"), F.col("node_id").alias("start_node_id"), F.col("option").alias("first")), ["step_free", "from_place_id", "start_node_id"])
     floor = last_wins(t.nodes).select("id", "floor_id")
     found = found.join(renamed(floor, "a_", "id", "floor_id"), F.col("start_node_id") == F.col("a_id"), "left").join(renamed(floor, "b_", "id", "floor_id"), F.col("last.node_id") == F.col("b_id"), "left")
 
-    has = lambda side, name: options_of(t, side).select(F.col("place_id").alias(name), F.lit(True).alias(f"{side}_")).distinct()
-    rows = wanted.join(found, key, "left").join(has("origin", "from_place_id"), "from_place_id", "left").join(has("destination", "to_place_id"), "to_place_id", "left")
+    has = lambda options, side, name: options.select(F.col("place_id").alias(name), F.lit(True).alias(f"{side}_")).distinct()
+    rows = wanted.join(found, key, "left").join(has(origin, "origin", "from_place_id"), "from_place_id", "left").join(has(destination, "destination", "to_place_id"), "to_place_id", "left")
     closed = F.col("origin_").isNull() | F.col("destination_").isNull()
     status = F.when(F.col("from_place_id") == F.col("to_place_id"), "same_place").when(closed, "no_access").when(F.col("total").isNotNull(), "ok").when(F.col("step_free"), "no_step_free_route").otherwise("no_route")
     ok = lambda c: F.when(F.col("total").isNotNull(), c)
@@ -257,31 +326,6 @@ def floor_sequence() -> Column:
     return F.transform(F.filter(pairs, lambda p: p["here"].isNotNull() & ~p["here"].eqNullSafe(p["before"])), lambda p: p["here"])
 
 
-def local_paths(seeds: DataFrame, graph: DataFrame) -> DataFrame:
-    """relaxed() with paths, by one search for each (step_free, source) over a graph small enough for a broadcast."""
-    usable = graph.where("from_node_id is not null and to_node_id is not null and cost is not null").orderBy("ord", "ord2")
-    sent = seeds.sparkSession.sparkContext.broadcast(usable.select("step_free", "from_node_id", "to_node_id", "cost", "ord", "ord2").toArrow())  # within most_broadcast hops
-    rows = seeds.groupBy("step_free", "source").agg(F.collect_list(F.struct("node_id", "cost")).alias("starts"))
-    step = pa.struct([("ord", pa.int64()), ("ord2", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near: dict[bool, dict[str, list[tuple]]] = {False: defaultdict(list), True: defaultdict(list)}
-        for free, u, *hop in zip(*(sent.value.column(k).to_pylist() for k in range(6))):
-            near[free][u].append(tuple(hop))
-        for batch in batches:
-            for free, source, starts in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                best = search([(s["node_id"], s["cost"]) for s in starts], near[free])
-                paths: dict[str, list] = {}
-                for node in sorted(best, key=lambda k: best[k][1]):  # by hops: what a path goes on from is known
-                    _, n, by, before = best[node]
-                    paths[node] = [*paths[before], {"ord": by[0], "ord2": by[1]}] if n else []
-                size = len(best)
-                columns = [pa.array([free] * size, pa.bool_()), pa.array([source] * size, pa.string()), pa.array(list(best), pa.string()), pa.array([b[0] for b in best.values()], pa.float64()), pa.array([b[1] for b in best.values()], pa.int32()), pa.array([paths[k] for k in best], pa.list_(step))]
-                yield pa.RecordBatch.from_arrays(columns, ["step_free", "source", "node_id", "cost", "n", "path"])
-
-    return rows.mapInArrow(run, f"step_free boolean, source string, node_id string, cost double, n int, path array<{STEP}>")
-
-
 def directions(routes: DataFrame, places: DataFrame | None = None) -> DataFrame:
     """Turn-by-turn rows (step from 0): an origin line, one for each hop, an arrival line."""
     key = ["from_place_id", "to_place_id", "step_free"]
