@@ -5,7 +5,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from topolark.llm import queries, token_alignment
-from topolark.llm.token_alignment import NUMBERS, Vocabularies
+from topolark.llm.token_alignment import FIGURES, Vocabularies
 
 #: The smallest of the given tables.
 SMALL = "/root/testdata/sf0.001"
@@ -68,7 +68,7 @@ TEXTS = [
 def test_equals_whole_texts(spark, words):
     rows = list(enumerate(TEXTS)) + [(None, "twice over"), (0, "twice over"), (0, "twice over")]
     docs = spark.createDataFrame([(i, t, 7, 1) for i, t in rows], "doc_id long, text string, block int, n_a int")
-    found = token_alignment.align_documents(docs, A, B).select("doc_id", *NUMBERS, "groups_sha256").collect()
+    found = token_alignment.align_documents(docs, A, B).select("doc_id", *FIGURES, "groups_sha256").collect()
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, found), key=key) == sorted(brute(words, rows), key=key)
 
@@ -105,8 +105,10 @@ def test_vocabulary_has_no_piece_across_a_cut(words):
 def test_blocks_and_empty(spark, words, monkeypatch):
     rows = [(i, f"alpha beta {i % 3} gamma") for i in range(30)]
     monkeypatch.setattr(token_alignment, "BLOCK", 40)
+    monkeypatch.setattr(token_alignment, "PARCEL_ROWS", 3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
-    assert sorted(map(tuple, token_alignment.align_documents(docs, A, B).collect())) == sorted(brute(words, rows))
+    for most in (0, 1000):  # counts joined, counts looked up
+        assert sorted(map(tuple, token_alignment.align_documents(docs, A, B, most).collect())) == sorted(brute(words, rows))
     assert token_alignment.align_documents(docs.limit(0), A, B).count() == 0
 
 

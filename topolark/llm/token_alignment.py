@@ -6,11 +6,11 @@ join the two sides: the byte-level one (A) never goes on from non-white-space in
 characters, if there are any, no cut is made. Merges left and right of a cut then can't meet, so the ids of a text are
 those of its segments in order, and as both vocabularies end a token at every cut, groups and links never span one.
 
-Work goes in blocks of some 16 MB of text, each cut in one go. A block writes the distinct segments that it holds, with
-their numbers of occurrences, and each text as a sequence of places in that list; texts go no further. The segments are
-told apart over all blocks, and each is encoded and aligned once; the counts of id pairs follow from the segments' own
-links times their occurrences. What a document needs of a segment then joins the blocks' lists, and documents
-are composed block by block.
+Work goes in blocks of some 32 MB of text, each cut in one go. A block writes the distinct segments that it holds, with
+their numbers of occurrences, and each text as a sequence of places in that list; texts go no further. The rows of a
+segment come together from all blocks, and it is encoded and aligned once; the counts of id pairs follow from the
+segments' own links times their occurrences. What a block needs of its segments is put together by block before it goes
+back to it, and documents are composed block by block.
 
 Texts null or empty, and those that B doesn't give back whole (they hold U+2581), have no tokens, and count nowhere.
 Nulls and ties: every row is composed for itself, so repeated rows and null doc_ids keep their rows. An empty table
@@ -23,20 +23,21 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topolark.llm.common import Scratch, bounded_batches, squeezed, unsqueezed
 
-#: Characters of text of a block, and shares into which the most frequent id pair is dealt.
-BLOCK, SALT = 16 << 20, 16
+#: Characters of text of a block, places that a task puts together at once, and id pairs whose counts are broadcast (17 bytes each).
+BLOCK, PARCEL_ROWS, MOST_PAIRS = 32 << 20, 1 << 18, 1 << 22
 SPACE = "▁"
-NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def byte_signs() -> dict[str, int]:
@@ -155,81 +156,148 @@ def cut(docs: DataFrame, shared) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PARTS)
 
 
-def aligned(segments: DataFrame, shared) -> DataFrame:
-    """segments (segment, n) with head (n_a, n_b, n_groups, n_links as 32-bit integers), groups and links (a, b, times)."""
-    link = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("times", pa.int32())]))
+def pieces(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(flat values, offsets) of an array of lists."""
+    offsets = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(zero_copy_only=False), offsets - offsets[0]
+
+
+ALIGNED = "n long, n_a int, n_b int, n_groups int, groups string, links_a array<int>, links_b array<int>, blocks array<long>, places array<int>"
+
+
+def aligned(held: DataFrame, shared) -> DataFrame:
+    """Rows of each distinct segment: its occurrences n, alignment, and the blocks and places of their lists that hold it.
+
+    held: segment, block, place, n, the rows of a segment together. A segment is encoded when it first comes; one with
+    more rows than a batch goes on in a further row with the same alignment, so a row is bounded.
+    """
+    names = [c.split()[0] for c in ALIGNED.split(", ")]
+    words_of = lambda parts: pa.array([said(p) for p in parts], pa.string())
+
+    def one(words: Vocabularies, segment: str, a: list[int], b: list[int]) -> tuple:
+        raw = segment.encode()
+        if b"".join(map(words.a_bytes.__getitem__, a)) != raw or b"".join(map(words.b_bytes.__getitem__, b)) != raw:
+            raise ValueError(f"a vocabulary doesn't give back {segment[:80]!r}")
+        return a, b, *align(a, b, [len(words.a_bytes[i]) for i in a], [len(words.b_bytes[i]) for i in b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = None
-        for whole in batches:
+        words, last, found = None, None, None
+        for batch in batches:
             words = words or Vocabularies(*shared.value)
-            for k in range(0, whole.num_rows, 1000):
-                batch, heads, groups, links = whole.slice(k, 1000), [], [], []
-                some = batch.column(0).to_pylist()
-                for segment, (a, b) in zip(some, words.encode(some)):
-                    if b"".join(map(words.a_bytes.__getitem__, a)) != segment.encode() or b"".join(map(words.b_bytes.__getitem__, b)) != segment.encode():
-                        raise ValueError(f"a vocabulary doesn't give back {segment[:80]!r}")
-                    found, parts = align(a, b, [len(words.a_bytes[i]) for i in a], [len(words.b_bytes[i]) for i in b])
-                    heads.append(np.array([len(a), len(b), len(parts), len(found)], "<u4").tobytes())
-                    groups.append(said(parts))
-                    times: dict[tuple[int, int], int] = {}
-                    for pair in found:
-                        times[pair] = times.get(pair, 0) + 1
-                    links.append([{"a": x, "b": y, "times": t} for (x, y), t in times.items()])
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary()), pa.array(groups, pa.string()), pa.array(links, link)], ["segment", "n", "head", "groups", "links"])
-
-    return segments.mapInArrow(run, "segment string, n long, head binary, groups string, links array<struct<a: int, b: int, times: int>>")
-
-
-def pair_counts(links: DataFrame) -> DataFrame:
+            segments = batch.column(0)
+            starts = np.flatnonzero(np.concatenate(([True], pc.not_equal(segments[1:], segments[:-1]).to_numpy(zero_copy_only=False))))
+            some = segments.take(pa.array(starts)).to_pylist()
+            rows = [found] if some[0] == last else []
+            fresh = some[len(rows) :]
+            rows += [one(words, s, a, b) for s, (a, b) in zip(fresh, words.encode(fresh))]
+            last, found = some[-1], rows[-1]
+            ends = pa.array(np.append(starts, batch.num_rows), pa.int32())
+            links = pa.array(np.cumsum([0, *(len(r[2]) for r in rows)]), pa.int32())
+            flat = np.fromiter(chain.from_iterable(chain.from_iterable(r[2] for r in rows)), np.int32).reshape(-1, 2)
+            columns = [pa.array(np.add.reduceat(batch.column(3).to_numpy(), starts), pa.int64()), *(pa.array([len(r[k]) for r in rows], pa.int32()) for k in (0, 1, 3)), words_of(r[3] for r in rows)]
+            columns += [pa.ListArray.from_arrays(links, pa.array(np.ascontiguousarray(flat[:, k]))) for k in (0, 1)] + [pa.ListArray.from_arrays(ends, batch.column(k)) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    together = held.select("segment", "block", "place", "n").repartition("segment").sortWithinPartitions("segment")
+    return together.mapInArrow(run, ALIGNED)
+
+
+def pair_counts(known: DataFrame) -> DataFrame:
     """(a, b, count, best): how many links hold each pair, and whether that is the most of any pair with its b."""
-    counts = links.groupBy("a", "b").agg(F.sum(F.col("n") * F.col("times")).alias("count"))
+    links = known.select("n", F.explode(F.arrays_zip("links_a", "links_b")).alias("l"))
+    counts = links.groupBy(F.col("l.links_a").alias("a"), F.col("l.links_b").alias("b")).agg(F.sum("n").alias("count"))
     return counts.join(counts.groupBy("b").agg(F.max("count").alias("most")), "b").select("a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def compose(key, docs: pa.Table, segments: pa.Table) -> pa.Table:
-    """The documents of one block from its list of segments."""
-    segments = segments.sort_by("place")
-    sums = [np.zeros(0, np.int64)] * 6
-    if segments.num_rows:
-        heads = np.frombuffer(b"".join(segments.column("head").to_pylist()), "<u4").reshape(-1, 4).astype(np.int64)
-        sums = [*heads.T, segments.column("n_best").to_numpy(), segments.column("count_sum").to_numpy()]
-    groups = [g.encode() for g in segments.column("groups").to_pylist()]
+def scored(known: DataFrame, counts: DataFrame) -> DataFrame:
+    """known (key, ...) with n_best and count_sum, by joins on the pairs."""
+    links = known.select("key", F.explode(F.arrays_zip("links_a", "links_b")).alias("l")).select("key", F.col("l.links_a").alias("a"), F.col("l.links_b").alias("b"))
+    sums = links.join(counts, ["a", "b"]).groupBy("key").agg(F.sum(F.col("best").cast("long")).alias("n_best"), F.sum("count").alias("count_sum"))
+    return known.join(sums, "key")
+
+
+FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
+PARCEL = "block long, rows int, figures binary, size int, groups binary"
+
+
+def parcels(known: DataFrame, counts: DataFrame | None) -> DataFrame:
+    """What each block needs of the segments, put together by block before it travels: places, figures and groups.
+
+    counts: pair_counts() small enough for a broadcast; without it known has n_best and count_sum.
+    """
+    shared = None
+    if counts is not None:
+        table = counts.select(F.expr("shiftleft(cast(a as bigint), 32) + b").alias("pair"), "count", "best").toArrow().sort_by("pair")
+        shared = known.sparkSession.sparkContext.broadcast([table.column(k).to_numpy() for k in range(3)])  # MOST_PAIRS rows at most
+    columns = ["n_a", "n_b", "n_groups", "groups", "links_a", "links_b", "blocks", "places"] + ([] if shared else ["n_best", "count_sum"])
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        block, numbers = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held], axis=1)
+        groups = pa.concat_arrays([h[2] for h in held])
+        order, out = np.argsort(block, kind="stable"), []
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        for some in np.split(order, cuts):
+            text = "\n".join(groups.take(pa.array(some)).to_pylist()).encode()
+            out.append((int(block[some[0]]), len(some), squeezed(numbers[:, some].ravel()), len(text), pa.compress(text, codec="zstd", asbytes=True)))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], [c.split()[0] for c in PARCEL.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            of = {c: batch.column(k) for k, c in enumerate(columns)}
+            (a, cuts), (b, _) = pieces(of["links_a"]), pieces(of["links_b"])
+            if shared:
+                pairs, count, best = shared.value
+                at = np.searchsorted(pairs, (a.astype(np.int64) << 32) + b)
+                n_best, total = np.add.reduceat(best[at].astype(np.int64), cuts[:-1]), np.add.reduceat(count[at], cuts[:-1])
+            else:
+                n_best, total = of["n_best"].to_numpy(), of["count_sum"].to_numpy()
+            (block, ends), (place, _) = pieces(of["blocks"]), pieces(of["places"])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            figures = [*(of[c].to_numpy() for c in FIGURES[:3]), np.diff(cuts), n_best, total & 0xFFFFFFFF, total >> 32]
+            held.append((block, np.stack([place, *(f[row] for f in figures)]).astype(np.uint32), of["groups"].take(pa.array(row))))
+            size += len(row)
+            if size >= PARCEL_ROWS:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    return known.select(*columns).mapInArrow(run, PARCEL)
+
+
+def compose(key, docs: pa.Table, sent: pa.Table) -> pa.Table:
+    """The documents of one block from its parcels."""
+    rows = sent.column("rows").to_pylist()
+    sums, groups = np.zeros((len(FIGURES), sum(rows)), np.int64), np.empty(sum(rows), object)
+    for n, figures, size, text in zip(rows, *(sent.column(c).to_pylist() for c in ("figures", "size", "groups"))):
+        numbers = unsqueezed(figures, 8 * n).reshape(8, n).astype(np.int64)
+        sums[:, numbers[0]] = np.concatenate((numbers[1:6], numbers[6:7] + (numbers[7:] << 32)))
+        groups[numbers[0]] = pa.decompress(text, size, codec="zstd", asbytes=True).split(b"\n")
     out = []
     for doc_id, n, blob in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "n_places", "places"))):
         at = unsqueezed(blob, n) if n else np.zeros(0, np.uint32)
-        digest = hashlib.sha256(b";".join(map(groups.__getitem__, at.tolist()))).hexdigest() if n else ""
+        digest = hashlib.sha256(b";".join(groups[at].tolist())).hexdigest() if n else ""
         out.append((doc_id, *(int(s[at].sum()) if n else 0 for s in sums), digest))
     kinds = [pa.int64()] * 7 + [pa.string()]
-    return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["doc_id", *NUMBERS, "groups_sha256"])
+    return pa.Table.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)], ["doc_id", *FIGURES, "groups_sha256"])
 
 
-def segment_table(docs: DataFrame, first: str, second: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents by block, segments by block, every distinct segment with head, groups, n_best and count_sum)."""
-    spark = docs.sparkSession
+def align_documents(docs: DataFrame, first: str, second: str, most_pairs: int = MOST_PAIRS) -> DataFrame:
+    """A row for each row of docs (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
+
+    first: path of the byte-level vocabulary A, second: of the sentence-piece model B; both are read on the driver. Counts
+    of up to most_pairs id pairs are looked up, more are joined, with the same result.
+    """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast((Path(first).read_text(), Path(second).read_bytes()))  # public vocabularies, a few MB
     parts = scratch.write(cut(docs, shared))
     texts = parts.where("segment is null").select("block", "doc_id", "n_places", "places")
-    held = parts.where("segment is not null").select("block", "place", "segment", "n")
-    distinct = held.groupBy("segment").agg(F.sum("n").alias("n"))
-    known = scratch.write(aligned(distinct, shared).withColumn("key", F.monotonically_increasing_id()))
-
-    links = known.select("key", "n", F.explode("links").alias("l")).select("key", "n", "l.*")
-    counts = scratch.write(pair_counts(links))
-    # A frequent pair stands in very many segments: it is dealt into shares.
-    salted = links.withColumn("salt", F.pmod("key", F.lit(SALT)).cast("int"))
-    shares = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    scored = salted.join(shares, ["a", "b", "salt"]).groupBy("key").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).cast("long").alias("n_best"), F.sum(F.col("count") * F.col("times")).alias("count_sum"))
-    return texts, held, known.select("key", "segment", "head", "groups").join(scored, "key").drop("key")
-
-
-def align_documents(docs: DataFrame, first: str, second: str) -> DataFrame:
-    """A row for each row of docs (doc_id, text): doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
-
-    first: path of the byte-level vocabulary A, second: of the sentence-piece model B; both are read on the driver.
-    """
-    texts, held, known = segment_table(docs, first, second, Scratch(docs.sparkSession))
-    segments = held.join(known, "segment").select(F.col("block").alias("home"), "place", "head", "groups", "n_best", "count_sum")
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in NUMBERS) + ", groups_sha256 string"
-    return texts.groupBy("block").cogroup(segments.groupBy("home")).applyInArrow(compose, schema)
+    known = scratch.write(aligned(parts.where("segment is not null"), shared).withColumn("key", F.monotonically_increasing_id()))
+    counts = scratch.write(pair_counts(known))
+    few = counts.count() <= most_pairs
+    sent = parcels(known, counts) if few else parcels(scored(known, counts), None)
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_sha256 string"
+    return texts.groupBy("block").cogroup(sent.select(F.col("block").alias("home"), "rows", "figures", "size", "groups").groupBy("home")).applyInArrow(compose, schema)
