@@ -191,3 +191,30 @@ def test_accept_hallway(spark):
 ])
 def test_each_rule_fires(spark, relation, row, code):
     assert code in {c for c, _ in codes(make(spark, **base(**{relation: [row]})))}
+
+
+def along(spark, n):
+    """A line of nodes, hops both ways, whose costs tell the direction."""
+    name = lambda k: f"n{k:05d}"
+    hops = [(name(k), name(k + 1), 1.0) for k in range(n - 1)] + [(name(k + 1), name(k), 2.0) for k in range(n - 1)]
+    return spark.createDataFrame(hops, "from_node_id string, to_node_id string, cost double"), spark.createDataFrame([("s", name(10), 5.0), ("z", name(n - 1), 0.0)], "source string, node_id string, cost double")
+
+
+def test_distances_along_a_long_line(spark):
+    """5000 nodes in a row, as one part and in parts that a way passes one after another."""
+    hops, seeds = along(spark, 5000)
+    want = {("s", f"n{k:05d}"): 5.0 + (k - 10 if k >= 10 else 2.0 * (10 - k)) for k in range(5000)} | {("z", f"n{k:05d}"): 2.0 * (4999 - k) for k in range(5000)}
+    for most in (route.MOST_BROADCAST, 4000):
+        assert {(r.source, r.node_id): r.cost for r in route.distances(seeds, hops, most).collect()} == want
+
+
+def test_plan_of_distances_does_not_grow_with_rounds(spark):
+    hops, seeds = along(spark, 40)
+    sizes = [len(route.distances(seeds, hops, most)._jdf.queryExecution().analyzed().toString()) for most in (12, 6)]
+    assert sizes[1] < 3 * sizes[0]
+
+
+def test_whole_routes_do_not_depend_on_parts(spark):
+    t = make(spark, **crossing())
+    wanted = spark.createDataFrame([("room", "far", False), ("far", "room", False), ("room", "room", True)], "from_place_id string, to_place_id string, step_free boolean")
+    assert rows_of(route.find_routes(t, wanted)) == rows_of(route.find_routes(t, wanted, 2))

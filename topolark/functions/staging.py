@@ -9,7 +9,8 @@ import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,3 +49,13 @@ class Staging:
         """Delete a staged table that no pending DataFrame reads."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._staged)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(rows: DataFrame, order: list[Column | str], staging: Staging, name: str = "idx") -> DataFrame:
+    """rows with their place in the order, from 0. Ranges are sorted apart; what stands before a range is summed over a row for each."""
+    ranges = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = staging.write(ranges.withColumns({"range_": F.spark_partition_id(), "at_": F.monotonically_increasing_id()}))
+    counts = ranges.groupBy("range_").agg(F.count("*").alias("n_"), F.min("at_").alias("first_"))  # a row for each partition
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("range_", (F.coalesce(F.sum("n_").over(before), F.lit(0)) - F.col("first_")).alias("shift_"))
+    return ranges.join(F.broadcast(starts), "range_").withColumn(name, F.col("at_") + F.col("shift_")).drop("range_", "at_", "shift_")

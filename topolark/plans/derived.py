@@ -73,9 +73,21 @@ def duckdb_sql(statement: str, recursive: bool = False) -> str:
     return f"{head}{parts} {body}" if parts else body
 
 
-def relation(spark: SparkSession, sf_dir: str, name: str, made: dict[str, str] | None = None) -> DataFrame:
+#: Numbering of a whole relation, which Spark does over ranges where it can write tables.
+NUMBERING = re.compile(r"cast\(row_number\(\) over \(order by ([^)]*)\)-1 as bigint\) idx")
+
+
+def unnumbered(spark: SparkSession, sf_dir: str, name: str, made: dict[str, str]) -> tuple[DataFrame, list[str]]:
+    """A relation without its idx, and the columns by whose order it is numbered, which come beside its own."""
+    keys = NUMBERING.search(RELATIONS[name])[1].split(",")
+    order = [f"order{k}_" for k in range(len(keys))]
+    said = ", ".join(f"{key} as {column}" for key, column in zip(keys, order))
+    return relation(spark, sf_dir, name, made, NUMBERING.sub(said, RELATIONS[name])), order
+
+
+def relation(spark: SparkSession, sf_dir: str, name: str, made: dict[str, str] | None = None, text: str | None = None) -> DataFrame:
     """A relation over the driver's tables; made: folders of relations that are written already."""
-    made, text = made or {}, RELATIONS[name]
+    made, text = made or {}, text or RELATIONS[name]
     bodies = {n: f"select * from parquet.`{made[n]}`" if n in made else RELATIONS[n] for n in needed(text, made)}
     used = " ".join([text, *bodies.values()])
     sources = [s for s in SOURCES if re.search(rf"\b{s}\b", used)]

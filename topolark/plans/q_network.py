@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from topolark.functions import geometry
 from topolark.operators import drawing, grid, network, spatial
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.q_select import FILLS, LABELS, MEET, QUADS, WALLS, bare, drawn, polygon_cells, quads, rooms
+from topolark.plans.q_select import BARE, FILLS, LABELS, MEET, QUADS, WALLS, bare, drawn, polygon_cells, quads, rooms
 
 
 #: Labels and walls start at the same places, so rooms stand beside them.
@@ -54,10 +54,10 @@ def exterior(s: SparkSession, d: str) -> DataFrame:
 
 
 def strokes(s: SparkSession, d: str) -> DataFrame:
-    """Pen strokes of quads, but for every fifth; the pen jumps from one to the next."""
+    """Pen strokes of quads; the pen jumps from one to the next."""
     point = lambda i: F.get("points", i % F.size("points"))
     edges = F.transform("points", lambda p, i: F.struct(p.x.alias("x1"), p.y.alias("y1"), point(i + 1).x.alias("x2"), point(i + 1).y.alias("y2")))
-    rows = quads(s, d).where("poly_id % 5 <> 2").select("drawing_id", "poly_id", F.posexplode(edges).alias("k", "e"))
+    rows = quads(s, d).select("drawing_id", "poly_id", F.posexplode(edges).alias("k", "e"))
     return rows.select("drawing_id", (F.col("poly_id") * 10 + F.col("k")).alias("ord"), "e.*")
 
 
@@ -121,18 +121,68 @@ CROSSED = f"a as (select drawing_id, idx as hop_id, x1+7 ax, y1 ay, x2+7 bx, y2
 ENDS = ", ".join(f"sqrt(pow({p}-x{k},2)+pow({q}-y{k},2))" for p, q in (("ax", "ay"), ("bx", "bz")) for k in (1, 2))
 
 
+#: Ticks of leaders, and the pairs of labels with their ends in reach.
+TICKS = f"""ticks as (select * from (select *, bool_or(coalesce(layer = 'A-SPAC-IDEN-LEDR', false)) over (partition by drawing_id) as has_leader from {BARE}) where type = 'line' and (not has_leader or layer = 'A-SPAC-IDEN-LEDR') and abs(x2-x1) > 3 and abs(y2-y1) > 3 and sqrt(pow(x2-x1,2)+pow(y2-y1,2)) between 10 and 30),
+ends_ as (select l.drawing_id, l.idx, t.idx as seg_idx, has_leader, sqrt(pow(t.x1-l.x,2)+pow(t.y1-l.y,2)) as d1, sqrt(pow(t.x2-l.x,2)+pow(t.y2-l.y,2)) as d2, t.x1, t.y1, t.x2, t.y2 from {LABELS} l join ticks t on t.drawing_id = l.drawing_id),
+tied as (select drawing_id, idx, seg_idx, has_leader, least(d1, d2) as near, case when d1 < d2 then x2 else x1 end as tx, case when d1 < d2 then y2 else y1 end as ty from ends_ where least(d1, d2) <= 20),
+ranked as (select *, row_number() over (partition by drawing_id order by near, idx, seg_idx) as k from tied where has_leader),
+matched(drawing_id, k, lefts, rights, idx, seg_idx, tx, ty, ok) as (select distinct drawing_id, 0::bigint, []::bigint[], []::bigint[], null::bigint, null::bigint, null::double, null::double, false from ranked
+  union all select m.drawing_id, r.k, case when f.ok then list_append(lefts, r.idx) else lefts end, case when f.ok then list_append(rights, r.seg_idx) else rights end, r.idx, r.seg_idx, r.tx, r.ty, f.ok
+    from matched m join ranked r on r.drawing_id = m.drawing_id and r.k = m.k + 1, lateral (select not list_contains(m.lefts, r.idx) and not list_contains(m.rights, r.seg_idx) as ok) f)"""
+LIFTED = f"""lifted as (select drawing_id, idx, case when idx%10<3 then 'ARCH|A-FLOR-EVTR' when idx%10<5 then 'A-FLOR-STRS' else layer end as layer, case when idx%10<5 then floor(x1/100)*100 else x1 end as x1, case when idx%10<5 then floor(y1/200)*200 else y1 end as y1,
+  case when idx%10<5 then floor(x1/100)*100+5 else x2 end as x2, case when idx%10<5 then floor(y1/200)*200+10 else y2 end as y2 from {WALLS})"""
+
+
+def clustered(points: str, reach: float, last: bool, least: int) -> str:
+    """Statements that group points (drawing_id, ord, x, y) one by one, into centres (drawing_id, cluster, x, y, n)."""
+    moved = "list_concat(list_append(heads[1:h.at-1], {'x': p.x, 'y': p.y}), heads[h.at+1:])" if last else "heads"
+    return f"""ordered as (select *, row_number() over (partition by drawing_id order by ord) as k from ({points})),
+grouped(drawing_id, k, heads, home, x, y) as (select distinct drawing_id, 0::bigint, []::struct(x double, y double)[], null::bigint, null::double, null::double from ordered
+  union all select g.drawing_id, p.k, case when h.at is null then list_append(heads, {{'x': p.x, 'y': p.y}}) else {moved} end, coalesce(h.at, len(heads) + 1), p.x, p.y
+    from grouped g join ordered p on p.drawing_id = g.drawing_id and p.k = g.k + 1, lateral (select list_filter(range(1, len(g.heads) + 1), lambda i: sqrt(pow(p.x - g.heads[i].x, 2) + pow(p.y - g.heads[i].y, 2)) <= {reach})[1] as at) h),
+centres as (select drawing_id, cast(home - 1 as int) as cluster, avg(x) as x, avg(y) as y, cast(count(*) as int) as n from grouped where k > 0 group by drawing_id, home having count(*) >= {least})"""
+
+
+def claimed(pairs: str) -> str:
+    """Statements that let each who take its nearest free what in order, from pairs (drawing_id, who, what, far, takes)."""
+    return f"""choices as (select drawing_id, who, row_number() over (partition by drawing_id order by who) as k, list({{'what': what, 'takes': takes}} order by far, what) as every from ({pairs}) group by drawing_id, who),
+asked(drawing_id, k, taken, who, what, ok) as (select distinct drawing_id, 0::bigint, []::bigint[], null::bigint, null::bigint, false from choices
+  union all select a.drawing_id, c.k, case when f.f.takes then list_append(taken, f.f.what) else taken end, c.who, f.f.what, coalesce(f.f.takes, false)
+    from asked a join choices c on c.drawing_id = a.drawing_id and c.k = a.k + 1, lateral (select list_filter(c.every, lambda e: not list_contains(a.taken, e.what))[1] as f) f),
+claims as (select drawing_id, who, what from asked where ok)"""
+
+
+LAYER_POINTS = "select drawing_id, idx * 2 as ord, x1::double as x, y1::double as y from lifted where split_part(layer, '|', -1) = 'A-FLOR-EVTR' union all select drawing_id, idx * 2 + 1, x2, y2 from lifted where split_part(layer, '|', -1) = 'A-FLOR-EVTR'"
+DOOR_MIDDLES = f"select drawing_id, idx as ord, ((x1+x2)/2)::double as x, ((y1+y2)/2)::double as y from (select *, bool_or(length(layer) > 0) over (partition by drawing_id) as named from {BARE}) where type = 'curve' and (not coalesce(named, false) or layer = 'ARCH|A-DOOR')"
+SNAPPED = f"""{QUADS}, within_ as (select l.drawing_id, l.idx, r.poly_id from {LABELS} l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, l.x, l.y, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1),
+home as (select drawing_id, idx, min(poly_id) as poly_id from within_ group by all),
+middles as (select q.drawing_id, q.poly_id, list_sum(px)/4 as mx, list_sum(py)/4 as my from quads q where not exists (select 1 from home h where h.drawing_id = q.drawing_id and h.poly_id = q.poly_id)),
+stranded as (select * from {LABELS} l where not exists (select 1 from home h where h.drawing_id = l.drawing_id and h.idx = l.idx))"""
+
+
 def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     def q(run, sql: str):
         return run, duckdb_sql(sql)
 
+    def rec(run, sql: str):
+        return run, duckdb_sql(sql, recursive=True)
+
     hits = f"hits as (select l.drawing_id, l.idx, r.poly_id from (select * from {LABELS} where idx%7=3) l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, l.x, l.y, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1), areas as (select drawing_id, poly_id, abs(sum(ax*bz-bx*ay))/2 as area from ring group by all)"
     return {
-        "join9": (lambda s, d: network.greedy_matches(drawing.leader_matches(rooms(s, d), bare(s, d)).where("has_leader")).select("drawing_id", "idx", "seg_idx"), None),
+        "join9": rec(lambda s, d: network.greedy_matches(drawing.leader_matches(rooms(s, d), bare(s, d)).where("has_leader")).select("drawing_id", "idx", "seg_idx"), f"with {TICKS} select drawing_id, idx, seg_idx from matched where ok"),
         "gph1": q(lambda s, d: network.room_nodes(drawn(s, d, "dlabels"), "main").select("drawing_id", "id", "x", "y"), f"select drawing_id, 'main-' || drawing_id || '-' || text as id, x, y from {LABELS} where length(text) >= 3 and regexp_full_match(substr(text, 1, 4), '[0-9]+')"),
-        "gph2": (lambda s, d: network.leader_corrections(rooms(s, d), bare(s, d)).select("drawing_id", "idx", "x", "y"), None),
-        "gph4": (lambda s, d: network.snap_into_outlines(rooms(s, d), quads(s, d)).select("drawing_id", "idx", "x", "y"), None),
-        "gph5": (lambda s, d: network.mark_vertical(typed(s, d), lift_walls(s, d), positions(s, d)).select("drawing_id", "idx", "type"), None),
-        "gph6": (lambda s, d: network.mark_lifts(typed(s, d), lift_walls(s, d)).select("drawing_id", "idx", "type"), None),
+        "gph2": rec(lambda s, d: network.leader_corrections(rooms(s, d), bare(s, d)).select("drawing_id", "idx", "x", "y"), f"with {TICKS}, moved as (select drawing_id, idx, tx, ty from matched where ok union all select drawing_id, idx, tx, ty from tied where not has_leader qualify row_number() over (partition by drawing_id, idx order by near, seg_idx) = 1) select l.drawing_id, l.idx, coalesce(m.tx, l.x) as x, coalesce(m.ty, l.y) as y from {LABELS} l left join moved m on m.drawing_id = l.drawing_id and m.idx = l.idx"),
+        "gph4": rec(lambda s, d: network.snap_into_outlines(rooms(s, d), quads(s, d)).select("drawing_id", "idx", "x", "y"), f"with {SNAPPED}, {claimed('select r.drawing_id, r.idx as who, m.poly_id as what, sqrt(pow(r.x-mx,2)+pow(r.y-my,2)) as far, true as takes from stranded r join middles m on m.drawing_id = r.drawing_id where sqrt(pow(r.x-mx,2)+pow(r.y-my,2)) <= 60')} select l.drawing_id, l.idx, coalesce(m.mx, l.x) as x, coalesce(m.my, l.y) as y from {LABELS} l left join claims c on c.drawing_id = l.drawing_id and c.who = l.idx left join middles m on m.drawing_id = c.drawing_id and m.poly_id = c.what"),
+        "gph5": rec(
+            lambda s, d: network.mark_vertical(typed(s, d), lift_walls(s, d), positions(s, d)).select("drawing_id", "idx", "type"),
+            f"with {LIFTED}, drawn_ as (select drawing_id, case split_part(layer, '|', -1) when 'A-FLOR-STRS' then 'stair' when 'A-FLOR-EVTR' then 'elevator' end as kind, unnest([x1, x2]) as x, unnest([y1, y2]) as y from lifted), shown as (select distinct l.drawing_id, l.idx, w.kind from {LABELS} l join drawn_ w on w.drawing_id = l.drawing_id and sqrt(pow(l.x-w.x,2)+pow(l.y-w.y,2)) <= 40 where w.kind is not null), "
+            f"spots as (select drawing_id, idx as ord, case when idx%2=0 then 'stair' else 'elevator' end as kind, x, y from {LABELS} where idx%9=4), {claimed('select p.drawing_id, case when p.kind = $$elevator$$ then 1::bigint << 60 else 0 end + p.ord as who, l.idx as what, sqrt(pow(l.x-p.x,2)+pow(l.y-p.y,2)) as far, exists (select 1 from shown s where s.drawing_id = l.drawing_id and s.idx = l.idx and s.kind = p.kind) as takes from spots p join ' + LABELS + ' l on l.drawing_id = p.drawing_id where sqrt(pow(l.x-p.x,2)+pow(l.y-p.y,2)) <= 40')} "
+            f"select l.drawing_id, l.idx, case when c.who is null then 'room' when c.who >= 1::bigint << 60 then 'elevator' else 'stair' end as type from {LABELS} l left join claims c on c.drawing_id = l.drawing_id and c.what = l.idx",
+        ),
+        "gph6": rec(
+            lambda s, d: network.mark_lifts(typed(s, d), lift_walls(s, d)).select("drawing_id", "idx", "type"),
+            f"with {LIFTED}, {clustered(LAYER_POINTS, 45, False, 6)}, {claimed('select p.drawing_id, p.cluster::bigint as who, l.idx as what, sqrt(pow(l.x-p.x,2)+pow(l.y-p.y,2)) as far, true as takes from centres p join ' + LABELS + ' l on l.drawing_id = p.drawing_id where sqrt(pow(l.x-p.x,2)+pow(l.y-p.y,2)) <= 45')} select l.drawing_id, l.idx, case when c.who is null then 'room' else 'elevator' end as type from {LABELS} l left join claims c on c.drawing_id = l.drawing_id and c.what = l.idx",
+        ),
         "gph8": q(lambda s, d: network.vertical_positions(drawn(s, d, "dlabels").withColumn("text", F.when(F.col("idx") % 20 == 0, " Stairway ").when(F.col("idx") % 20 == 1, "Elevator").otherwise(F.col("text"))), s.createDataFrame([(f"D{k}", 2.0, float(k), 0.5, -1.0) for k in range(8)], "drawing_id string, scale_x double, offset_x double, scale_y double, offset_y double"), {"Stairway": "stair", "Elevator": "elevator"}), f"select drawing_id, idx as ord, case when idx%20=0 then 'stair' else 'elevator' end as kind, 2*x + cast(substr(drawing_id, 2) as double) as x, 0.5*y - 1 as y from {LABELS} where idx%20 < 2"),
         "gph9": (walked, None),
         "gph10": (doors_of_rooms, None),
@@ -154,10 +204,10 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "geo8": (lambda s, d: grid.simplify(lines(s, d), 4.0), None),
         "geo9": (lambda s, d: network.simplify_around_walls(lines(s, d), drawing.barrier_lines(planned(s, d)), 4.0), None),
         "geo12": q(lambda s, d: network.exterior_polygons(exterior(s, d), "EXT"), f"with {QUADS}, firsts as (select *, count(*) over (partition by drawing_id) as many, min(poly_id) over (partition by drawing_id) as least from ring) select drawing_id, cast(k - 1 as int) as pos, ax as x, ay as y from firsts where poly_id = least and drawing_id not in ('D1', 'D2')"),
-        "geo13": (lambda s, d: network.door_points(bare(s, d)), None),
-        "geo14": (lambda s, d: network.layer_centres(lift_walls(s, d), "A-FLOR-EVTR"), None),
+        "geo13": rec(lambda s, d: network.door_points(bare(s, d)).select("drawing_id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n"), f"with {clustered(DOOR_MIDDLES, 15, True, 1)} select drawing_id, cluster, round(x, 6) as x, round(y, 6) as y, n from centres"),
+        "geo14": rec(lambda s, d: network.layer_centres(lift_walls(s, d), "A-FLOR-EVTR").select("drawing_id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n"), f"with {LIFTED}, {clustered(LAYER_POINTS, 45, False, 6)} select drawing_id, cluster, round(x, 6) as x, round(y, 6) as y, n from centres"),
         "grd10": q(lambda s, d: network.room_outlines(drawn(s, d, "dlabels").withColumn("text", (F.col("idx") % 7).cast("string")), quads(s, d), "3"), f"with {QUADS}, {hits} select h.drawing_id, h.idx, arg_min(h.poly_id, (area, h.poly_id)) as poly_id from hits h join areas a on a.drawing_id = h.drawing_id and a.poly_id = h.poly_id group by h.drawing_id, h.idx"),
-        "src6": q(lambda s, d: drawing.outlines(strokes(s, d)).select("drawing_id", F.size("points").cast("long").alias("corners"), F.round(geometry.polygon_area(F.col("points")), 3).alias("area")), f"with {QUADS} select drawing_id, count(*)+1 as corners, round(abs(sum(ax*bz-bx*ay))/2, 3) as area from ring where poly_id%5<>2 group by drawing_id, poly_id"),
+        "src6": q(lambda s, d: drawing.outlines(strokes(s, d)).select("drawing_id", F.size("points").cast("long").alias("corners"), F.round(geometry.polygon_area(F.col("points")), 3).alias("area")), f"with {QUADS} select drawing_id, count(*)+1 as corners, round(abs(sum(ax*bz-bx*ay))/2, 3) as area from ring group by drawing_id, poly_id"),
         "gph15": q(
             lambda s, d: drawing.overlay_shapes(drawn(s, d, "dlabels").withColumn("text", (F.col("idx") % 24).cast("string")), tinted(s, d), {"3": "stair", "5": "lift", "7": "hall"}, axes(s)).select("drawing_id", "category", "color", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")]),
             f"with pr as (select l.drawing_id, trim(cast(l.idx%24 as varchar)) as label, f.color || (f.idx%5) as color, greatest(1e-6, f.x1-f.x0)*greatest(1e-6, f.y1-f.y0) as area, sqrt(pow(l.x-(f.x0+f.x1)/2,2)+pow(l.y-(f.y0+f.y1)/2,2)) as far from {LABELS} l join {FILLS} f on f.drawing_id = l.drawing_id), tiered as (select *, case when far <= 2 then 0 when far <= 8 then 1 else 2 end as tier from pr where far <= 20), "

@@ -38,7 +38,7 @@ def bare(s: SparkSession, d: str) -> DataFrame:
 
 
 def rooms(s: SparkSession, d: str) -> DataFrame:
-    return drawn(s, d, "dlabels").where("idx % 5 <> 2")
+    return drawn(s, d, "dlabels")
 
 
 def quads(s: SparkSession, d: str) -> DataFrame:
@@ -131,7 +131,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
 
     on_floor = "with e as (select s.*, a.floor_id fa, b.floor_id fb from segments s left join nodes a on a.id = s.from_node_id left join nodes b on b.id = s.to_node_id)"
     levels = "with lv as (select a.place_id, f.level, min(a.idx) k from access_points a join floors f on f.id = a.floor_id group by all), fl as (select place_id, string_agg(level, '/' order by k) floor_label from lv group by place_id)"
-    near = f"select l.drawing_id, l.idx, f.idx as label_idx, round({FAR.format(a='l.', b='f.')}, 6) as far from {LABELS} l join {LABELS} f on l.drawing_id = f.drawing_id and {FAR.format(a='l.', b='f.')} <= 20 where l.idx%5<>2 and length(f.text) > 3"
+    near = f"select l.drawing_id, l.idx, f.idx as label_idx, round({FAR.format(a='l.', b='f.')}, 6) as far from {LABELS} l join {LABELS} f on l.drawing_id = f.drawing_id and {FAR.format(a='l.', b='f.')} <= 20 where length(f.text) > 3"
     contributions = f"contrib as (select l.drawing_id, f.color, l.text as label, sum(greatest(1e-6, f.x1-f.x0)*greatest(1e-6, f.y1-f.y0)) as area from {LABELS} l join {FILLS} f on f.drawing_id = l.drawing_id and sqrt(pow((f.x0+f.x1)/2-l.x,2)+pow((f.y0+f.y1)/2-l.y,2)) <= 20 group by all)"
     tiers = f"pairs_ as (select l.drawing_id, l.text as label, f.color, greatest(1e-6, f.x1-f.x0)*greatest(1e-6, f.y1-f.y0) as area, sqrt(pow((f.x0+f.x1)/2-l.x,2)+pow((f.y0+f.y1)/2-l.y,2)) as far from {LABELS} l join {FILLS} f on f.drawing_id = l.drawing_id), tiered as (select *, case when far <= 2 then 0 when far <= 8 then 1 else 2 end as tier from pairs_ where far <= 20), tight as (select *, min(tier) over (partition by drawing_id, label) as best from tiered), sums as (select drawing_id, label, color, sum(area) as area from tight where tier = best group by all), dominant as (select drawing_id, label, color from sums qualify row_number() over (partition by drawing_id, label order by area desc, color desc) = 1)"
     ticks = f"ticks as (select * from (select *, bool_or(coalesce(layer = 'A-SPAC-IDEN-LEDR', false)) over (partition by drawing_id) as has_leader from {BARE}) where type = 'line' and (not has_leader or layer = 'A-SPAC-IDEN-LEDR') and abs(x2-x1) > 3 and abs(y2-y1) > 3 and sqrt(pow(x2-x1,2)+pow(y2-y1,2)) between 10 and 30)"
@@ -183,7 +183,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "agg11": q(lambda s, d: walked(derive(s, d)).select("floor_id", F.round(geometry.path_length(F.col("points")), 6).alias("length")), "select floor_id, round(coalesce(sum(h), 0), 6) as length from (select floor_id, sqrt(pow(x-lag(x) over w, 2)+pow(y-lag(y) over w, 2)) as h from nodes window w as (partition by floor_id order by idx)) group by floor_id"),
         "agg12": q(lambda s, d: relate.segment_flags(derive(s, d).edges), "select segment_id, bool_or(coalesce(enabled, true)) as any_enabled, bool_and(cost > 0) as all_positive from edges group by segment_id"),
         "win1": q(lambda s, d: relate.first_labels(drawn(s, d, "dlabels")).select("drawing_id", "text", "idx"), f"select drawing_id, text, min(idx) as idx from {LABELS} group by drawing_id, text"),
-        "win2": q(lambda s, d: relate.nearest_labels(rooms(s, d), drawn(s, d, "dlabels").where("length(text) > 3"), 20.0), f"select drawing_id, idx, label_idx from (select l.drawing_id, l.idx, f.idx as label_idx, {FAR.format(a='l.', b='f.')} as far from {LABELS} l join {LABELS} f on l.drawing_id = f.drawing_id and {FAR.format(a='l.', b='f.')} <= 20 where l.idx%5<>2 and length(f.text) > 3) qualify row_number() over (partition by drawing_id, idx order by far, label_idx) = 1"),
+        "win2": q(lambda s, d: relate.nearest_labels(rooms(s, d), drawn(s, d, "dlabels").where("length(text) > 3"), 20.0), f"select drawing_id, idx, label_idx from (select l.drawing_id, l.idx, f.idx as label_idx, {FAR.format(a='l.', b='f.')} as far from {LABELS} l join {LABELS} f on l.drawing_id = f.drawing_id and {FAR.format(a='l.', b='f.')} <= 20 where length(f.text) > 3) qualify row_number() over (partition by drawing_id, idx order by far, label_idx) = 1"),
         "win3": q(lambda s, d: relate.next_nodes(derive(s, d).nodes), "select * from (select floor_id, id as a, lead(id) over (partition by floor_id order by idx) as b from nodes) where b is not null"),
         "win4": q(lambda s, d: relate.floor_changes(derive(s, d).nodes, F.floor(F.col("idx") / 50)), "select idx, floor_id from (select idx, floor_id, lag(floor_id) over (partition by floor(idx/50) order by idx) as p from nodes) where p is distinct from floor_id"),
         "win5": q(lambda s, d: drawing.outlines(pen(s, d)).select("drawing_id", F.col("ring").cast("long").alias("ring"), F.size("points").cast("long").alias("points")), f"with pen as (select drawing_id, k as ord, k + case when k%5=0 then 0.5 else 0 end as x1, k + 1 as x2 from (select drawing_id, row_number() over (partition by drawing_id order by idx) as k from {LABELS})), marked as (select *, case when lag(x2) over w is null or abs(lag(x2) over w - x1) > 0.01 then 1 else 0 end as new from pen window w as (partition by drawing_id order by ord)), rings as (select *, sum(new) over (partition by drawing_id order by ord) as ring from marked) select drawing_id, cast(ring as bigint) as ring, count(*) + 1 as points from rings group by drawing_id, ring having count(*) + 1 >= 4"),
@@ -204,8 +204,8 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "geo11": q(lambda s, d: openings(s, d).groupBy("drawing_id").agg(F.count("*").alias("pieces"), F.round(F.sum(F.col("hi") - F.col("lo")), 3).alias("share")), f"with {OPEN}, {PIECES}, every as (select drawing_id, round(a, 6) as lo, round(b, 6) as hi from pieces where (b-a)*sqrt(sq) > 0.5 union all select drawing_id, 0.0, 1.0 from sound s where not exists (select 1 from gaps g where g.drawing_id = s.drawing_id and g.wall_id = s.wall_id)) select drawing_id, count(*) as pieces, round(sum(hi-lo), 3) as share from every group by drawing_id"),
         "geo15": q(lambda s, d: drawn(s, d, "dlabels").select("idx", (F.col("idx") % 11 / 10).alias("r"), (F.col("idx") % 7 / 6).alias("g"), (F.col("idx") % 5 / 4).alias("b")).select("idx", geometry.color_name().alias("color")), "select idx, case when r > 0.85 and g > 0.85 and b > 0.85 then 'white/very light' when r > 0.85 and g > 0.55 and g < 0.85 and b < 0.65 then 'tan/orange' when r > 0.8 and g < 0.3 and b > 0.5 then 'magenta/pink' when g > 0.8 and r < 0.5 and b < 0.5 then 'green' when r > 0.85 and g > 0.85 and b < 0.65 then 'yellow' when b > 0.8 and r < 0.6 then 'blue/cyan' when r > 0.8 and g > 0.4 and g < 0.75 and b < 0.75 then 'salmon/pink' else printf('rgb(%.2f,%.2f,%.2f)', r, g, b) end as color from (select idx, idx%11/10 as r, idx%7/6 as g, idx%5/4 as b from dlabels)"),
         "scalar_number": q(lambda s, d: derive(s, d).nodes.select("id", F.coalesce(F.nanvl(number(F.element_at(F.array(F.lit(""), F.lit(" 12 "), F.lit("B1"), F.lit("0x10"), F.lit("4d"), F.lit("1e2"), F.lit("-3.5")), (F.col("idx") % 7 + 1).cast("int"))), F.lit(-1.0)), F.lit(-2.0)).alias("value")), "select id, [0.0, 12.0, -1.0, 16.0, -1.0, 100.0, -3.5][cast(idx%7+1 as int)]::double as value from nodes"),
-        "gph3": q(lambda s, d: drawing.overlay_field(rooms(s, d), drawn(s, d, "dlabels").withColumn("text", F.concat(F.lit("Lab "), "text"))), f"select r.drawing_id, r.idx, (select 'Lab ' || f.text from {LABELS} f where f.drawing_id = r.drawing_id and {FAR.format(a='r.', b='f.')} <= 20 order by {FAR.format(a='r.', b='f.')}, f.idx limit 1) as value from {LABELS} r where r.idx%5<>2"),
+        "gph3": q(lambda s, d: drawing.overlay_field(rooms(s, d), drawn(s, d, "dlabels").withColumn("text", F.concat(F.lit("Lab "), "text"))), f"select r.drawing_id, r.idx, (select 'Lab ' || f.text from {LABELS} f where f.drawing_id = r.drawing_id and {FAR.format(a='r.', b='f.')} <= 20 order by {FAR.format(a='r.', b='f.')}, f.idx limit 1) as value from {LABELS} r"),
         "gph7": q(lambda s, d: drawing.register(drawn(s, d, "dlabels"), scaled(s, d)).select("drawing_id", "matches", F.round("scale_x", 4).alias("scale_x"), F.round("scale_y", 4).alias("scale_y"), F.abs(F.round("residual", 4)).alias("residual")), f"select drawing_id, count(*) as matches, 2.0::double as scale_x, 0.5::double as scale_y, 0.0::double as residual from (select drawing_id, text from {LABELS} group by all having count(*) = 1 intersect select drawing_id, text from {LABELS} where idx%3<>0 group by all having count(*) = 1) group by drawing_id having count(*) >= 8"),
-        "gph2_matches": q(lambda s, d: drawing.leader_matches(rooms(s, d), bare(s, d)).select("drawing_id", "idx", "seg_idx", F.round("near", 6).alias("near"), "tx", "ty"), f"with {ticks}, m as (select l.drawing_id, l.idx, t.idx as seg_idx, sqrt(pow(t.x1-l.x,2)+pow(t.y1-l.y,2)) as d1, sqrt(pow(t.x2-l.x,2)+pow(t.y2-l.y,2)) as d2, t.x1, t.y1, t.x2, t.y2 from {LABELS} l join ticks t on t.drawing_id = l.drawing_id where l.idx%5<>2) select drawing_id, idx, seg_idx, round(least(d1, d2), 6) as near, case when d1 < d2 then x2 else x1 end as tx, case when d1 < d2 then y2 else y1 end as ty from m where least(d1, d2) <= 20"),
+        "gph2_matches": q(lambda s, d: drawing.leader_matches(rooms(s, d), bare(s, d)).select("drawing_id", "idx", "seg_idx", F.round("near", 6).alias("near"), "tx", "ty"), f"with {ticks}, m as (select l.drawing_id, l.idx, t.idx as seg_idx, sqrt(pow(t.x1-l.x,2)+pow(t.y1-l.y,2)) as d1, sqrt(pow(t.x2-l.x,2)+pow(t.y2-l.y,2)) as d2, t.x1, t.y1, t.x2, t.y2 from {LABELS} l join ticks t on t.drawing_id = l.drawing_id) select drawing_id, idx, seg_idx, round(least(d1, d2), 6) as near, case when d1 < d2 then x2 else x1 end as tx, case when d1 < d2 then y2 else y1 end as ty from m where least(d1, d2) <= 20"),
     }
     return out

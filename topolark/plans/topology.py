@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topolark.functions.staging import Staging
+from topolark.functions.staging import Staging, numbered
 from topolark.plans import derived
 
 
@@ -44,9 +45,21 @@ def staged(t: Topology) -> Topology:
 
 
 def derive_staged(spark: SparkSession, sf_dir: str, perturbed: bool = False) -> Topology:
-    """staged(derive()), for which the pairs of nodes, which all edges build on, are found once."""
-    staging = Staging(spark)
-    pairs = staging.write(derived.relation(spark, sf_dir, "pairs"))
-    made = {"pairs": pairs._staged}
-    made["segments"] = staging.write(derived.relation(spark, sf_dir, "segments", made))._staged
+    """staged(derive()), for which the pairs of nodes, which all edges build on, are found once and rows are numbered over ranges."""
+    staging, made = Staging(spark), {}
+
+    def number(name: str) -> None:
+        rows, order = derived.unnumbered(spark, sf_dir, name, made)
+        made[name] = staging.write(numbered(rows, order, staging).drop(*order))._staged
+
+    def segments() -> None:
+        made["pairs"] = staging.write(derived.relation(spark, sf_dir, "pairs"))._staged
+        number("segments")
+
+    def links() -> None:
+        number("links")
+
+    with ThreadPoolExecutor(2) as pool:
+        for job in [pool.submit(segments), pool.submit(links)]:
+            job.result()
     return staged(derive(spark, sf_dir, perturbed, made))
