@@ -1,8 +1,8 @@
 """Token ids in binary files: frequency-ranked ids in byte-aligned variable-length coding with separate control bytes.
 
 Documents are encoded once; the words of many texts at a time are told apart first and each distinct word is encoded
-once. That is exact: the vocabulary's pre-tokenizer drops white space and never joins a letter to a full stop or
-comma, so a text may be cut at both. The ids are counted over the whole corpus and the most frequent id gets rank 0.
+once. That is exact: the vocabulary's pre-tokenizer drops white space and never joins a letter to a full stop or comma,
+so a text may be cut at both. The ids are counted over the whole corpus and the most frequent id gets rank 0.
 Documents are sorted by doc_id over ranges, and each range becomes one file:
 
     magic | blocks | index | footer
@@ -28,8 +28,8 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -43,7 +43,7 @@ from topolark.llm.common import Scratch, bounded_batches, squeezed, unsqueezed
 
 MAGIC = b"TOPOIDS1"
 #: Values of a block, bytes of text that are encoded together, files read by as many tasks at most.
-VALUES, GATHERED, READERS = 1 << 18, 24 << 20, 1 << 14
+VALUES, GATHERED, READERS = 1 << 18, 16 << 20, 1 << 14
 #: Bytes of each of the four values of a control byte, looked up by it.
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8) + 1
 BLOCK, FOOTER = "<II", "<QQQ"
@@ -102,6 +102,17 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = GATHERED) -> Iterato
         yield pa.Table.from_batches(some)
 
 
+#: Letters that are one code point in every normal form and one lower-case letter when lowered.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+
+
+def byte_table() -> dict[int, str]:
+    """The sign by which a byte-level vocabulary writes each byte: itself if printable, else signs from 256 on in order."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(256 + others.index(b)) for b in others}
+
+
 class Encoder:
     """Ids of many texts at a time, each distinct word encoded once."""
 
@@ -109,31 +120,46 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.coder = Tokenizer.from_str(vocabulary)
-
-    def word(self, word: str, plain: bool) -> list[int]:
-        if plain:  # letters that normalizing but lowers and no pattern cuts: straight to the merges
-            return [t.id for t in self.coder.model.tokenize(word.lower())]
-        return self.coder.encode(word, add_special_tokens=False).ids if word else []
+        self.coder, self.signs = Tokenizer.from_str(vocabulary), byte_table()
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each word, where they start)."""
+        plain = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        flat, sizes = array("I"), np.zeros(len(words), np.int32)
+        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
+        tokenize = self.coder.model.tokenize
+        # Letters that normalizing but lowers and no pattern cuts go straight to the merges.
+        for k, word in zip(order, words.filter(pa.array(plain)).to_pylist()):
+            found = tokenize(word.lower().encode().decode("latin-1").translate(self.signs))
+            sizes[k] = len(found)
+            flat.extend([t.id for t in found])
+        rest = words.filter(pa.array(~plain)).to_pylist()
+        for at in range(0, len(rest), 4096):
+            for k, found in zip(order[len(words) - len(rest) + at :], self.coder.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)):
+                ids = found.ids
+                sizes[k] = len(ids)
+                flat.extend(ids)
+        # From the order of encoding to that of the words.
+        flat, ends = np.frombuffer(flat, np.uint32), np.cumsum(sizes[order], dtype=np.int64)
+        starts = np.empty(len(words), np.int64)
+        starts[order] = ends - sizes[order]
+        return flat, sizes, starts
 
     def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, where each text's ids end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()).combine_chunks(), "")
         spaced = pc.replace_substring_regex(texts, "[\\t\\n\\x0b\\x0c\\r]", " ")
-        spaced = pc.replace_substring_regex(spaced, "([A-Za-z])([.,])", "\\1 \\2")
+        spaced = pc.replace_substring_regex(spaced, f"([{LETTERS}])([.,])", "\\1 \\2")
         lists = pc.split_pattern(spaced, " ")
-        words = lists.flatten().dictionary_encode()
-        plain = pc.match_substring_regex(words.dictionary, "^[A-Za-z]+$").to_pylist()
-        known = [self.word(w, p) for w, p in zip(words.dictionary.to_pylist(), plain)]
-        sizes = np.fromiter(map(len, known), np.int64, len(known))
-        flat = np.fromiter(chain.from_iterable(known), np.uint32, int(sizes.sum()))
-        at = words.indices.to_numpy()
+        found = lists.flatten().dictionary_encode()
+        flat, sizes, starts = self.words(found.dictionary)
+        at = found.indices.to_numpy()
         size = sizes[at]
-        ends = np.concatenate(([0], np.cumsum(size)))
-        starts = (np.cumsum(sizes) - sizes)[at]
-        ids = flat[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])]
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        place = np.arange(ends[-1], dtype=np.int32)
+        place += np.repeat((starts[at] - ends[:-1]).astype(np.int32), size)
         bounds = lists.offsets.to_numpy()
-        return ids, ends[bounds[1:] - bounds[0]]
+        return flat[place], ends[bounds[1:] - bounds[0]]
 
 
 def encoded(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
