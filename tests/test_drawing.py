@@ -10,7 +10,8 @@ from fixtures import base, make
 from pyspark.sql import functions as F
 
 from topolark.functions import keys
-from topolark.operators import drawing, grid, network, paths, spatial, suggest, validate
+from topolark.functions.staging import Staging
+from topolark.operators import drawing, grid, network, paths, spatial, suggest, trees, validate
 from topolark.sources import project
 
 
@@ -193,15 +194,55 @@ def test_graph_of_a_floor(spark):
     assert [(r.from_node, r.to_node, r.weight, r.type) for r in lonely] == [("a", "b", 70.0, "corridor")]
 
 
-def test_spanning_trees():
+def tree_by_brute_force(nodes, walls=None):
+    """All pairs by length and ids, those in sight first where walls are given."""
+    ids, home, out = sorted(nodes), {k: k for k in nodes}, set()
+    boxed = paths.Walls(np.array(walls)) if walls is not None else None
+    pairs = sorted((math.sqrt((nodes[a][0] - nodes[b][0]) ** 2 + (nodes[a][1] - nodes[b][1]) ** 2), a, b) for i, a in enumerate(ids) for b in ids[i + 1 :])
+    for seen in (True, False) if walls is not None else (False,):
+        for far, a, b in pairs:
+            if home[a] != home[b] and not (seen and far and boxed.crosses(nodes[a], nodes[b], 20.0)):
+                old, new = home[b], home[a]
+                home = {k: new if h == old else h for k, h in home.items()}
+                out.add((a, b))
+    return out
+
+
+@pytest.mark.parametrize("kind, tile", [("even", 4096), ("even", 8), ("grid", 4096), ("blobs", 4096), ("blobs", 8), ("line", 6), ("same", 4096)])
+def test_spanning_trees(spark, monkeypatch, kind, tile):
+    """Even points, ties and repeated places, two far blobs and a line, as one tile and as several."""
+    monkeypatch.setattr(trees, "TILE", tile)
     rng = np.random.default_rng(3)
-    nodes = [(f"n{k}", *map(float, rng.uniform(0, 100, 2))) for k in range(25)]
-    at = {n[0]: n[1:] for n in nodes}
-    total = lambda pairs: sum(math.dist(at[a], at[b]) for a, b in pairs)
-    plain, aware = network.plain_tree(nodes), network.wall_tree(nodes, paths.Walls(np.zeros((0, 4))))
-    assert len(plain) == len(aware) == 24 and total(plain) == pytest.approx(total(aware))
-    split = network.wall_tree([("a", 0.0, 0.0), ("b", 60.0, 0.0), ("c", 0.0, 90.0)], paths.Walls(np.array([[30.0, -50.0, 30.0, 50.0]])), 1.0)
-    assert len(split) == 2 and ("a", "c") in split
+    points = {"even": rng.uniform(0, 300, (50, 2)), "grid": np.round(rng.uniform(0, 60, (60, 2)) / 10) * 10, "blobs": np.concatenate((rng.normal(0, 1, (20, 2)), rng.normal(900, 1, (20, 2)))), "line": np.stack((np.arange(25) * 7.0, np.zeros(25)), 1), "same": np.zeros((3, 2))}[kind]
+    nodes = {f"n{k:02d}": tuple(map(float, p)) for k, p in enumerate(points)}
+    walls = rng.uniform(0, 300, (14, 4))
+    walls[:, 2:] = walls[:, :2] + rng.uniform(-90, 90, (14, 2))
+    df = spark.createDataFrame([("d", k, *p) for k, p in nodes.items()] + [("e", "only", 1.0, 1.0)], "drawing_id string, id string, x double, y double")
+    lines = spark.createDataFrame([("d", k, *map(float, w)) for k, w in enumerate(walls)], "drawing_id string, wall_id long, x1 double, y1 double, x2 double, y2 double")
+    assert {(r.a, r.b) for r in trees.spanning_tree(df).collect()} == tree_by_brute_force(nodes)
+    assert {(r.a, r.b) for r in trees.spanning_tree(df, lines).collect()} == tree_by_brute_force(nodes, walls)
+
+
+def test_trees_see_walls(spark):
+    df = spark.createDataFrame([("d", "a", 0.0, 0.0), ("d", "b", 60.0, 0.0), ("d", "c", 0.0, 90.0)], "drawing_id string, id string, x double, y double")
+    wall = spark.createDataFrame([("d", 1, 30.0, -50.0, 30.0, 50.0)], "drawing_id string, wall_id long, x1 double, y1 double, x2 double, y2 double")
+    split = {(r.a, r.b): r.seen for r in trees.spanning_tree(df, wall, 1.0).collect()}
+    assert len(split) == 2 and split[("a", "c")] and not split.get(("a", "b"), False)
+    assert trees.spanning_tree(df.limit(0), wall).count() == 0
+
+
+def test_walks_widen_their_windows(spark):
+    """Long walls make a way far longer than the first window; each walk equals that of the whole drawing."""
+    walls = [("d", 0, 300.0, -900.0, 300.0, 700.0), ("d", 1, 500.0, -700.0, 500.0, 900.0), ("e", 0, 1000.0, 0.0, 1000.0, 5.0)]
+    pairs = [("d", "a", "b", 0.0, 0.0, 620.0, 30.0), ("d", "a", "c", 0.0, 0.0, 90.0, 40.0), ("e", "a", "b", 0.0, 0.0, 50.0, 0.0), ("f", "a", "b", 0.0, 0.0, 50.0, 8.0)]
+    wall_df = spark.createDataFrame(walls, "drawing_id string, idx long, x1 double, y1 double, x2 double, y2 double")
+    found = network.long_walks(spark.createDataFrame(pairs, "drawing_id string, a string, b string, ax double, ay double, bx double, by double"), wall_df, None, Staging(spark)).collect()
+    for r in found:
+        lines = np.array([w[2:] for w in walls if w[0] == r.drawing_id]).reshape(-1, 4)
+        p = next(p for p in pairs if p[:3] == (r.drawing_id, r.a, r.b))
+        want = paths.simplified(paths.walk(p[3:5], p[5:7], lines), paths.Walls(lines))
+        assert paths.length_of([(q.x, q.y) for q in r.path]) == pytest.approx(paths.length_of(want))
+    assert len(found) == 4
 
 
 def test_exterior_rings():

@@ -166,29 +166,41 @@ def fan(start: Point, ends: list[Point], lines: np.ndarray, margin: int) -> list
     return out
 
 
-def walk(start: Point, end: Point, lines: np.ndarray, ring: list[Point] | None = None, factor: float = 1.0) -> list[Point] | None:
-    """The cheapest walk; cells outside the ring, if one is given, cost factor times as much to enter."""
+def walk_within(start: Point, end: Point, lines: np.ndarray, margin: int, most: np.ndarray, ring: list[Point] | None = None, factor: float = 1.0) -> tuple[bool, list[Point] | None]:
+    """(whether that is known, the cheapest walk or None), in a window of so many cells around the ends.
+
+    most: the corners (low, high) of the window beyond which nothing is; lines: those that come into the window. Cells
+    outside the ring, if one is given, cost factor times as much to enter.
+    """
     lines = np.asarray(lines, float).reshape(-1, 4)
     source, goal = entry(start, lines), entry(end, lines)
     if source is None or goal is None:
-        return None
+        return True, None
     if (source == goal).all() and not (len(lines) and meet(np.array(start), np.array(end), lines[:, :2], lines[:, 2:]).any()):
-        return [start, end]
+        return True, [start, end]
     box = np.array([source, goal])
-    every = np.concatenate((box * CELL, lines.reshape(-1, 2), np.asarray(ring or [start], float)))
-    most_low, most_high = np.floor(every.min(0) / CELL).astype(int) - 2, np.ceil(every.max(0) / CELL).astype(int) + 2
-    margin = 4
-    while True:
-        low, high = np.maximum(box.min(0) - margin, most_low), np.minimum(box.max(0) + margin, most_high)
-        ground = Ground(close_lines(lines, low, high), low, high, ring, factor)
-        cost = ground.costs(source - low)
-        whole = (low == most_low).all() and (high == most_high).all()
-        if whole or cost[tuple(goal - low)] <= 2 * CELL * (margin + 1):
-            break
+    low, high = np.maximum(box.min(0) - margin, most[0]), np.minimum(box.max(0) + margin, most[1])
+    ground = Ground(close_lines(lines, low, high), low, high, ring, factor)
+    cost = ground.costs(source - low)
+    reached = cost[tuple(goal - low)]
+    if not ((low == most[0]).all() and (high == most[1]).all()) and reached > 2 * CELL * (margin + 1):
+        return False, None
+    return True, None if np.isinf(reached) else joined(start, *ground.descent(cost, goal - low), end)
+
+
+def corners(points: np.ndarray) -> np.ndarray:
+    """The window (low, high) of cells that holds all points, with some room."""
+    return np.array([np.floor(points.min(0) / CELL).astype(int) - 2, np.ceil(points.max(0) / CELL).astype(int) + 2])
+
+
+def walk(start: Point, end: Point, lines: np.ndarray, ring: list[Point] | None = None, factor: float = 1.0) -> list[Point] | None:
+    """The cheapest walk, in a window that grows until none beyond it can be cheaper."""
+    lines, margin, known = np.asarray(lines, float).reshape(-1, 4), 4, False
+    most = corners(np.concatenate((np.rint(np.array([start, end]) / CELL) * CELL, lines.reshape(-1, 2), np.asarray(ring or [start], float))))
+    while not known:
+        known, found = walk_within(start, end, lines, margin, most, ring, factor)
         margin *= 2
-    if np.isinf(cost[tuple(goal - low)]):
-        return None
-    return joined(start, *ground.descent(cost, goal - low), end)
+    return found
 
 
 def kept_points(points: list[Point], walls: Walls, tolerance: float = TOLERANCE) -> list[int]:

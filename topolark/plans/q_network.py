@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from topolark.functions import geometry
-from topolark.operators import drawing, grid, network, spatial
+from topolark.operators import drawing, grid, network, spatial, trees
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.q_select import BARE, FILLS, LABELS, MEET, QUADS, WALLS, bare, drawn, polygon_cells, quads, rooms
+from topolark.plans.q_select import BARE, FILLS, LABELS, MEET, QUADS, WALLS, bare, drawn, drawn_sql, polygon_cells, quads, rooms
 
 
 #: Labels and walls start at the same places, so rooms stand beside them.
@@ -95,15 +94,10 @@ def doors_of_rooms(s: SparkSession, d: str) -> DataFrame:
     return found.select("drawing_id", "id", "door", F.round("length", 3).alias("length"))
 
 
-def trees(s: SparkSession, d: str, aware: bool) -> DataFrame:
+def spanned(s: SparkSession, d: str, aware: bool) -> DataFrame:
     """Edges of each drawing's spanning tree over all rooms."""
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        nodes = [(r.id, r.x, r.y) for r in left.sort_values("idx").itertuples()]
-        pairs = network.wall_tree(nodes, network.Walls(right[["x1", "y1", "x2", "y2"]].to_numpy(float))) if aware else network.plain_tree(nodes)
-        return pd.DataFrame([(key[0], a, b) for a, b in pairs], columns=["drawing_id", "a", "b"])
-
-    left, right = placed(s, d), drawing.barrier_lines(planned(s, d)).select("drawing_id", "x1", "y1", "x2", "y2")
-    return left.groupBy("drawing_id").cogroup(right.groupBy("drawing_id")).applyInPandas(one, "drawing_id string, a string, b string")
+    walls = drawing.barrier_lines(planned(s, d)).select("drawing_id", F.col("idx").alias("wall_id"), "x1", "y1", "x2", "y2")
+    return trees.spanning_tree(placed(s, d), walls if aware else None)
 
 
 def graph(s: SparkSession, d: str) -> DataFrame:
@@ -152,6 +146,20 @@ asked(drawing_id, k, taken, who, what, ok) as (select distinct drawing_id, 0::bi
 claims as (select drawing_id, who, what from asked where ok)"""
 
 
+def tree_sql(aware: bool) -> str:
+    """The tree grown from the first room, by the shortest pair that leads out of it, pairs in sight before all others."""
+    labels, walls = drawn_sql("dlabels", 16), drawn_sql("walls", 16)
+    barriers = ", ".join(f"'{b}'" for b in drawing.BARRIERS)
+    blocked = f"exists (select 1 from barriers w where w.drawing_id = p.drawing_id and ({MEET}) and least({ENDS}) > 20)" if aware else "false"
+    return f"""with rooms_ as (select drawing_id, 'R' || idx as id, x+7 as x, y+11 as y from {labels}), barriers as (select drawing_id, x1, y1, x2, y2 from {walls} where type = 'line' and split_part(layer, '|', -1) in ({barriers})),
+pairs_ as (select a.drawing_id, a.id as a, b.id as b, a.x as ax, a.y as ay, b.x as bx, b.y as bz from rooms_ a join rooms_ b on b.drawing_id = a.drawing_id and a.id < b.id),
+weighed as (select drawing_id, a, b, {{'blocked': {blocked}, 'far': sqrt(pow(ax-bx,2)+pow(ay-bz,2)), 'a': a, 'b': b}} as w from pairs_ p),
+grown(drawing_id, inside, a, b) as (select drawing_id, [min(id)], null::varchar, null::varchar from rooms_ group by drawing_id
+  union all select drawing_id, list_append(inside, case when list_contains(inside, e.a) then e.b else e.a end), e.a, e.b from (
+    select g.drawing_id, any_value(g.inside) as inside, min(w) as e from grown g join weighed p on p.drawing_id = g.drawing_id and list_contains(g.inside, p.a) <> list_contains(g.inside, p.b) group by g.drawing_id))
+select drawing_id, a, b from grown where a is not null"""
+
+
 LAYER_POINTS = "select drawing_id, idx * 2 as ord, x1::double as x, y1::double as y from lifted where split_part(layer, '|', -1) = 'A-FLOR-EVTR' union all select drawing_id, idx * 2 + 1, x2, y2 from lifted where split_part(layer, '|', -1) = 'A-FLOR-EVTR'"
 DOOR_MIDDLES = f"select drawing_id, idx as ord, ((x1+x2)/2)::double as x, ((y1+y2)/2)::double as y from (select *, bool_or(length(layer) > 0) over (partition by drawing_id) as named from {BARE}) where type = 'curve' and (not coalesce(named, false) or layer = 'ARCH|A-DOOR')"
 SNAPPED = f"""{QUADS}, within_ as (select l.drawing_id, l.idx, r.poly_id from {LABELS} l join ring r on r.drawing_id = l.drawing_id group by l.drawing_id, l.idx, l.x, l.y, r.poly_id having sum(case when (ay > y) <> (bz > y) and x < (bx-ax)*(y-ay)/nullif(bz-ay, 0)+ax then 1 else 0 end)%2=1),
@@ -186,8 +194,8 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "gph8": q(lambda s, d: network.vertical_positions(drawn(s, d, "dlabels").withColumn("text", F.when(F.col("idx") % 20 == 0, " Stairway ").when(F.col("idx") % 20 == 1, "Elevator").otherwise(F.col("text"))), s.createDataFrame([(f"D{k}", 2.0, float(k), 0.5, -1.0) for k in range(8)], "drawing_id string, scale_x double, offset_x double, scale_y double, offset_y double"), {"Stairway": "stair", "Elevator": "elevator"}), f"select drawing_id, idx as ord, case when idx%20=0 then 'stair' else 'elevator' end as kind, 2*x + cast(substr(drawing_id, 2) as double) as x, 0.5*y - 1 as y from {LABELS} where idx%20 < 2"),
         "gph9": (walked, None),
         "gph10": (doors_of_rooms, None),
-        "gph11": (lambda s, d: trees(s, d, False), None),
-        "gph12": (lambda s, d: trees(s, d, True), None),
+        "gph11": rec(lambda s, d: spanned(s, d, False).select("drawing_id", "a", "b"), tree_sql(False)),
+        "gph12": rec(lambda s, d: spanned(s, d, True).select("drawing_id", "a", "b"), tree_sql(True)),
         "gph13": (lambda s, d: network.waypoints(graph(s, d)), None),
         "gph14": (lambda s, d: graph(s, d).drop("x", "y"), None),
         "gph16": q(lambda s, d: network.pathway_records(lines(s, d).withColumns({"page_width": F.lit(1224.0), "page_height": F.lit(5.0)})).select("drawing_id", "pos", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "confidence"), f"select drawing_id, cast(idx as int) as pos, round(greatest(0, least(1000, idx*1000/1224)), 6) as x, round(greatest(0.0, least(1000.0, ((idx*37)%11)*1000/5)), 6) as y, 1.0::double as confidence from {LABELS}"),
@@ -203,7 +211,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "geo7": q(lambda s, d: drawn(s, d, "walls").select("idx", F.round(geometry.line_distance(F.lit(600.0), F.lit(400.0), F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")), 6).alias("far")), "select idx, round(case when x1=x2 and y1=y2 then sqrt(pow(600-x1,2)+pow(400-y1,2)) else abs((x2-x1)*(y1-400)-(x1-600)*(y2-y1))/sqrt(pow(x2-x1,2)+pow(y2-y1,2)) end, 6) as far from walls"),
         "geo8": (lambda s, d: grid.simplify(lines(s, d), 4.0), None),
         "geo9": (lambda s, d: network.simplify_around_walls(lines(s, d), drawing.barrier_lines(planned(s, d)), 4.0), None),
-        "geo12": q(lambda s, d: network.exterior_polygons(exterior(s, d), "EXT"), f"with {QUADS}, firsts as (select *, count(*) over (partition by drawing_id) as many, min(poly_id) over (partition by drawing_id) as least from ring) select drawing_id, cast(k - 1 as int) as pos, ax as x, ay as y from firsts where poly_id = least and drawing_id not in ('D1', 'D2')"),
+        "geo12": q(lambda s, d: network.exterior_polygons(network.exterior_lines(exterior(s, d), "EXT")), f"with {QUADS}, firsts as (select *, count(*) over (partition by drawing_id) as many, min(poly_id) over (partition by drawing_id) as least from ring) select drawing_id, cast(k - 1 as int) as pos, ax as x, ay as y from firsts where poly_id = least and drawing_id not in ('D1', 'D2')"),
         "geo13": rec(lambda s, d: network.door_points(bare(s, d)).select("drawing_id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n"), f"with {clustered(DOOR_MIDDLES, 15, True, 1)} select drawing_id, cluster, round(x, 6) as x, round(y, 6) as y, n from centres"),
         "geo14": rec(lambda s, d: network.layer_centres(lift_walls(s, d), "A-FLOR-EVTR").select("drawing_id", "cluster", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "n"), f"with {LIFTED}, {clustered(LAYER_POINTS, 45, False, 6)} select drawing_id, cluster, round(x, 6) as x, round(y, 6) as y, n from centres"),
         "grd10": q(lambda s, d: network.room_outlines(drawn(s, d, "dlabels").withColumn("text", (F.col("idx") % 7).cast("string")), quads(s, d), "3"), f"with {QUADS}, {hits} select h.drawing_id, h.idx, arg_min(h.poly_id, (area, h.poly_id)) as poly_id from hits h join areas a on a.drawing_id = h.drawing_id and a.poly_id = h.poly_id group by h.drawing_id, h.idx"),
