@@ -89,9 +89,12 @@ def floor_changes(nodes: DataFrame, run: Column) -> DataFrame:
     return nodes.select("idx", "floor_id", before.alias("p")).where("p is null or p <> floor_id").select("idx", "floor_id")
 
 
-def hops_by_sight(hops: DataFrame, walls: DataFrame) -> DataFrame:
-    """(hop_id, crosses, length) of hops (hop_id, ax, ay, bx, by): those in line of sight first, then by length."""
-    met = crossing(hops, walls).select("hop_id").distinct().withColumn("crosses", F.lit(True))
+def hops_by_sight(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """(hop_id, crosses, length) of hops (hop_id, ax, ay, bx, by): those in line of sight first, then by length.
+
+    on: columns that a hop and the walls of its drawing share.
+    """
+    met = crossing(hops, walls, on).select("hop_id").distinct().withColumn("crosses", F.lit(True))
     length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     rows = hops.join(met, "hop_id", "left").select("hop_id", F.coalesce("crosses", F.lit(False)).alias("crosses"), F.round(length, 6).alias("length"))
     return rows.orderBy("crosses", "length", "hop_id")

@@ -28,15 +28,17 @@ def within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...]
 
 
 def crossing(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket: float = BUCKET, ignore: float = 0.0) -> DataFrame:
-    """Distinct (hop_id, wall_id) of hops (ax, ay, bx, by) that meet walls (x1, y1, x2, y2).
+    """The pairs (hop_id, wall_id), each once, of hops (ax, ay, bx, by) that meet walls (x1, y1, x2, y2).
 
     ignore: walls an end of which comes this near to an end of the hop don't count.
     """
     c = F.col
-    a = hops.withColumn("c_", F.explode(cells_of_line(c("ax"), c("ay"), c("bx"), c("by"), bucket)))
-    b = walls.withColumn("c_", F.explode(cells_of_line(c("x1"), c("y1"), c("x2"), c("y2"), bucket)))
+    a = hops.withColumn("ca_", cells_of_line(c("ax"), c("ay"), c("bx"), c("by"), bucket)).withColumn("c_", F.explode("ca_"))
+    b = walls.withColumn("cb_", cells_of_line(c("x1"), c("y1"), c("x2"), c("y2"), bucket)).withColumn("c_", F.explode("cb_"))
     exact = segments_cross((c("ax"), c("ay")), (c("bx"), c("by")), (c("x1"), c("y1")), (c("x2"), c("y2")))
     if ignore:
         far = [F.sqrt((c(p) - c(f"x{k}")) ** 2 + (c(q) - c(f"y{k}")) ** 2) for p, q in (("ax", "ay"), ("bx", "by")) for k in (1, 2)]
         exact = exact & (F.least(*far) > ignore)
-    return a.join(b, [*on, "c_"]).where(exact).select(*on, "hop_id", "wall_id").distinct()
+    # A pair counts in the first bucket that both share.
+    first = F.get(F.array_intersect("ca_", "cb_"), F.lit(0)) == c("c_")
+    return a.join(b, [*on, "c_"]).where(exact & first).select(*on, "hop_id", "wall_id")

@@ -153,7 +153,7 @@ def tree_sql(aware: bool) -> str:
     blocked = f"exists (select 1 from barriers w where w.drawing_id = p.drawing_id and ({MEET}) and least({ENDS}) > 20)" if aware else "false"
     return f"""with rooms_ as (select drawing_id, 'R' || idx as id, x+7 as x, y+11 as y from {labels}), barriers as (select drawing_id, x1, y1, x2, y2 from {walls} where type = 'line' and split_part(layer, '|', -1) in ({barriers})),
 pairs_ as (select a.drawing_id, a.id as a, b.id as b, a.x as ax, a.y as ay, b.x as bx, b.y as bz from rooms_ a join rooms_ b on b.drawing_id = a.drawing_id and a.id < b.id),
-weighed as (select drawing_id, a, b, {{'blocked': {blocked}, 'far': sqrt(pow(ax-bx,2)+pow(ay-bz,2)), 'a': a, 'b': b}} as w from pairs_ p),
+weighed as materialized (select drawing_id, a, b, {{'blocked': {blocked}, 'far': sqrt(pow(ax-bx,2)+pow(ay-bz,2)), 'a': a, 'b': b}} as w from pairs_ p),
 grown(drawing_id, inside, a, b) as (select drawing_id, [min(id)], null::varchar, null::varchar from rooms_ group by drawing_id
   union all select drawing_id, list_append(inside, case when list_contains(inside, e.a) then e.b else e.a end), e.a, e.b from (
     select g.drawing_id, any_value(g.inside) as inside, min(w) as e from grown g join weighed p on p.drawing_id = g.drawing_id and list_contains(g.inside, p.a) <> list_contains(g.inside, p.b) group by g.drawing_id))
