@@ -370,3 +370,33 @@ def test_greedy_matching_is_one_to_one(spark):
     found = network.greedy_matches(spark.createDataFrame(rows, "drawing_id string, idx long, seg_idx long, near double, tx double, ty double")).collect()
     assert sorted((r.idx, r.seg_idx) for r in found) == [(1, 1), (2, 2)]
     assert isinstance(found[0].asDict(), dict) and pd.DataFrame(found).shape[0] == 2
+
+
+def test_a_failed_save_leaves_the_old_project(spark, tmp_path):
+    folder = str(tmp_path / "saved")
+    with pytest.raises(ValueError, match="Nothing is saved"):
+        project.load(spark, folder)
+    t = make(spark, **base())
+    project.save(t, folder)
+    broken = t.with_(nodes=t.nodes.limit(1), edges=t.edges.withColumn("cost", F.raise_error(F.lit("lost on the way")).cast("double")))
+    with pytest.raises(Exception, match="lost on the way"):
+        project.save(broken, folder)
+    assert project.load(spark, folder).nodes.count() == 2 and len(list((tmp_path / "saved").glob("version-*"))) == 1
+    reader = project.load(spark, folder)
+    for k, n in enumerate((1, 2, 1)):
+        project.save(t.with_(nodes=t.nodes.limit(n)), folder)
+        assert project.load(spark, folder).nodes.count() == n
+        assert k or reader.nodes.count() == 2  # the save before is still whole
+    assert len(list((tmp_path / "saved").glob("version-*"))) == 2
+
+
+def test_sizes_of_image_files(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + (13).to_bytes(4, "big") + b"IHDR" + (640).to_bytes(4, "big") + (480).to_bytes(4, "big") + b"\x08\x02\x00\x00\x00"
+    gif = b"GIF87a" + (300).to_bytes(2, "little") + (513).to_bytes(2, "little")
+    exif = b"\xff\xe1" + (60_002).to_bytes(2, "big") + b"\xff\xc0" * 30_000
+    jpeg = b"\xff\xd8" + exif + b"\xff\xff\xc4\x00\x04\x00\x00" + b"\xff\xc2\x00\x11\x08" + (768).to_bytes(2, "big") + (1024).to_bytes(2, "big") + b"\x03"
+    files = {"a.png": png, "b.gif": gif, "c.jpg": jpeg, "short.jpg": b"\xff\xd8\xff", "scan.jpg": b"\xff\xd8\xff\xda\x00\x04\x00\x00", "short.png": png[:18], "text.png": b"hello", "empty.png": b""}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    found = {r.path.rsplit("/", 1)[1]: (r.format, r.width, r.height) for r in project.read_images(spark, str(tmp_path)).collect()}
+    assert found == {"a.png": ("png", 640, 480), "b.gif": ("gif", 300, 513), "c.jpg": ("jpeg", 1024, 768)}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topolark.functions.staging import Staging
 from topolark.operators import grid, suggest
-from topolark.plans.derived import duckdb_sql
+from topolark.plans.derived import duckdb_sql, relation
 from topolark.plans.q_mutate import heading, sizes
 from topolark.plans.q_select import LABELS, WALLS, drawn, drawn_sql, quads
 from topolark.plans.q_validate import AUDIT_SQL, audited
@@ -170,6 +170,19 @@ def file_names(s: SparkSession, d: str) -> DataFrame:
 NAMES = "names_ as (select idx, replace(['Main-Floor-%d.pdf','level_%da plan.PNG','site-a-esim-map.pdf','north 12 west %d.pdf','x.tif','HALL fl%d.pdf'][cast(idx%6+1 as int)], '%d', cast(idx as varchar)) as name from nodes)"
 
 
+def images(s: SparkSession, d: str) -> DataFrame:
+    """Heads of image files by formula: PNG, GIF, JPEG behind other segments, and files of no known kind."""
+    c = F.col
+    size = drawn(s, d, "dlabels").select("idx", (c("idx") % 4000 + 1).alias("w"), (c("idx") * 7 % 3000 + 1).alias("h"))
+    hexed = lambda v, n: F.lpad(F.hex(v), 2 * n, "0")
+    low = lambda v: F.concat(hexed(v % 256, 1), hexed(F.floor(v / 256).cast("long"), 1))
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), hexed(c("w"), 4), hexed(c("h"), 4), F.lit("0802000000"))
+    gif = F.concat(F.lit("474946383961"), low(c("w")), low(c("h")), F.lit("F70000"))
+    jpeg = F.concat(F.lit("FFD8"), F.repeat(F.lit("FFE00010" + "4A" * 14), 3), F.lit("FFFFC400041122"), F.lit("FFC2001108"), hexed(c("h"), 2), hexed(c("w"), 2), F.lit("03011100"))
+    head = F.when(c("idx") % 4 == 0, png).when(c("idx") % 4 == 1, gif).when(c("idx") % 4 == 2, jpeg).otherwise(F.lit("255044462D312E37"))
+    return size.select("idx", F.unhex(head).alias("content"))
+
+
 def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     def q(run, sql: str):
         return run, duckdb_sql(sql)
@@ -190,13 +203,14 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         ),
         "src1": q(src1, "select id, segment_id, cost, enabled, wheelchair_accessible, cast(row_number() over (order by idx) - 1 as bigint) as idx from edges"),
         "src1_stops": q(lambda s, d: saved(s, d).connector_stops.select("connector_id", "pos", "node_id"), "select connector_id, cast(row_number() over (partition by connector_id order by pos) - 1 as bigint) as pos, node_id from connector_stops"),
-        "src2": q(lambda s, d: sizes(project.empty_project(s, "m", "Map", "Main")).select("relation", "row_count"), "select unnest(['buildings','floors','places','access_points','nodes','segments','edges','links','connectors','connector_stops','connector_segments','plans']) as relation, unnest([1,0,0,0,0,0,0,0,0,0,0,0]::bigint[]) as row_count"),
+        "src2": q(lambda s, d: project.empty_documents(relation(s, d, "buildings").select(F.col("id").alias("map_id"), F.lower("name").alias("name"), F.col("name").alias("building"))).select("topology.id", "topology.name", F.col("topology.buildings")[0]["id"].alias("building_id"), F.col("topology.buildings")[0]["name"].alias("building"), *[F.size(f"topology.{c}").cast("long").alias(f"n_{c}") for c in ("buildings", "floors", "nodes", "verticalConnectors")]), "select id, lower(name) as name, id || '-building' as building_id, name as building, 1::bigint as n_buildings, 0::bigint as n_floors, 0::bigint as n_nodes, 0::bigint as \"n_verticalConnectors\" from buildings"),
         "src3": q(lambda s, d: reloaded(s, d).links.select("id", "access_point_id", "node_id", "cost"), "select id, access_point_id, node_id, cost from links"),
-        "snk2": q(lambda s, d: sizes(reloaded(s, d)).where("relation in ('nodes', 'edges', 'plans')").select("relation", "row_count"), "select 'nodes' as relation, count(*) as row_count from nodes union all select 'edges', count(*) from edges union all select 'plans', count(*) from plans"),
+        "snk2": q(lambda s, d: sizes(reloaded(s, d)).select("relation", "row_count"), " union all ".join(f"select '{n}' as relation, count(*) as row_count from {n}" for n in ("buildings", "floors", "places", "access_points", "nodes", "segments", "edges", "links", "connectors", "connector_stops", "connector_segments", "plans"))),
         "snk3": q(repaired_file, AUDIT_SQL + " select connector_id, connector_name, floor_id, stop_node_id as previous_node_id, replacement_node_id from found where replacement_node_id is not null"),
         "src4": q(lambda s, d: project.text_labels(drawn(s, d, "dlabels").select("drawing_id", "idx", F.when(F.col("idx") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit(" "))).alias("text"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 10).alias("x1"), (F.col("y") + 4).alias("y1"))), f"select drawing_id, idx, text, x + 5 as x, y + 2 as y from {LABELS} where idx%9<>0"),
         "src5": q(lambda s, d: project.vector_segments(drawn(s, d, "walls").select("idx", "layer", F.element_at(F.array(F.lit("l"), F.lit("c"), F.lit("re")), (F.col("idx") % 3 + 1).cast("int")).alias("op"))), f"select idx, layer, case when idx%3=0 then 'line' else 'curve' end as type from {WALLS} where idx%3<>2"),
         "src7": q(lambda s, d: project.page(drawn(s, d, "dlabels").withColumn("page", F.col("idx") % 4 + 1), 2).select("idx"), "select idx from dlabels where idx%4=1"),
+        "src9_sizes": q(lambda s, d: images(s, d).select("idx", project.image_size(F.col("content")).alias("i")).select("idx", "i.format", "i.width", "i.height"), "select idx, case idx%4 when 0 then 'png' when 1 then 'gif' when 2 then 'jpeg' end as format, case when idx%4<3 then idx%4000+1 end as width, case when idx%4<3 then idx*7%3000+1 end as height from dlabels"),
         "src9": q(lambda s, d: file_names(s, d).select("idx", project.import_kind(F.col("name"), F.when(F.col("idx") % 6 == 1, "image/png").otherwise("application/octet-stream")).alias("kind")), f"with {NAMES} select idx, case when lower(name) like '%.pdf' then 'pdf' when idx%6=1 then 'image' end as kind from names_"),
         "src10": q(lambda s, d: file_names(s, d).select("idx", project.guess_level(F.col("name"), F.lit("?")).alias("level")), f"select idx, {level} as level from nodes"),
         "src11": q(lambda s, d: project.scale_suggestions(drawn(s, d, "dlabels").select("idx", (F.col("x") / 1224).alias("x"), (F.col("y") / 792).alias("y"), F.lit(1224.0).alias("width"), F.lit(792.0).alias("height"))).select("idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")), "select idx, x, y from dlabels"),

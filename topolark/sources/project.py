@@ -5,6 +5,9 @@ A project is one JSON document: version, topology, floor plans. Missing optional
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,24 +105,61 @@ def write_project(project: DataFrame, path: str) -> None:
     project.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
-def save(t: Topology, folder: str) -> None:
-    """All relations as Parquet, replacing what was saved."""
-    for name, rows in vars(t).items():
-        if rows is not None:
-            rows.write.mode("overwrite").parquet(f"{folder}/{name}")
+def store_of(spark: SparkSession, folder: str):
+    """(Hadoop file system, path maker) of a folder."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
 
 
-def load(spark: SparkSession, folder: str) -> Topology:
-    from dataclasses import fields
+def versions(spark: SparkSession, folder: str) -> list[str]:
+    """Manifests of the folder's saves, the last one at the end."""
+    fs, make = store_of(spark, folder)
+    if not fs.exists(make(folder)):
+        return []
+    return sorted(f.getPath().getName() for f in fs.listStatus(make(folder)) if f.getPath().getName().startswith("manifest-"))
+
 
-    names = [f.name for f in fields(Topology)]
-    read = {n: spark.read.parquet(f"{folder}/{n}") for n in names if n != "plans"}
+def save(t: Topology, folder: str) -> None:
+    """All relations as Parquet, replacing what was saved, at once or not at all.
+
+    Relations go to a folder of their own; when all are written, a manifest that names it is renamed into place, which
+    readers see whole or not. Of two saves at a time one fails. The save before stays for those who still read it.
+    """
+    spark = t.nodes.sparkSession
+    fs, make = store_of(spark, folder)
+    before, own = versions(spark, folder), f"version-{uuid.uuid4().hex}"
+    names = [name for name, rows in vars(t).items() if rows is not None]
     try:
-        read["plans"] = spark.read.parquet(f"{folder}/plans")
-    except Exception as e:  # a topology may be saved without plans
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    return Topology(**read)
+        for name in names:
+            getattr(t, name).write.parquet(f"{folder}/{own}/{name}")
+        # Not hidden from Spark's reader, and no manifest yet.
+        written = make(f"{folder}/{own}/written-manifest")
+        out = fs.create(written)
+        out.writeBytes(json.dumps({"folder": own, "relations": names}))
+        out.close()
+        number = int(before[-1].split("-")[1]) + 1 if before else 0
+        target = make(f"{folder}/manifest-{number:012d}")
+        if fs.exists(target) or not fs.rename(written, target):
+            raise RuntimeError(f"{folder} was saved by another at the same time")
+    except Exception:
+        fs.delete(make(f"{folder}/{own}"), True)
+        raise
+    for old in before[:-1]:
+        fs.delete(make(f"{folder}/{manifest(spark, folder, old)['folder']}"), True)
+        fs.delete(make(f"{folder}/{old}"), False)
+
+
+def manifest(spark: SparkSession, folder: str, name: str) -> dict:
+    return json.loads("".join(r.value for r in spark.read.text(f"{folder}/{name}").collect()))  # one line
+
+
+def load(spark: SparkSession, folder: str) -> Topology:
+    """The last whole save."""
+    found = versions(spark, folder)
+    if not found:
+        raise ValueError(f"Nothing is saved in {folder}.")
+    said = manifest(spark, folder, found[-1])
+    return Topology(**{name: spark.read.parquet(f"{folder}/{said['folder']}/{name}") for name in said["relations"]})
 
 
 def empty_project(spark: SparkSession, map_id: str, name: str, building: str) -> Topology:
@@ -129,6 +169,14 @@ def empty_project(spark: SparkSession, map_id: str, name: str, building: str) ->
     return t.with_(buildings=spark.createDataFrame([(f"{map_id}-building", building, 0)], "id string, name string, idx long"))
 
 
+def empty_documents(maps: DataFrame) -> DataFrame:
+    """A project document for each row of maps (map_id, name, building): one building, all other arrays empty."""
+    schema = maps.sparkSession.createDataFrame([], PROJECT).schema
+    given = {"schemaVersion": F.lit(1), "id": F.col("map_id"), "name": F.col("name"), "buildings": F.array(F.struct(F.concat("map_id", F.lit("-building")).alias("id"), F.col("building").alias("name"), F.array().cast("array<string>").alias("aliases")))}
+    fields = [given.get(f.name, F.array()).cast(f.dataType).alias(f.name) for f in schema["topology"].dataType.fields]
+    return maps.select(F.lit(1).alias("documentVersion"), F.lit(None).cast("string").alias("updatedAt"), F.struct(*fields).alias("topology"), F.array().cast(PLANS).alias("floorPlans"))
+
+
 def file_slug(name: Column) -> Column:
     """Lower-case name with runs of other signs as single dashes; 'map' if nothing is left."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -162,6 +210,42 @@ def import_kind(file_name: Column, media_type: Column) -> Column:
     return F.when((media_type == "application/pdf") | F.lower(file_name).endswith(".pdf"), "pdf").when(media_type.startswith("image/"), "image")
 
 
+#: Segments of a JPEG file that are passed over at most on the way to its frame header.
+MOST_SEGMENTS = 4096
+
+
+def image_size(content: Column) -> Column:
+    """(format, width, height) from the header of a PNG, GIF or JPEG file, else null. Reads single bytes of the file only."""
+    at = lambda pos, n: F.conv(F.hex(F.substring(content, pos, n)), 16, 10).cast("long")
+    low = lambda pos: at(pos, 1) + at(pos + 1, 1) * 256
+    starts = lambda text: F.hex(F.substring(content, 1, len(text) // 2)) == text
+    size = lambda name, width, height: F.struct(F.lit(name).alias("format"), width.alias("width"), height.alias("height"))
+
+    def segment(state: Column, _: Column) -> Column:
+        """The next segment of a JPEG file: frame headers end the search, as do scans, and lone markers have no length."""
+        pos, code = state.pos, at(state.pos + 1, 1)
+        frame = code.between(0xC0, 0xCF) & ~code.isin(0xC4, 0xC8, 0xCC)
+        step = F.when(code == 0xFF, 1).when(code.between(0xD0, 0xD9) | (code == 1), 2).otherwise(at(pos + 2, 2) + 2)
+        open_ = ~state.done & (at(pos, 1) == 0xFF)
+        return F.when(
+            F.coalesce(open_, F.lit(False)),
+            F.struct(F.coalesce(pos + step, pos).cast("int").alias("pos"), F.coalesce(frame | (code == 0xDA), F.lit(True)).alias("done"), F.when(frame, at(pos + 7, 2)).alias("width"), F.when(frame, at(pos + 5, 2)).alias("height")),
+        ).otherwise(F.struct(pos.alias("pos"), F.lit(True).alias("done"), state.width.alias("width"), state.height.alias("height")))
+
+    none = F.lit(None).cast("long")
+    first = F.struct(F.lit(3).alias("pos"), F.lit(False).alias("done"), none.alias("width"), none.alias("height"))
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(content), F.lit(MOST_SEGMENTS))))
+    jpeg = F.aggregate(steps, first, segment, lambda s: size("jpeg", s.width, s.height))
+    found = F.when(starts("89504E470D0A1A0A"), size("png", at(17, 4), at(21, 4))).when(starts("474946383761") | starts("474946383961"), size("gif", low(F.lit(7)), low(F.lit(9)))).when(starts("FFD8"), jpeg)
+    return F.when(found.width.isNotNull() & found.height.isNotNull(), found)
+
+
+def read_images(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, format, width, height) of the image files of a folder, by their content."""
+    files = spark.read.format("binaryFile").load(folder).select("path", image_size(F.col("content")).alias("i"))
+    return files.where("i is not null").select("path", "i.*")
+
+
 def page(labels: DataFrame, number: int) -> DataFrame:
     """Labels of one page, from 1; a page that isn't there is an error."""
     if number < 1:
