@@ -400,3 +400,20 @@ def test_sizes_of_image_files(spark, tmp_path):
         (tmp_path / name).write_bytes(content)
     found = {r.path.rsplit("/", 1)[1]: (r.format, r.width, r.height) for r in project.read_images(spark, str(tmp_path)).collect()}
     assert found == {"a.png": ("png", 640, 480), "b.gif": ("gif", 300, 513), "c.jpg": ("jpeg", 1024, 768)}
+
+
+def test_thinning_by_tiles_equals_the_whole_picture(spark):
+    """Thick shapes that lie across many tiles, some thicker than the passes of a round go, in two drawings."""
+    rng = np.random.default_rng(12)
+    picture = np.zeros((150, 150), bool)
+    for x, y, w, h in rng.integers(0, 110, (14, 4)):
+        picture[x : x + 4 + w // 3, y : y + 4 + h // 3] = True
+    picture &= rng.random(picture.shape) < 0.995
+    cells = [("d", int(x) - 40, int(y) - 40) for x, y in zip(*np.nonzero(picture))] + [("e", k, 0) for k in range(40)]
+    thin, _ = grid.thin_picture(picture, 1000)
+    want = {("d", int(x) - 40, int(y) - 40) for x, y in zip(*np.nonzero(thin))}
+    df = spark.createDataFrame(cells, "drawing_id string, cx int, cy int")
+    for tile, passes in ((32, 3), (1024, 4), (1024, 24)):
+        found = {tuple(r) for r in grid.thin(df, tile, passes).collect()}
+        assert {c for c in found if c[0] == "d"} == want and {c for c in found if c[0] == "e"} == {("e", k, 0) for k in range(40)}
+    assert grid.thin(df.limit(0)).count() == 0
