@@ -13,6 +13,8 @@ from collections import defaultdict
 import numpy as np
 
 CELL, TOLERANCE = 6.0, 12.0
+#: Cells that are tested against lines at a time.
+TESTED = 100_000
 #: Ways out of a cell; each also stands for its reverse.
 WAYS = ((1, 0), (0, 1), (1, 1), (1, -1))
 
@@ -83,14 +85,18 @@ class Ground:
         self.low, shape = low, tuple(high - low + 1)
         self.free = np.ones((len(WAYS), *shape), bool)
         corner = np.stack(np.meshgrid(*(np.arange(n) for n in shape), indexing="ij"), -1)
-        points = (corner + low) * CELL
-        for line in lines:
-            ends = line.reshape(2, 2)
-            a = np.maximum(np.floor(ends.min(0) / CELL).astype(int) - 1 - low, 0)
-            b = np.minimum(np.ceil(ends.max(0) / CELL).astype(int) + 2 - low, shape)
-            if (a < b).all():
-                some = points[None, a[0] : b[0], a[1] : b[1]]
-                self.free[:, a[0] : b[0], a[1] : b[1]] &= ~meet(some, some + np.array(WAYS)[:, None, None] * CELL, ends[0], ends[1])
+        points, ends = (corner + low) * CELL, np.asarray(lines, float).reshape(-1, 2, 2)
+        a = np.maximum(np.floor(ends.min(1) / CELL).astype(int) - 1 - low, 0)
+        size = np.maximum(np.minimum(np.ceil(ends.max(1) / CELL).astype(int) + 2 - low, shape) - a, 0)
+        count = size.prod(1)
+        # The cells of many lines' boxes are tested at a time.
+        for some in np.split(np.arange(len(ends)), np.flatnonzero(np.diff(np.cumsum(count) // TESTED)) + 1):
+            k = np.repeat(some, count[some])
+            at = np.arange(len(k)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            i, j = (a[k] + np.stack((at // size[k, 1], at % size[k, 1]), 1)).T
+            hit = meet(points[i, j], points[i, j] + np.array(WAYS)[:, None] * CELL, ends[k, 0], ends[k, 1])
+            for way, met in enumerate(hit):
+                self.free[way, i[met], j[met]] = False
         #: What it costs to enter a cell, by the length of the step.
         self.toll = np.ones(shape) if not ring or factor <= 1 else np.where(inside(points, ring), 1.0, factor)
 
