@@ -56,15 +56,19 @@ def pixels_near(pixels: DataFrame, r: int, g: int, b: int, tolerance: int = PIXE
     return pixels.where((F.abs(F.col("r") - r) <= tolerance) & (F.abs(F.col("g") - g) <= tolerance) & (F.abs(F.col("b") - b) <= tolerance))
 
 
+#: Fixed forms of what follows a level's digits or letter in a room number, and of a room number of any other level.
+AFTER_DIGITS, AFTER_LETTER, CAUTIOUS = r"^\d{2,3}[A-Z]?$", r"^\d{2,4}[A-Z]?$", r"^(?:[A-Z]{1,3}-?)?\d{3,4}[A-Z]?$"
+
+
 def room_number_match(text: Column, level: Column) -> Column:
     """Whether a label is a room number of a floor: the level's digits or letter first, else a cautious form."""
     t, lv = F.upper(F.trim(text)), F.upper(F.trim(level))
     starts = F.startswith(t, lv)
     rest = F.substring(t, F.length(lv) + 1, F.length(t))
     return (
-        F.when(lv.rlike(r"^\d+$"), starts & rest.rlike(r"^\d{2,3}[A-Z]?$"))
-        .when(lv.rlike(r"^[A-Z]$"), starts & rest.rlike(r"^\d{2,4}[A-Z]?$"))
-        .otherwise(t.rlike(r"^(?:[A-Z]{1,3}-?)?\d{3,4}[A-Z]?$"))
+        F.when(lv.rlike(r"^\d+$"), starts & rest.rlike(AFTER_DIGITS))
+        .when(lv.rlike(r"^[A-Z]$"), starts & rest.rlike(AFTER_LETTER))
+        .otherwise(t.rlike(CAUTIOUS))
     )
 
 

@@ -1,7 +1,7 @@
 """Referential integrity of a topology: rules over views of its collections, as a DataFrame of issues.
 
 An issue has ``rule`` (order of the checks), ``idx`` and ``sub`` (place of the row and of an element in it),
-``code``, ``path`` and ``message``. Lookups over repeated ids see the last row, as the document's maps do.
+``code``, ``path`` and ``message``; codes and messages are fixed values. Lookups over repeated ids see the last row, as the document's maps do.
 """
 
 from __future__ import annotations

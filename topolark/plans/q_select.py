@@ -152,7 +152,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "flt6": q(lambda s, d: select.drawable_links(derive(s, d), FLOOR).select("id", "cost"), f"select id, cost from links where access_point_id in (select id from access_points where floor_id = '{FLOOR}') and node_id in (select id from nodes where floor_id = '{FLOOR}')"),
         "flt7": q(lambda s, d: select.linked_nodes(derive(s, d), "P1").select("id", "kind"), "select id, kind from nodes where id in (select l.node_id from links l join access_points a on a.id = l.access_point_id where a.place_id = 'P1')"),
         "flt8": q(lambda s, d: (lambda t: relate.used_places(t.places, t.access_points.where("idx % 6 <> 1")).select("id", "name"))(derive(s, d)), "select id, name from places p where exists (select 1 from access_points a where a.place_id = p.id and a.idx % 6 <> 1)"),
-        "flt9": q(lambda s, d: drawing.barrier_lines(bare(s, d)).select("drawing_id", "idx"), f"select drawing_id, idx from (select *, bool_or(length(layer) > 0) over (partition by drawing_id) as named from {BARE}) where type = 'line' and (not coalesce(named, false) or coalesce(list_last(string_split(layer, '|')) in ('A-WALL','S-COLS','A-FURN','P-FIXT','A-FLOR-MLWK','A-EQPM','I-EQPM-FIXD'), false))"),
+        "flt9": q(lambda s, d: drawing.barrier_lines(bare(s, d)).select("drawing_id", "idx"), f"select drawing_id, idx from (select *, bool_or(length(layer) > 0) over (partition by drawing_id) as named from {BARE}) where type = 'line' and (not coalesce(named, false) or coalesce(list_last(string_split(layer, '|')) in {drawing.BARRIERS}, false))"),
         "flt10": q(lambda s, d: drawing.structural_lines(bare(s, d)).select("drawing_id", "idx"), f"select drawing_id, idx from (select *, bool_or(length(layer) > 0) over (partition by drawing_id) as named from {BARE}) where type = 'line' and (not coalesce(named, false) or layer = 'ARCH|A-WALL')"),
         "flt11": q(lambda s, d: bare(s, d).groupBy("drawing_id").agg(F.coalesce(F.bool_or(F.length("layer") > 0), F.lit(False)).alias("has_layers")), f"select drawing_id, coalesce(bool_or(length(layer) > 0), false) as has_layers from {BARE} group by drawing_id"),
         "flt12": q(lambda s, d: drawing.leader_ticks(bare(s, d)).select("drawing_id", "idx"), f"with {ticks} select drawing_id, idx from ticks"),
