@@ -48,8 +48,7 @@ def settle(edges: pd.DataFrame) -> pd.DataFrame:
             home[max(p, q)] = min(p, q)
             forest.append(e)
     # Of the forest an edge is certain if it is the shortest of a part whose edges are all inside the tile.
-    home, chosen = dict.fromkeys(home), []
-    home = {k: k for k in home} | {k: k for k in open_}
+    home, chosen = {k: k for k in (*home, *open_)}, []
     while forest:
         first: dict[str, tuple] = {}
         for e in forest:
