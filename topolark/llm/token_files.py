@@ -148,17 +148,18 @@ class Encoder:
     def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, where each text's ids end)."""
         texts = pc.fill_null(texts.cast(pa.large_string()).combine_chunks(), "")
-        spaced = pc.replace_substring_regex(texts, "[\\t\\n\\x0b\\x0c\\r]", " ")
-        spaced = pc.replace_substring_regex(spaced, f"([{LETTERS}])([.,])", "\\1 \\2")
-        lists = pc.split_pattern(spaced, " ")
-        found = lists.flatten().dictionary_encode()
+        texts = pc.replace_substring_regex(texts, "[\\t\\n\\x0b\\x0c\\r]", " ")
+        texts = pc.replace_substring_regex(texts, f"([{LETTERS}])([.,])", "\\1 \\2")
+        lists = pc.split_pattern(texts, " ")
+        found, bounds = lists.flatten().dictionary_encode(), lists.offsets.to_numpy().copy()
+        del texts, lists  # the words are held once from here on
+        pa.default_memory_pool().release_unused()
         flat, sizes, starts = self.words(found.dictionary)
         at = found.indices.to_numpy()
         size = sizes[at]
         ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         place = np.arange(ends[-1], dtype=np.int32)
         place += np.repeat((starts[at] - ends[:-1]).astype(np.int32), size)
-        bounds = lists.offsets.to_numpy()
         return flat[place], ends[bounds[1:] - bounds[0]]
 
 
