@@ -20,6 +20,8 @@ SHORT = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
     ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
 
 #: Titles that open the text of a license.
@@ -36,6 +38,11 @@ TITLES = (
     ("MIT", "MIT License"),
     ("MIT", "The MIT License (MIT)"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EUPL-1.2", "EUROPEAN UNION PUBLIC LICENCE v. 1.2 EUPL the European Union 2007, 2016"),
+    ("Zlib", "zlib License"),
 )
 
 #: Header blocks that source files carry.
@@ -76,6 +83,16 @@ HEADERS = (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed "
+        "without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>.",
+    ),
+    (
+        "EUPL-1.2",
+        "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL; You may not use this work except in compliance with the Licence. "
+        "You may obtain a copy of the Licence at",
+    ),
 )
 
 BSD_CONDITIONS = (
@@ -121,7 +138,61 @@ TEXTS = (
         "CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <http://unlicense.org/>",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product "
+        "documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, '
+        "distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: "
+        "The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in "
+        "part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO '
+        "EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY '
+        "SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN "
+        "CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+)
+
+#: Names of licenses and exceptions inside a statement, beside their SPDX ids.
+SPELLED = (
+    ("AGPL-3.0", "the GNU Affero General Public License version 3"),
+    ("Apache-2.0", "the Apache License, Version 2.0"),
+    ("BSD-2-Clause", "the BSD 2-Clause License"),
+    ("BSD-3-Clause", "the BSD 3-Clause License"),
+    ("BSL-1.0", "the Boost Software License, Version 1.0"),
+    ("CC-BY-4.0", "a Creative Commons Attribution 4.0 International License"),
+    ("CC0-1.0", "the Creative Commons Zero 1.0 Universal license"),
+    ("EPL-2.0", "the Eclipse Public License 2.0"),
+    ("EUPL-1.2", "the European Union Public License 1.2"),
+    ("GPL-2.0", "the GNU General Public License version 2"),
+    ("GPL-2.0-or-later", "the GNU General Public License version 2 or later"),
+    ("GPL-3.0", "the GNU General Public License version 3"),
+    ("GPL-3.0-or-later", "the GNU General Public License version 3 or later"),
+    ("ISC", "the ISC License"),
+    ("LGPL-2.1", "the GNU Lesser General Public License version 2.1"),
+    ("LGPL-2.1-or-later", "the GNU Lesser General Public License version 2.1 or later"),
+    ("LGPL-3.0", "the GNU Lesser General Public License version 3"),
+    ("LGPL-3.0-or-later", "the GNU Lesser General Public License version 3 or later"),
+    ("MIT", "the MIT License"),
+    ("MPL-2.0", "the Mozilla Public License 2.0"),
+    ("Unlicense", "the Unlicense"),
+    ("Zlib", "the zlib License"),
 )
+GNU = ("AGPL-3.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0")
+EXCEPTIONS = ("Classpath-exception-2.0", "GCC-exception-3.1", "LLVM-exception")
 
-IDS = sorted({name for group in (SHORT, TITLES, HEADERS, TEXTS) for name, _ in group})
-TEMPLATES = (*SHORT, *TITLES, *HEADERS, *TEXTS, *((name, f"SPDX-License-Identifier: {name}") for name in IDS))
+IDS = sorted({name for group in (SHORT, TITLES, HEADERS, TEXTS) for name, _ in group} | {f"{name}-{which}" for name in GNU for which in ("only", "or-later")})
+NAMES = (*((name, name) for name in (*IDS, *EXCEPTIONS)), *SPELLED)
+TEMPLATES = (*SHORT, *TITLES, *HEADERS, *TEXTS)

@@ -6,10 +6,18 @@ unknown to them weigh most, so that prose around a notice lowers its score. Comp
 
 * one to WINDOW adjacent lines that mention a license (MENTION), as notices come alone or wrapped,
 * paragraphs that mention one, where lines without letters and digits, such as a bare comment sign, part them,
-* the comment that a text begins with, if it mentions one,
+* the comment that a text begins with, whatever it says,
 * the whole text of a license file (LICENSE, COPYING, NOTICE and the like).
 
-The best template at or above ``least`` is the file's own license. A file without one inherits from its nearest
+Statements are read as well: SPDX expressions to the end of their line, and sentences ("Dual licensed under MIT and
+Apache 2.0.") of at most 400 code points behind "under". Each name in them is compared with the names of licenses in
+the same way, and a statement counts only if all of its names reach NAME_LEAST and, for SPDX, its words stand in an
+order that the syntax allows (parentheses only have to match in number); one that does not count states nothing. Its score is that of its worst name. Several
+names make an expression: as written in SPDX; for a sentence the distinct ids in order, joined by OR if it is dual
+or offers a choice, else by AND.
+
+A file's own license is its best SPDX expression or choice of several names, else the best of single statements and
+of templates at or above ``least``. A file without one inherits from its nearest
 ancestor directory with a license file that has a license of its own, found by joins on paths of directories.
 
 Scoring happens inside the row, without a shuffle, in time proportional to the text. For inheritance, license files
@@ -34,11 +42,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topolark.llm.common import packed, unpacked
-from topolark.llm.license_texts import TEMPLATES
+from topolark.llm.license_texts import NAMES, TEMPLATES
 
-LEAST, WINDOW = 0.7, 4
+LEAST, NAME_LEAST, WINDOW = 0.7, 0.8, 4
 TERM = "[a-z0-9]+(?:[.][a-z0-9]+)*"
-MENTION = "license|redistribut|permission is|permission to|public domain"
+MENTION = "license|redistribut|permission is|permission to|public domain|creative commons|(?:released|distributed|available|published|provided) under"
+#: An SPDX expression and its words; the shape of one: a name is i, "or" and "and" o, "with" w.
+SPDX, SPDX_WORD = r"spdx-license-identifier:[ \t]*([^\n]*)", "[()]|[a-z0-9][a-z0-9.+-]*"
+SHAPE = r"^\(*i(?:wi)?\)*(?:o\(*i(?:wi)?\)*)*$"
+#: A line's end with the comment sign of the next line; a sentence that names licenses; what tells a choice in it.
+LINE_END = r"\r?\n[ \t]*(?://+|/\*+|#+|\*+|--|;+|%+|<!--)?[ \t]*"
+STATEMENT = r"(?:(?:dual|dually|multi|tri)[- ])?(?:licensed|released|distributed|available|published|provided) under (?s:.){1,400}?(?:[.;](?:[ \t\r]|\z)|\z)"
+CHOICE = "^(?:dual|multi|tri)|under either | or |your option"
+#: Rewritten in a sentence before its names are split, one after the other, and what splits them.
+REWRITES = ((r"^.*? under ", ""), (r"\(?at your (?:own )?option\)?", ""), (r",? or +(?:any )?later(?: version)?", " or-later"), (r"\([^()]*\)", " ; "), (r"(?:either of|either|both) |the terms of ", ""))
+SPLIT = r"[;/|]| and/or | or | and |[.](?:[ \t\r]|\z)"
 #: Ends of a paragraph, a leading comment line by line, and a leading comment between signs.
 GAP = r"\n(?:[^a-z0-9\n]*\n)+"
 COMMENT = r"^(?:[ \t]*(?://|/\*|#|\*|--|;|%|<!--)[^\n]*(?:\n|$)|[ \t\r]*\n)+"
@@ -97,20 +115,44 @@ def scored(templates: tuple[tuple[str, str], ...], least: float) -> str:
     return bound(table, "weights", some)
 
 
+def statements(text: str) -> str:
+    """SQL of the statements of a text (lower case): array of (plain: no choice or expression, score: negative, license)."""
+    name = lambda word: bound(f"regexp_extract_all({word}, r'{possessive(TERM)}', 0)", "t", scored(NAMES, NAME_LEAST))
+    part = "named_struct('shape', '{}', 'score', -1D, 'word', {})".format
+    word = bound(name("regexp_replace(v, '[+]$', '-or-later')"), "named", "if(named is null, null, named_struct('shape', 'i', 'score', named.score, 'word', named.license))")
+    word = f"case when v in ('or', 'and') then {part('o', 'upper(v)')} when v = 'with' then {part('w', 'upper(v)')} when v = '(' then {part('(', 'v')} when v = ')' then {part(')', 'v')} else {word} end"
+    words = f"transform(regexp_extract_all(e, r'{possessive(SPDX_WORD)}', 0), v -> {word})"
+    sound = f"shape rlike r'{possessive(SHAPE)}' and length(replace(shape, '(', '')) = length(replace(shape, ')', ''))"
+    joined = "replace(replace(array_join(transform(ws, w -> w.word), ' '), '( ', '('), ' )', ')')"
+    whole = bound("array_join(transform(ws, w -> w.shape), '')", "shape", f"if({sound}, named_struct('plain', 0, 'score', array_max(transform(ws, w -> w.score)), 'license', {joined}), null)")
+    spdx = f"transform(regexp_extract_all({text}, r'{possessive(SPDX)}', 1), e -> {bound(words, 'ws', f'if(exists(ws, w -> w is null), null, {whole})')})"
+    rest = "e"
+    for old, new in REWRITES:
+        rest = f"regexp_replace({rest}, r'{old}', '{new}')"
+    names = f"transform(filter(split({rest}, r'{SPLIT}', -1), v -> v rlike '[a-z0-9]'), v -> {name('v')})"
+    ids = "array_sort(array_distinct(transform(ws, w -> w.license)))"
+    choice = f"named_struct('plain', if(size(ids) > 1, 0, 1), 'score', array_max(transform(ws, w -> w.score)), 'license', array_join(ids, if(e rlike r'{CHOICE}', ' OR ', ' AND ')))"
+    some = bound(names, "ws", f"if(size(ws) = 0 or exists(ws, w -> w is null), null, {bound(ids, 'ids', choice)})")
+    said = f"transform(regexp_extract_all(regexp_replace({text}, r'{LINE_END}', ' '), r'{STATEMENT}', 0), e -> {some})"
+    return f"if({text} rlike '{MENTION}', filter(concat({spdx}, {said}), x -> x is not null), null)"
+
+
 def notices(text: str, is_file: str) -> str:
     """SQL of the parts of a text (lower case) that may state a license; is_file: SQL, whether the text is a license file's."""
     tells = lambda x: f"{x} rlike '{MENTION}'"
     windows = f"transform(sequence(1, least({WINDOW}, size(lines) - i)), w -> array_join(slice(lines, i + 1, w), '\\n'))"
     lines = bound(f"split({text}, '\\n', -1)", "lines", f"flatten(transform(sequence(0, size(lines) - 1), i -> filter({windows}, x -> {tells('x')})))")
-    blocks = f"filter(concat(split({text}, r'{possessive(GAP)}', -1), array(regexp_extract({text}, r'{possessive(COMMENT)}', 0), regexp_extract({text}, r'{BLOCK}', 0))), x -> {tells('x')})"
+    blocks = f"filter(split({text}, r'{possessive(GAP)}', -1), x -> {tells('x')})"
+    heads = f"array(regexp_extract({text}, r'{possessive(COMMENT)}', 0), regexp_extract({text}, r'{BLOCK}', 0))"
     none = "cast(array() as array<string>)"
-    return f"array_distinct(concat(if({tells(text)}, concat({lines}, {blocks}), {none}), if({is_file}, array({text}), {none})))"
+    return f"array_distinct(concat(if({tells(text)}, concat({lines}, {blocks}), {none}), {heads}, if({is_file}, array({text}), {none})))"
 
 
 def own_license(text: str, is_file: str = "false", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> Column:
-    """(score, license) of the best notice of a text column; null without one at or above least."""
+    """(score, license) of the best statement or notice of a text column; null without one at or above the least score."""
     lists = f"transform({notices('low', is_file)}, x -> regexp_extract_all(x, r'{possessive(TERM)}', 0))"
-    found = f"array_min(transform({lists}, t -> {scored(templates, least)}))"
+    found = bound(f"array_min(transform({lists}, t -> {scored(templates, least)}))", "f", "if(f is null, null, named_struct('plain', 1, 'score', f.score, 'license', f.license))")
+    found = f"array_min(array({found}, array_min({statements('low')})))"
     best = bound(f"replace(lower({text}), 'licence', 'license')", "low", bound(found, "f", "if(f is null, null, named_struct('score', -f.score, 'license', f.license))"))
     return F.expr(f"if({text} is null, null, {best})")
 

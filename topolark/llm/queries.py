@@ -40,7 +40,12 @@ def op1_sql() -> str:
     idf, unknown = licenses.weights(licenses.TEMPLATES)
     quoted = lambda text: "'" + text.replace("'", "''") + "'"
     templates = ", ".join(f"({k}, {quoted(name)}, {quoted(licenses.plain(text))})" for k, (name, text) in enumerate(licenses.TEMPLATES))
+    names = ", ".join(f"({k}, {quoted(name)}, {quoted(licenses.plain(text))})" for k, (name, text) in enumerate(licenses.NAMES))
+    name_unknown = licenses.weights(licenses.NAMES)[1]
     tells = f"regexp_matches(part, '{licenses.MENTION}')"
+    rest = "said"
+    for old, new in licenses.REWRITES:
+        rest = f"regexp_replace({rest}, '{old}', '{new}', 'g')"
     return f"""
 with files as (
   select row_number() over () as rid, doc_id, replace(lower(text), 'licence', 'license') as text, '/' || coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') || '/' || coalesce(cast(doc_id // 4096 as varchar), 'unknown')
@@ -53,6 +58,13 @@ idf as (
   select term, ln((1 + {len(licenses.TEMPLATES)}.0) / (1 + count(distinct tid))) + 1 as idf from template_terms group by term),
 template_norms as (
   select tid, sqrt(sum(pow(n * idf, 2))) as norm from template_terms join idf using (term) group by tid),
+names(tid, license, text) as (values {names}),
+name_terms as (
+  select tid, license, term, count(*) as n from (select tid, license, unnest(regexp_extract_all(text, '{licenses.TERM}')) as term from names) group by all),
+name_idf as (
+  select term, ln((1 + {len(licenses.NAMES)}.0) / (1 + count(distinct tid))) + 1 as idf from name_terms group by term),
+name_norms as (
+  select tid, sqrt(sum(pow(n * idf, 2))) as norm from name_terms join name_idf using (term) group by tid),
 telling as (
   select rid, text from files where regexp_matches(text, '{licenses.MENTION}')),
 lines as (
@@ -60,9 +72,11 @@ lines as (
 parts as (
   select rid, array_to_string(lines[i:i + w - 1], chr(10)) as part from (select rid, lines, unnest(range(1, length(lines) + 1)) as i from lines) cross join (values {', '.join(f'({w + 1})' for w in range(licenses.WINDOW))}) v(w) where i + w - 1 <= length(lines)
   union all select rid, unnest(string_split_regex(text, '{licenses.GAP}')) from telling
-  union all select rid, regexp_extract(text, '{licenses.COMMENT}') from telling union all select rid, regexp_extract(text, '{licenses.BLOCK}') from telling),
+),
+heads as (
+  select rid, regexp_extract(text, '{licenses.COMMENT}') as part from files union all select rid, regexp_extract(text, '{licenses.BLOCK}') from files),
 notices as (
-  select row_number() over () as lid, rid, part from (select rid, part from parts where {tells} union select rid, text from files where name like '/LICENSE.%' and text is not null)),
+  select row_number() over () as lid, rid, part from (select rid, part from parts where {tells} union select rid, part from heads where part <> '' union select rid, text from files where name like '/LICENSE.%' and text is not null)),
 line_terms as (
   select rid, lid, term, count(*) as n from (select rid, lid, unnest(regexp_extract_all(part, '{licenses.TERM}')) as term from notices) group by all),
 line_norms as (
@@ -70,8 +84,36 @@ line_norms as (
 scores as (
   select l.rid, t.license, round(sum(l.n * t.n * idf * idf) / any_value(ln.norm) / any_value(tn.norm), 6) as score
   from line_terms l join template_terms t using (term) join idf using (term) join line_norms ln using (lid) join template_norms tn using (tid) group by l.rid, l.lid, t.tid, t.license),
+said as (
+  select row_number() over () as sid, rid, spdx, said from (
+    select rid, true as spdx, unnest(regexp_extract_all(text, '{licenses.SPDX}', 1)) as said from telling
+    union all select rid, false, unnest(regexp_extract_all(regexp_replace(text, '{licenses.LINE_END}', ' ', 'g'), '{licenses.STATEMENT}')) from telling)),
+said_words as (
+  select sid, spdx, unnest(words) as word, generate_subscripts(words, 1) as pos from (
+    select sid, spdx, case when spdx then regexp_extract_all(said, '{licenses.SPDX_WORD}') else string_split_regex({rest}, '{licenses.SPLIT}') end as words from said)),
+said_parts as (
+  select row_number() over () as pid, *, case when not spdx then 'i' when word in ('or', 'and') then 'o' when word = 'with' then 'w' when word in ('(', ')') then word else 'i' end as shape
+  from said_words where spdx or regexp_matches(word, '[a-z0-9]')),
+part_terms as (
+  select pid, term, count(*) as n from (select pid, unnest(regexp_extract_all(case when spdx then regexp_replace(word, '[+]$', '-or-later') else word end, '{licenses.TERM}')) as term from said_parts where shape = 'i') group by all),
+part_norms as (
+  select pid, sqrt(sum(pow(n * coalesce(idf, {name_unknown!r}), 2))) as norm from part_terms left join name_idf using (term) group by pid),
+part_scores as (
+  select p.pid, t.license, round(sum(p.n * t.n * idf * idf) / any_value(pn.norm) / any_value(tn.norm), 6) as score
+  from part_terms p join name_terms t using (term) join name_idf using (term) join part_norms pn using (pid) join name_norms tn using (tid) group by p.pid, t.tid, t.license),
+part_names as (
+  select pid, license, score from (select *, row_number() over (partition by pid order by score desc, license) as k from part_scores where score >= {licenses.NAME_LEAST}) where k = 1),
+read as (
+  select sid, spdx, string_agg(shape, '' order by pos) as shape, count(*) filter (shape = 'i' and license is null) as unknown, min(score) as score, count(distinct license) as ids,
+    replace(replace(string_agg(coalesce(license, upper(word)), ' ' order by pos), '( ', '('), ' )', ')') as expression, list_sort(list_distinct(list(license) filter (license is not null))) as names
+  from said_parts left join part_names using (pid) group by sid, spdx),
+statements as (
+  select rid, case when spdx or ids > 1 then 0 else 1 end as plain, score, case when spdx then expression
+    when regexp_matches(said, '{licenses.CHOICE}') then array_to_string(names, ' OR ') else array_to_string(names, ' AND ') end as license
+  from read join said using (sid, spdx) where unknown = 0 and (not spdx or regexp_matches(shape, '{licenses.SHAPE}') and length(replace(shape, '(', '')) = length(replace(shape, ')', '')))),
 own as (
-  select rid, license, score from (select *, row_number() over (partition by rid order by score desc, license) as k from scores where score >= {licenses.LEAST}) where k = 1),
+  select rid, license, score from (select *, row_number() over (partition by rid order by plain, score desc, license) as k from (
+    select rid, 1 as plain, score, license from scores where score >= {licenses.LEAST} union all select rid, plain, score, license from statements)) where k = 1),
 holders as (
   select dir, license, score from (select f.dir, o.license, o.score, row_number() over (partition by f.dir order by o.score desc, o.license) as k from files f join own o using (rid) where f.name like '/LICENSE.%') where k = 1),
 nearest as (
