@@ -210,7 +210,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
         "src4": q(lambda s, d: project.text_labels(drawn(s, d, "dlabels").select("drawing_id", "idx", F.when(F.col("idx") % 9 == 0, "  ").otherwise(F.concat(F.lit(" "), "text", F.lit(" "))).alias("text"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 10).alias("x1"), (F.col("y") + 4).alias("y1"))), f"select drawing_id, idx, text, x + 5 as x, y + 2 as y from {LABELS} where idx%9<>0"),
         "src5": q(lambda s, d: project.vector_segments(drawn(s, d, "walls").select("idx", "layer", F.element_at(F.array(F.lit("l"), F.lit("c"), F.lit("re")), (F.col("idx") % 3 + 1).cast("int")).alias("op"))), f"select idx, layer, case when idx%3=0 then 'line' else 'curve' end as type from {WALLS} where idx%3<>2"),
         "src7": q(lambda s, d: project.page(drawn(s, d, "dlabels").withColumn("page", F.col("idx") % 4 + 1), 2).select("idx"), "select idx from dlabels where idx%4=1"),
-        "src9_sizes": q(lambda s, d: images(s, d).select("idx", project.image_size(F.col("content")).alias("i")).select("idx", "i.format", "i.width", "i.height"), "select idx, case idx%4 when 0 then 'png' when 1 then 'gif' when 2 then 'jpeg' end as format, case when idx%4<3 then idx%4000+1 end as width, case when idx%4<3 then idx*7%3000+1 end as height from dlabels"),
+        "src9_sizes": q(lambda s, d: images(s, d).select("idx", project.image_size(F.col("content")).alias("i")).select("idx", "i.format", F.col("i.width").cast("double").alias("width"), F.col("i.height").cast("double").alias("height")), "select idx, case idx%4 when 0 then 'png' when 1 then 'gif' when 2 then 'jpeg' end as format, cast(case when idx%4<3 then idx%4000+1 end as double) as width, cast(case when idx%4<3 then idx*7%3000+1 end as double) as height from dlabels"),
         "src9": q(lambda s, d: file_names(s, d).select("idx", project.import_kind(F.col("name"), F.when(F.col("idx") % 6 == 1, "image/png").otherwise("application/octet-stream")).alias("kind")), f"with {NAMES} select idx, case when lower(name) like '%.pdf' then 'pdf' when idx%6=1 then 'image' end as kind from names_"),
         "src10": q(lambda s, d: file_names(s, d).select("idx", project.guess_level(F.col("name"), F.lit("?")).alias("level")), f"select idx, {level} as level from nodes"),
         "src11": q(lambda s, d: project.scale_suggestions(drawn(s, d, "dlabels").select("idx", (F.col("x") / 1224).alias("x"), (F.col("y") / 792).alias("y"), F.lit(1224.0).alias("width"), F.lit(792.0).alias("height"))).select("idx", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")), "select idx, x, y from dlabels"),
