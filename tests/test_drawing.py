@@ -100,6 +100,18 @@ def test_simplification_keeps_corners():
     points = np.array([(0, 0), (5, 0.5), (10, 0), (10, 5), (10, 10)], float)
     assert grid.simplify_points(points, 1.0) == [0, 2, 4]
     assert grid.simplify_points(points[:2], 1.0) == [0, 1]
+
+
+def test_many_lines_are_simplified_as_each_alone(spark):
+    rng, rows, kept = np.random.default_rng(3), [], set()
+    for run in range(200):
+        points = np.cumsum(rng.integers(-2, 3, (int(rng.integers(1, 40)), 2)), 0).astype(float)
+        rows += [(f"d{run % 3}", run, k, float(x), float(y)) for k, (x, y) in enumerate(points)]
+        kept |= {(f"d{run % 3}", run, k, *points[k].tolist()) for k in grid.simplify_points(points, 2.0)}
+    df = spark.createDataFrame(rows, "drawing_id string, run int, pos int, x double, y double").repartition(4)
+    found = [tuple(r) for r in grid.simplify(df).collect()]
+    assert len(found) == len(kept) and set(found) == kept
+    assert grid.simplify(df.limit(0)).count() == 0
     assert paths.kept_points([tuple(p) for p in points], paths.Walls(np.array([[4.0, 3.0, 4.0, 9.0]])), 20.0) != [0, 4]
 
 
