@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from topolark.functions.keys import last_wins
+from topolark.functions.staging import Staging
 from topolark.operators import audit, select
-from topolark.operators.spatial import crossing, within
+from topolark.operators.spatial import crossed, within
 from topolark.plans.topology import Topology
 
 
@@ -94,7 +95,9 @@ def hops_by_sight(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = ()) -
 
     on: columns that a hop and the walls of its drawing share.
     """
-    met = crossing(hops, walls, on).select("hop_id").distinct().withColumn("crosses", F.lit(True))
+    staging = Staging(hops.sparkSession)
+    hops = staging.write(hops.select(*on, "hop_id", "ax", "ay", "bx", "by"))
+    met = crossed(hops, walls, on, staging=staging).select("hop_id").distinct().withColumn("crosses", F.lit(True))
     length = F.sqrt((F.col("bx") - F.col("ax")) ** 2 + (F.col("by") - F.col("ay")) ** 2)
     rows = hops.join(met, "hop_id", "left").select("hop_id", F.coalesce("crosses", F.lit(False)).alias("crosses"), F.round(length, 6).alias("length"))
     return rows.orderBy("crosses", "length", "hop_id")

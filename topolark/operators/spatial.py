@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topolark.functions.geometry import cells_of_box, cells_of_line, segments_cross
+from topolark.functions.staging import Staging
 
 #: Edge length of a bucket.
 BUCKET = 40.0
@@ -27,18 +30,57 @@ def within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...]
     return a.join(b, [*on, "bx_", "by_"]).withColumn("far", far).where(near).drop("bx_", "by_")
 
 
-def crossing(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket: float = BUCKET, ignore: float = 0.0) -> DataFrame:
-    """The pairs (hop_id, wall_id), each once, of hops (ax, ay, bx, by) that meet walls (x1, y1, x2, y2).
-
-    ignore: walls an end of which comes this near to an end of the hop don't count.
-    """
+def meeting(hops: DataFrame, walls: DataFrame, bucket: float, ignore: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides by bucket (c_, of all their buckets ca_ and cb_), and whether a hop meets a wall."""
     c = F.col
     a = hops.withColumn("ca_", cells_of_line(c("ax"), c("ay"), c("bx"), c("by"), bucket)).withColumn("c_", F.explode("ca_"))
     b = walls.withColumn("cb_", cells_of_line(c("x1"), c("y1"), c("x2"), c("y2"), bucket)).withColumn("c_", F.explode("cb_"))
-    exact = segments_cross((c("ax"), c("ay")), (c("bx"), c("by")), (c("x1"), c("y1")), (c("x2"), c("y2")))
+    # Boxes that lie apart, by more than any slack of the exact test, are told at less cost.
+    near = [F.greatest(f"a{k}", f"b{k}") >= F.least(f"{k}1", f"{k}2") - 1e-3 for k in "xy"] + [F.least(f"a{k}", f"b{k}") <= F.greatest(f"{k}1", f"{k}2") + 1e-3 for k in "xy"]
+    exact = near[0] & near[1] & near[2] & near[3] & segments_cross((c("ax"), c("ay")), (c("bx"), c("by")), (c("x1"), c("y1")), (c("x2"), c("y2")))
     if ignore:
         far = [F.sqrt((c(p) - c(f"x{k}")) ** 2 + (c(q) - c(f"y{k}")) ** 2) for p, q in (("ax", "ay"), ("bx", "by")) for k in (1, 2)]
         exact = exact & (F.least(*far) > ignore)
-    # A pair counts in the first bucket that both share.
-    first = F.get(F.array_intersect("ca_", "cb_"), F.lit(0)) == c("c_")
-    return a.join(b, [*on, "c_"]).where(exact & first).select(*on, "hop_id", "wall_id")
+    return a, b, exact
+
+
+def crossing(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket: float = BUCKET, ignore: float = 0.0) -> DataFrame:
+    """The pairs (hop_id, wall_id), each once, of hops (ax, ay, bx, by) that meet walls (x1, y1, x2, y2).
+
+    Lines in the same place meet the same lines: they are tested once, by the first of them, and told apart again at the end.
+    ignore: walls an end of which comes this near to an end of the hop don't count.
+    """
+    first = {}
+    for name, rows, ends in (("hop", hops, ("ax", "ay", "bx", "by")), ("wall", walls, ("x1", "y1", "x2", "y2"))):
+        first[name] = rows.groupBy(*on, *ends).agg(F.min(f"{name}_id").alias(f"{name}_")), [*on, *ends]
+    a, b, exact = meeting(first["hop"][0], first["wall"][0], bucket, ignore)
+    # A pair counts in the first bucket that both share. Rows that were exploded are more than they are thought to be, so nothing is broadcast.
+    once = F.get(F.array_intersect("ca_", "cb_"), F.lit(0)) == F.col("c_")
+    pairs = a.hint("merge").join(b, [*on, "c_"]).where(exact & once).select(*on, "hop_", "wall_")
+    for name, rows in (("hop", hops), ("wall", walls)):
+        alike, place = first[name]
+        # Coordinates that aren't there meet nothing and need no partner.
+        pairs = pairs.join(rows.select(*place, f"{name}_id").join(alike, place).select(*on, f"{name}_", f"{name}_id").hint("merge"), [*on, f"{name}_"])
+    return pairs.select(*on, "hop_id", "wall_id")
+
+
+def crossed(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket: float = BUCKET, ignore: float = 0.0, staging: Staging | None = None) -> DataFrame:
+    """(hop_id) of the hops that meet any wall, each once, with the columns that they share with walls. A hop's search in a bucket ends at the first wall.
+
+    staging: long hops are tried in the bucket of their middle first, then in two more, and only those left in all.
+    """
+    a, b, exact = meeting(hops.select(*on, "hop_id", "ax", "ay", "bx", "by"), walls.select(*on, "x1", "y1", "x2", "y2").distinct(), bucket, ignore)
+    b, keys = b.drop("cb_"), (*on, "c_")
+    for name in keys:
+        b = b.withColumnRenamed(name, f"{name}_w")
+        exact = (F.col(name) == F.col(f"{name}_w")) & exact
+    met = lambda rows: rows.join(b.hint("merge"), exact, "left_semi").select(*on, "hop_id").distinct()
+    if staging is None:
+        return met(a.drop("ca_"))
+    b, left = staging.write(b), staging.write(hops.select(*on, "hop_id", "ax", "ay", "bx", "by").withColumn("ca_", cells_of_line(*map(F.col, ("ax", "ay", "bx", "by")), bucket)))
+    size, found = F.size("ca_"), []
+    for share in ([0.5], [0.25, 0.75], None):
+        some = F.col("ca_") if share is None else F.array(*[F.get("ca_", F.floor(size * k).cast("int")) for k in share])
+        found.append(staging.write(met(left.withColumn("c_", F.explode(some)).drop("ca_"))))
+        left = left.join(found[-1], [*on, "hop_id"], "left_anti")
+    return reduce(DataFrame.unionByName, found)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from topolark.functions.geometry import cells_of_box
 from topolark.functions.staging import Staging
-from topolark.operators.spatial import crossing
+from topolark.operators.spatial import crossed
 
 #: Points of a tile, about; how much the radius grows in a phase; and how often the points of a cell may be met at first.
 TILE, GROWTH, DENSE = 4096, 3.0, 16
@@ -149,7 +149,7 @@ def in_sectors(pairs: DataFrame) -> DataFrame:
 def in_sight(pairs: DataFrame, walls: DataFrame, ignore: float) -> DataFrame:
     """The pairs between which no wall (drawing_id, wall_id, x1, y1, x2, y2) lies; ends of walls near a point don't count."""
     hops = pairs.select("drawing_id", F.struct("a", "b").alias("hop_id"), "ax", "ay", "bx", "by")
-    met = crossing(hops, walls, ("drawing_id",), ignore=ignore).select("drawing_id", F.col("hop_id.a").alias("a"), F.col("hop_id.b").alias("b")).distinct()
+    met = crossed(hops, walls, ("drawing_id",), ignore=ignore).select("drawing_id", F.col("hop_id.a").alias("a"), F.col("hop_id.b").alias("b"))
     return pairs.join(met, ["drawing_id", "a", "b"], "left_anti")
 
 
