@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from topolark.functions.keys import first_wins, last_wins, natural_key, renamed
-from topolark.plans.topology import Topology
+from topolark.plans.topology import Topology, links_of_kept
 
 
 def floors_of(t: Topology, building_id: str) -> DataFrame:
@@ -50,9 +50,10 @@ def point_positions(t: Topology, floor_id: str | None = None) -> DataFrame:
 
 
 def drawable_links(t: Topology, floor_id: str) -> DataFrame:
+    """Links of a floor's points to its nodes. Of paired links the ends are taken before they meet."""
     points = t.access_points.where(F.col("floor_id") == floor_id).select(F.col("id").alias("a_id"))
     nodes = t.nodes.where(F.col("floor_id") == floor_id).select(F.col("id").alias("n_id"))
-    return t.links.join(points, F.col("access_point_id") == F.col("a_id"), "left_semi").join(nodes, F.col("node_id") == F.col("n_id"), "left_semi")
+    return links_of_kept(t, lambda rows, on: rows.join(points, F.col(on) == F.col("a_id"), "left_semi"), lambda rows, on: rows.join(nodes, F.col(on) == F.col("n_id"), "left_semi"))
 
 
 def linked_nodes(t: Topology, place_id: str) -> DataFrame:
