@@ -8,6 +8,7 @@ decided is held in at most four tables.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
@@ -58,20 +59,55 @@ def claims(pairs: DataFrame, by: str = "drawing_id") -> DataFrame:
     """(by, who, what): each ``who``, in order, claims the nearest ``what`` not claimed yet.
 
     pairs: by, who (its place in the order), what, far, takes; a nearest one that doesn't take is left alone, and its claimant
-    goes without. All ask for their nearest, each is kept by the first who asked, and the others ask for their next.
+    goes without.
+    """
+    return shared_claims(pairs.withColumn("side", F.col("who")).select(by, "side", "what", "far", "takes"), pairs.select(by, F.col("who").alias("side"), "who").distinct(), by)
+
+
+def shared_claims(pairs: DataFrame, members: DataFrame, by: str = "drawing_id") -> DataFrame:
+    """claims() of members (by, side, who) of sides, all of a side having the same pairs (by, side, what, far, takes).
+
+    All ask for their nearest, each is kept by the first who asked, and the others ask for their next. Members of a side ask one
+    behind the other at once, since none can get what one before it of the same side gets or passes over. So rounds don't grow
+    with the members of a side, and of a round only the first who asked for each ``what`` is written.
     """
     staging = Staging(pairs.sparkSession)
-    left = staging.write(pairs.select(by, "who", "what", "far", "takes"))
-    size = left.count()
+    offer = F.array_sort(F.collect_list(F.struct("far", "what", "takes")))
+    sides = pairs.groupBy(by, "side").agg(offer.alias("offers"))
+    sides = sides.join(members.groupBy(by, "side").agg(F.array_sort(F.collect_list("who")).alias("members")), [by, "side"])
+    sides = staging.write(sides.repartition(by, "side"))
+    kinds = dict(pairs.dtypes) | {"who": dict(members.dtypes)["who"]}
+    asked_for = f"{by} {kinds[by]}, what {kinds['what']}, who {kinds['who']}, takes boolean"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            asked = []
+            for group, offers, who, held in pdf[[by, "offers", "members", "held"]].itertuples(index=False, name=None):
+                first = {} if held is None else {h["what"]: h["holder"] for h in held}
+                at = 0
+                for w in who:
+                    while at < len(offers) and first.get(offers[at]["what"], w) < w:
+                        at += 1
+                    if at == len(offers):
+                        break
+                    asked.append((group, offers[at]["what"], w, offers[at]["takes"]))
+                    at += bool(offers[at]["takes"])
+            yield pd.DataFrame(asked, columns=[by, "what", "who", "takes"])
+
+    wanted = staging.write(pairs.select(by, "side", "what").distinct())
+    holders, state = None, None
     while True:
-        asked = left.groupBy(by, "who").agg(F.min(F.struct("far", "what", "takes")).alias("a")).select(by, "who", "a.what", "a.takes").where("takes")
-        holders = asked.groupBy(by, "what").agg(F.min("who").alias("holder"))
-        left, before = staging.write(left.join(holders, [by, "what"], "left").where("holder is null or who <= holder").drop("holder")), left
-        staging.drop(before)
-        size, old = left.count(), size
-        if size == old:
-            asked = left.groupBy(by, "who").agg(F.min(F.struct("far", "what", "takes")).alias("a")).where("a.takes")
-            return asked.select(by, "who", "a.what")
+        if holders is None:
+            rows = sides.withColumn("held", F.lit(None).cast(f"array<struct<what: {kinds['what']}, holder: {kinds['who']}>>"))
+        else:
+            held = wanted.join(holders, [by, "what"]).groupBy(by, "side").agg(F.collect_list(F.struct("what", "holder")).alias("held"))
+            rows = sides.join(held, [by, "side"], "left")
+        asked = staging.write(rows.select(by, "offers", "members", "held").mapInPandas(run, asked_for))
+        new = asked.where("takes").select(by, "what", F.col("who").alias("holder"))
+        holders = staging.write((new if holders is None else new.unionByName(holders)).groupBy(by, "what").agg(F.min("holder").alias("holder")))
+        before, state = state, holders.agg(F.count("*"), F.sum(F.xxhash64(by, "what", "holder").cast("decimal(38,0)"))).first()
+        if state == before:
+            return asked.where("takes").select(by, "who", "what")
 
 
 def around_cell(reach: float, size: float) -> Column:
