@@ -13,7 +13,7 @@ from topolark.plans.derived import duckdb_sql, relation
 from topolark.plans.q_mutate import heading, sizes
 from topolark.plans.q_select import LABELS, WALLS, drawn, drawn_sql, quads
 from topolark.plans.q_validate import AUDIT_SQL, audited
-from topolark.plans.topology import Topology, derive
+from topolark.plans.topology import Topology, derive, derive_staged
 from topolark.sources import project
 
 SIZE = 8.0
@@ -151,7 +151,7 @@ def src1(s: SparkSession, d: str) -> DataFrame:
 def reloaded(s: SparkSession, d: str) -> Topology:
     """The derived topology saved to the shared folder and loaded again."""
     folder = f"{Staging(s).root}/saved"
-    project.save(derive(s, d), folder)
+    project.save(derive_staged(s, d), folder)
     return project.load(s, folder)
 
 
