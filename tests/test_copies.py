@@ -4,10 +4,11 @@ import math
 import os
 import random
 
+import numpy as np
 import pytest
 
 from topolark.functions.staging import Staging
-from topolark.operators import drawing, mutate, network, relate, rounds, select, spatial
+from topolark.operators import drawing, mutate, network, paths, relate, rounds, select, spatial, trees
 from topolark.plans import topology
 
 FOLDER = "/root/testdata/sf0.001"
@@ -177,3 +178,43 @@ def test_leader_pairs_are_told_without_grouping_them(spark):
     found = drawing.leader_matches(rooms, ticks)
     assert sorted((r.idx, r.seg_idx, r.tx, r.ty) for r in found.collect()) == [(1, 7, 12.0, 12.0), (2, 7, 0.0, 0.0)]
     assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_within_longer_ones_stay_away(spark):
+    """Copies of a floor whose walls start in one place add no walls to a row; others in that direction or place stay."""
+    lines = [(0.0, 0.0, float(k), 2.0 * k) for k in range(1, 30)] + [(0.0, 0.0, -4.0, -8.0), (0.0, 0.0, 0.0, 9.0), (0.0, 0.0, 0.0, 5.0), (1.0, 2.0, 3.0, 6.0)]
+    walls = spark.createDataFrame([("D", k, *e) for k, e in enumerate(lines)], f"drawing_id string, idx long, {LINE}")
+    kept = spatial.outermost(walls, ("drawing_id",)).collect()
+    assert {(r.x1, r.y1, r.x2, r.y2) for r in kept} == {lines[28], lines[29], lines[30], lines[32]}
+    near = network.around(spark.createDataFrame([("D", "a", 1.0, 1.0)], "drawing_id string, id string, x double, y double"), walls, 50.0).first().near
+    assert len(near) == 4 * 4
+    # What meets any line meets one that is left, and the other way round.
+    rng = random.Random(7)
+    hops = [tuple(float(rng.randrange(-20, 40)) for _ in range(4)) for _ in range(300)]
+    every = network.lines_of([v for e in lines for v in e])
+    left = network.lines_of(near)
+    meets = lambda hop, some: bool(paths.meet(np.array(hop[:2]), np.array(hop[2:]), some[:, :2], some[:, 2:]).any())
+    assert [meets(h, every) for h in hops] == [meets(h, left) for h in hops]
+
+
+def test_walks_are_looked_for_when_asked_for(monkeypatch):
+    asked = []
+    monkeypatch.setattr(paths, "entry", lambda p, lines, real=paths.entry: (asked.append(p), real(p, lines))[1])
+    walks = paths.fan((0.0, 0.0), [(12.0, 0.0), (60.0, 0.0), (90.0, 0.0)], np.zeros((0, 4)), 25)
+    assert next(walks)[-1] == (12.0, 0.0) and len(asked) == 2
+
+
+def test_pairs_out_of_sight_are_told_at_the_outermost_walls(spark, monkeypatch):
+    """Of pairs that meet an outermost wall none is tried against all walls; what ends near a point doesn't count."""
+    given = []
+
+    def counted(hops, walls, *rest, real=trees.crossed, **more):
+        given.append((hops.count(), walls.count()))
+        return real(hops, walls, *rest, **more)
+
+    monkeypatch.setattr(trees, "crossed", counted)
+    walls = spark.createDataFrame([("D", k, 50.0, -300.0, 50.0, -300.0 + 20 * k) for k in range(1, 31)], f"drawing_id string, wall_id long, {LINE}")
+    ends = [(0.0, 0.0, 100.0, 0.0), (0.0, 290.0, 100.0, 290.0), (0.0, 400.0, 100.0, 400.0), (45.0, 295.0, 60.0, 296.0)]
+    pairs = spark.createDataFrame([("D", f"a{k}", f"b{k}", *e) for k, e in enumerate(ends)], "drawing_id string, a string, b string, ax double, ay double, bx double, by double")
+    seen = trees.in_sight(pairs, walls, 20.0, Staging(spark)).collect()
+    assert sorted(r.a for r in seen) == ["a2", "a3"] and given == [(4, 1), (2, 30)]

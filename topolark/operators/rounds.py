@@ -174,18 +174,24 @@ def by_last_member(points: DataFrame, reach: float) -> DataFrame:
     """points with home: the first member's ord of the first cluster whose last member is within reach, or the own.
 
     A cluster never leaves its island, so each island is gone through on its own; islands are as large as points lie
-    densely, not as drawings are.
+    densely, not as drawings are. An island is one row, so that a call of the function takes many of them.
     """
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
+    def one(points: list[tuple[int, float, float]]) -> list[int]:
         ends: dict[int, tuple[float, float]] = {}
         homes = []
-        for at, x, y in pdf[["ord", "x", "y"]].itertuples(index=False):
+        for at, x, y in points:
             home = next((h for h, (lx, ly) in ends.items() if math.hypot(x - lx, y - ly) <= reach), at)
             ends[home] = (x, y)
             homes.append(home)
-        return pdf.assign(home=homes)[["drawing_id", "ord", "x", "y", "home"]]
+        return homes
+
+    @F.pandas_udf("array<long>")
+    def homes(ords: pd.Series, xs: pd.Series, ys: pd.Series) -> pd.Series:
+        return pd.Series([one(list(zip(*(v.tolist() for v in p)))) for p in zip(ords, xs, ys)], dtype=object)
 
     rows = islands(points.select("drawing_id", "ord", "x", "y"), reach)
-    return rows.groupBy("drawing_id", "island").applyInPandas(one, "drawing_id string, ord long, x double, y double, home long")
+    rows = rows.groupBy("drawing_id", "island").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
+    rows = rows.withColumn("homes", homes("p.ord", "p.x", "p.y"))
+    home = F.transform("p", lambda q, i: F.struct(q.ord.alias("ord"), q.x.alias("x"), q.y.alias("y"), F.get("homes", i).alias("home")))
+    return rows.select("drawing_id", F.inline(home))

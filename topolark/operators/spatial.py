@@ -44,6 +44,18 @@ def meeting(hops: DataFrame, walls: DataFrame, bucket: float, ignore: float) ->
     return a, b, exact
 
 
+def outermost(walls: DataFrame, on: tuple[str, ...] = ()) -> DataFrame:
+    """The walls (x1, y1, x2, y2) without those that lie within a longer one from the same start: what meets these meets that one."""
+    c = F.col
+    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
+    way = {"sx_": F.signum(dx), "sy_": F.signum(dy), "slope_": F.coalesce(dy / F.nullif(dx, F.lit(0.0)), F.lit(0.0))}
+    rows, key = walls.withColumns(way), [*on, "x1", "y1", *way]
+    longest = rows.groupBy(*key).agg(F.max(F.struct((F.abs(dx) + F.abs(dy)).alias("l"), "x2", "y2")).alias("m_"))
+    # A slope that is the same by rounding only drops nothing.
+    own = (c("x2") == c("m_.x2")) & (c("y2") == c("m_.y2")) | (dx * (c("m_.y2") - c("y1")) != dy * (c("m_.x2") - c("x1")))
+    return rows.join(longest, key).where(own).select(*walls.columns)
+
+
 def crossing(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket: float = BUCKET, ignore: float = 0.0) -> DataFrame:
     """The pairs (hop_id, wall_id), each once, of hops (ax, ay, bx, by) that meet walls (x1, y1, x2, y2).
 
@@ -67,9 +79,10 @@ def crossing(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket
 def crossed(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket: float = BUCKET, ignore: float = 0.0, staging: Staging | None = None) -> DataFrame:
     """(hop_id) of the hops that meet any wall, each once, with the columns that they share with walls. A hop's search in a bucket ends at the first wall.
 
-    staging: long hops are tried in the bucket of their middle first, then in two more, and only those left in all.
+    staging: hops are tried in the bucket of their middle first, then in those of two more points, and only those left in all.
     """
-    a, b, exact = meeting(hops.select(*on, "hop_id", "ax", "ay", "bx", "by"), walls.select(*on, "x1", "y1", "x2", "y2").distinct(), bucket, ignore)
+    hops = hops.select(*on, "hop_id", "ax", "ay", "bx", "by")
+    a, b, exact = meeting(hops, walls.select(*on, "x1", "y1", "x2", "y2").distinct(), bucket, ignore)
     b, keys = b.drop("cb_"), (*on, "c_")
     for name in keys:
         b = b.withColumnRenamed(name, f"{name}_w")
@@ -77,10 +90,11 @@ def crossed(hops: DataFrame, walls: DataFrame, on: tuple[str, ...] = (), bucket:
     met = lambda rows: rows.join(b.hint("merge"), exact, "left_semi").select(*on, "hop_id").distinct()
     if staging is None:
         return met(a.drop("ca_"))
-    b, left = staging.write(b), staging.write(hops.select(*on, "hop_id", "ax", "ay", "bx", "by").withColumn("ca_", cells_of_line(*map(F.col, ("ax", "ay", "bx", "by")), bucket)))
-    size, found = F.size("ca_"), []
+    # A wall that is met is met, whichever bucket finds it.
+    at = lambda k: F.struct(*[F.floor((F.col(f"a{v}") + (F.col(f"b{v}") - F.col(f"a{v}")) * k) / bucket).alias(f"c{v}") for v in "xy"])
+    b, left, found = staging.write(b), staging.write(hops), []
     for share in ([0.5], [0.25, 0.75], None):
-        some = F.col("ca_") if share is None else F.array(*[F.get("ca_", F.floor(size * k).cast("int")) for k in share])
-        found.append(staging.write(met(left.withColumn("c_", F.explode(some)).drop("ca_"))))
+        some = cells_of_line(*map(F.col, ("ax", "ay", "bx", "by")), bucket) if share is None else F.array(*map(at, share))
+        found.append(staging.write(met(left.withColumn("c_", F.explode(some)))))
         left = left.join(found[-1], [*on, "hop_id"], "left_anti")
     return reduce(DataFrame.unionByName, found)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from topolark.functions.geometry import cells_of_box
 from topolark.functions.staging import Staging
-from topolark.operators.spatial import crossed
+from topolark.operators.spatial import crossed, outermost
 
 #: Points of a tile, about; how much the radius grows in a phase; and how often the points of a cell may be met at first.
 TILE, GROWTH, DENSE = 4096, 3.0, 16
@@ -146,11 +146,18 @@ def in_sectors(pairs: DataFrame) -> DataFrame:
     return rows.groupBy("drawing_id", "e.at", "e.sixth").agg(F.min("p").alias("p")).select("drawing_id", "p.*").distinct()
 
 
-def in_sight(pairs: DataFrame, walls: DataFrame, ignore: float) -> DataFrame:
-    """The pairs between which no wall (drawing_id, wall_id, x1, y1, x2, y2) lies; ends of walls near a point don't count."""
-    hops = pairs.select("drawing_id", F.struct("a", "b").alias("hop_id"), "ax", "ay", "bx", "by")
-    met = crossed(hops, walls, ("drawing_id",), ignore=ignore).select("drawing_id", F.col("hop_id.a").alias("a"), F.col("hop_id.b").alias("b"))
-    return pairs.join(met, ["drawing_id", "a", "b"], "left_anti")
+def in_sight(pairs: DataFrame, walls: DataFrame, ignore: float, staging: Staging) -> DataFrame:
+    """The pairs between which no wall (drawing_id, wall_id, x1, y1, x2, y2) lies; ends of walls near a point don't count.
+
+    Most pairs meet one of the outermost walls near their middle; only those that don't are tried against all walls.
+    """
+    on = ["drawing_id", "hop_id"]
+    pairs = staging.write(pairs.withColumn("hop_id", F.struct("a", "b")))
+    hops = pairs.select(*on, "ax", "ay", "bx", "by")
+    met = crossed(hops, outermost(walls, ("drawing_id",)), ("drawing_id",), ignore=ignore, staging=staging)
+    left = staging.write(pairs.join(met, on, "left_anti"))
+    met = crossed(left.select(*on, "ax", "ay", "bx", "by"), walls, ("drawing_id",), ignore=ignore)
+    return left.join(met, on, "left_anti").drop("hop_id")
 
 
 def grown(points: DataFrame, walls: DataFrame | None, ignore: float, tiled: bool, staging: Staging) -> tuple[list[DataFrame], DataFrame]:
@@ -159,7 +166,7 @@ def grown(points: DataFrame, walls: DataFrame | None, ignore: float, tiled: bool
     while True:
         pairs = near_pairs(points)
         if walls is not None:
-            pairs = in_sight(pairs, walls, ignore)
+            pairs = in_sight(pairs, walls, ignore, staging)
         elif not phase:
             pairs = in_sectors(pairs)
         places = points.where("id = home").select("drawing_id", F.col("id").alias("u"), "tx", "ty")
