@@ -102,3 +102,27 @@ def test_empty_table(spark):
 def test_very_long(spark, coder, sign):
     text = sign * (300_000 // len(sign))
     assert tuple(read_ids(*write_ids(spark.createDataFrame([(1, text)], "doc_id long, text string"), FILE, END)).first()) == brute(coder, [(1, text)])[0]
+
+
+def test_words_in_whatever_case_are_merged_once(coder):
+    """The model is asked once for a word in several cases; lowering is that of the normalizer for all letters that count as plain."""
+    import re
+
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+            self.tokenize = lambda word: (self.asked.append(word), model.tokenize(word))[1]
+
+    encoder = Encoder(open(FILE).read())
+    model, whole = Counted(encoder.coder.model), encoder.coder
+    encoder.coder = type("Coder", (), {"model": model, "encode_batch_fast": whole.encode_batch_fast})()
+    text = "Table TABLE table Tablé. TABLÉ a1 A1"
+    ids, _ = encoder.encode(pa.chunked_array([pa.array([text])]))
+    assert ids.tolist() == coder.encode(text, add_special_tokens=False).ids and len(model.asked) == 2
+    letters = re.findall(f"[{token_files.LETTERS}]", "".join(map(chr, range(0x250))))
+    assert pc.utf8_lower(pa.array(letters)).to_pylist() == [c.lower() for c in letters]
+    every = " ".join(letters)
+    assert encoder.encode(pa.chunked_array([pa.array([every])]))[0].tolist() == coder.encode(every, add_special_tokens=False).ids

@@ -30,6 +30,7 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -125,25 +126,25 @@ class Encoder:
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each word, where they start)."""
         plain = pc.match_substring_regex(words, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
-        flat, sizes = array("I"), np.zeros(len(words), np.int32)
-        order = np.concatenate((np.flatnonzero(plain), np.flatnonzero(~plain)))
-        tokenize = self.coder.model.tokenize
-        # Letters that normalizing but lowers and no pattern cuts go straight to the merges.
-        for k, word in zip(order, words.filter(pa.array(plain)).to_pylist()):
-            found = tokenize(word.lower().encode().decode("latin-1").translate(self.signs))
-            sizes[k] = len(found)
-            flat.extend([t.id for t in found])
+        flat, sizes = array("I"), array("i")
+        tokenize, sign = self.coder.model.tokenize, lambda word: word.encode().decode("latin-1").translate(self.signs)
+        # Letters that normalizing but lowers and no pattern cuts go straight to the merges, once in whatever case; plain ASCII ones are their own signs.
+        lowered = pc.utf8_lower(words.filter(pa.array(plain))).dictionary_encode()
+        for at in range(0, len(lowered.dictionary), 4096):
+            some = [tokenize(word if word.isascii() else sign(word)) for word in lowered.dictionary[at : at + 4096].to_pylist()]
+            sizes.extend(list(map(len, some)))
+            flat.extend([token.id for found in some for token in found])
         rest = words.filter(pa.array(~plain)).to_pylist()
         for at in range(0, len(rest), 4096):
-            for k, found in zip(order[len(words) - len(rest) + at :], self.coder.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)):
-                ids = found.ids
-                sizes[k] = len(ids)
-                flat.extend(ids)
+            some = [found.ids for found in self.coder.encode_batch_fast(rest[at : at + 4096], add_special_tokens=False)]
+            sizes.extend(list(map(len, some)))
+            flat.extend(list(chain.from_iterable(some)))
         # From the order of encoding to that of the words.
-        flat, ends = np.frombuffer(flat, np.uint32), np.cumsum(sizes[order], dtype=np.int64)
-        starts = np.empty(len(words), np.int64)
-        starts[order] = ends - sizes[order]
-        return flat, sizes, starts
+        flat, sizes, place = np.frombuffer(flat, np.uint32), np.frombuffer(sizes, np.int32), np.empty(len(words), np.int64)
+        place[plain] = lowered.indices.to_numpy()
+        place[~plain] = len(lowered.dictionary) + np.arange(len(rest))
+        starts = np.cumsum(sizes, dtype=np.int64) - sizes
+        return flat, sizes[place], starts[place]
 
     def encode(self, texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, where each text's ids end)."""
