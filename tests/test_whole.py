@@ -1,5 +1,6 @@
 """Queries do their whole job, and in forms that grow with their tables."""
 
+import json
 import os
 
 import duckdb
@@ -11,6 +12,9 @@ from topolark.functions import staging
 from topolark.operators import route
 from topolark.plans.derived import duckdb_sql
 from topolark.plans.topology import derive, derive_staged, links_at, links_of_kept, with_link_columns
+from topolark.sources import project
+
+from fixtures import base, make
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -62,3 +66,36 @@ def test_searches_take_a_row_for_each_stop(spark):
     seeds = route.endpoint_options(t, wanted=spark.createDataFrame([("P4",)], "place_id string")).select(F.col("place_id").alias("source"), "node_id", "cost")
     labels = lambda hops: {(r.node_id, r.cost, r.n) for r in route.labels(seeds, hops, 1000).collect()}
     assert labels(route.compact_hops(t)) == labels(route.hops(t))
+
+
+@needs_tables
+def test_documents_in_parts_hold_no_array_in_a_row(spark, tmp_path, monkeypatch):
+    """A project is written and read in lines: together they are the document that one row would have been, and snk3 needs no such row."""
+    rows = base(nodes=[(f"n{k}", "f4", "turn", float(k), 0.0) for k in range(700)], links=[(f"l{k}", "door", f"n{k}", 1.0, 'Say "hi",\n{', None) for k in range(700)])
+    t = make(spark, **rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    project.write_parts(t, "m", "Map", "2024-01-01T00:00:00Z", str(tmp_path / "in"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(tmp_path.glob("in/section_=*/part-*"), key=lambda f: (int(f.parent.name.split("=")[1]), f.name))
+    assert len(files) > 11
+    found = json.loads("".join(f.read_text() for f in files))
+    wanted = json.loads(project.join(t, "m", "Map", "2024-01-01T00:00:00Z").select(F.to_json(F.struct("*"))).first()[0])
+    assert found == wanted and len(found["topology"]["nodes"]) == 702
+    back, head = project.read_parts(spark, str(tmp_path / "in"))
+    assert head == {"id": "m", "name": "Map", "updatedAt": "2024-01-01T00:00:00Z"}
+    (tmp_path / "whole.json").write_text(json.dumps(wanted))
+    whole = project.split(project.read_project(spark, str(tmp_path / "whole.json")))
+    for name, given in vars(whole).items():
+        assert sorted(map(str, getattr(back, name).collect())) == sorted(map(str, given.collect())), name
+
+    def no_row(*_):
+        raise AssertionError("an array in one row")
+
+    monkeypatch.setattr(project, "_list", no_row)
+    assert len(driver.queries()["snk3"](spark, FOLDER).collect()) >= 0
+    monkeypatch.undo()
+    head_file = next(tmp_path.glob("in/section_=0/part-*"))
+    (tmp_path / "bad" / "section_=0").mkdir(parents=True)
+    (tmp_path / "bad" / "section_=0" / "part-0.txt").write_text(head_file.read_text().replace('"documentVersion": 1', '"documentVersion": 2'))
+    with pytest.raises(ValueError):
+        project.repair_file(spark, str(tmp_path / "bad"), str(tmp_path / "out"))

@@ -158,7 +158,7 @@ def reloaded(s: SparkSession, d: str) -> Topology:
 def repaired_file(s: SparkSession, d: str) -> DataFrame:
     """Log of repairing the audited topology as a document."""
     root = Staging(s).root
-    project.write_project(project.join(audited(s, d), "m", "Map", "2024-01-01T00:00:00Z"), f"{root}/in")
+    project.write_parts(audited(s, d), "m", "Map", "2024-01-01T00:00:00Z", f"{root}/in")
     return project.repair_file(s, f"{root}/in", f"{root}/out")
 
 
