@@ -88,18 +88,22 @@ def cells_of_box(x0: Column, y0: Column, x1: Column, y1: Column, size: float) ->
     return F.flatten(F.transform(span(x0, x1), lambda cx: F.transform(span(y0, y1), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
 
 
-def cells_of_line(x0: Column, y0: Column, x1: Column, y1: Column, size: float, slack: float = 1e-5) -> Column:
-    """Grid cells (cx, cy) that a line passes, column by column, with a little slack on all sides.
-
-    Two lines that meet share a cell, and a line takes cells in proportion to its length, not to its box.
-    """
+def columns_of_line(x0: Column, y0: Column, x1: Column, y1: Column, size: float | Column, slack: float = 1e-5) -> Column:
+    """Grid columns (cx) that a line passes, in order, with its rows in each (from low to high), with a little slack on all sides."""
     low, high = F.least(x0, x1), F.greatest(x0, x1)
     slope = F.when(high - low > slack, (y1 - y0) / F.nullif(x1 - x0, F.lit(0.0)))
 
-    def rows(cx: Column) -> Column:
+    def column(cx: Column) -> Column:
         at = lambda x: y0 + (F.greatest(low, F.least(high, x)) - x0) * slope
         a, b = F.coalesce(at(cx * size - slack), y0), F.coalesce(at((cx + 1) * size + slack), y1)
-        return F.sequence(F.floor((F.least(a, b) - slack) / size), F.floor((F.greatest(a, b) + slack) / size))
+        return F.struct(cx.alias("cx"), F.floor((F.least(a, b) - slack) / size).alias("low"), F.floor((F.greatest(a, b) + slack) / size).alias("high"))
+
+    return F.transform(F.sequence(F.floor((low - slack) / size), F.floor((high + slack) / size)), column)
 
-    columns = F.sequence(F.floor((low - slack) / size), F.floor((high + slack) / size))
-    return F.flatten(F.transform(columns, lambda cx: F.transform(rows(cx), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+def cells_of_line(x0: Column, y0: Column, x1: Column, y1: Column, size: float, slack: float = 1e-5) -> Column:
+    """Grid cells (cx, cy) that a line passes, column by column, with a little slack on all sides.
+
+    Two lines that meet share a cell, and a line takes cells in proportion to its length, not to its box.
+    """
+    return F.flatten(F.transform(columns_of_line(x0, y0, x1, y1, size, slack), lambda c: F.transform(F.sequence(c.low, c.high), lambda cy: F.struct(c.cx.alias("cx"), cy.alias("cy")))))
