@@ -31,7 +31,7 @@ def within(left: DataFrame, right: DataFrame, radius: float, on: tuple[str, ...]
     b = b.withColumns({"bx_": F.col("c_.cx"), "by_": F.col("c_.cy")}).drop("c_")
     far = F.sqrt((F.col(l_xy[0]) - x) ** 2 + (F.col(l_xy[1]) - y) ** 2)
     near = (far < radius) if strict else (far <= radius)
-    return a.join(b, [*on, "bx_", "by_"]).withColumn("far", far).where(near).drop("bx_", "by_")
+    return a.join(b.hint("merge"), [*on, "bx_", "by_"]).withColumn("far", far).where(near).drop("bx_", "by_")
 
 
 def meets(ignore: float, boxes: bool = True) -> Column:
@@ -55,6 +55,13 @@ def alike(rows: DataFrame, name: str, place: list[str]) -> DataFrame:
     return lists.drop("list_")
 
 
+def within_alike(left: DataFrame, right: DataFrame, radius: float, l_id: str, r_id: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs (l_id, r_id, far) of within(): rows in one place meet once and carry their ids along, so that pairs are neither written nor joined again."""
+    a, b = alike(left, l_id, [*on, "x", "y"]), alike(right, r_id, [*on, "rx", "ry"])
+    pairs = within(a, b, radius, on).withColumn(l_id, F.explode(f"{l_id}s_")).withColumn(r_id, F.explode(f"{r_id}s_"))
+    return pairs.select(*on, l_id, r_id, "far")
+
+
 def by_cell(rows: DataFrame, ends: tuple[str, ...], earlier: str) -> DataFrame:
     """Lines by the cells (cx_, cy_) of size_ that they pass. A bit of ``earlier`` is set for each cell of the line, of those up to REACH columns
     and rows away, that comes before the row's own, by columns and then by rows."""
