@@ -56,3 +56,29 @@ def test_labels_and_outlines_in_one_place_meet_once(spark, monkeypatch):
     assert counts == {k: sum(p[:2] == k for p in pairs) for k in {p[:2] for p in pairs}}
     assert sorted(tuple(r) for r in drawing.labels_found(labels, outlines).collect()) == sorted({(p[0], p[2]) for p in pairs})
     assert seen == [(6, 4)] * 3
+
+
+def test_vertical_labels_in_one_place_share_their_rooms(spark, monkeypatch):
+    seen, real = [], network.within
+
+    def counted(left, right, *rest, **more):
+        seen.append((left.count(), right.count()))
+        return real(left, right, *rest, **more)
+
+    monkeypatch.setattr(network, "within", counted)
+    labels = repeated_labels(spark)
+    positions = labels.where("idx % 5 < 2").selectExpr("drawing_id", "idx as ord", "if(idx % 5 = 0, 'stair', 'elevator') as kind", "x", "y")
+    walls = spark.createDataFrame([("D0", k, "line", layer, 20.0, 0.0, 21.0, 2.0) for k, layer in enumerate(["A-FLOR-STRS"] * 9 + ["X|A-FLOR-EVTR"] * 9)], "drawing_id string, idx long, type string, layer string, x1 double, y1 double, x2 double, y2 double")
+    found = network.mark_vertical(labels.selectExpr("*", "'room' as type"), walls, positions)
+    got = {(r.drawing_id, r.idx): r.type for r in found.collect()}
+    # One by one: stairs first, each in order takes the nearest free room, if the layer is drawn there.
+    rooms = {(r.drawing_id, r.idx): (r.x, r.y) for r in labels.collect()}
+    want = dict.fromkeys(rooms, "room")
+    for p in sorted(positions.collect(), key=lambda p: (p.kind == "elevator", p.ord)):
+        free = [(math.hypot(x - p.x, y - p.y), i) for (d, i), (x, y) in rooms.items() if d == p.drawing_id and want[d, i] == "room" and math.hypot(x - p.x, y - p.y) <= 40]
+        if free:
+            x, y = rooms[p.drawing_id, min(free)[1]]
+            if p.drawing_id == "D0" and min(math.hypot(x - 20, y), math.hypot(x - 21, y - 2)) <= 40:
+                want[p.drawing_id, min(free)[1]] = p.kind
+    assert got == want and {"stair", "elevator"} <= set(got.values())
+    assert seen == [(6, 4), (6, 12)]
