@@ -7,7 +7,9 @@ import random
 import pytest
 
 import __spark_entry__ as driver
-from topolark.operators import drawing, network, spatial
+from topolark.functions.staging import Staging
+from topolark.operators import drawing, network, route, spatial
+from topolark.plans import topology
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
@@ -82,3 +84,17 @@ def test_vertical_labels_in_one_place_share_their_rooms(spark, monkeypatch):
                 want[p.drawing_id, min(free)[1]] = p.kind
     assert got == want and {"stair", "elevator"} <= set(got.values())
     assert seen == [(6, 4), (6, 12)]
+
+
+@needs_tables
+def test_paired_links_are_searched_by_places_and_give_the_same_routes(spark):
+    t = topology.derive_staged(spark, FOLDER)
+    plain = t.with_(links=Staging(spark).write(t.links))
+    asked, paired = [], t.links._paired
+    t.links._paired = lambda points, on: asked.append(points) or paired(points, on)
+    wanted = t.places.selectExpr("'P4' as from_place_id", "id as to_place_id", "explode(array(false, true)) as step_free")
+    rows = lambda found: sorted(map(str, found.collect()))
+    assert rows(route.find_routes(t, wanted)) == rows(route.find_routes(plain, wanted))
+    some = spark.createDataFrame([("P4",), ("P1",)], "place_id string")
+    assert rows(route.place_distances(t, some)) == rows(route.place_distances(plain, some))
+    assert len(asked) == 2  # where routes start, not where they end
