@@ -5,11 +5,12 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
 from topolark.functions.staging import Staging
-from topolark.operators import drawing, network, route, spatial
-from topolark.plans import topology
+from topolark.operators import drawing, mutate, network, route, spatial
+from topolark.plans import q_mutate, topology
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
@@ -98,3 +99,18 @@ def test_paired_links_are_searched_by_places_and_give_the_same_routes(spark):
     some = spark.createDataFrame([("P4",), ("P1",)], "place_id string")
     assert rows(route.place_distances(t, some)) == rows(route.place_distances(plain, some))
     assert len(asked) == 2  # where routes start, not where they end
+
+
+@needs_tables
+def test_edits_of_paired_links_make_no_pairs_to_count_or_to_remove(spark):
+    t = topology.derive_staged(spark, FOLDER)
+    plain = t.with_(links=Staging(spark).write(t.links))
+    rows = lambda found: sorted(map(str, found.collect()))
+    for edit in (lambda t: mutate.delete_segment(t, "S1-2"), lambda t: mutate.delete_place(t, "P8"), lambda t: mutate.delete_node(t, "N1")):
+        sizes = q_mutate.sizes(edit(t))
+        assert rows(sizes) == rows(q_mutate.sizes(edit(plain)))
+        assert "sqrt" not in plan(sizes).lower()  # no link gets a cost
+    toggles = t.access_points.selectExpr("id as access_point_id", "concat('N', idx % 4) as node_id")
+    one = t.links.where("idx % 3 = 0").select("access_point_id", "node_id")
+    same = [c for c in mutate.toggle_links(t, toggles).columns]
+    assert rows(mutate.toggle_links(t, toggles, F.col("idx") % 3 == 0).select(*same)) == rows(mutate.toggle_links(plain, toggles.unionByName(one)).select(*same))

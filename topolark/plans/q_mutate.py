@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from topolark.operators import mutate
 from topolark.plans.derived import duckdb_sql
-from topolark.plans.topology import Topology, derive, derive_staged
+from topolark.plans.topology import Topology, derive, derive_paired, derive_staged
 
 COUNTED = ("buildings", "floors", "places", "access_points", "nodes", "segments", "edges", "links", "connectors", "connector_stops", "connector_segments", "plans")
 LEN = "greatest(1.0, sqrt(pow({b}.x-{a}.x,2)+pow({b}.y-{a}.y,2)))"
@@ -25,7 +25,9 @@ def sizes(t: Topology) -> DataFrame:
     for name in COUNTED:
         rows = getattr(t, name)
         mark = F.sum("idx" if "idx" in rows.columns else "pos")
-        one = rows.agg(F.lit(name).alias("relation"), F.count("*").alias("row_count"), F.coalesce(mark, F.lit(0)).cast("long").alias("mark"))
+        # Paired links tell their number and sum without being made.
+        counts = rows._totals() if hasattr(rows, "_totals") else rows.agg(F.count("*").alias("row_count"), mark.alias("mark"))
+        one = counts.select(F.lit(name).alias("relation"), "row_count", F.coalesce("mark", F.lit(0)).cast("long").alias("mark"))
         out = one if out is None else out.unionByName(one)
     return out.select("relation", "row_count", "mark")
 
@@ -97,16 +99,16 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
             f"{few} select (select count(*) from gf) as floors, (select count(*) from gn) as nodes, (select count(*) from gs) as segments, (select count(distinct place_id) from access_points where floor_id in (from gf)) as places",
         ),
         "mut6": (lambda s, d: sizes(mutate.guarded_remove_building(derive_staged(s, d), "B1")).where("relation = 'buildings'"), duckdb_sql(f"{house} select 'buildings' as relation, count(*) as row_count, cast(sum(idx) as bigint) as mark from r_buildings")),
-        "mut7": (lambda s, d: sizes(mutate.delete_segment(derive(s, d), "S1-2")), sizes_sql("with r_segments as (select * from segments where id <> 'S1-2'), r_edges as (select * from edges where segment_id <> 'S1-2')", {"segments": "r_segments", "edges": "r_edges"})),
+        "mut7": (lambda s, d: sizes(mutate.delete_segment(derive_staged(s, d), "S1-2")), sizes_sql("with r_segments as (select * from segments where id <> 'S1-2'), r_edges as (select * from edges where segment_id <> 'S1-2')", {"segments": "r_segments", "edges": "r_edges"})),
         "mut8": (
-            lambda s, d: sizes(mutate.delete_place(derive(s, d), "P8")),
+            lambda s, d: sizes(mutate.delete_place(derive_staged(s, d), "P8")),
             sizes_sql(
                 f"with {own}, r_places as (select * from places where id <> 'P8'), r_access_points as (select * from access_points where id not in (select id from own)), r_links as (select * from links where access_point_id not in (select id from own) and node_id not in (from gn)), r_nodes as (select * from nodes where id not in (from gn)), r_segments as (select * from segments where id not in (from gs)), r_edges as (select * from edges where segment_id not in (from gs))",
                 {n: f"r_{n}" for n in ("places", "access_points", "links", "nodes", "segments", "edges")},
             ),
         ),
         "mut9": (
-            lambda s, d: sizes(mutate.delete_node(derive(s, d), "N10")),
+            lambda s, d: sizes(mutate.delete_node(derive_staged(s, d), "N10")),
             sizes_sql("with gs as (select id from segments where from_node_id = 'N10' or to_node_id = 'N10'), r_nodes as (select * from nodes where id <> 'N10'), r_links as (select * from links where node_id <> 'N10'), r_segments as (select * from segments where id not in (from gs)), r_edges as (select * from edges where segment_id not in (from gs))", {n: f"r_{n}" for n in ("nodes", "links", "segments", "edges")}),
         ),
         "mut10": q(
@@ -143,7 +145,7 @@ def build() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | N
             "with added as (select case when connection = 'terminal' then 'room' else 'stairs' end as kind, idx as ord from access_points) select a.kind, a.ord, a.kind || ' ' || (row_number() over (partition by a.kind order by a.ord) + (select count(*) from places p where p.kind = a.kind)) as name from added a",
         ),
         "mut19": q(
-            lambda s, d: (lambda t: mutate.toggle_links(t, t.links.where("idx % 3 = 0").select("access_point_id", "node_id").unionByName(t.access_points.where("connection = 'terminal'").select(F.col("id").alias("access_point_id"), F.concat(F.lit("N"), F.col("idx") % 10).alias("node_id")))))(derive(s, d)).select("id", "access_point_id", "node_id", F.round("cost", 1).alias("cost"), "to_place_instruction", "from_place_instruction"),
+            lambda s, d: (lambda t: mutate.toggle_links(t, t.access_points.where("connection = 'terminal'").select(F.col("id").alias("access_point_id"), F.concat(F.lit("N"), F.col("idx") % 10).alias("node_id")), F.col("idx") % 3 == 0))(derive_paired(s, d)).select("id", "access_point_id", "node_id", F.round("cost", 1).alias("cost"), "to_place_instruction", "from_place_instruction"),
             f"with toggles as (select distinct access_point_id, node_id from (select access_point_id, node_id from links where idx % 3 = 0 union all select id, 'N' || (idx % 10) from access_points where connection = 'terminal')), new as (select t.*, p.x-n.x dx, p.y-n.y dy, floor({LEN.format(a='n', b='p')}*10+0.5)/10 as cost from toggles t join access_points p on p.id = t.access_point_id join nodes n on n.id = t.node_id where not exists (select 1 from links l where l.access_point_id = t.access_point_id and l.node_id = t.node_id)) select id, access_point_id, node_id, round(cost, 1) as cost, null as to_place_instruction, null as from_place_instruction from links l where not exists (select 1 from toggles t where t.access_point_id = l.access_point_id and t.node_id = l.node_id) union all select 'link-' || access_point_id || '-' || node_id, access_point_id, node_id, round(cost, 1), 'Continue ' || {heading('dx', 'dy')} || ' to the destination.', 'Head ' || {heading('-dx', '-dy')} || ' into the hallway.' from new",
         ),
     }
