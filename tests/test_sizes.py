@@ -1,5 +1,6 @@
 """Plans that hold at size: nothing that grows with pairs is broadcast, written or joined again, with the results of going through all."""
 
+import json
 import math
 import os
 import random
@@ -11,6 +12,7 @@ import __spark_entry__ as driver
 from topolark.functions.staging import Staging
 from topolark.operators import drawing, mutate, network, route, spatial
 from topolark.plans import q_mutate, topology
+from topolark.sources import project
 
 FOLDER = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
@@ -114,3 +116,26 @@ def test_edits_of_paired_links_make_no_pairs_to_count_or_to_remove(spark):
     one = t.links.where("idx % 3 = 0").select("access_point_id", "node_id")
     same = [c for c in mutate.toggle_links(t, toggles).columns]
     assert rows(mutate.toggle_links(t, toggles, F.col("idx") % 3 == 0).select(*same)) == rows(mutate.toggle_links(plain, toggles.unionByName(one)).select(*same))
+
+
+@needs_tables
+def test_paired_links_are_kept_in_files_as_their_ends(spark, tmp_path):
+    t = topology.derive_staged(spark, FOLDER)
+    rows = lambda t: sorted(map(str, t.links.select("id", "access_point_id", "node_id", "cost", "idx").collect()))
+    links = rows(t)
+    project.save(t, str(tmp_path / "saved"))
+    project.write_parts(t, "m", "Map", "2024-01-01T00:00:00Z", str(tmp_path / "parts"))
+    assert rows(project.load(spark, str(tmp_path / "saved"))) == links
+    back, head = project.read_parts(spark, str(tmp_path / "parts"))
+    assert rows(back) == links and head["name"] == "Map"
+    assert sorted(map(str, back.edges.select("id", "cost").collect())) == sorted(map(str, t.edges.select("id", "cost").collect()))
+    files = sorted((tmp_path / "parts").glob("section_=*/part-*"), key=lambda f: (int(f.parent.name.split("=")[1]), f.name))
+    said = json.loads("".join(f.read_text() for f in files))["topology"]
+    assert len(said["linkedPoints"]) == t.access_points.count() and len(said["linkedNodes"]) == t.nodes.count() and "terminalAccessLinks" not in said
+    with pytest.raises(ValueError, match="Unknown rule"):
+        topology.with_ends(t, "other", *t.links._ends.values())
+
+
+@needs_tables
+def test_no_row_holds_the_document_of_src1(spark):
+    assert "collect_list(struct(i" not in plan(driver.queries()["src1"](spark, FOLDER))

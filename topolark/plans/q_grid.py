@@ -137,10 +137,10 @@ def grd7(s: SparkSession, d: str) -> DataFrame:
 
 
 def saved(s: SparkSession, d: str) -> Topology:
-    """The derived topology as a document and back."""
-    doc = project.join(derive(s, d), "map", "Derived", "2024-01-01T00:00:00.000Z")
-    text = doc.select(F.to_json(F.struct("*")).alias("value"))
-    return project.split(text.select(F.from_json("value", project.PROJECT).alias("p")).select("p.*"))
+    """The derived topology as a document in parts and back."""
+    folder = f"{Staging(s).root}/document"
+    project.write_parts(derive_staged(s, d), "map", "Derived", "2024-01-01T00:00:00.000Z", folder)
+    return project.read_parts(s, folder)[0]
 
 
 def src1(s: SparkSession, d: str) -> DataFrame:
